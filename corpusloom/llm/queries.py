@@ -6,13 +6,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import mixing, sharding, tokens
+from corpusloom.llm import mixing, sharding, tokens, warc
 from corpusloom.llm.common import table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
 
+ORACLE["op8_warc_round_trip"] = """
+    SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
+           CASE WHEN first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+    FROM (SELECT page_id, html,
+                 CASE WHEN strlen(coalesce(html, '')) >= 1000 THEN max(page_id) OVER (PARTITION BY coalesce(html, '')) END AS first_id
+          FROM pages)
+"""
+
+
 def query(fn):
     QUERIES[fn.__name__] = fn
     return fn
@@ -38,6 +48,12 @@ def op7_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query
+def op8_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.round_trip(table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
