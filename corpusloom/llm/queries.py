@@ -6,13 +6,41 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import media, mixing, sharding, tokens, warc
+from corpusloom.llm import linededup, media, mixing, sharding, tokens, warc
 from corpusloom.llm.common import table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
 
+ORACLE["op4_template_lines"] = r"""
+    WITH texts AS (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL),
+    raw AS (SELECT text, string_split(text, chr(10)) AS ls FROM texts),
+    line AS (
+        SELECT text, i - 1 AS i, trim(regexp_replace(ls[i], '[ \t\n\x0B\f\r]+', ' ', 'g')) AS line
+        FROM raw, unnest(range(1, len(ls) + 1)) AS u(i)),
+    used AS (
+        SELECT text, i, regexp_replace(' ' || line, ' [^ ]*[0-9@][^ ]*', ' <*>', 'g')[2:] AS line
+        FROM line WHERE line <> '' AND len(string_split(line, ' ')) >= 2),
+    leafed AS (SELECT text, i, line, struct_pack(n := len(string_split(line, ' ')), lead := string_split(line, ' ')[:3]) AS leaf FROM used),
+    busy AS (SELECT leaf FROM leafed GROUP BY leaf HAVING count(DISTINCT text) >= 10),
+    found AS (SELECT * FROM leafed WHERE leaf IN (SELECT leaf FROM busy)),
+    dist AS (SELECT leaf, line, count(DISTINCT text) AS n FROM found GROUP BY leaf, line),
+    spread AS (SELECT leaf, line, n, k, string_split(line, ' ')[k] AS token FROM dist, unnest(range(1, leaf.n + 1)) AS u(k)),
+    often AS (SELECT leaf, k, token FROM spread GROUP BY ALL HAVING sum(n) >= 10),
+    shape AS (
+        SELECT s.leaf, s.line, any_value(s.n) AS n, string_agg(coalesce(o.token, '<*>'), ' ' ORDER BY s.k) AS t,
+               count(*) FILTER (coalesce(o.token, '<*>') <> '<*>') AS kept, count(*) AS size
+        FROM spread s LEFT JOIN often o ON s.leaf = o.leaf AND s.k = o.k AND s.token = o.token GROUP BY s.leaf, s.line),
+    tmpl AS (SELECT leaf, line, n, CASE WHEN kept >= 0.75 * size THEN t ELSE line END AS template FROM shape),
+    gone AS (SELECT leaf, line FROM (SELECT leaf, line, sum(n) OVER (PARTITION BY leaf, template) AS m FROM tmpl) WHERE m >= 10),
+    dropped AS (SELECT text, list(i) AS drop FROM found f WHERE (leaf, line) IN (SELECT (leaf, line) FROM gone) GROUP BY text)
+    SELECT doc_id, CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, chr(10))) END::INT AS n_lines,
+           coalesce(len(drop), 0)::INT AS n_dropped,
+           CASE WHEN drop IS NULL THEN d.text ELSE array_to_string(list_transform(list_filter(
+               range(1, len(string_split(d.text, chr(10))) + 1), lambda i: NOT list_contains(drop, i - 1)), lambda i: string_split(d.text, chr(10))[i]), chr(10)) END AS text
+    FROM documents d LEFT JOIN dropped x ON d.text = x.text
+"""
 ORACLE["op8_warc_round_trip"] = """
     SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
            CASE WHEN first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
@@ -36,6 +64,12 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", n_bytes.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+@query
+def op4_template_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = linededup.drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "n_lines", "n_dropped", "text")
+
+
 @query
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_documents(table(spark, sf_dir, "documents"))
