@@ -20,11 +20,11 @@ from itertools import chain
 import numpy as np
 import regex
 
-#: How many distinct pieces a Python worker remembers, and how many new words one replay takes at once. Both bound
-#: memory only; results do not depend on them.
-CACHE_PIECES = 400_000
-REPLAY_SYMBOLS = 3_000_000
-SLICE_CHARS = 6_000_000
+#: How many distinct pieces each of a worker's two generations of memory holds, how many symbols one replay takes, and
+#: how much text is cut into pieces at once. They bound memory only; results do not depend on them.
+CACHE_PIECES = 150_000
+REPLAY_SYMBOLS = 2_000_000
+SLICE_CHARS = 5_000_000
 
 _SHIFT = 20
 _NONE = 1 << 30
@@ -204,20 +204,22 @@ class Coder:
         """whole: the words that have an id without merging (all tokens of a rank file; proven strings otherwise)."""
         self.vocabulary, self.pattern = vocabulary, regex.compile(pattern)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.whole = {word: np.array([i], dtype="<i4").tobytes() for word, i in (whole or {}).items()}
 
     def _learn(self, new: list[str]) -> None:
         """The ids of pieces not seen before: their distinct words are replayed together, in blocks of bounded size."""
-        split = list(map(self.pattern.findall, new))
+        findall = self.pattern.findall
+        split = [[p] if p[1:].isalpha() and (p[0] == " " or p[0].isalpha()) else findall(p) for p in new]
         words = list(set(chain.from_iterable(split)))
         ids: dict[str, bytes] = {}
+        whole = self.whole.get
         block: list[str] = []
         raw: list[bytes] = []
         symbols = 0
-        for word in words:
-            data = word.encode()
-            if data in self.whole:
-                ids[word] = self.whole[data]
+        for word, data in zip(words, map(str.encode, words), strict=True):
+            if (known := whole(data)) is not None:
+                ids[word] = known
                 continue
             block.append(word)
             raw.append(data)
@@ -227,16 +229,18 @@ class Coder:
                 block, raw, symbols = [], [], 0
         if block:
             ids.update(zip(block, self.vocabulary.replay(raw), strict=True))
-        get = ids.__getitem__
-        self.known.update((p, get(w[0]) if len(w) == 1 else b"".join(map(get, w))) for p, w in zip(new, split, strict=True))
+        get, known_pieces = ids.__getitem__, self.known
+        for p, w in zip(new, split, strict=True):
+            known_pieces[p] = get(w[0]) if len(w) == 1 else b"".join(map(get, w))
 
     def encode_slice(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > CACHE_PIECES:  # pieces still in use move on to the new generation
+            self.known, self.older = {}, self.known
         cut = list(map(pieces, texts))
         new = set(chain.from_iterable(cut)).difference(self.known)
-        if len(self.known) + len(new) > CACHE_PIECES:
-            self.known = {}
-            new = set(chain.from_iterable(cut))
-        self._learn(list(new))
+        kept = new.intersection(self.older)
+        self.known.update(zip(kept, map(self.older.__getitem__, kept), strict=True))
+        self._learn(list(new - kept))
         get = self.known.__getitem__
         return [b"".join(map(get, c)) for c in cut]
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import written
 
 #: Rows that one window partition sorts, about; the number of partitions follows the row count.
-ROWS_PER_BUCKET = 50_000
+ROWS_PER_BUCKET = 8_192
 
 
 def _unit(h: Column) -> Column:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.bpe import Coder, Vocabulary
+from corpusloom.llm.common import small_batches
 
 _CODERS: dict[tuple, Coder] = {}
 
@@ -42,6 +43,7 @@ def _proven(path: str, pattern: str) -> frozenset[str]:
 
 
 def _shipped(spark: SparkSession, path: str):
+    small_batches(spark)
     with open(path, "rb") as f:
         return spark.sparkContext.broadcast(f.read())
 
@@ -84,9 +86,8 @@ def encode_bpe(docs: DataFrame, tokenizer_path: str, pattern: str, text_col: str
         coder = _coder(data.value, kind, pattern)
         for texts in batches:
             rows = coder.encode(texts.to_pylist())
-            ends = np.cumsum([0] + [len(r) >> 2 for r in rows], dtype=np.int64)
-            values = pa.array(np.frombuffer(b"".join(rows), dtype="<i4"))
-            yield pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)
+            ends = np.cumsum([0] + [len(r) >> 2 for r in rows], dtype=np.int64).astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(rows), dtype="<i4")))
 
     return docs.withColumn(out_col, encoded(F.col(f"`{text_col}`")))
 
@@ -99,7 +100,8 @@ def decode_bpe(docs: DataFrame, tokenizer_path: str, pattern: str, ids_col: str
     def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         coder = _coder(data.value, kind, pattern)
         for lists in batches:
-            yield pa.array([coder.decode(row.values.to_numpy(zero_copy_only=False)) if row.is_valid else b"" for row in lists], pa.binary())
+            ends, ids = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+            yield pa.array((coder.decode(ids[a:b]) for a, b in zip(ends, ends[1:], strict=False)), pa.binary(), size=len(lists))
 
     return docs.withColumn(out_col, decoded(F.col(f"`{ids_col}`")))
 
