@@ -149,3 +149,22 @@ def mix_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
     """mix_sizes over documents whose size is their number of words. Extra columns are ignored; texts do not move."""
     sizes = docs.select(F.col(f"`{source_col}`").alias("source"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), word_count(F.col(f"`{text_col}`")).alias("size"))
     return mix_sizes(sizes, weights, share, most, seed)
+
+
+def apply_mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
+    """docs as the mix takes them: each row as often as it is due, 0 to 2 times by default; the columns stay.
+
+    The decisions find their rows by (source, id, size). Rows alike in these are due one of two neighbouring numbers of
+    copies; which of them get the higher one follows from their texts' hash. Texts move once. Extra columns stay,
+    null ids and sources and empty texts are rows like others (a row without words gets its whole part only).
+    """
+    decided = mix_documents(docs, text_col, id_col, source_col, **options)
+    key = F.md5(F.to_json(F.struct(F.col("source"), F.col("doc_id"), F.col("size"))).cast("binary"))
+    due = decided.withColumn("__mix_key", key).groupBy("__mix_key").agg(F.min("copies").alias("__mix_low"), F.max("copies").alias("__mix_high"), F.sum("copies").alias("__mix_sum"), F.count(F.lit(1)).alias("__mix_rows"))
+    due = written(due, "mix-due")
+    own = F.md5(F.to_json(F.struct(F.col(f"`{source_col}`").alias("source"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), word_count(F.col(f"`{text_col}`")).alias("size"))).cast("binary"))
+    rows = docs.withColumn("__mix_key", own).join(due, "__mix_key")
+    rows = rows.withColumn("__mix_place", F.row_number().over(W.partitionBy("__mix_key").orderBy(F.xxhash64(F.col(f"`{text_col}`")))))
+    copies = F.when(F.col("__mix_place") <= F.col("__mix_sum") - F.col("__mix_low") * F.col("__mix_rows"), F.col("__mix_high")).otherwise(F.col("__mix_low"))
+    rows = rows.withColumn("__mix_again", F.explode(F.array_repeat(F.lit(1), copies.cast("int"))))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
