@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusloom.session import ship_package
+
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -15,11 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 2_000) -> None:
-    """Texts are long: Arrow batches of Spark's default of 10,000 rows hold too much, on both sides of the worker.
+def for_python(spark: SparkSession, rows: int = 2_000) -> None:
+    """Prepares a session for Python functions over texts: the package goes to the workers, batches become smaller.
 
-    The setting is read when a plan runs, so it stays on the session; one that the user has chosen is left alone.
+    Texts are long: Arrow batches of Spark's default of 10,000 rows hold too much, on both sides of the worker. The
+    setting is read when a plan runs, so it stays on the session; one that the user has chosen is left alone.
     """
+    ship_package(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":
         spark.conf.set(key, str(rows))

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import written
+from corpusloom.llm.common import for_python, written
 from corpusloom.llm.components import connected
 
 COSINE = 0.93
@@ -146,6 +146,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     Work within a label is quadratic in its distinct vectors, in tiles that any number of tasks share.
     """
+    for_python(vectors.sparkSession)
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("vector"), F.col(f"`{label_col}`").cast("string").alias("label"))
     rows = written(rows.mapInArrow(_prepared, "vec_id long, node long, label string, dims int, vector binary"), "vectors")
     nodes = rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.first("label").alias("label"), F.first("dims").alias("dims"), F.first("vector").alias("vector"), F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("vec_id"))

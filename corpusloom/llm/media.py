@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import fresh_path, shuffle_files_end_with_the_job, small_batches, written
+from corpusloom.llm.common import for_python, fresh_path, shuffle_files_end_with_the_job, written
 
 #: Chunk lengths in bytes: least, mean distance of cuts after that (a power of two), most.
 LEAST, MEAN, MOST = 4_096, 16_384, 65_536
@@ -117,7 +117,7 @@ def store_payloads(docs: DataFrame, text_col: str = "text") -> MediaStore:
     one manifest row; a very long text is one row of one task; an empty table gives empty tables.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    for_python(spark)
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     rows = docs.select(F.unhex(F.sha2(text, 256)).alias("text_key"), text.cast("binary").alias("data"))
 

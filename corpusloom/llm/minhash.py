@@ -1,10 +1,9 @@
 """MinHash near-dedup: one-permutation hashing with optimal densification, banded buckets, star-shaped candidates.
 
-Documents with equal shingle sets are one node. A bucket's first star links its least node to the others; every link
-is confirmed on the full sets. Where a bucket still holds more than one component, further members become centres in
-turn, with more of them each round, and test the members of other components that follow them, until the bucket is one
-component or each of its members has been a centre: no candidate is left out, and no group emits all its pairs while a
-few stars settle it.
+Documents with equal shingle sets are one node. A bucket's star links its least node to the others; every link is
+confirmed on the full sets. A bucket whose nodes are one component by then is settled. In the others, which are few,
+the star may have missed links between its rays: their nodes are compared across components, in tiles of two blocks of
+bounded size, and a tile returns links only. No candidate is left out, and no group emits its pairs.
 """
 
 from __future__ import annotations
@@ -19,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import small_batches, written
+from corpusloom.llm.common import for_python, written
 from corpusloom.llm.components import connected
 
 WORDS = 5
@@ -30,7 +29,8 @@ BANDS, ROWS = 24, 3
 BINS = BANDS * ROWS
 #: Members that one copy of a star's centre is compared with, about.
 STAR = 200
-FIRST_CENTRES = 8
+#: Nodes in a block of a bucket that its star leaves unsettled; a tile compares two blocks.
+BLOCK = 256
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _EDGES = np.array([(k << 64) // BINS for k in range(BINS)], dtype=np.uint64)
@@ -119,12 +119,16 @@ def _signed(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
                     bands.append(band_keys(signature(hashes)))
                     packed.append(packer.compress(b" ".join(words)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(packed, pa.binary())],
-                ["doc_id", "n_shingles", "node", "bands", "packed"],
+                [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(packed, pa.binary())],
+                ["doc_id", "text_key", "n_shingles", "node", "bands", "packed"],
             )
 
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return rows.mapInArrow(sign, "doc_id long, n_shingles long, node long, bands array<long>, packed binary")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), _text_key(text_col).alias("text_key"))
+    return rows.mapInArrow(sign, "doc_id long, text_key binary, n_shingles long, node long, bands array<long>, packed binary")
+
+
+def _text_key(text_col: str) -> Column:
+    return F.unhex(F.md5(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary")))
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -159,6 +163,67 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return written(rows.mapInArrow(compare, "a long, b long"), "links")
 
 
+def _across(shared: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between nodes of different components in one bucket; at least a spanning set of them.
+
+    Buckets with the same nodes are compared once. Nodes are placed by component, so blocks of one component need not
+    meet one another, nor be compared within.
+    """
+    held = shared.select("bucket", "node").join(roots.withColumnRenamed("node", "r2"), F.col("node") == F.col("r2"), "left")
+    held = written(held.select("bucket", "node", F.coalesce("root", "node").alias("root")), "held")
+    mixed = held.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"), F.count(F.lit(1)).alias("m"))
+    mixed = mixed.filter("lo != hi").groupBy("x", "y", "m").agg(F.min("bucket").alias("b2"))
+    mixed = written(mixed.select("b2"), "mixed")
+    place = F.row_number().over(W.partitionBy("bucket").orderBy("root", "node"))
+    ranked = held.join(mixed, F.col("bucket") == F.col("b2"), "left_semi").withColumn("block", F.floor((place - 1) / BLOCK).cast("int"))
+    ranked = written(ranked, "ranked")
+    blocks = ranked.groupBy("bucket", "block").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    left = blocks.select(F.col("bucket").alias("b1"), F.col("block").alias("i"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"))
+    tiles = left.join(blocks, (F.col("b1") == F.col("bucket")) & (F.col("i") <= F.col("block")) & ((F.col("lo") != F.col("lo1")) | (F.col("lo") != F.col("hi")) | (F.col("lo1") != F.col("hi1"))))
+    tiles = tiles.select("b1", "i", F.col("block").alias("j"), F.explode(F.array_distinct(F.array("i", "block"))).alias("b"))
+    rows = ranked.join(tiles, (F.col("bucket") == F.col("b1")) & (F.col("block") == F.col("b")))
+    rows = rows.select("bucket", "i", "j", "node", "root").join(texts, "node").select("bucket", "i", "j", "root", "node", "packed")
+    rows = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opener, tile, met, own = zstandard.ZstdDecompressor(), None, [], {}
+
+        def find(x: int) -> int:
+            while own.setdefault(x, x) != x:
+                own[x] = own[own[x]]
+                x = own[x]
+            return x
+
+        for batch in batches:
+            out = []
+            for *key, root, node, packed in zip(*(batch.column(k) for k in range(6)), strict=True):
+                key, root = [k.as_py() for k in key], root.as_py()
+                if key != tile:
+                    tile, met, own = key, [], {}
+                hashes = shingles(opener.decompress(packed.as_py()).split(b" "))
+                for other, at, theirs in met:
+                    if find(other) != find(root) and similar(hashes, theirs):
+                        own[find(root)] = find(other)
+                        out.append((at, node.as_py()))
+                met.append((root, node.as_py(), hashes))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+
+    return written(rows.mapInArrow(compare, "a long, b long"), "links")
+
+
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after further links: the roots are contracted, and nodes follow."""
+    ends = links
+    for side in ("a", "b"):
+        ends = ends.join(roots.withColumnsRenamed({"node": f"n{side}", "root": f"r{side}"}), F.col(side) == F.col(f"n{side}"), "left")
+        ends = ends.withColumn(side, F.coalesce(f"r{side}", side)).drop(f"n{side}", f"r{side}")
+    above = connected(ends).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    moved = roots.join(above, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    lone = above.select(F.col("root").alias("node"), F.col("top").alias("root")).join(roots, "node", "left_anti")
+    return written(moved.unionByName(lone), "components")
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     """100 * intersection >= 75 * union, on sorted sets."""
     if len(a) > len(b):
@@ -183,8 +248,13 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     Repeated rows are each returned. A null id never represents a group that has an id; a group without ids has a null
     component_id and all its rows are kept. Extra columns are ignored; empty tables stay empty.
     """
+    return _grouped(docs, text_col, id_col).drop("text_key")
+
+
+def _grouped(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    """near_duplicates(), with a digest of each row's text."""
     spark = docs.sparkSession
-    small_batches(spark)
+    for_python(spark)
     signed = written(_signed(docs, text_col, id_col), "signed")
     full = signed.filter(F.col("node").isNotNull())
     nodes = written(full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands", ignorenulls=True).alias("bands")), "nodes")
@@ -197,33 +267,16 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     texts = _wanted(texts, shared)
     links = _confirmed(pairs, texts)
     roots = connected(links)
-    open_rows, tried, done, width = shared.filter(F.col("m") > 2).select("bucket", "node", "n"), pairs, 1, FIRST_CENTRES
-    while True:
-        # Rows of buckets that hold more than one component, with each member's place in the bucket.
-        held = open_rows.join(roots.withColumnRenamed("node", "r2"), F.col("node") == F.col("r2"), "left").withColumn("root", F.coalesce("root", "node")).drop("r2")
-        mixed = held.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m"))
-        mixed = written(mixed.filter((F.col("lo") != F.col("hi")) & (F.col("m") > done)).select(F.col("bucket").alias("b2")), "mixed")
-        if mixed.isEmpty():
-            break
-        ranked = held.join(mixed, F.col("bucket") == F.col("b2"), "left_semi").withColumn("k", F.row_number().over(W.partitionBy("bucket").orderBy("node")))
-        ranked = written(ranked, "ranked")
-        centres = ranked.filter((F.col("k") > done) & (F.col("k") <= done + width)).select(F.col("bucket").alias("b2"), F.col("node").alias("centre"), F.col("n").alias("cn"), F.col("root").alias("croot"), F.col("k").alias("ck"))
-        fresh = ranked.join(centres, F.col("bucket") == F.col("b2")).filter((F.col("k") > F.col("ck")) & (F.col("root") != F.col("croot")) & _may(F.col("n"), F.col("cn")))
-        fresh = written(fresh.select("centre", "node").distinct().join(tried, ["centre", "node"], "left_anti"), "fresh")
-        if not fresh.isEmpty():
-            found = _confirmed(fresh, texts)
-            tried = tried.unionByName(fresh)
-            if not found.isEmpty():
-                links = links.unionByName(found)
-                roots = connected(links)
-        open_rows, done, width = ranked.select("bucket", "node", "n"), done + width, width * 2
+    more = _across(shared.filter("m > 2"), roots, texts)
+    if not more.isEmpty():
+        roots = _merged(roots, more)
     led = nodes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     led = written(led, "led")
     heads = written(led.groupBy("root").agg(F.min("doc_id").alias("component_id")), "heads")
     groups = written(led.join(heads, "root").select("node", "component_id"), "groups")
-    out = signed.select("doc_id", "n_shingles", "node").join(groups.withColumnRenamed("node", "g"), F.col("node") == F.col("g"), "left")
+    out = signed.select("doc_id", "text_key", "n_shingles", "node").join(groups.withColumnRenamed("node", "g"), F.col("node") == F.col("g"), "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "text_key", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def _wanted(texts: DataFrame, shared: DataFrame) -> DataFrame:
@@ -234,9 +287,9 @@ def _wanted(texts: DataFrame, shared: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """docs with one document of each group; repeated rows (same id and text) are one document. All columns stay."""
-    kept = near_duplicates(docs, text_col, id_col).filter("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
+    kept = _grouped(docs, text_col, id_col).filter("kept").select(F.col("doc_id").alias("__kept_id"), F.col("text_key").alias("__kept_text")).distinct()
     kept = written(kept, "kept")
-    left = docs.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("__kept_id")), "left_semi")
-    text = F.md5(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary"))
-    again = left.withColumn("__copy", F.row_number().over(W.partitionBy(F.col(f"`{id_col}`"), text).orderBy(F.lit(1))))
-    return again.filter("__copy = 1").drop("__copy")
+    rows = docs.withColumn("__text_key", _text_key(text_col))
+    left = rows.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("__kept_id")) & (F.col("__text_key") == F.col("__kept_text")), "left_semi")
+    again = left.withColumn("__copy", F.row_number().over(W.partitionBy(F.col(f"`{id_col}`"), F.col("__text_key")).orderBy(F.lit(1))))
+    return again.filter("__copy = 1").drop("__copy", "__text_key")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import small_batches
+from corpusloom.llm.common import for_python
 
 #: Word vectors are kept for hash buckets, so their table has one size for every corpus: shapes, symbols, words.
 SHAPES, SYMBOLS, WORDS = 256, 768, 7_168
@@ -196,7 +196,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_c
     are made from the text alone.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    for_python(spark)
     vectors = word_vectors(context_sums(docs, text_col))
     known = labels.filter(F.col(f"`{label_col}`").isNotNull() & ~held_out(F.col(f"`{id_col}`"))).select(F.col(f"`{id_col}`").alias("label_id"), F.col(f"`{label_col}`").cast("int").alias("label"))
     count = known.count()
@@ -225,7 +225,7 @@ def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text",
 
     The model (about 2 MB, of fixed size) is broadcast; texts stay where they are. An existing out_col is replaced.
     """
-    small_batches(docs.sparkSession)
+    for_python(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.bpe import Coder, Vocabulary
-from corpusloom.llm.common import small_batches
+from corpusloom.llm.common import for_python
 
 _CODERS: dict[tuple, Coder] = {}
 
@@ -43,7 +43,7 @@ def _proven(path: str, pattern: str) -> frozenset[str]:
 
 
 def _shipped(spark: SparkSession, path: str):
-    small_batches(spark)
+    for_python(spark)
     with open(path, "rb") as f:
         return spark.sparkContext.broadcast(f.read())
 

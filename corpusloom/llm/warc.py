@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import fresh_path, small_batches, written
+from corpusloom.llm.common import for_python, fresh_path, written
 
 #: An empty gzip member. The text sink must end every row with a separator; this one is itself legal in a .warc.gz.
 EMPTY_MEMBER = zlib.compressobj(9, zlib.DEFLATED, 31).flush()
@@ -109,7 +109,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     A null html is an empty payload. Null urls and ids leave their header out; a null id counts as the smallest, and
     rows that share the largest id are all responses. Extra columns are ignored. An empty table writes no record.
     """
-    small_batches(pages.sparkSession)
+    for_python(pages.sparkSession)
     payload = F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), payload.alias("payload"), F.sha1(payload).alias("digest"))
     known = rows.filter(F.octet_length("payload") >= min_revisit).groupBy("digest").agg(F.max("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
