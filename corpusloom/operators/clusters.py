@@ -21,7 +21,7 @@ def star_clusters(items: DataFrame, part: list[str], order: str, item_id: str, t
     schema = ", ".join(f"`{c}` {kind[c]}" for c in [*part, item_id]) + f", seed_id {kind[item_id]}"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([order, item_id], kind="stable")
+        pdf = pdf.sort_values(list(dict.fromkeys([order, item_id])), kind="stable")
         seeds: list[tuple[object, set]] = []
         owner = []
         for own, words in zip(pdf[item_id], pdf[tokens], strict=True):
@@ -33,7 +33,7 @@ def star_clusters(items: DataFrame, part: list[str], order: str, item_id: str, t
             owner.append(seed)
         return pdf[[*part, item_id]].assign(seed_id=owner)
 
-    return items.select(*part, order, item_id, tokens).groupBy(*part).applyInPandas(run, schema)
+    return items.select(*dict.fromkeys([*part, order, item_id, tokens])).groupBy(*part).applyInPandas(run, schema)
 
 
 def overlap_coefficient(a: str, b: str) -> float:
@@ -64,7 +64,7 @@ def event_groups(items: DataFrame, part: list[str], order: str, item_id: str, ev
         return shared >= 2 and shared / max(len(a.words), len(b.words)) >= 0.15
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([order, item_id], kind="stable")
+        pdf = pdf.sort_values(list(dict.fromkeys([order, item_id])), kind="stable")
         heads, owner = [], []
         rows = pd.DataFrame({"id": pdf[item_id], "event": pdf[event].fillna(""), "words": [set(w) if w is not None else set() for w in pdf[title_tokens]], "tags": [set(t) if t is not None else set() for t in pdf[tags]]})
         for row in rows.itertuples(index=False):
@@ -75,7 +75,7 @@ def event_groups(items: DataFrame, part: list[str], order: str, item_id: str, ev
             owner.append(head.id)
         return pdf[[*part, item_id]].assign(head_id=owner)
 
-    return items.select(*part, order, item_id, event, title_tokens, tags).groupBy(*part).applyInPandas(run, schema)
+    return items.select(*dict.fromkeys([*part, order, item_id, event, title_tokens, tags])).groupBy(*part).applyInPandas(run, schema)
 
 
 def follow_up(shared: Column, new_title: Column, old_title: Column, signals: list[str], least: int = 3) -> Column:

@@ -210,12 +210,12 @@ def snapshot_changes(spark, sf):
 
 @register("trigram_search")
 def trigram_search(spark, sf):
-    """Word similarity over whole texts; prefiltered by nothing, so the score is exact."""
+    """Word similarity over whole texts, exact above the threshold."""
     from corpusloom.session import ship_package
 
     ship_package(spark)
-    scored = table(spark, sf, "documents").select("doc_id", udfs.word_similarity("thonre attion", F.col("text")).alias("sim"))
-    return scored.filter("sim > 0.12").orderBy(F.desc("sim"), "doc_id").limit(8)
+    scored = table(spark, sf, "conversations").select("conv_id", "turn", udfs.word_similarity("thonre attion", F.col("text"), 0.12).alias("sim"))
+    return scored.filter("sim > 0.12").orderBy(F.desc("sim"), "conv_id", "turn").limit(8)
 
 
 def _vector(spark, sf, vec_id=7):
