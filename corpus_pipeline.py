@@ -43,7 +43,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE: the token ids of each text, and the digest of what they decode to."""
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = tokens.decode_bpe(tokens.encode_bpe(docs.select("doc_id", "lang", "source", "text"), path, pattern), path, pattern)
+    coded = tokens.round_trip_bpe(docs.select("doc_id", "lang", "source", "text"), path, pattern)
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -22,7 +22,7 @@ import regex
 
 #: How many distinct pieces each of a worker's two generations of memory holds, how many symbols one replay takes, and
 #: how much text is cut into pieces at once. They bound memory only; results do not depend on them.
-CACHE_PIECES = 150_000
+CACHE_PIECES = 100_000
 REPLAY_SYMBOLS = 2_000_000
 SLICE_CHARS = 5_000_000
 

@@ -140,5 +140,5 @@ def op9_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = tokens.decode_bpe(tokens.encode_bpe(docs, path, pattern), path, pattern)
+    coded = tokens.round_trip_bpe(docs, path, pattern)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), tokens.ids_digest(F.col("ids")).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -92,6 +92,28 @@ def encode_bpe(docs: DataFrame, tokenizer_path: str, pattern: str, text_col: str
     return docs.withColumn(out_col, encoded(F.col(f"`{text_col}`")))
 
 
+def round_trip_bpe(docs: DataFrame, tokenizer_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
+    """encode_bpe() and decode_bpe() in one pass: adds the ids, and the bytes decoded from these ids.
+
+    One Python worker for each task does both, so a task holds one vocabulary and sends its ids back once.
+    """
+    data, kind = _shipped(docs.sparkSession, tokenizer_path), _kind(tokenizer_path)
+
+    @F.arrow_udf("ids array<int>, decoded binary")
+    def coded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        coder = _coder(data.value, kind, pattern)
+        for texts in batches:
+            rows = coder.encode(texts.to_pylist())
+            ends = np.cumsum([0] + [len(r) >> 2 for r in rows], dtype=np.int64).astype(np.int32)
+            ids = np.frombuffer(b"".join(rows), dtype="<i4")
+            del rows
+            decoded = pa.array((coder.decode(ids[a:b]) for a, b in zip(ends, ends[1:], strict=False)), pa.binary(), size=len(texts))
+            yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)), decoded], ["ids", "decoded"])
+
+    both = docs.withColumn("__coded", coded(F.col(f"`{text_col}`")))
+    return both.withColumns({ids_col: F.col("__coded.ids"), decoded_col: F.col("__coded.decoded")}).drop("__coded")
+
+
 def decode_bpe(docs: DataFrame, tokenizer_path: str, pattern: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """Adds out_col (binary): the bytes that the ids stand for. Null or empty ids: no bytes; an unknown id is an error."""
     data, kind = _shipped(docs.sparkSession, tokenizer_path), _kind(tokenizer_path)

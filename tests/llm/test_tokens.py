@@ -95,6 +95,8 @@ def test_frames(spark, library):
         want = library.encode_ordinary(r["text"] or "")
         assert r["ids"] == want and bytes(r["decoded"]) == (r["text"] or "").encode()
         assert r["digest"] == hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest()
+    once = tokens.round_trip_bpe(docs, RANKS, P.PATTERN)
+    assert sorted(map(repr, once.collect())) == sorted(map(repr, coded.collect())) and once.columns == coded.columns
     counted = tokens.count_tokens(docs.withColumnRenamed("ids", "n_tokens"), JSON, P.PATTERN)
     assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in counted.collect())[1:3] == [(1, 0), (2, 0)]
     empty = spark.createDataFrame([], "doc_id long, text string")
