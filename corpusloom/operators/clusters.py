@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.session import ship_package
+from corpusloom.session import checkpointed, ship_package
 
 
 def star_clusters(items: DataFrame, part: list[str], order: str, item_id: str, tokens: str, least: int = 3) -> DataFrame:
@@ -94,11 +94,11 @@ def representatives(links: DataFrame, child: str, parent: str, flag: str | None
     """
     own = F.col(flag) if flag else F.lit(False)
     at = links.select(F.col(child).alias("c"), F.col(parent).alias("p"), own.alias("j"), F.least(child, parent).alias("low"))
-    for _ in range(most):
+    for _ in range(min(most, links.count().bit_length() + 1)):  # no chain is longer than the links
         nxt = at.select(F.col("c").alias("c2"), F.col("p").alias("p2"), F.col("j").alias("j2"), F.col("low").alias("l2"))
         step = at.join(nxt, F.col("p") == F.col("c2"), "left")
         moved = step.filter("c2 is not null and p2 != p and c != p").limit(1)
-        at = _kept(step)
+        at = checkpointed(_kept(step))
         if moved.isEmpty():
             break
     heads = at.select(F.col("c").alias("c2"))

@@ -54,3 +54,12 @@ def ship_package(spark: SparkSession) -> None:
             out.write(source, source.relative_to(home.parent))
     spark.sparkContext.addPyFile(str(archive))
     _SHIPPED.add(app)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts lineage through the shared checkpoint folder; a temporary one is used only where none is set."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        known = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(known or tempfile.mkdtemp(prefix="corpusloom-"))
+    return df.checkpoint()
