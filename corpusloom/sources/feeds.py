@@ -59,7 +59,7 @@ def law_articles(spark: SparkSession, path: str) -> DataFrame:
 
 def notes(spark: SparkSession, path: str) -> DataFrame:
     """path, meta (map of the front matter), body of whole-text markdown files."""
-    whole = spark.read.option("wholetext", True).text(path).withColumn("path", F.input_file_name())
+    whole = spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
     front, body = F.regexp_extract("value", r"(?s)\A---\n(.*?)\n---\n?(.*)\z", 1), F.regexp_extract("value", r"(?s)\A---\n(.*?)\n---\n?(.*)\z", 2)
     pairs = F.filter(F.transform(F.split(front, "\n"), lambda s: F.struct(F.trim(F.substring_index(s, ":", 1)).alias("k"), F.trim(F.regexp_replace(s, r"^[^:]*:\s*", "")).alias("v"))), lambda p: p["k"] != "")
     meta = F.when(front != "", F.map_from_entries(pairs))
