@@ -130,10 +130,11 @@ def containment(sources: DataFrame, source_id: str, targets: DataFrame, target_i
     Probes join the targets' n-grams by equality; a target's n-grams are exploded as distinct hashes of n characters.
     """
     t = tx.squeezed(F.lower(text))
-    gram = lambda i: F.xxhash64(F.substr(t, i, F.lit(n)))
-    probes = sources.filter(F.length(t) >= n).select(F.col(source_id).alias("source"), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - n + 1, F.lit(stride)), gram))).alias("g"))
+    grams = F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))  # one pass, whatever the text's length
+    hashed = lambda g: F.array_distinct(F.transform(g, lambda x: F.xxhash64(x)))
+    probes = sources.filter(F.length(t) >= n).select(F.col(source_id).alias("source"), F.explode(hashed(F.filter(grams, lambda x, i: i % stride == 0))).alias("g"))
     sizes = probes.groupBy("source").agg(F.count(F.lit(1)).alias("probes"))
-    held = targets.filter(F.length(t) >= n).select(F.col(target_id).alias("target"), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), gram))).alias("g"))
+    held = targets.filter(F.length(t) >= n).select(F.col(target_id).alias("target"), F.explode(hashed(grams)).alias("g"))
     hits = held.join(probes, "g").groupBy("target", "source").agg(F.count(F.lit(1)).alias("hits")).join(sizes, "source")
     return hits.withColumn("ratio", F.round(F.col("hits") / F.col("probes"), 6)).filter(F.col("ratio") >= least).select("target", "source", "hits", "probes", "ratio")
 
