@@ -71,7 +71,7 @@ def _plan(spark, sf):
     queue = events.select(F.col("event_id").alias("item"), F.col("ts").alias("created_at"), F.when(F.col("event_id") % 5 == 0, none).otherwise(F.array("event_type")).alias("tags"))
     tags = F.when(u % 4 == 0, none).when(u % 4 == 1, F.array(F.lit("click"))).otherwise(F.array(F.lit("view"), F.lit("error")))
     mark = F.when(u % 3 != 0, F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-29 00:00:00")) + u * 60))
-    subscribers = events.filter("user_id < 20").select("user_id").distinct().select(u.alias("subscriber"), mark.alias("watermark"), tags.alias("tags"))
+    subscribers = events.select("user_id").distinct().select(u.alias("subscriber"), mark.alias("watermark"), tags.alias("tags"))
     return ev.delivery_plan(queue, subscribers, F.lit("2024-01-30 18:00:00").cast("timestamp"), 15), subscribers
 
 

@@ -1,6 +1,7 @@
 """Queries against plain Python over whole tables, in which no row is left out."""
 
 from collections import Counter, defaultdict
+from datetime import datetime, timedelta
 
 import pyarrow.parquet as pq
 
@@ -24,3 +25,33 @@ def test_edge_precedence_counts_every_order(spark):
         want.add((s, t, kind, order or min(counts[kind, order], 60)))
     got = registry.queries()["edge_precedence"](spark, SF).collect()
     assert len(got) == len(want) and {(r["s"], r["t"], r["kind"], r["edge_weight"]) for r in got} == want
+
+
+def planned():
+    """Watermark, wanted tags and evaluated (item, created_at, deliver) of every subscriber."""
+    events = rows("events", "event_id", "user_id", "event_type", "ts", sf=MORE)
+    clock = datetime(2024, 1, 30, 18)
+    queue = [(r["event_id"], r["ts"].replace(tzinfo=None), set() if r["event_id"] % 5 == 0 else {r["event_type"]}) for r in events]
+    queue = [q for q in queue if clock - timedelta(hours=72) <= q[1] <= clock - timedelta(minutes=15)]
+    out = {}
+    for u in {r["user_id"] for r in events}:
+        mark = None if u % 3 == 0 else datetime(2024, 1, 29) + timedelta(minutes=u)
+        wanted = {0: set(), 1: {"click"}}.get(u % 4, {"view", "error"})
+        after = mark or datetime(2024, 1, 30)
+        out[u] = mark, [(item, at, not wanted or not tags or bool(wanted & tags)) for item, at, tags in queue if at > after]
+    return out
+
+
+def test_every_user_has_a_plan(spark):
+    plans = planned()
+    want = sorted((u, item, deliver) for u, (_, plan) in plans.items() for item, _, deliver in plan)
+    assert sum(u >= 20 and len(plan) > 0 for u, (_, plan) in plans.items())
+    got = registry.queries()["subscriber_plan"](spark, MORE).collect()
+    assert sorted((r["subscriber"], r["item"], r["deliver"]) for r in got) == want
+
+
+def test_every_user_has_a_watermark(spark):
+    want = {u: (max((at for _, at, _ in plan), default=mark), sum(d for *_, d in plan)) for u, (mark, plan) in planned().items()}
+    got = registry.queries()["watermark_advance"](spark, MORE).selectExpr("subscriber", "date_format(watermark, 'yyyy-MM-dd HH:mm:ss.SSSSSS') w", "delivered").collect()
+    form = lambda at: at and at.strftime("%Y-%m-%d %H:%M:%S.%f")
+    assert len(got) == len(want) and {r["subscriber"]: (r["w"], r["delivered"]) for r in got} == {u: (form(at), n) for u, (at, n) in want.items()}
