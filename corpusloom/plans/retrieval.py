@@ -89,7 +89,7 @@ PAIRS_SQL = r"""
 
 @register("shared_keyword_pairs", PAIRS_SQL + "SELECT a.item_id AS a, b.item_id AS b, count(*) AS shared FROM x a JOIN x b ON a.w = b.w AND a.item_id < b.item_id GROUP BY ALL HAVING count(*) >= 3")
 def shared_keyword_pairs(spark, sf):
-    items = table(spark, sf, "benchmark").select("item_id", tx.tokens(F.col("text"), 6).alias("w"))
+    items = table(spark, sf, "benchmark").select("item_id", tx.tokens(F.col("text")).alias("w"))
     return se.shared_token_pairs(items, "item_id", "w", 3)
 
 

@@ -1,10 +1,12 @@
 """Queries against plain Python over whole tables, in which no row is left out."""
 
+import re
 from collections import Counter, defaultdict
 from datetime import datetime, timedelta
 
 import pyarrow.parquet as pq
 
+from corpusloom.functions.text import STOP_WORDS
 from corpusloom.plans import registry
 
 SF, MORE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -55,3 +57,10 @@ def test_every_user_has_a_watermark(spark):
     got = registry.queries()["watermark_advance"](spark, MORE).selectExpr("subscriber", "date_format(watermark, 'yyyy-MM-dd HH:mm:ss.SSSSSS') w", "delivered").collect()
     form = lambda at: at and at.strftime("%Y-%m-%d %H:%M:%S.%f")
     assert len(got) == len(want) and {r["subscriber"]: (r["w"], r["delivered"]) for r in got} == {u: (form(at), n) for u, (at, n) in want.items()}
+
+
+def test_keyword_pairs_count_short_words(spark):
+    words = {r["item_id"]: set(re.findall(r"[^\W_]{2,}", r["text"].lower())) - set(STOP_WORDS) for r in rows("benchmark", "item_id", "text")}
+    want = {(a, b, len(words[a] & words[b])) for a in words for b in words if a < b and len(words[a] & words[b]) >= 3}
+    got = registry.queries()["shared_keyword_pairs"](spark, SF).collect()
+    assert {(r["a"], r["b"], r["shared"]) for r in got} == want and len(got) == len(want) > 0
