@@ -10,6 +10,8 @@ from corpusloom.llm.common import written
 #: Tokens with a digit or an at sign are variable fields from the start.
 FIELD = r"(?<![^ ])[^ ]*[0-9@][^ ]*"
 WILD = "<*>"
+#: Texts are near copies if this share of their characters stands in leaves that many texts reach.
+NEAR = 0.75
 
 
 def _line(raw: Column) -> Column:
@@ -21,22 +23,24 @@ def _tokens_in(line: Column) -> Column:
     return F.length(line) - F.length(F.translate(line, " ", "")) + 1
 
 
-def template_lines(docs: DataFrame, text_col: str = "text", depth: int = 3, min_docs: int = 10, min_tokens: int = 2, constant: float = 0.75) -> DataFrame:
+def template_lines(docs: DataFrame, text_col: str = "text", depth: int = 3, min_docs: int = 10, min_tokens: int = 2, constant: float = 0.75, near: float = NEAR) -> DataFrame:
     """The lines whose template recurs: text_key (binary, of the whole text) and drop (array of 0-based line numbers).
 
     The tree has a fixed depth: a line descends by its number of tokens, then by its first depth tokens, variable fields
     masked. In a leaf that at least min_docs distinct texts reach, a token is kept at its position if it stands there in
     at least min_docs (text, line) pairs of the leaf, else it is a variable field. The line's template is what results,
     if at least the share constant of its tokens is kept; else it is the masked line itself. A template recurs if at
-    least min_docs such pairs have it.
+    least min_docs such pairs have it, where near copies count as one text.
 
-    Everything is counted over distinct texts, so whole copies of one document do not make its lines recur. Texts do
-    not meet by template: counts are partial aggregates over (leaf, line) and lists of line numbers go back by text.
+    Everything is counted over distinct texts, so whole copies of one document do not make its lines recur. Nor do near
+    copies: texts of which lines in leaves of at least min_docs texts make up the share near or more, and whose longest
+    such line is in the same leaf, are one group, and of a group only the text with the most pairs counts. Texts do not
+    meet by template: counts are partial aggregates over (leaf, line) and lists of line numbers go back by text.
     """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     key = F.unhex(F.md5(text.cast("binary")))
     raw = F.split(text, "\n")
-    given = docs.select(key.alias("text_key"), raw.alias("raw"))
+    given = docs.select(key.alias("text_key"), raw.alias("raw"), F.length(text).alias("size"))
 
     def leaf(line: Column) -> Column:
         lead = F.regexp_replace(F.substring_index(line, " ", depth), FIELD, WILD)
@@ -54,8 +58,8 @@ def template_lines(docs: DataFrame, text_col: str = "text", depth: int = 3, min_
     wanted = wanted.join(busy, F.col("leaf") == F.col("busy"), "left_semi").groupBy("text_key").agg(F.collect_list(F.struct("i", "leaf")).alias("want"))
     wanted = written(wanted.withColumnRenamed("text_key", "want_key"), "line-wanted")
     # 3. Those lines themselves, once for each text.
-    found = given.join(wanted, F.col("text_key") == F.col("want_key")).select("text_key", F.explode(F.transform("want", lambda w: F.struct(w["i"].alias("i"), w["leaf"].alias("leaf"), F.regexp_replace(_line(F.get(F.col("raw"), w["i"])), FIELD, WILD).alias("line")))).alias("p"))
-    found = found.select("text_key", "p.i", "p.leaf", "p.line").groupBy("text_key", "i").agg(F.first("leaf").alias("leaf"), F.first("line").alias("line"))
+    found = given.join(wanted, F.col("text_key") == F.col("want_key")).select("text_key", "size", F.explode(F.transform("want", lambda w: F.struct(w["i"].alias("i"), w["leaf"].alias("leaf"), F.regexp_replace(_line(F.get(F.col("raw"), w["i"])), FIELD, WILD).alias("line"), (F.length(F.get(F.col("raw"), w["i"])) + 1).alias("chars")))).alias("p"))
+    found = found.select("text_key", "size", "p.*").groupBy("text_key", "i").agg(*(F.first(c).alias(c) for c in ("leaf", "line", "chars", "size")))
     found = written(found, "line-found")
     # 4. Templates over the distinct masked lines of each leaf.
     distinct = found.select("text_key", "leaf", "line").distinct().groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n"))
@@ -69,9 +73,18 @@ def template_lines(docs: DataFrame, text_col: str = "text", depth: int = 3, min_
     shape = shape.withColumn("template", F.when(kept >= constant * F.size("ts"), F.array_join(F.col("ts.t"), " ")).otherwise(F.col("line")))
     shape = written(shape.select("leaf", "line", "n", "template"), "line-shape")
     recurring = shape.groupBy("leaf", "template").agg(F.sum("n").alias("m")).filter(F.col("m") >= min_docs).select(F.col("leaf").alias("leaf3"), F.col("template").alias("template3"))
-    gone = shape.join(recurring, (F.col("leaf") == F.col("leaf3")) & (F.col("template") == F.col("template3")), "left_semi").select(F.col("leaf").alias("leaf4"), F.col("line").alias("line4"))
-    gone = written(gone, "line-gone")
-    drop = found.join(gone, (F.col("leaf") == F.col("leaf4")) & (F.col("line") == F.col("line4")), "left_semi")
+    gone = shape.join(recurring, (F.col("leaf") == F.col("leaf3")) & (F.col("template") == F.col("template3")), "left_semi")
+    gone = written(gone.select(F.col("leaf").alias("leaf4"), F.col("line").alias("line4"), F.xxhash64("leaf", "template").alias("template")), "line-gone")
+    held = found.join(gone, (F.col("leaf") == F.col("leaf4")) & (F.col("line") == F.col("line4"))).select("text_key", "i", "template", F.xxhash64("line").alias("line"))
+    held = written(held, "line-held")
+    # 5. Near copies as one text: what a template has from each group is what the text with the most pairs has.
+    longest = F.max(F.struct(_tokens_in(F.col("line")), "leaf"))["leaf"]
+    group = F.when(F.sum("chars") >= near * (F.first("size") + 1), longest).otherwise(F.xxhash64("text_key"))
+    groups = written(found.groupBy("text_key").agg(group.alias("group")).withColumnRenamed("text_key", "group_key"), "line-groups")
+    pairs = held.select("text_key", "template", "line").distinct().groupBy("text_key", "template").agg(F.count(F.lit(1)).alias("n"))
+    most = pairs.join(groups, F.col("text_key") == F.col("group_key")).groupBy("template", "group").agg(F.max("n").alias("n"))
+    recurring = most.groupBy("template").agg(F.sum("n").alias("m")).filter(F.col("m") >= min_docs).select(F.col("template").alias("template4"))
+    drop = held.join(written(recurring, "line-recurring"), F.col("template") == F.col("template4"), "left_semi")
     return written(drop.groupBy("text_key").agg(F.array_sort(F.collect_list("i")).alias("drop")), "line-drop")
 
 
@@ -80,7 +93,7 @@ def drop_recurring_lines(docs: DataFrame, text_col: str = "text", depth: int = 3
 
     Blank lines and lines of fewer than min_tokens tokens stay, as does the order of what is left. A text that loses
     all its lines becomes empty, its row stays. Null texts stay null (0 lines); empty texts have one, blank, line.
-    Repeated rows are treated alike and count once, as do rows with equal texts. Other columns stay; existing n_lines
+    Repeated rows are treated alike and count once, as do rows with equal texts and near copies. Other columns stay; existing n_lines
     and n_dropped columns are replaced. Empty tables stay empty.
     """
     drop = template_lines(docs, text_col, depth, min_docs, min_tokens, constant).withColumnsRenamed({"text_key": "__line_key", "drop": "__line_drop"})
