@@ -56,10 +56,21 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def checkpoint_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, else the folder that the context was given; only a local master gets a temporary one."""
+    context = spark.sparkContext
+    known = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not known:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="corpusloom-"))
+        known = context.getCheckpointDir()
+    return known.rstrip("/")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage through the shared checkpoint folder; a temporary one is used only where none is set."""
+    """Cuts lineage through the shared checkpoint folder."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        known = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(known or tempfile.mkdtemp(prefix="corpusloom-"))
+        context.setCheckpointDir(checkpoint_dir(df.sparkSession))
     return df.checkpoint()
