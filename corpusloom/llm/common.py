@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
 import uuid
+from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusloom.session import ship_package
+from corpusloom.session import checkpoint_dir, ship_package
 
+#: A key is hot if it holds over one in HOT of all rows, so there are at most HOT hot keys.
+HOT = 1_000
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -30,12 +34,12 @@ def for_python(spark: SparkSession, rows: int = 2_000) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where none is set."""
-    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not known:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corpusloom-"))
-        known = spark.sparkContext.getCheckpointDir()
-    return known.rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir, else what the context was given.
+
+    Without either, a local master gets a temporary folder; on a cluster, whose executors could not see it, that is an
+    error.
+    """
+    return checkpoint_dir(spark)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -65,6 +69,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluates value once and hands it to body."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def lookup(rows: DataFrame, table: DataFrame, on: dict[str, str], weight: str, how: str = "inner") -> DataFrame:
+    """rows.join(table) on unique keys of table, without hot keys meeting in one task; how: inner, left or left_semi.
+
+    weight says how many rows a key has. Keys with over one in HOT of all weight are at most HOT; their rows of table
+    are broadcast, and the rows that have such a key stay where they are. The rest is joined by shuffle. rows is read
+    twice, so it should be a table that is cheap to read again. Columns of table other than the keys come along
+    (left_semi: none).
+    """
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    heavy = F.col(weight) * HOT > total
+    match = reduce(lambda a, b: a & b, (F.col(a) == F.col(b) for a, b in on.items()))
+    hot, cold = table.filter(heavy), table.filter(~heavy)
+    near = rows.join(F.broadcast(hot), match, "left_semi" if how == "left_semi" else "inner")
+    rest = rows.join(F.broadcast(hot.select(*on.values())), match, "left_anti").join(cold, match, how)
+    return near.unionByName(rest)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder that fresh_path() named, through Hadoop's file system layer."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import written
+from corpusloom.llm.common import let, lookup, written
 
 #: Tokens with a digit or an at sign are variable fields from the start.
 FIELD = r"(?<![^ ])[^ ]*[0-9@][^ ]*"
 WILD = "<*>"
 #: Texts are near copies if this share of their characters stands in leaves that many texts reach.
 NEAR = 0.75
+#: A line of fewer tokens than asked for counts nevertheless if it has this many characters (text without blanks).
+LONG_TOKEN = 20
 
 
 def _line(raw: Column) -> Column:
@@ -23,88 +25,126 @@ def _tokens_in(line: Column) -> Column:
     return F.length(line) - F.length(F.translate(line, " ", "")) + 1
 
 
-def template_lines(docs: DataFrame, text_col: str = "text", depth: int = 3, min_docs: int = 10, min_tokens: int = 2, constant: float = 0.75, near: float = NEAR) -> DataFrame:
-    """The lines whose template recurs: text_key (binary, of the whole text) and drop (array of 0-based line numbers).
+def _marked(h: Column, flag: Column) -> Column:
+    """A hash that carries a flag in its lowest bit."""
+    return h.bitwiseAND(F.lit(-2).cast("long")).bitwiseOR(flag.cast("long"))
+
+
+def text_key(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
+def template_lines(docs: DataFrame, text_col: str = "text", depth: int = 3, min_docs: int = 10, min_tokens: int = 2, constant: float = 0.75, near: float = NEAR, long_tokens: int = 10, long_docs: int = 3) -> DataFrame:
+    """The lines whose template recurs: text_key (binary, of the whole text), drop (array of 0-based line numbers) and
+    copies (rows that have the text).
 
     The tree has a fixed depth: a line descends by its number of tokens, then by its first depth tokens, variable fields
-    masked. In a leaf that at least min_docs distinct texts reach, a token is kept at its position if it stands there in
-    at least min_docs (text, line) pairs of the leaf, else it is a variable field. The line's template is what results,
-    if at least the share constant of its tokens is kept; else it is the masked line itself. A template recurs if at
-    least min_docs such pairs have it, where near copies count as one text.
+    masked. A line of which over a quarter of the tokens are such fields is taken literally. In a leaf that enough texts
+    reach, a token is kept at its position if it stands there in enough (text, line) pairs of the leaf, else it is a
+    variable field. The line's template is what results, if at least the share constant of its tokens is kept; else it is
+    the line itself. A template recurs if enough texts have it, where near copies count as one text. Enough is min_docs,
+    and long_docs for lines of at least long_tokens tokens, which do not agree by chance.
 
     Everything is counted over distinct texts, so whole copies of one document do not make its lines recur. Nor do near
-    copies: texts of which lines in leaves of at least min_docs texts make up the share near or more, and whose longest
-    such line is in the same leaf, are one group, and of a group only the text with the most pairs counts. Texts do not
-    meet by template: counts are partial aggregates over (leaf, line) and lists of line numbers go back by text.
+    copies: texts of which lines in busy leaves make up the share near or more are labelled by the least text that has
+    one of their three longest such lines' leaves, and texts with equal labels count once.
+
+    Texts do not meet by line or template: counts are partial aggregates, and keys that hold over a thousandth of the
+    pairs are looked up in a broadcast table of at most a thousand rows. Lists of line numbers go back by text.
     """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    key = F.unhex(F.md5(text.cast("binary")))
-    raw = F.split(text, "\n")
-    given = docs.select(key.alias("text_key"), raw.alias("raw"), F.length(text).alias("size"))
+    given = docs.select(text_key(text).alias("text_key"), text.alias("text"))
+    raws = F.split(F.col("text"), "\n")
+    is_long = lambda line: _tokens_in(line) >= long_tokens
+    enough = lambda tagged: F.when(tagged.bitwiseAND(F.lit(1).cast("long")) == 1, long_docs).otherwise(min_docs)
 
     def leaf(line: Column) -> Column:
         lead = F.regexp_replace(F.substring_index(line, " ", depth), FIELD, WILD)
-        return F.xxhash64(_tokens_in(line), lead)
+        return _marked(F.xxhash64(_tokens_in(line), lead), is_long(line))
 
     # 1. One narrow row for each distinct text: the leaf of every line that counts.
-    lines = F.transform(F.col("raw"), lambda r, i: F.struct(i.cast("int").alias("i"), _line(r).alias("line")))
-    lines = F.filter(lines, lambda s: (s["line"] != "") & (_tokens_in(s["line"]) >= min_tokens))
+    lines = F.transform(raws, lambda r, i: F.struct(i.cast("int").alias("i"), _line(r).alias("line")))
+    lines = F.filter(lines, lambda s: (s["line"] != "") & ((_tokens_in(s["line"]) >= min_tokens) | (F.length(s["line"]) >= LONG_TOKEN)))
     leaves = given.select("text_key", F.transform(lines, lambda s: F.struct(s["i"].alias("i"), leaf(s["line"]).alias("leaf"))).alias("at"))
-    leaves = written(leaves.groupBy("text_key").agg(F.first("at").alias("at")), "line-leaves")
+    leaves = written(leaves.groupBy("text_key").agg(F.first("at").alias("at"), F.count(F.lit(1)).alias("copies")), "line-leaves")
     # 2. Leaves that enough texts reach, and the lines in them.
     busy = leaves.select(F.explode(F.array_distinct(F.col("at.leaf"))).alias("leaf")).groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
-    busy = written(busy.filter(F.col("n") >= min_docs).select(F.col("leaf").alias("busy")), "line-busy")
-    wanted = leaves.select("text_key", F.explode("at").alias("p")).select("text_key", "p.i", "p.leaf")
-    wanted = wanted.join(busy, F.col("leaf") == F.col("busy"), "left_semi").groupBy("text_key").agg(F.collect_list(F.struct("i", "leaf")).alias("want"))
+    busy = written(busy.filter(F.col("n") >= enough(F.col("leaf"))).withColumnRenamed("leaf", "busy"), "line-busy")
+    wanted = lookup(leaves.select("text_key", F.explode("at").alias("p")).select("text_key", "p.i", "p.leaf"), busy, {"leaf": "busy"}, "n", "left_semi")
+    wanted = wanted.groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("i", "leaf"))).alias("want"))
     wanted = written(wanted.withColumnRenamed("text_key", "want_key"), "line-wanted")
-    # 3. Those lines themselves, once for each text.
-    found = given.join(wanted, F.col("text_key") == F.col("want_key")).select("text_key", "size", F.explode(F.transform("want", lambda w: F.struct(w["i"].alias("i"), w["leaf"].alias("leaf"), F.regexp_replace(_line(F.get(F.col("raw"), w["i"])), FIELD, WILD).alias("line"), (F.length(F.get(F.col("raw"), w["i"])) + 1).alias("chars")))).alias("p"))
-    found = found.select("text_key", "size", "p.*").groupBy("text_key", "i").agg(*(F.first(c).alias(c) for c in ("leaf", "line", "chars", "size")))
-    found = written(found, "line-found")
-    # 4. Templates over the distinct masked lines of each leaf.
-    distinct = found.select("text_key", "leaf", "line").distinct().groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n"))
-    distinct = written(distinct, "line-distinct")
-    spread = distinct.select("leaf", "line", "n", F.posexplode(F.split("line", " ")).alias("k", "token"))
-    often = spread.groupBy("leaf", "k", "token").agg(F.sum("n").alias("m")).filter(F.col("m") >= min_docs).select(F.col("leaf").alias("leaf2"), F.col("k").alias("k2"), F.col("token").alias("token2"))
-    often = written(often, "line-often")
-    marked = spread.join(often, (F.col("leaf") == F.col("leaf2")) & (F.col("k") == F.col("k2")) & (F.col("token") == F.col("token2")), "left")
-    shape = marked.groupBy("leaf", "line").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("k", F.coalesce("token2", F.lit(WILD)).alias("t")))).alias("ts"))
-    kept = F.size(F.filter("ts", lambda t: t["t"] != WILD))
-    shape = shape.withColumn("template", F.when(kept >= constant * F.size("ts"), F.array_join(F.col("ts.t"), " ")).otherwise(F.col("line")))
-    shape = written(shape.select("leaf", "line", "n", "template"), "line-shape")
-    recurring = shape.groupBy("leaf", "template").agg(F.sum("n").alias("m")).filter(F.col("m") >= min_docs).select(F.col("leaf").alias("leaf3"), F.col("template").alias("template3"))
-    gone = shape.join(recurring, (F.col("leaf") == F.col("leaf3")) & (F.col("template") == F.col("template3")), "left_semi")
-    gone = written(gone.select(F.col("leaf").alias("leaf4"), F.col("line").alias("line4"), F.xxhash64("leaf", "template").alias("template")), "line-gone")
-    held = found.join(gone, (F.col("leaf") == F.col("leaf4")) & (F.col("line") == F.col("line4"))).select("text_key", "i", "template", F.xxhash64("line").alias("line"))
-    held = written(held, "line-held")
-    # 5. Near copies as one text: what a template has from each group is what the text with the most pairs has.
-    longest = F.max(F.struct(_tokens_in(F.col("line")), "leaf"))["leaf"]
-    group = F.when(F.sum("chars") >= near * (F.first("size") + 1), longest).otherwise(F.xxhash64("text_key"))
-    groups = written(found.groupBy("text_key").agg(group.alias("group")).withColumnRenamed("text_key", "group_key"), "line-groups")
-    pairs = held.select("text_key", "template", "line").distinct().groupBy("text_key", "template").agg(F.count(F.lit(1)).alias("n"))
-    most = pairs.join(groups, F.col("text_key") == F.col("group_key")).groupBy("template", "group").agg(F.max("n").alias("n"))
-    recurring = most.groupBy("template").agg(F.sum("n").alias("m")).filter(F.col("m") >= min_docs).select(F.col("template").alias("template4"))
-    drop = held.join(written(recurring, "line-recurring"), F.col("template") == F.col("template4"), "left_semi")
-    return written(drop.groupBy("text_key").agg(F.array_sort(F.collect_list("i")).alias("drop")), "line-drop")
-
-
-def drop_recurring_lines(docs: DataFrame, text_col: str = "text", depth: int = 3, min_docs: int = 10, min_tokens: int = 2, constant: float = 0.75) -> DataFrame:
-    """docs without the lines whose template recurs across documents; adds n_lines and n_dropped (int).
-
-    Blank lines and lines of fewer than min_tokens tokens stay, as does the order of what is left. A text that loses
-    all its lines becomes empty, its row stays. Null texts stay null (0 lines); empty texts have one, blank, line.
-    Repeated rows are treated alike and count once, as do rows with equal texts and near copies. Other columns stay; existing n_lines
-    and n_dropped columns are replaced. Empty tables stay empty.
+
+    # 3. Those lines themselves, once for each distinct text.
+    def found_lines(raw: Column) -> Column:
+        at = F.transform("want", lambda w: F.struct(w["i"].alias("i"), w["leaf"].alias("leaf"), _line(F.get(raw, w["i"])).alias("line"), (F.length(F.get(raw, w["i"])) + 1).alias("chars")))
+        fields = lambda line: F.size(F.filter(F.split(line, " "), lambda t: t.rlike("[0-9@]")))
+        taken = lambda line: F.when(fields(line) * 4 > _tokens_in(line), line).otherwise(F.regexp_replace(line, FIELD, WILD))
+        return F.transform(at, lambda p: F.struct(p["i"].alias("i"), p["leaf"].alias("leaf"), taken(p["line"]).alias("line"), p["chars"].alias("chars")))
+
+    once = given.groupBy("text_key").agg(F.first("text").alias("text")).join(wanted, F.col("text_key") == F.col("want_key"))
+    per_text = written(once.select("text_key", (F.length("text") + 1).alias("size"), let(raws, found_lines).alias("lines")), "line-found")
+    found = per_text.select("text_key", F.explode("lines").alias("p")).select("text_key", "p.i", "p.leaf", "p.line", F.xxhash64("p.line").alias("h"))
+    # 4. Templates over the distinct lines of each leaf.
+    counts = found.select("text_key", "leaf", "h").distinct().groupBy("leaf", "h").agg(F.count(F.lit(1)).alias("n"))
+    shown = found.groupBy("leaf", "h").agg(F.first("line").alias("line"))
+    distinct = written(counts.join(shown, ["leaf", "h"]), "line-distinct")
+    # The leading tokens are the same for all lines of a leaf, so they need no count.
+    spread = distinct.select("leaf", "h", "n", F.posexplode(F.slice(F.split("line", " "), depth + 1, 1 << 30)).alias("k", "token")).filter(F.col("token") != WILD)
+    often = spread.groupBy("leaf", "k", "token").agg(F.sum("n").alias("m")).filter(F.col("m") >= enough(F.col("leaf")))
+    often = written(often.select(F.col("leaf").alias("leaf2"), F.col("k").alias("k2"), F.col("token").alias("token2"), "m"), "line-often")
+    kept = lookup(spread, often, {"leaf": "leaf2", "k": "k2", "token": "token2"}, "m", "left_semi").groupBy("leaf", "h").agg(F.collect_set("k").alias("kept"))
+    kept = kept.select(F.col("leaf").alias("leaf3"), F.col("h").alias("h3"), "kept")
+    tokens = F.split("line", " ")
+    shape = distinct.join(kept, (F.col("leaf") == F.col("leaf3")) & (F.col("h") == F.col("h3")), "left").withColumn("kept", F.coalesce("kept", F.array().cast("array<int>")))
+    shape = shape.withColumn("made", F.transform(tokens, lambda t, k: F.when((k < depth) | F.array_contains("kept", k - depth), t).otherwise(WILD)))
+    whole = F.size(F.filter("made", lambda t: t != WILD)) >= constant * F.size("made")
+    template = F.when(whole, F.array_join("made", " ")).otherwise(F.col("line"))
+    shape = written(shape.select("leaf", "h", "n", _marked(F.xxhash64("leaf", template), F.col("leaf").bitwiseAND(F.lit(1).cast("long")) == 1).alias("template")), "line-shape")
+    often_made = shape.groupBy("template").agg(F.sum("n").alias("m")).filter(F.col("m") >= enough(F.col("template"))).withColumnRenamed("template", "template3")
+    gone = lookup(shape, written(often_made, "line-often-made"), {"template": "template3"}, "m", "left_semi")
+    gone = written(gone.select(F.col("leaf").alias("leaf4"), F.col("h").alias("h4"), "n", "template"), "line-gone")
+    held = lookup(found.select("text_key", "i", "leaf", "h"), gone, {"leaf": "leaf4", "h": "h4"}, "n", "inner")
+    held = written(held.select("text_key", "i", "template"), "line-held")
+    # 5. Near copies as one text: what their label stands for.
+    pairs = held.select("text_key", "template").distinct().join(_labels(per_text, near), F.col("text_key") == F.col("label_key"), "left")
+    groups = pairs.select("template", F.coalesce("label", "text_key").alias("label")).distinct().groupBy("template").agg(F.count(F.lit(1)).alias("m"))
+    groups = written(groups.filter(F.col("m") >= enough(F.col("template"))).withColumnRenamed("template", "template4"), "line-recurring")
+    drop = lookup(held, groups, {"template": "template4"}, "m", "left_semi").groupBy("text_key").agg(F.array_sort(F.collect_list("i")).alias("drop"))
+    return written(drop.join(leaves.select("text_key", "copies"), "text_key"), "line-drop")
+
+
+def _labels(per_text: DataFrame, near: float) -> DataFrame:
+    """label_key, label of the near copies: the least text among those that share a leaf of its three longest lines."""
+    covered = F.aggregate("lines", F.lit(0).cast("long"), lambda s, p: s + p["chars"])
+    longest = F.slice(F.sort_array(F.transform("lines", lambda p: F.struct((-p["chars"]).alias("c"), p["i"].alias("i"), p["leaf"].alias("leaf")))), 1, 3)
+    copies = per_text.filter(covered >= near * F.col("size")).select("text_key", F.explode(F.array_distinct(F.transform(longest, lambda p: p["leaf"]))).alias("leaf"))
+    copies = written(copies, "line-copies")
+    least = written(copies.groupBy("leaf").agg(F.min("text_key").alias("low"), F.count(F.lit(1)).alias("n")).withColumnRenamed("leaf", "leaf5"), "line-least")
+    out = lookup(copies, least, {"leaf": "leaf5"}, "n", "inner").groupBy("text_key").agg(F.min("low").alias("label"))
+    return out.withColumnRenamed("text_key", "label_key")
+
+
+def drop_recurring_lines(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """docs without the lines whose template recurs across documents; adds n_lines and n_dropped (int). Options are those
+    of template_lines().
+
+    Blank lines and lines of fewer than min_tokens tokens stay, as does the order of what is left; a single token counts
+    from LONG_TOKEN characters on. A text that loses all its lines becomes empty, its row stays. Null texts stay null (0
+    lines); empty texts have one, blank, line. Repeated rows are treated alike and count once, as do rows with equal
+    texts and near copies. Very long texts are one row of one task. Other columns stay, whatever their names, but for
+    n_lines and n_dropped, which are replaced. Empty tables stay empty.
+
+    Rows of texts that very many rows share stay where they are (their lists are broadcast); the others move once.
     """
-    drop = template_lines(docs, text_col, depth, min_docs, min_tokens, constant).withColumnsRenamed({"text_key": "__line_key", "drop": "__line_drop"})
+    drop = template_lines(docs, text_col, **options).withColumnsRenamed({"text_key": "__line_of", "drop": "__line_drop", "copies": "__line_copies"})
     text = F.col(f"`{text_col}`").cast("string")
-    key = F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
-    joined = docs.join(drop, key == F.col("__line_key"), "left")
+    joined = lookup(docs.withColumn("__line_key", text_key(text)), drop, {"__line_key": "__line_of"}, "__line_copies", "left")
     lines = F.split(text, "\n")
-    left = F.filter(lines, lambda r, i: ~F.array_contains(F.col("__line_drop"), i.cast("int")))
+    left = let(lines, lambda ls: F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), "__line_drop"), lambda i: F.get(ls, i)))
     out = {
         "n_lines": F.when(text.isNull(), 0).otherwise(F.size(lines)),
         "n_dropped": F.when(F.col("__line_drop").isNull(), 0).otherwise(F.size("__line_drop")),
         text_col: F.when(F.col("__line_drop").isNull(), text).otherwise(F.array_join(left, "\n")),
     }
-    return joined.withColumns(out).drop("__line_key", "__line_drop")
+    return joined.withColumns(out).drop("__line_key", "__line_of", "__line_drop", "__line_copies")
+

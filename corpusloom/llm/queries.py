@@ -39,32 +39,44 @@ ORACLE["op6_minhash_groups"] = r"""
     FROM documents d LEFT JOIN size USING (doc_id) LEFT JOIN (SELECT a, min(b) AS low FROM reach GROUP BY a) m ON m.a = d.doc_id
 """
 ORACLE["op4_template_lines"] = r"""
-    WITH texts AS (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL),
-    raw AS (SELECT text, string_split(text, chr(10)) AS ls FROM texts),
+    WITH texts AS (SELECT DISTINCT text, md5(text) AS key FROM documents WHERE text IS NOT NULL),
     line AS (
-        SELECT text, i - 1 AS i, trim(regexp_replace(ls[i], '[ \t\n\x0B\f\r]+', ' ', 'g')) AS line
-        FROM raw, unnest(range(1, len(ls) + 1)) AS u(i)),
+        SELECT key, length(text) + 1 AS size, i - 1 AS i, length(ls[i]) + 1 AS chars, trim(regexp_replace(ls[i], '[ \t\n\x0B\f\r]+', ' ', 'g')) AS line
+        FROM (SELECT key, text, string_split(text, chr(10)) AS ls FROM texts), unnest(range(1, len(ls) + 1)) AS u(i)),
     used AS (
-        SELECT text, i, regexp_replace(' ' || line, ' [^ ]*[0-9@][^ ]*', ' <*>', 'g')[2:] AS line
-        FROM line WHERE line <> '' AND len(string_split(line, ' ')) >= 2),
-    leafed AS (SELECT text, i, line, struct_pack(n := len(string_split(line, ' ')), lead := string_split(line, ' ')[:3]) AS leaf FROM used),
-    busy AS (SELECT leaf FROM leafed GROUP BY leaf HAVING count(DISTINCT text) >= 10),
+        SELECT *, string_split(line, ' ') AS ts, regexp_replace(' ' || line, ' [^ ]*[0-9@][^ ]*', ' <*>', 'g')[2:] AS masked
+        FROM line WHERE line <> '' AND (len(string_split(line, ' ')) >= 2 OR length(line) >= 20)),
+    leafed AS (
+        SELECT key, size, i, chars, struct_pack(n := len(ts), lead := string_split(masked, ' ')[:3]) AS leaf,
+               CASE WHEN len(list_filter(ts, lambda t: regexp_matches(t, '[0-9@]'))) * 4 > len(ts) THEN line ELSE masked END AS line
+        FROM used),
+    busy AS (SELECT leaf FROM leafed GROUP BY leaf HAVING count(DISTINCT key) >= CASE WHEN leaf.n >= 10 THEN 3 ELSE 10 END),
     found AS (SELECT * FROM leafed WHERE leaf IN (SELECT leaf FROM busy)),
-    dist AS (SELECT leaf, line, count(DISTINCT text) AS n FROM found GROUP BY leaf, line),
+    dist AS (SELECT leaf, line, count(DISTINCT key) AS n FROM found GROUP BY leaf, line),
     spread AS (SELECT leaf, line, n, k, string_split(line, ' ')[k] AS token FROM dist, unnest(range(1, leaf.n + 1)) AS u(k)),
-    often AS (SELECT leaf, k, token FROM spread GROUP BY ALL HAVING sum(n) >= 10),
+    often AS (SELECT leaf, k, token FROM spread WHERE k > 3 GROUP BY ALL HAVING sum(n) >= CASE WHEN leaf.n >= 10 THEN 3 ELSE 10 END),
     shape AS (
-        SELECT s.leaf, s.line, any_value(s.n) AS n, string_agg(coalesce(o.token, '<*>'), ' ' ORDER BY s.k) AS t,
-               count(*) FILTER (coalesce(o.token, '<*>') <> '<*>') AS kept, count(*) AS size
+        SELECT s.leaf, s.line, any_value(s.n) AS n, string_agg(CASE WHEN s.k <= 3 THEN s.token ELSE coalesce(o.token, '<*>') END, ' ' ORDER BY s.k) AS t,
+               count(*) FILTER (CASE WHEN s.k <= 3 THEN s.token ELSE coalesce(o.token, '<*>') END <> '<*>') AS kept, count(*) AS size
         FROM spread s LEFT JOIN often o ON s.leaf = o.leaf AND s.k = o.k AND s.token = o.token GROUP BY s.leaf, s.line),
     tmpl AS (SELECT leaf, line, n, CASE WHEN kept >= 0.75 * size THEN t ELSE line END AS template FROM shape),
-    gone AS (SELECT leaf, line FROM (SELECT leaf, line, sum(n) OVER (PARTITION BY leaf, template) AS m FROM tmpl) WHERE m >= 10),
-    dropped AS (SELECT text, list(i) AS drop FROM found f WHERE (leaf, line) IN (SELECT (leaf, line) FROM gone) GROUP BY text)
+    gone AS (SELECT leaf, line, template FROM tmpl WHERE (leaf, template) IN (
+        SELECT (leaf, template) FROM tmpl GROUP BY leaf, template HAVING sum(n) >= CASE WHEN leaf.n >= 10 THEN 3 ELSE 10 END)),
+    held AS (SELECT f.key, f.i, f.leaf, g.template FROM found f JOIN gone g ON f.leaf = g.leaf AND f.line = g.line),
+    copies AS (
+        SELECT key, leaf FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY chars DESC, i) AS place, sum(chars) OVER (PARTITION BY key) AS covered FROM found)
+        WHERE covered >= 0.75 * size AND place <= 3),
+    least AS (SELECT leaf, min(key) AS low FROM copies GROUP BY leaf),
+    label AS (SELECT key, min(low) AS label FROM copies JOIN least USING (leaf) GROUP BY key),
+    recurring AS (
+        SELECT leaf, template FROM held LEFT JOIN label USING (key) GROUP BY leaf, template
+        HAVING count(DISTINCT coalesce(label, key)) >= CASE WHEN leaf.n >= 10 THEN 3 ELSE 10 END),
+    dropped AS (SELECT key, list(i) AS drop FROM held WHERE (leaf, template) IN (SELECT (leaf, template) FROM recurring) GROUP BY key)
     SELECT doc_id, CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, chr(10))) END::INT AS n_lines,
            coalesce(len(drop), 0)::INT AS n_dropped,
            CASE WHEN drop IS NULL THEN d.text ELSE array_to_string(list_transform(list_filter(
                range(1, len(string_split(d.text, chr(10))) + 1), lambda i: NOT list_contains(drop, i - 1)), lambda i: string_split(d.text, chr(10))[i]), chr(10)) END AS text
-    FROM documents d LEFT JOIN dropped x ON d.text = x.text
+    FROM documents d LEFT JOIN dropped x ON md5(d.text) = x.key
 """
 ORACLE["op8_warc_round_trip"] = """
     SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
