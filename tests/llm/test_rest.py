@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 
 from corpusloom.llm import linededup, media, quality, warc
 
@@ -86,6 +87,10 @@ def test_media(spark):
     store = media.store_payloads(docs)
     chunks, lists = spark.read.parquet(store.chunks), spark.read.parquet(store.manifest)
     assert chunks.count() == chunks.select("digest").distinct().count() < lists.selectExpr("explode(digests)").count()  # shared chunks are stored once
+    pieces = {bytes(r["digest"]): zstandard.decompress(r["chunk"]) for r in chunks.collect()}
+    whole = {hashlib.sha256(b"".join(pieces[bytes(d)] for d in r["digests"])).hexdigest(): r["copies"] for r in lists.collect()}
+    assert whole.keys() == {r["media_sha256"] for r in got} and sum(whole.values()) == len(texts) + 1  # the media itself lies in the store
+    assert all(media.is_media(b"".join(pieces[bytes(d)] for d in r["digests"])) for r in lists.collect())
 
 
 def test_gear_cuts_by_content():
