@@ -104,8 +104,8 @@ def test_components(spark):
     assert all((got[a] == got[b]) == (low[a] == low[b]) for a in seen for b in list(seen)[:60])
 
 
-@pytest.mark.parametrize(("dims", "block"), [(64, 1024), (16, 32), (3, 16), (1, 8)])
-def test_vectors(spark, dims, block):
+@pytest.mark.parametrize(("dims", "block", "cut"), [(64, 1024, None), (16, 32, None), (3, 16, None), (1, 8, None), (64, 16, 5), (16, 1024, 2), (3, 8, 1)])
+def test_vectors(spark, dims, block, cut):
     rng = np.random.default_rng(dims)
     base = rng.normal(size=(30, dims))
     rows = [(v + rng.normal(size=dims) * rng.choice([0, 0.1, 0.3, 0.5]) * np.linalg.norm(v) / dims**0.5) * rng.choice([1, 7]) for v in base for _ in range(5)]
@@ -123,8 +123,46 @@ def test_vectors(spark, dims, block):
                 if a @ b / (np.linalg.norm(a) * np.linalg.norm(b)) >= 0.93 - 1e-13:
                     links.append((i, j))
     low, count = components(len(given), links), np.bincount(np.array(links).ravel(), minlength=len(given)) if links else np.zeros(len(given))
-    got = {r["vec_id"]: r for r in embeddings.near_vectors(frame, block=block).collect()}
+    got = {r["vec_id"]: r for r in embeddings.near_vectors(frame, block=block, cut=cut).collect()}
     assert [got[i]["component_id"] for i in range(len(given))] == low
     assert [got[i]["n_links"] for i in range(len(given))] == count.tolist()
     assert all(got[i]["kept"] == (low[i] == i) for i in got)
     assert embeddings.near_vectors(frame.limit(0)).count() == 0
+
+
+def test_border_links_do_not_depend_on_rows_or_blocks(spark):
+    """Pairs whose cosine is 0.93 but for the last bits: the same links in any order, block and cell."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for _ in range(40):
+        a = rng.normal(size=16)
+        a /= np.linalg.norm(a)
+        b = rng.normal(size=16)
+        b -= (a @ b) * a
+        b /= np.linalg.norm(b)
+        rows += [a * 3, (0.93 * a + (1 - 0.93**2) ** 0.5 * b) * 5]
+    schema, seen = "vec_id long, embedding array<double>, label int", set()
+    for block, cut, order in [(1024, None, list(range(80))), (7, 0, list(range(80))[::-1]), (16, 3, rng.permutation(80).tolist())]:
+        frame = spark.createDataFrame([(i, rows[i].tolist(), 1) for i in order], schema)
+        seen.add(tuple(sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embeddings.near_vectors(frame, block=block, cut=cut).collect())))
+    assert len(seen) == 1 and 0 < sum(n for _, n, _ in seen.pop()) < 80
+
+
+def test_lists_miss_few_pairs_and_hold_few_strangers():
+    rng = np.random.default_rng(3)
+    n, dims, k = 20_000, 64, 6
+    many = embeddings.lists(dims, 0.93, k)
+    a = rng.normal(size=(300, dims))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.normal(size=a.shape)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b = 0.93 * a + (1 - 0.93**2) ** 0.5 * b / np.linalg.norm(b, axis=1, keepdims=True)
+    assert (embeddings.cell_keys(a, 0.93, k, 0, many) == embeddings.cell_keys(b, 0.93, k, 0, many)).any(axis=1).all()
+    spread = rng.normal(size=(n, dims))
+    cells = embeddings.cell_keys(spread / np.linalg.norm(spread, axis=1, keepdims=True), 0.93, k, 0, 3)
+    held = [np.unique(cells[:, t], return_counts=True)[1] for t in range(3)]
+    assert max((h * h).sum() / n for h in held) < n / 50
+    assert embeddings.cuts(5_000, dims, 0.93) == 0
+    for n in (10**6, 10**8):  # rows and pairs a vector grow far more slowly than the label
+        k = embeddings.cuts(n, dims, 0.93)
+        assert k > 5 and embeddings.lists(dims, 0.93, k) < n**0.35
