@@ -21,7 +21,7 @@ BUCKETS = SHAPES + SYMBOLS + WORDS
 DIMS, NONZERO, REACH = 64, 4, 2
 STATS = 6
 HIDDEN = 32
-#: Labelled rows that a fit uses at most, about: more are thinned by a hash of their text's id. Corpus statistics are not.
+#: Labelled rows that a fit uses at most, those whose id hashes lowest. Corpus statistics cover all texts.
 MAX_LABELLED = 20_000
 REMEMBERED = 150_000
 
@@ -41,9 +41,9 @@ def word_buckets(word: str) -> list[int]:
     """The tokens of a word: its shape (case and length), its symbols if it has any, its letters in lower case."""
     letters, symbols = _OTHER.sub("", word), _DIGIT.sub("0", _LETTERS.sub("", word))
     case = "u" if letters.isupper() and len(letters) > 1 else "l" if letters.islower() else "t" if letters.istitle() else "m"
-    out = [zlib.crc32(f"{case}{min(len(letters), 24) // 2}".encode()) % SHAPES]
+    out = [zlib.crc32(f"{case}{len(letters) // 2}".encode()) % SHAPES]
     if symbols:
-        out.append(SHAPES + zlib.crc32(symbols[:8].encode("utf-8", "replace")) % SYMBOLS)
+        out.append(SHAPES + zlib.crc32(symbols.encode("utf-8", "replace")) % SYMBOLS)
     if letters:
         out.append(SHAPES + SYMBOLS + zlib.crc32(letters.lower().encode("utf-8", "replace")) % WORDS)
     return out
@@ -190,19 +190,20 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "quality", max_labelled: int = MAX_LABELLED) -> QualityModel:
-    """Word vectors from all texts; the network from at most about max_labelled labelled rows that are not held out.
+    """Word vectors from all texts; the network from at most max_labelled labelled rows that are not held out, those
+    whose id hashes lowest.
 
-    Rows without text are empty texts, null labels are left out, repeated labels count as often as they stand. Inputs
-    are made from the text alone.
+    Rows without text are empty texts, null labels are left out, repeated labels and repeated documents count as often as
+    they stand. Very long texts are one row of one task, whole. Inputs are made from the text alone; extra columns are
+    ignored. Ties of the hash are broken by id and label, and rows are put in order before the fit, so reruns agree. With
+    empty tables, or without labels, the model scores 1/2.
     """
     spark = docs.sparkSession
     for_python(spark)
     vectors = word_vectors(context_sums(docs, text_col))
     known = labels.filter(F.col(f"`{label_col}`").isNotNull() & ~held_out(F.col(f"`{id_col}`"))).select(F.col(f"`{id_col}`").alias("label_id"), F.col(f"`{label_col}`").cast("int").alias("label"))
-    count = known.count()
-    if count > max_labelled:
-        known = known.filter(F.pmod(F.xxhash64("label_id"), F.lit(count)) < max_labelled)
-    # The sample is bounded by max_labelled, so the broadcast is, too: texts stay where they are.
+    known = known.orderBy(F.xxhash64("label_id"), "label_id", "label").limit(max_labelled)
+    # The sample has at most max_labelled rows, so the broadcast has, too: texts stay where they are.
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).join(F.broadcast(known), F.col("doc_id") == F.col("label_id"))
     shipped = spark.sparkContext.broadcast(vectors)
 
@@ -221,9 +222,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_c
 
 
 def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text", out_col: str = "score") -> DataFrame:
-    """Adds out_col (double, 0 to 1): how likely the text's label is 1. Null and empty texts are scored alike.
+    """Adds out_col (double, 0 to 1): how likely the text's label is 1. Null and empty texts are scored alike, as are
+    repeated rows; very long texts are read whole. Empty tables stay empty.
 
-    The model (about 2 MB, of fixed size) is broadcast; texts stay where they are. An existing out_col is replaced.
+    The model (about 2 MB, of fixed size) is broadcast; texts stay where they are. An existing out_col is replaced, other
+    columns stay, whatever their names.
     """
     for_python(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
