@@ -59,10 +59,6 @@ def plain(html: Column) -> Column:
     return F.trim(F.regexp_replace(t, r"\s+", " "))
 
 
-def escaped(text: Column) -> Column:
-    return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-
-
 def title(html: Column) -> Column:
     """og:title, else twitter:title, else the title element."""
     meta = lambda key: F.nullif(F.regexp_extract(html, rf'(?is)<meta[^>]+(?:property|name)="{key}"[^>]+content="([^"]*)"', 1), F.lit(""))
@@ -99,3 +95,10 @@ def any_date(text: Column) -> Column:
     digits = F.regexp_extract(text, r"(\d{4})[-./년]?\s*(\d{1,2})[-./월]?\s*(\d{1,2})", 0)
     y, m, d = (F.regexp_extract(digits, r"(\d{4})\D*(\d{1,2})\D*(\d{1,2})", i) for i in (1, 2, 3))
     return F.when(digits != "", F.try_to_date(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd"))
+
+
+def longest_common(a: Column, b: Column) -> Column:
+    """Length of the longest common substring: one step for each character of a, as the best can grow by one at a time."""
+    grown = lambda best, end: best + F.contains(b, F.substr(a, end - best, best + 1)).cast("int")
+    found = F.aggregate(F.sequence(F.lit(1), F.length(a)), F.lit(0), lambda best, end: grown(best, end))
+    return F.when((F.length(a) > 0) & (F.length(b) > 0), found).when(a.isNotNull() & b.isNotNull(), 0)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusloom.operators.search import shared_tokens
+from corpusloom.operators.tables import first_per
 from corpusloom.session import checkpointed, ship_package
 
 
@@ -36,46 +39,52 @@ def star_clusters(items: DataFrame, part: list[str], order: str, item_id: str, t
     return items.select(*dict.fromkeys([*part, order, item_id, tokens])).groupBy(*part).applyInPandas(run, schema)
 
 
-def overlap_coefficient(a: str, b: str) -> float:
-    """Shared character pairs, with multiplicity, over those of the shorter label."""
-    pairs = lambda s: pd.Series([s[i : i + 2] for i in range(len(s) - 1)], dtype=object).value_counts()
-    x, y = pairs("".join(a.split())), pairs("".join(b.split()))
-    if x.empty or y.empty:
-        return 0.0
-    return float(x.reindex(y.index).fillna(0).clip(upper=y).sum() / min(x.sum(), y.sum()))
+def label_pairs(label: str | None) -> Counter:
+    """The character pairs of a label, with multiplicity; case, white space and punctuation do not count."""
+    bare = "".join(c for c in (label or "").lower() if c.isalnum())
+    return Counter(bare[i : i + 2] for i in range(len(bare) - 1))
 
 
-def event_groups(items: DataFrame, part: list[str], order: str, item_id: str, event: str, title_tokens: str, tags: str) -> DataFrame:
-    """part, item_id, head_id: rows of one event; the head is the earliest.
+def overlap_coefficient(a: Counter, b: Counter) -> float:
+    """Shared pairs, with multiplicity, over those of the shorter label; 0 if either has none."""
+    return (a & b).total() / min(a.total(), b.total()) if a and b else 0.0
 
-    Two rows are one event if their labels overlap by at least 0.45, or their titles share at least two tokens and 15%
-    of the longer; and if both have tags, these overlap. A row joins the first head that it is one event with.
+
+def event_groups(items: DataFrame, part: list[str], order: str, item_id: str, event: str, title_tokens: str, tags: str, published: str | None = None) -> DataFrame:
+    """part, item_id, head_id: rows of one event; the head is the one published first (by order, if not told otherwise).
+
+    Two rows are one event if their labels overlap by at least 0.45, or, where either has no label, their titles share at
+    least two tokens and 15% of the longer; and if both have tags, these overlap. In order, a row joins the first group
+    whose opener it is one event with, or opens one.
     """
     ship_package(items.sparkSession)
     kind = dict(items.dtypes)
     schema = ", ".join(f"`{c}` {kind[c]}" for c in [*part, item_id]) + f", head_id {kind[item_id]}"
+    given = [event, title_tokens, tags]
 
-    def same(a, b) -> bool:
-        if a.tags and b.tags and not (a.tags & b.tags):
+    def same(a: tuple, b: tuple) -> bool:
+        if a[3] and b[3] and not (a[3] & b[3]):
             return False
-        if a.event and b.event and overlap_coefficient(a.event, b.event) >= 0.45:
-            return True
-        shared = len(a.words & b.words)
-        return shared >= 2 and shared / max(len(a.words), len(b.words)) >= 0.15
+        if a[0] and b[0]:
+            return overlap_coefficient(a[1], b[1]) >= 0.45
+        shared = sum(w in b[2] for w in a[2])
+        return shared >= 2 and shared / max(len(a[2]), len(b[2])) >= 0.15
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(list(dict.fromkeys([order, item_id])), kind="stable")
-        heads, owner = [], []
-        rows = pd.DataFrame({"id": pdf[item_id], "event": pdf[event].fillna(""), "words": [set(w) if w is not None else set() for w in pdf[title_tokens]], "tags": [set(t) if t is not None else set() for t in pdf[tags]]})
-        for row in rows.itertuples(index=False):
-            head = next((h for h in heads if same(h, row)), None)
-            if head is None:
-                heads.append(row)
-                head = row
-            owner.append(head.id)
-        return pdf[[*part, item_id]].assign(head_id=owner)
+        openers: list[tuple] = []
+        group = []
+        for label, words, own in zip(*(pdf[c] for c in given), strict=True):
+            row = ((label or "").strip(), label_pairs(label), list(words) if words is not None else [], set(own) if own is not None else set())
+            at = next((k for k, opener in enumerate(openers) if same(opener, row)), len(openers))
+            if at == len(openers):
+                openers.append(row)
+            group.append(at)
+        out = pdf[[*part, item_id]].assign(_group=group, _at=pdf[published or order])
+        first = out.sort_values("_at", kind="stable", na_position="last").groupby("_group")[item_id].first()
+        return out[[*part, item_id]].assign(head_id=out["_group"].map(first))
 
-    return items.select(*dict.fromkeys([*part, order, item_id, event, title_tokens, tags])).groupBy(*part).applyInPandas(run, schema)
+    return items.select(*dict.fromkeys([*part, order, published or order, item_id, *given])).groupBy(*part).applyInPandas(run, schema)
 
 
 def follow_up(shared: Column, new_title: Column, old_title: Column, signals: list[str], least: int = 3) -> Column:
@@ -86,48 +95,122 @@ def follow_up(shared: Column, new_title: Column, old_title: Column, signals: lis
     return (shared >= least) & ~fresh
 
 
-def representatives(links: DataFrame, child: str, parent: str, flag: str | None = None, most: int = 20) -> DataFrame:
-    """child, rep, judged: follows each chain of suppressions to its end; cycles end at their least member.
+def representatives(links: DataFrame, child: str, parent: str, flag: str | None = None) -> DataFrame:
+    """child, rep, judged: follows each chain of suppressions to its end. A walk that runs into a cycle stops at the first
+    node that it meets again: a member of the cycle is its own representative, a row before it has the member it enters.
 
-    Pointer doubling: every round halves what is left of a chain, so most rounds reach 2**most links. judged says
-    whether the chain passes a link whose flag is true.
+    judged says whether the walk passes a link whose flag is true. Pointer doubling: a round halves what is left of
+    every chain; rounds go on until no pointer moves, and no walk is longer than the links.
     """
     own = F.col(flag) if flag else F.lit(False)
-    at = links.select(F.col(child).alias("c"), F.col(parent).alias("p"), own.alias("j"), F.least(child, parent).alias("low"))
-    for _ in range(min(most, links.count().bit_length() + 1)):  # no chain is longer than the links
-        nxt = at.select(F.col("c").alias("c2"), F.col("p").alias("p2"), F.col("j").alias("j2"), F.col("low").alias("l2"))
+    at = checkpointed(links.select(F.col(child).alias("c"), F.col(parent).alias("p"), F.coalesce(own, F.lit(False)).alias("j")))
+    end, rounds = _doubled(at, at.count())
+    stuck = end.join(at.select(F.col("c").alias("c2")), F.col("p") == F.col("c2"), "left_semi")
+    if stuck.isEmpty():
+        return end.select(F.col("c").alias(child), F.col("p").alias("rep"), F.col("j").alias("judged"))
+    # After 2**rounds steps, every pointer that still has a way to go is on a cycle, and the members point at all of it.
+    members = checkpointed(stuck.select(F.col("p").alias("m")).distinct())
+    outside = at.join(members, F.col("c") == F.col("m"), "left_anti")
+    tails, _ = _doubled(checkpointed(outside), 1 << rounds)
+    inside = end.join(members, F.col("c") == F.col("m"), "left_semi").select("c", F.col("c").alias("p"), "j")
+    entry = inside.select(F.col("c").alias("c2"), F.col("j").alias("j2"))  # the whole cycle is walked from its entry
+    tails = tails.join(entry, F.col("p") == F.col("c2"), "left").select("c", "p", (F.col("j") | F.coalesce("j2", F.lit(False))).alias("j"))
+    return tails.unionByName(inside).select(F.col("c").alias(child), F.col("p").alias("rep"), F.col("j").alias("judged"))
+
+
+def _doubled(at: DataFrame, longest: int) -> tuple[DataFrame, int]:
+    """Pointers after as many rounds of doubling as a walk of longest links needs, or until none moves."""
+    rounds = 0
+    while (1 << rounds) <= longest:
+        nxt = at.select(F.col("c").alias("c2"), F.col("p").alias("p2"), F.col("j").alias("j2"))
         step = at.join(nxt, F.col("p") == F.col("c2"), "left")
-        moved = step.filter("c2 is not null and p2 != p and c != p").limit(1)
-        at = checkpointed(_kept(step))
-        if moved.isEmpty():
+        at = checkpointed(step.select("c", F.coalesce("p2", "p").alias("p"), (F.col("j") | F.coalesce("j2", F.lit(False))).alias("j"), F.col("c2").isNotNull().alias("moved")))
+        rounds += 1
+        if at.filter("moved").isEmpty():
             break
-    heads = at.select(F.col("c").alias("c2"))
-    out = at.join(heads, F.col("p") == F.col("c2"), "left")
-    return out.select(F.col("c").alias(child), F.when(F.col("c2").isNull(), F.col("p")).otherwise(F.col("low")).alias("rep"), F.col("j").alias("judged"))
-
-
-def _kept(step: DataFrame) -> DataFrame:
-    return step.select("c", F.coalesce("p2", "p").alias("p"), (F.col("j") | F.coalesce("j2", F.lit(False))).alias("j"), F.least("low", F.coalesce("l2", "low")).alias("low"))
+        at = at.drop("moved")
+    return at.select("c", "p", "j"), rounds
 
 
 def suppression(candidates: DataFrame, age_hours: str, keyword_hit: str, judged_same: str, share: str) -> DataFrame:
     """Adds action: what becomes of an alert that may repeat an earlier one (its representative is age_hours old).
 
     A keyword hit on a representative younger than 18 hours suppresses. Else a verdict that both are the same suppresses
-    below 24 hours, and from 24 hours on (or at an unknown age) it is a reminder if the share is at least 0.5, else held.
-    No verdict or no representative lets it pass.
+    below 24 hours; from 24 hours on, or at an unknown age, it is a reminder if the share is at least 0.5 or unknown, else
+    held. No verdict or no representative lets it pass.
     """
-    age = F.col(age_hours)
+    age, same = F.col(age_hours), F.coalesce(F.col(judged_same), F.lit(False))
     action = (
-        F.when(F.col(keyword_hit) & (age < 18), "suppress")
-        .when(F.coalesce(F.col(judged_same), F.lit(False)) & (age < 24), "suppress")
-        .when(F.coalesce(F.col(judged_same), F.lit(False)) & (F.col(share) >= 0.5), "remind")
-        .when(F.coalesce(F.col(judged_same), F.lit(False)), "hold")
+        F.when(F.coalesce(F.col(keyword_hit), F.lit(False)) & (age < 18), "suppress")
+        .when(same & (age < 24), "suppress")
+        .when(same & (F.coalesce(F.col(share), F.lit(1.0)) >= 0.5), "remind")
+        .when(same, "hold")
         .otherwise("pass")
     )
     return candidates.withColumn("action", action)
 
 
+def repeat_alerts(items: DataFrame, history: DataFrame, suppressed: DataFrame, window: DataFrame, verdicts: DataFrame, clock: Column, signals: list[str], least: int = 3) -> DataFrame:
+    """item, action (suppress, remind, hold, merge, pass), matched, rep: the whole path of new alerts against old ones.
+
+    items: item, at, title, tokens (candidates, in order of at and item); history: title, at, tokens (what was reported in
+    the last three days; of equal titles the newest counts); suppressed: child, parent, judged (titles of earlier
+    suppressions, each with what it was suppressed for; judged: by a verdict); window: title, tokens, kept (all items of
+    three days, and whether they have the level of the channel); verdicts: item, matched (what a judge held to be the same).
+
+    1. An item meets the newest report that shares at least least tokens with it, if the item brings no signal word that
+       the report lacks. Reports whose own chain passes a verdict are no match.
+    2. The age is that of the end of the report's chain. Below 18 hours the item is suppressed.
+    3. A verdict on what is left (also on items without a match) counts against reports that went out themselves: below
+       24 hours it suppresses, else it is a reminder or is held, by the share of kept items among those that share enough
+       tokens with the item or the report.
+    4. What passes or reminds is clustered: in order, an item joins the first one before it that it shares enough tokens
+       with (stars, not chains), and is merged into it.
+
+    Token joins are equi-joins whose pairs are counted before anything else; items and three days of reports are what
+    bounds them.
+    """
+    chains = representatives(suppressed, "child", "parent", "judged").select(F.col("child").alias("_c"), F.col("rep").alias("_rep"), F.col("judged").alias("_judged"))
+    reports = first_per(history, ["title"], F.desc("at"), F.asc("title")).select(F.col("title").alias("m_title"), F.col("at").alias("m_at"), F.col("tokens").alias("m_tokens"))
+    reports = reports.join(chains, F.col("m_title") == F.col("_c"), "left").drop("_c")
+    ages = reports.select(F.col("m_title").alias("_t"), F.col("m_at").alias("rep_at"))
+    reports = reports.withColumn("m_rep", F.coalesce("_rep", "m_title")).join(ages, F.col("m_rep") == F.col("_t"), "left").drop("_t")
+    reports = checkpointed(reports.select("m_title", "m_at", "m_tokens", "m_rep", "rep_at", F.coalesce("_judged", F.lit(False)).alias("m_judged"), F.col("_rep").isNotNull().alias("m_down")))
+    shared = shared_tokens(items.select("item", "tokens"), "item", "tokens", reports.filter(~F.col("m_judged")).select("m_title", "m_tokens"), "m_title", "m_tokens", least)
+    near = shared.join(items.select("item", "title"), "item").join(reports, "m_title").filter(follow_up(F.col("shared"), F.col("title"), F.col("m_title"), signals, least))
+    match = first_per(near, ["item"], F.desc("m_at"), F.asc("m_title")).select("item", F.col("m_title").alias("kw_title"), F.col("m_rep").alias("kw_rep"), F.col("rep_at").alias("kw_at"))
+    told = verdicts.select(F.col("item").alias("v_item"), F.col("matched").alias("v_title"))
+    told = told.join(reports.filter(~F.col("m_down")).select(F.col("m_title").alias("v_title"), F.col("rep_at").alias("v_at"), F.col("m_tokens").alias("v_tokens")), "v_title")
+    hours = lambda at: (F.unix_micros(clock) - F.unix_micros(at)) / 3.6e9
+    rows = items.join(match, "item", "left").join(told, F.col("item") == F.col("v_item"), "left")
+    kw = F.coalesce(hours(F.col("kw_at")) < 18, F.lit(False))
+    rows = checkpointed(rows.select("item", "at", "title", "tokens", kw.alias("kw"), "kw_title", "kw_rep", "v_title", "v_tokens", F.when(kw, hours(F.col("kw_at"))).otherwise(hours(F.col("v_at"))).alias("age")))
+    asked = rows.filter(~F.col("kw") & F.col("v_title").isNotNull())
+    rows = rows.join(_kept_share(asked, window, least), "item", "left")
+    rows = suppression(rows.withColumn("same", F.col("v_title").isNotNull()), "age", "kw", "same", "share")
+    rows = checkpointed(rows.withColumn("matched", F.when(F.col("kw"), F.col("kw_title")).when(F.col("action") != "pass", F.col("v_title"))))
+    out = rows.filter(F.col("action").isin("pass", "remind")).withColumn("_all", F.lit(0))
+    stars = star_clusters(out, ["_all"], "at", "item", "tokens", least).select(F.col("item").alias("_i"), "seed_id")
+    heads = items.select(F.col("item").alias("_h"), F.col("title").alias("_head"))
+    rows = rows.join(stars, F.col("item") == F.col("_i"), "left").join(heads, F.col("seed_id") == F.col("_h"), "left")
+    merged = F.col("seed_id").isNotNull() & (F.col("seed_id") != F.col("item"))
+    passed_on = F.max(F.when(F.col("action") == "remind", 1)).over(W.partitionBy("seed_id")) == 1  # a star's head reminds for all of it
+    action = F.when(merged, "merge").when(F.col("seed_id").isNotNull() & passed_on, "remind").otherwise(F.col("action"))
+    rep = F.when(merged, F.col("_head")).when(F.col("kw"), F.col("kw_rep")).otherwise(F.col("matched"))
+    return rows.select("item", action.alias("action"), F.when(merged, F.col("_head")).otherwise(F.col("matched")).alias("matched"), rep.alias("rep"))
+
+
+def _kept_share(asked: DataFrame, window: DataFrame, least: int) -> DataFrame:
+    """item, share: of the window's rows that share enough tokens with the item or with the report it is held against,
+    the share that is kept; null without such rows."""
+    pool = checkpointed(window.select(F.monotonically_increasing_id().alias("w"), "tokens", "kept"))
+    ends = asked.select("item", "tokens").unionByName(asked.select("item", F.col("v_tokens").alias("tokens")))
+    ends = checkpointed(ends.select("item", "tokens", F.monotonically_increasing_id().alias("e")))
+    met = shared_tokens(ends, "e", "tokens", pool.select("w", F.col("tokens").alias("w_tokens")), "w", "w_tokens", least)
+    met = met.join(ends.select("e", "item"), "e").select("item", "w").distinct().join(pool.select("w", "kept"), "w")
+    return met.groupBy("item").agg((F.count_if("kept") / F.count(F.lit(1))).alias("share"))
+
+
 def issue_step(n_linked: Column, n_items: Column, overlap: Column, shared: Column, same_key: Column, similarity: Column, days: Column, urgent: Column) -> Column:
     """What a cluster does: the first rung of the assignment ladder that it reaches."""
     return (
@@ -143,15 +226,3 @@ def issue_step(n_linked: Column, n_items: Column, overlap: Column, shared: Colum
 def issue_life(idle_days: Column, open_days: Column, cool_days: Column) -> Column:
     """dormant after 30 idle days; resolve is proposed after 90, once in 30 days."""
     return F.when((idle_days >= 90) & (F.coalesce(cool_days, F.lit(999)) >= 30), "propose_resolve").when(idle_days >= 30, "dormant").otherwise("active")
-
-
-def batches_of(rows: Iterator, size: int) -> Iterator[list]:
-    """Rows in lists of at most size, as screening calls take them."""
-    held = []
-    for row in rows:
-        held.append(row)
-        if len(held) == size:
-            yield held
-            held = []
-    if held:
-        yield held

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import math
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
 from corpusloom.functions import vectors as vx
-
-
-def keyword_table(spark: SparkSession, keywords: list[str]) -> DataFrame:
-    """ord (from 1), keyword: the given list; its size is the caller's, a handful."""
-    return spark.createDataFrame([(i, k) for i, k in enumerate(keywords, 1)], "ord int, keyword string")
+from corpusloom.functions.udfs import gram_sets
+from corpusloom.operators.tables import first_per
+from corpusloom.session import checkpointed, ship_package
 
 
 def hit_matrix(docs: DataFrame, doc_id: str, text: str, keywords: list[str]) -> DataFrame:
@@ -27,6 +28,12 @@ def any_keyword_score(docs: DataFrame, doc_id: str, text: str, keywords: list[st
     return docs.select(doc_id, score.alias("score"), F.length(text).alias("chars")).filter("score > 0").orderBy(F.desc("score"), F.asc("chars"), F.asc(doc_id)).limit(k)
 
 
+def current_only(chunks: DataFrame, approved: str = "is_approved", status: str = "status", only_current: bool = True) -> DataFrame:
+    """Chunks that a search may see: approved (null: not), and the current version unless all are wanted."""
+    seen = F.coalesce(F.col(approved), F.lit(False))
+    return chunks.filter(seen & (F.col(status) == "current") if only_current else seen)
+
+
 def greedy_pick(hits: DataFrame, doc_id: str, order: list[Column], keywords: int, per_keyword: int) -> DataFrame:
     """doc_id, ord: each keyword in turn picks its best per_keyword rows among those that no earlier one has picked.
 
@@ -43,21 +50,51 @@ def greedy_pick(hits: DataFrame, doc_id: str, order: list[Column], keywords: int
     return picked
 
 
-def dual_quota(docs: DataFrame, doc_id: str, title: str, body: str, keywords: list[str], titles: int, bodies: int) -> DataFrame:
-    """ord, hit_col, doc_id, place: for each keyword the first rows hit in the title, and the first hit in the body only."""
-    found = []
-    for i, k in enumerate(keywords, 1):
-        in_title, in_body = tx.keyword_hit(F.col(title), F.lit(k)), tx.keyword_hit(F.col(body), F.lit(k))
-        found.append(F.when(in_title, F.struct(F.lit(i).alias("ord"), F.lit("title").alias("hit_col"))).when(in_body, F.struct(F.lit(i).alias("ord"), F.lit("content").alias("hit_col"))))
-    rows = docs.select(doc_id, F.explode(F.array_compact(F.array(*found))).alias("h")).select(doc_id, "h.*")
-    ranked = rows.withColumn("place", F.row_number().over(W.partitionBy("ord", "hit_col").orderBy(doc_id)))
-    return ranked.filter(((F.col("hit_col") == "title") & (F.col("place") <= titles)) | ((F.col("hit_col") == "content") & (F.col("place") <= bodies))).select("ord", "hit_col", doc_id, "place")
+def dual_quota(chunks: DataFrame, chunk_id: str, title: str, body: str, keywords: list[str], titles: int, bodies: int, domain: Column) -> DataFrame:
+    """ord, hit_col, chunk_id, place: for each keyword the first rows with it in the title, and the first with it in the
+    body. Those with more keywords in the same column come first, then more in the other, then documents of the domain."""
+    in_title, in_body = ([tx.keyword_hit(F.col(c), F.lit(k)) for k in keywords] for c in (title, body))
+    ords = lambda hits: F.array_compact(F.array(*[F.when(h, F.lit(i)) for i, h in enumerate(hits, 1)]))
+    rows = chunks.select(chunk_id, ords(in_title).alias("t"), ords(in_body).alias("c"), domain.alias("d"))
+    ranked = []
+    for name, own, other, most in (("title", "t", "c", titles), ("content", "c", "t", bodies)):
+        w = W.partitionBy("ord").orderBy(F.size(own).desc(), F.size(other).desc(), F.col("d").desc(), F.col(chunk_id).asc())
+        hits = rows.select(chunk_id, "t", "c", "d", F.explode(own).alias("ord"), F.lit(name).alias("hit_col"))
+        ranked.append(hits.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most).select("ord", "hit_col", chunk_id, "place"))
+    return ranked[0].unionByName(ranked[1])
+
+
+def keyword_score(chunk: dict[str, str], keywords: list[str], asked: list[str], synonyms: list[str], stops: list[str]) -> Column:
+    """How well a chunk (columns content, doc_name, article_no) answers keywords, in any case: those that were asked
+    weigh 2, others 1, in the content and in the document's name; in the article's title twice that, or 4 for synonyms,
+    and nothing for stops."""
+    has = lambda column, k: F.contains(F.lower(F.coalesce(F.col(chunk[column]), F.lit(""))), F.lit(k.lower())).cast("int")
+    known = {x.lower() for x in synonyms}
+    score = F.lit(0)
+    for k in keywords[:10]:
+        w = 2 if k in asked else 1
+        score = score + w * has("content", k) + w * has("doc_name", k)
+        if k not in stops:
+            score = score + (4 if k.lower() in known else 2 * w) * has("article_no", k)
+    return score
+
+
+#: The constant of rank fusion, and what an article's kind and a file's name add, in halves of a first place.
+RANK_CONSTANT = 60
+UNIT = 0.5 / (RANK_CONSTANT + 1)
+
+
+def kind_bonus(article_no: Column, doc_name: Column) -> Column:
+    """Articles gain a unit, addenda and forms lose one, annexes neither; documents that are files lose one more."""
+    kind = F.when(article_no.rlike(r"^\d+조"), UNIT).when(article_no.rlike("^(부칙|서식|별지)"), -UNIT).otherwise(0.0)
+    return kind - F.when(doc_name.rlike(r"(?i)\.(pdf|md|docx|hwp)$"), UNIT).otherwise(0.0)
 
 
 def vector_scores(vectors: DataFrame, vec_id: str, embedding: str, query: list[float] | Column) -> DataFrame:
-    """All columns and similarity; rows whose vector is null or has no length are left out."""
-    q = query if isinstance(query, Column) else F.array(*[F.lit(float(x)) for x in query])
-    return vectors.withColumn("similarity", vx.cosine(F.col(embedding), q)).filter(F.col("similarity").isNotNull())
+    """All columns and similarity; rows whose vector is null, has no length or another number of components than the query
+    are left out. A list is put into the plan as numbers; a column is compared row by row."""
+    similar = vx.cosine(F.col(embedding), query) if isinstance(query, Column) else vx.cosine_to(F.col(embedding), query)
+    return vectors.withColumn("similarity", similar).filter(F.col("similarity").isNotNull())
 
 
 def top_similar(scored: DataFrame, vec_id: str, k: int, above: float | None = None) -> DataFrame:
@@ -73,17 +110,17 @@ def two_stage(scored: DataFrame, vec_id: str, k: int, bias: Column, above: float
     return pool.withColumn("adjusted", 1 - F.col("similarity") + bias).orderBy(F.asc("adjusted"), F.asc(vec_id)).limit(k)
 
 
-def fuse(lists: DataFrame, doc_id: str, group: str, per_group: int, k: int, constant: int = 60, bonus: Column | None = None) -> DataFrame:
+def fuse(lists: DataFrame, doc_id: str, group: str, per_group: int | Column, k: int, constant: int = RANK_CONSTANT, bonus: Column | None = None) -> DataFrame:
     """Reciprocal rank fusion of rows (list, doc_id, score, group): doc_id, group, fused, place.
 
-    Ranks are within a list by score; at most per_group rows of a group and k rows in all are kept.
+    Ranks are within a list by score; at most per_group rows of a group (a number, or a column of the group's own cap) and
+    k rows in all are kept. bonus (of the other columns, which belong to the document) is added to each document once.
     """
     ranked = lists.withColumn("r", F.row_number().over(W.partitionBy("list").orderBy(F.desc("score"), F.asc(doc_id))))
-    fused = ranked.groupBy(doc_id, group).agg(F.sum(1.0 / (constant + F.col("r"))).alias("fused"))
-    if bonus is not None:
-        fused = fused.withColumn("fused", F.col("fused") + bonus)
-    fused = fused.withColumn("fused", F.round("fused", 9))
-    capped = fused.withColumn("g", F.row_number().over(W.partitionBy(group).orderBy(F.desc("fused"), F.asc(doc_id)))).filter(F.col("g") <= per_group)
+    cap = per_group if isinstance(per_group, Column) else F.lit(per_group)
+    total = F.sum(F.lit(1.0) / (constant + F.col("r"))) + (F.first(bonus) if bonus is not None else 0.0)
+    fused = ranked.groupBy(doc_id, group).agg(F.round(total, 9).alias("fused"), F.first(cap).alias("cap"))
+    capped = fused.withColumn("g", F.row_number().over(W.partitionBy(group).orderBy(F.desc("fused"), F.asc(doc_id)))).filter(F.col("g") <= F.col("cap"))
     best = capped.orderBy(F.desc("fused"), F.asc(doc_id)).limit(k)
     return best.withColumn("place", F.row_number().over(W.orderBy(F.desc("fused"), F.asc(doc_id)))).select(doc_id, group, "fused", "place")  # k rows
 
@@ -95,48 +132,106 @@ def linear_fusion(semantic: DataFrame, trigram: DataFrame, doc_id: str, k: int)
     return both.select(doc_id, score.alias("score")).orderBy(F.desc("score"), F.asc(doc_id)).limit(k)
 
 
-def idf_rank(docs: DataFrame, doc_id: str, title: str, body: str, words: list[str], k: int) -> DataFrame:
-    """doc_id, score, n_words: title hits weigh 3, body hits 1, times a clamped idf of the word's document frequency.
+def word_hit(text: Column, word: str) -> Column:
+    """A word of Latin letters and digits stands between other characters, in any case; two Hangul syllables count unless
+    they stand inside a run, with Hangul on both sides; anything else is a substring, in any case."""
+    if re.fullmatch(r"[A-Za-z0-9]+", word):
+        return text.rlike(rf"(?i)(^|[^A-Za-z0-9]){word}(?![A-Za-z0-9])")
+    if re.fullmatch(r"[가-힣]{2}", word):
+        return text.rlike(rf"(?<![가-힣]){word}|{word}(?![가-힣])")
+    return F.contains(F.lower(text), F.lit(word.lower()))
+
 
-    Kept are rows with a title hit and at least two words (or a one-word query).
+def news_rank(news: DataFrame, news_id: str, title: str, body: str, event: str, published: str, words: list[str], k: int = 3, common: int = 10, alike: float = 0.35, hit=word_hit) -> DataFrame:
+    """news_id, score, place: the k best news for the words of a question.
+
+    Rows without title or body are left out, and of equal titles one stays (the least id). A word in the title weighs 3
+    and in the body 1, both if in both, times its rarity: 2 log10((rows + 1) / (rows with it + 1)), between 0.5 and 2.5.
+    A row needs a word in its title, two words in all (unless one is asked for), and evidence: the rarest word in the
+    title, or two words there, or a word that stands in fewer than common titles, or three words. A lone word that is
+    common finds nothing. The best are taken one after the other, newest first among equals; one that has the event of a
+    row taken before, or a title whose character pairs are alike (Jaccard), is passed over.
+    """
+    usable = news.filter((F.col(title) != "") & (F.col(body) != ""))
+    pool = first_per(usable, [title], F.col(news_id).asc())
+    t, c = ([hit(F.col(x), w) for w in words] for x in (title, body))
+    seen = pool.agg(F.count(F.lit(1)).alias("p"), *[F.count_if(t[i] | c[i]).alias(f"n{i}") for i in range(len(words))], *[F.count_if(t[i]).alias(f"t{i}") for i in range(len(words))]).first()
+    if not words or not seen["p"] or (len(words) == 1 and seen["t0"] >= common):
+        return news.sparkSession.createDataFrame([], f"{news_id} {dict(news.dtypes)[news_id]}, score double, place int")
+    weight = [min(2.5, max(0.5, math.log10((seen["p"] + 1) / (seen[f"n{i}"] + 1)) * 2)) for i in range(len(words))]
+    rarest = min(range(len(words)), key=lambda i: seen[f"n{i}"])
+    total = lambda cs: sum((x.cast("int") for x in cs), F.lit(0))
+    score = sum((weight[i] * (3 * t[i].cast("int") + c[i].cast("int")) for i in range(len(words))), F.lit(0.0))
+    in_title, met = total(t), total([a | b for a, b in zip(t, c, strict=True)])
+    rare = F.lit(False)
+    for i in range(len(words)):
+        if seen[f"t{i}"] < common:
+            rare = rare | t[i] | c[i]
+    good = (in_title >= 1) & (met >= min(2, len(words))) & (t[rarest] | (in_title >= 2) | rare | (met >= 3))
+    left = pool.filter(good).select(news_id, F.col(event).alias("event"), F.col(published).alias("at"), F.round(score, 6).alias("score"), F.array_distinct(tx.bigrams(F.regexp_replace(title, r"[^\p{L}\p{N}]", ""))).alias("pairs"))
+    left, taken = checkpointed(left), []
+    for place in range(1, k + 1):  # k is a handful; each step reads what the filter above has left
+        best = left.orderBy(F.desc("score"), F.desc_nulls_last("at"), F.asc(news_id)).first()
+        if best is None:
+            break
+        taken.append((best[news_id], best["score"], place))
+        same = F.coalesce(F.col("event") == F.lit(best["event"]), F.lit(False)) & (F.col("event") != "")
+        pairs = F.array(*map(F.lit, best["pairs"])).cast("array<string>")
+        left = left.filter((F.col(news_id) != best[news_id]) & ~same & (tx.jaccard(F.col("pairs"), pairs) < alike))
+    return news.sparkSession.createDataFrame(taken, f"{news_id} {dict(news.dtypes)[news_id]}, score double, place int")
+
+
+def shared_tokens(left: DataFrame, left_id: str, left_tokens: str, right: DataFrame, right_id: str, right_tokens: str, least: int) -> DataFrame:
+    """left_id, right_id, shared: pairs that share at least least tokens, by an equi-join on tokens.
+
+    Of the tokens of a pair only those that both have are looked at; a pair without least shared tokens is dropped after
+    the count. left and right are bounded by what they are (the alerts of a run, the reports of three days).
     """
-    found = F.array_compact(F.array(*[F.when(tx.keyword_hit(F.col(title), F.lit(w)), F.struct(F.lit(i).alias("w"), F.lit(3.0).alias("weight"))).when(tx.keyword_hit(F.col(body), F.lit(w)), F.struct(F.lit(i).alias("w"), F.lit(1.0).alias("weight"))) for i, w in enumerate(words)]))
-    hits = docs.select(doc_id, F.explode(found).alias("h")).select(doc_id, "h.*")
-    total = docs.agg(F.count(F.lit(1)).alias("p"))
-    seen = hits.groupBy("w").agg(F.count(F.lit(1)).alias("n")).join(total)  # one row
-    idf = F.least(F.greatest(F.log10((F.col("p") + 1) / (F.col("n") + 1)) * 2, F.lit(0.5)), F.lit(2.5))
-    scored = hits.join(seen.select("w", idf.alias("idf")), "w").groupBy(doc_id).agg(
-        F.round(F.sum(F.col("weight") * F.col("idf")), 6).alias("score"), F.count(F.lit(1)).alias("n_words"), F.max("weight").alias("best")
-    )
-    return scored.filter((F.col("best") == 3) & (F.col("n_words") >= min(2, len(words)))).select(doc_id, "score", "n_words").orderBy(F.desc("score"), F.asc(doc_id)).limit(k)
+    x = left.select(left_id, F.explode(F.array_distinct(left_tokens)).alias("_token"))
+    y = right.select(right_id, F.explode(F.array_distinct(right_tokens)).alias("_token"))
+    return x.join(y, "_token").groupBy(left_id, right_id).agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= least)
 
 
-def shared_token_pairs(items: DataFrame, item_id: str, tokens: str, least: int, most_common: int | None = None) -> DataFrame:
-    """a, b, shared: pairs that share at least least tokens, found by an equi-join on tokens.
+def shared_token_pairs(items: DataFrame, item_id: str, tokens: str, least: int) -> DataFrame:
+    """a, b, shared: pairs that share at least least tokens.
 
-    Tokens in more than most_common items (if given) join nothing; say so in the query's name or its text.
+    Prefix filtering: tokens are put in order of rarity, and two items that share least tokens must share one of all but
+    their least - 1 commonest. So only these meet by token, and candidate pairs are counted on their whole sets.
     """
-    long = items.select(F.col(item_id).alias("id"), F.explode(tokens).alias("token"))
-    if most_common is not None:
-        long = long.join(long.groupBy("token").count().filter(F.col("count") <= most_common).select("token"), "token", "left_semi")
-    pairs = long.alias("x").join(long.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")))
-    return pairs.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= least)
+    own = items.select(F.col(item_id).alias("id"), F.array_distinct(tokens).alias("tokens"))
+    df = own.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    ranked = own.select("id", F.explode("tokens").alias("token")).join(df, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ts"))
+    rare = ranked.select("id", F.explode(F.slice("ts", 1, F.greatest(F.lit(0), F.size("ts") - (least - 1)))).alias("t")).select("id", "t.token")
+    pairs = rare.alias("x").join(rare.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")))
+    pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    sets = lambda n: own.select(F.col("id").alias(n), F.col("tokens").alias(f"{n}_tokens"))
+    met = pairs.join(sets("a"), "a").join(sets("b"), "b")
+    return met.select("a", "b", F.size(F.array_intersect("a_tokens", "b_tokens")).cast("long").alias("shared")).filter(F.col("shared") >= least)
 
 
 def containment(sources: DataFrame, source_id: str, targets: DataFrame, target_id: str, text: str, n: int = 6, stride: int = 7, least: float = 0.15) -> DataFrame:
-    """target, source, hits, probes, ratio: the share of a source's n-grams, at every stride characters of its squeezed
-    text, that the target's text has, where it is at least least.
+    """target, source, ratio, back_ratio: pairs of which each side's n-grams stand in the other's text.
+
+    ratio is the share of the source's distinct n-grams, at every stride characters of its squeezed text, that the target
+    has anywhere; back_ratio is the same the other way round. Both are at least least. Texts shorter than n have none.
 
-    Probes join the targets' n-grams by equality; a target's n-grams are exploded as distinct hashes of n characters.
+    A target's n-grams are distinct before they leave its row and meet the sources' probes by equality: a hash join that
+    the optimizer broadcasts where the sources are few, and a shuffle where they are many. The way back is only looked at
+    for pairs that the way forth has left.
     """
-    t = tx.squeezed(F.lower(text))
-    grams = F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))  # one pass, whatever the text's length
-    hashed = lambda g: F.array_distinct(F.transform(g, lambda x: F.xxhash64(x)))
-    probes = sources.filter(F.length(t) >= n).select(F.col(source_id).alias("source"), F.explode(hashed(F.filter(grams, lambda x, i: i % stride == 0))).alias("g"))
-    sizes = probes.groupBy("source").agg(F.count(F.lit(1)).alias("probes"))
-    held = targets.filter(F.length(t) >= n).select(F.col(target_id).alias("target"), F.explode(hashed(grams)).alias("g"))
-    hits = held.join(probes, "g").groupBy("target", "source").agg(F.count(F.lit(1)).alias("hits")).join(sizes, "source")
-    return hits.withColumn("ratio", F.round(F.col("hits") / F.col("probes"), 6)).filter(F.col("ratio") >= least).select("target", "source", "hits", "probes", "ratio")
+    ship_package(targets.sparkSession)
+    squeezed = tx.squeezed(F.lower(text))
+    own = sources.select(F.col(source_id).alias("source"), gram_sets(squeezed, n, stride).alias("g")).select("source", "g.probes", "g.grams")
+    own = checkpointed(own.filter(F.size("probes") > 0))
+    probes = own.select("source", F.size("probes").alias("n_probes"), F.explode("probes").alias("gram"))
+    texts = targets.select(F.col(target_id).alias("target"), squeezed.alias("squeezed"))
+    held = texts.select("target", F.explode(gram_sets(F.col("squeezed"), n, stride)["grams"]).alias("gram"))
+    forth = held.join(probes, "gram").groupBy("target", "source").agg(F.round(F.count(F.lit(1)) / F.first("n_probes"), 6).alias("ratio"))
+    forth = checkpointed(forth.filter(F.col("ratio") >= least))
+    back = texts.join(forth.select("target").distinct(), "target", "left_semi").select("target", gram_sets(F.col("squeezed"), n, stride)["probes"].alias("back"))
+    pairs = forth.join(back, "target").join(own.select("source", "grams"), "source")
+    ratio = F.round(F.size(F.array_intersect("back", "grams")) / F.size("back"), 6)
+    return pairs.withColumn("back_ratio", ratio).filter(F.col("back_ratio") >= least).select("target", "source", "ratio", "back_ratio")
 
 
 def verbatim_share(answer: Column, source: Column, window: int = 18, step: int = 8) -> Column:

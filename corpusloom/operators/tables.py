@@ -55,10 +55,10 @@ def revisions(df: DataFrame, keys: list[str], order: list[Column], text: Column)
 
 
 def in_force(df: DataFrame, keys: list[str], effective: str, today: Column, tie: str) -> DataFrame:
-    """Of each key the latest version not after today, or else the earliest of the future."""
+    """Of each key the latest version not after today, or else the earliest of the future. Effective dates are instants,
+    dates or yyyymmdd text, of the kind of today."""
     past = F.col(effective) <= today
-    days = F.unix_timestamp(effective)
-    return first_per(df, keys, past.desc(), F.when(past, -days).otherwise(days).asc(), F.col(tie).desc())
+    return first_per(df, keys, past.desc(), F.when(past, F.col(effective)).desc(), F.col(effective).asc(), F.col(tie).desc())
 
 
 def pending(df: DataFrame, keys: list[str], effective: str, serial: str, today: Column) -> DataFrame:
@@ -80,16 +80,30 @@ def drop_noops(df: DataFrame, keys: list[str], order: list[Column], text: Column
     return df.withColumn("_bare", bare).withColumn("_was", F.lag("_bare").over(w)).filter(~F.col("_bare").eqNullSafe(F.col("_was"))).drop("_bare", "_was")
 
 
-def keyed_diff(old: DataFrame, new: DataFrame, keys: list[str], text: str, deleted_mark: str = "deleted") -> DataFrame:
-    """keys, change, old_text, new_text of rows that are added, deleted or modified; white space does not count, and a
-    new text that is the deletion mark is a deletion."""
-    a = old.select(*keys, F.col(text).alias("old_text"))
-    b = new.select(*keys, F.col(text).alias("new_text"))
+#: Fixed value: how a text says that its article was deleted.
+DELETED = r"^제\s*[0-9]+조(?:의[0-9]+)?(?:\([^)]*\))?\s*삭제"
+
+
+def keyed_diff(old: DataFrame, new: DataFrame, keys: list[str], text: str, deleted: str = DELETED) -> DataFrame:
+    """keys, change, old_text, new_text of rows that are added, deleted or modified.
+
+    White space does not count. A new text that carries the mark of deletion (a pattern) is a deletion, also where there
+    was no old text; one that carried it before is not deleted again. The text that is missing is empty.
+    """
+    a = old.select(*keys, F.col(text).alias("_old"))
+    b = new.select(*keys, F.col(text).alias("_new"))
     both = a.join(b, keys, "full_outer")
     bare = lambda c: F.regexp_replace(c, r"\s+", "")
-    gone = F.col("new_text").isNull() | (F.lower(F.trim("new_text")) == deleted_mark)
-    change = F.when(F.col("old_text").isNull() & ~gone, "added").when(gone & F.col("old_text").isNotNull(), "deleted").when(bare(F.col("old_text")) != bare(F.col("new_text")), "modified")
-    return both.withColumn("change", change).filter("change is not null").select(*keys, "change", "old_text", "new_text")
+    marked = lambda c: F.coalesce(F.regexp_like(F.trim(c), F.lit(deleted)), F.lit(False))
+    had, has = F.col("_old").isNotNull(), F.col("_new").isNotNull()
+    change = (
+        F.when(had & ~has, "deleted")
+        .when(has & ~had, F.when(marked(F.col("_new")), "deleted").otherwise("added"))
+        .when(marked(F.col("_new")) & ~marked(F.col("_old")), "deleted")
+        .when(bare(F.col("_old")) != bare(F.col("_new")), "modified")
+    )
+    empty = F.lit("")
+    return both.withColumn("change", change).filter("change is not null").select(*keys, "change", F.coalesce("_old", empty).alias("old_text"), F.coalesce("_new", empty).alias("new_text"))
 
 
 def changes(stored: DataFrame, seen: DataFrame, keys: list[str], status: str, tags: str, fill: str) -> DataFrame:

@@ -24,10 +24,33 @@ def hourly_buckets(spark, sf):
 
 
 @register("quota_denials", """
-    SELECT event_id, hour_n::INT AS hour_n, day_n::INT AS day_n, hour_n > 1 OR day_n > 4 AS denied FROM (SELECT event_id,
-        row_number() OVER (PARTITION BY user_id, date_trunc('hour', ts) ORDER BY ts, event_id) hour_n, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) day_n FROM events)""")
+    WITH c AS (SELECT event_id, user_id, ts, user_id % 10 = 0 AS free, (ts + INTERVAL 9 HOUR)::DATE AS day, date_trunc('hour', ts) AS hour FROM events),
+    h AS (SELECT user_id, day, hour, CASE WHEN any_value(free) THEN count(*) ELSE least(count(*), 1) END AS let FROM c GROUP BY ALL),
+    b AS (SELECT *, coalesce(sum(let) OVER (PARTITION BY user_id, day ORDER BY hour ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM h),
+    r AS (SELECT c.*, row_number() OVER (PARTITION BY c.user_id, c.day, c.hour ORDER BY ts, event_id) AS r, CASE WHEN free THEN before ELSE least(before, 4) END AS before
+          FROM c JOIN b ON c.user_id = b.user_id AND c.day = b.day AND c.hour = b.hour),
+    n AS (SELECT event_id, free, CASE WHEN free THEN r - 1 ELSE least(r - 1, 1, 4 - before) END AS own, before FROM r)
+    SELECT event_id, (own + 1)::INT AS hour_n, (before + own + 1)::INT AS day_n, NOT free AND (own + 1 > 1 OR before + own + 1 > 4) AS denied FROM n""")
 def quota_denials(spark, sf):
-    return ev.quota(table(spark, sf, "events"), "user_id", "ts", "event_id", 1, 4).select("event_id", "hour_n", "day_n", "denied")
+    calls = table(spark, sf, "events").withColumn("free", F.col("user_id") % 10 == 0)
+    return ev.quota(calls, "user_id", "ts", "event_id", 1, 4, "free").select("event_id", "hour_n", "day_n", "denied")
+
+
+@register("team_quota", """
+    WITH RECURSIVE c AS (SELECT event_id, user_id, user_id % 40 AS team, (ts + INTERVAL 9 HOUR)::DATE AS day, row_number() OVER (PARTITION BY user_id % 40, (ts + INTERVAL 9 HOUR)::DATE ORDER BY ts, event_id) AS k FROM events),
+    step(team, day, k, event_id, used, reason) AS (
+        SELECT team, day, 1, event_id, MAP {user_id: 1}, NULL::VARCHAR FROM c WHERE k = 1
+        UNION ALL
+        SELECT c.team, c.day, c.k, c.event_id,
+               CASE WHEN coalesce(used[c.user_id], 0) < 2 AND list_sum(map_values(used)) < 3
+                    THEN map_from_entries([e FOR e IN map_entries(used) IF e.key <> c.user_id] || [{'key': c.user_id, 'value': (coalesce(used[c.user_id], 0) + 1)::INT}]) ELSE used END,
+               CASE WHEN coalesce(used[c.user_id], 0) >= 2 THEN 'member_limit' WHEN list_sum(map_values(used)) >= 3 THEN 'team_limit' END
+        FROM step s JOIN c ON c.team = s.team AND c.day = s.day AND c.k = s.k + 1)
+    SELECT event_id, reason FROM step""")
+def team_quota(spark, sf):
+    """The twin walks call by call; the operator works on ranks."""
+    calls = table(spark, sf, "events").withColumns({"team": F.col("user_id") % 40, "member": F.lit(2), "sum": F.lit(3), "free": F.lit(False)})
+    return ev.member_quota(calls, "user_id", "team", "ts", "event_id", "member", "sum", "free", "free").select("event_id", "reason")
 
 
 @register("business_hours", """
@@ -58,9 +81,9 @@ def watchdog_new_items(spark, sf):
 
 
 PLAN_SQL = """
-    WITH q AS (SELECT event_id AS item, ts AS created_at, CASE WHEN event_id % 5 = 0 THEN [] ELSE [event_type] END AS tags FROM events),
-    s AS (SELECT DISTINCT user_id AS subscriber, CASE WHEN user_id % 3 = 0 THEN NULL ELSE TIMESTAMP '2024-01-29' + INTERVAL (user_id) MINUTE END AS watermark, CASE user_id % 4 WHEN 0 THEN [] WHEN 1 THEN ['click'] ELSE ['view', 'error'] END AS tags FROM events WHERE user_id < 20),
-    p AS (SELECT subscriber, item, created_at, len(s.tags) = 0 OR len(q.tags) = 0 OR list_has_any(q.tags, s.tags) AS deliver FROM q JOIN s ON
+    WITH q AS (SELECT event_id AS item, ts AS created_at, CASE WHEN event_id % 5 = 0 THEN [] WHEN event_id % 7 = 0 THEN NULL ELSE [event_type] END AS tags FROM events),
+    s AS (SELECT DISTINCT user_id AS subscriber, CASE WHEN user_id % 3 = 0 THEN NULL ELSE TIMESTAMP '2024-01-29' + INTERVAL (user_id) MINUTE END AS watermark, CASE user_id % 4 WHEN 0 THEN [] WHEN 1 THEN ['click'] ELSE ['view', 'error'] END AS tags FROM events),
+    p AS (SELECT subscriber, item, created_at, len(s.tags) = 0 OR coalesce(len(q.tags), 0) = 0 OR list_has_any(q.tags, s.tags) AS deliver FROM q JOIN s ON
         created_at > coalesce(watermark, date_trunc('day', TIMESTAMP '2024-01-30 18:00:00')) AND created_at <= TIMESTAMP '2024-01-30 18:00:00' - INTERVAL 15 MINUTE AND created_at >= TIMESTAMP '2024-01-30 18:00:00' - INTERVAL 72 HOUR)
 """
 
@@ -68,7 +91,7 @@ PLAN_SQL = """
 def _plan(spark, sf):
     events, u = table(spark, sf, "events"), F.col("user_id")
     none = F.array().cast("array<string>")
-    queue = events.select(F.col("event_id").alias("item"), F.col("ts").alias("created_at"), F.when(F.col("event_id") % 5 == 0, none).otherwise(F.array("event_type")).alias("tags"))
+    queue = events.select(F.col("event_id").alias("item"), F.col("ts").alias("created_at"), F.when(F.col("event_id") % 5 == 0, none).when(F.col("event_id") % 7 != 0, F.array("event_type")).alias("tags"))
     tags = F.when(u % 4 == 0, none).when(u % 4 == 1, F.array(F.lit("click"))).otherwise(F.array(F.lit("view"), F.lit("error")))
     mark = F.when(u % 3 != 0, F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-29 00:00:00")) + u * 60))
     subscribers = events.select("user_id").distinct().select(u.alias("subscriber"), mark.alias("watermark"), tags.alias("tags"))
@@ -110,12 +133,14 @@ def sessions(spark, sf):
 
 
 @register("dedup_within_horizon", """
-    SELECT event_id FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) was FROM events) WHERE was IS NULL OR ts > was + INTERVAL 20 HOUR""")
+    WITH RECURSIVE kept(user_id, event_type, ts, event_id) AS (
+        SELECT user_id, event_type, m.ts, m.event_id FROM (SELECT user_id, event_type, min({'ts': ts, 'event_id': event_id}) AS m FROM events GROUP BY ALL)
+        UNION ALL
+        SELECT user_id, event_type, m.ts, m.event_id FROM (
+            SELECT k.user_id, k.event_type, min({'ts': e.ts, 'event_id': e.event_id}) AS m FROM kept k JOIN events e ON e.user_id = k.user_id AND e.event_type = k.event_type AND e.ts > k.ts + INTERVAL 20 HOUR GROUP BY ALL))
+    SELECT event_id FROM kept""")
 def dedup_within_horizon(spark, sf):
-    from pyspark.sql import Window as W
-
-    was = F.lag("ts").over(W.partitionBy("user_id", "event_type").orderBy("ts", "event_id"))
-    return table(spark, sf, "events").withColumn("was", was).filter(F.col("was").isNull() | (F.col("ts") > F.col("was") + F.expr("INTERVAL 20 HOURS"))).select("event_id")
+    return ev.first_within(table(spark, sf, "events"), ["user_id", "event_type"], "ts", "event_id", 20 * 3600).select("event_id")
 
 
 @register("screening_cache", """
@@ -204,11 +229,11 @@ def carryover(spark, sf):
 
 
 @register("suppression", """
-    SELECT event_id, CASE WHEN event_id % 3 = 0 AND age < 18 THEN 'suppress' WHEN event_id % 4 = 0 AND age < 24 THEN 'suppress' WHEN event_id % 4 = 0 AND share >= 0.5 THEN 'remind' WHEN event_id % 4 = 0 THEN 'hold' ELSE 'pass' END AS action
-    FROM (SELECT event_id, CASE WHEN event_id % 11 <> 0 THEN value END AS age, (event_id % 10) / 10.0 AS share FROM events)""")
+    SELECT event_id, CASE WHEN event_id % 3 = 0 AND age < 18 THEN 'suppress' WHEN event_id % 4 = 0 AND age < 24 THEN 'suppress' WHEN event_id % 4 = 0 AND coalesce(share, 1) >= 0.5 THEN 'remind' WHEN event_id % 4 = 0 THEN 'hold' ELSE 'pass' END AS action
+    FROM (SELECT event_id, CASE WHEN event_id % 11 <> 0 THEN value END AS age, CASE WHEN event_id % 13 <> 0 THEN (event_id % 10) / 10.0 END AS share FROM events)""")
 def suppression(spark, sf):
     k = F.col("event_id")
-    rows = table(spark, sf, "events").select("event_id", F.when(k % 11 != 0, F.col("value")).alias("age"), (k % 3 == 0).alias("kw"), F.when(k % 4 == 0, True).when(k % 4 == 1, False).alias("same"), ((k % 10) / 10.0).alias("share"))
+    rows = table(spark, sf, "events").select("event_id", F.when(k % 11 != 0, F.col("value")).alias("age"), (k % 3 == 0).alias("kw"), F.when(k % 4 == 0, True).when(k % 4 == 1, False).alias("same"), F.when(k % 13 != 0, (k % 10) / 10.0).alias("share"))
     return cl.suppression(rows, "age", "kw", "same", "share").select("event_id", "action")
 
 
@@ -238,12 +263,26 @@ def issue_lifecycle(spark, sf):
 def suppression_chains(spark, sf):
     k = F.col("event_id")
     links = table(spark, sf, "events").filter(k % 50 > 3).select(k.alias("child"), (k - 1 - k % 3).alias("parent"), (k % 17 == 0).alias("flag"))
-    return cl.representatives(links, "child", "parent", "flag", most=6)
+    return cl.representatives(links, "child", "parent", "flag")
+
 
+TITLES_SQL = r"""
+    WITH RECURSIVE p AS (SELECT page_id, regexp_extract(url, 'https?://([^/]+)', 1) AS host, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title FROM pages),
+    i AS (SELECT page_id, host, title, list_filter(list_distinct(regexp_extract_all(lower(title), '[\p{L}\p{N}]{2,}')),
+        lambda w: w NOT IN ('the', 'and', 'of', 'to', 'a', 'in', 'is', 'that', 'de', 'la', 'le', 'der', 'die', 'und', 'el', 'los')) AS words,
+        row_number() OVER (PARTITION BY host ORDER BY page_id) AS k FROM p)
+"""
 
-@register("star_cluster")
+
+@register("star_cluster", TITLES_SQL + """
+    , walk(host, k, page_id, seeds, seed) AS (
+        SELECT host, k, page_id, [{'id': page_id, 'w': words}], page_id FROM i WHERE k = 1
+        UNION ALL
+        SELECT n.host, n.k, n.page_id, CASE WHEN hit IS NULL THEN n.seeds || [{'id': n.page_id, 'w': n.words}] ELSE n.seeds END, coalesce(hit, n.page_id)
+        FROM (SELECT w.host, w.k + 1 AS k, w.seeds, i.page_id, i.words, list_filter(w.seeds, lambda s: len(list_intersect(s.w, i.words)) >= 2)[1].id AS hit FROM walk w JOIN i ON i.host = w.host AND i.k = w.k + 1) n)
+    SELECT host, page_id, seed AS seed_id FROM walk""")
 def star_cluster(spark, sf):
-    """Star clusters of page titles by host (sequential; tested against hand-made cases)."""
+    """Star clusters of page titles by host; the twin walks page by page."""
     title = F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)
     items = table(spark, sf, "pages").select("page_id", F.regexp_extract("url", r"https?://([^/]+)", 1).alias("host"), tx.tokens(title).alias("tokens"))
     return cl.star_clusters(items, ["host"], "page_id", "page_id", "tokens", 2)
@@ -251,7 +290,58 @@ def star_cluster(spark, sf):
 
 @register("event_groups")
 def event_groups(spark, sf):
-    """Groups of one event (sequential; tested against hand-made cases)."""
-    title = F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)
-    items = table(spark, sf, "pages").select("page_id", F.regexp_extract("url", r"https?://([^/]+)", 1).alias("host"), F.substring(title, 1, 20).alias("event"), tx.tokens(title).alias("words"), F.array().cast("array<string>").alias("tags"))
+    """Groups of one event (sequential; held against plain Python over whole pages in the tests)."""
+    title, heading = (F.regexp_extract("html", f"(?s)<{t}>(.*?)</{t}>", 1) for t in ("title", "h1"))
+    words = F.regexp_extract_all(F.lower(title), F.lit(r"[\p{L}\p{N}]{2,}"), F.lit(0))
+    tags = F.when(F.col("page_id") % 3 != 0, F.array((F.col("page_id") % 2).cast("string")))
+    label = F.when(F.col("page_id") % 4 != 0, heading)
+    items = table(spark, sf, "pages").select("page_id", F.regexp_extract("url", r"https?://([^/]+)", 1).alias("host"), label.alias("event"), words.alias("words"), tags.alias("tags"))
     return cl.event_groups(items, ["host"], "page_id", "page_id", "event", "words", "tags")
+
+
+ALERTS_SQL = """
+    WITH RECURSIVE t AS (SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) AS h1, TIMESTAMP '2026-01-10' - INTERVAL (page_id % 80) HOUR AS seen FROM pages),
+    tok AS (SELECT page_id, title, seen, list_distinct(regexp_extract_all(lower(title || ' ' || h1), '[a-zà-ÿ]{2,}')) AS w FROM t WHERE title <> ''),
+    items AS (SELECT page_id AS item, title, seen, w FROM tok WHERE page_id % 10 = 1),
+    hist AS (SELECT title, seen, w FROM (SELECT *, row_number() OVER (PARTITION BY title ORDER BY seen DESC) r FROM tok WHERE page_id % 10 <> 1) WHERE r = 1),
+    sup AS (SELECT title AS child, any_value(parent ORDER BY page_id) AS parent, any_value(j ORDER BY page_id) AS j FROM (SELECT a.page_id, a.title, b.title AS parent, a.page_id % 20 = 4 AS j FROM tok a JOIN tok b ON b.page_id = a.page_id - 2 WHERE a.page_id % 10 IN (4, 6) AND a.title <> b.title AND a.title > b.title) GROUP BY title),
+    walk(child, u, j) AS (SELECT child, parent, j FROM sup UNION ALL SELECT w.child, s.parent, w.j OR s.j FROM walk w JOIN sup s ON w.u = s.child),
+    chain AS (SELECT child, u AS rep, j FROM walk WHERE u NOT IN (SELECT child FROM sup)),
+    rep AS (SELECT h.title, h.seen, h.w, coalesce(c.rep, h.title) AS rep, coalesce(c.j, false) AS j, c.rep IS NOT NULL AS down FROM hist h LEFT JOIN chain c ON h.title = c.child),
+    rep2 AS (SELECT r.*, a.seen AS rep_at FROM rep r LEFT JOIN hist a ON r.rep = a.title),
+    m AS (SELECT i.item, r.title, r.rep, r.rep_at, row_number() OVER (PARTITION BY i.item ORDER BY r.seen DESC, r.title) k FROM items i JOIN rep2 r ON NOT r.j AND len(list_intersect(i.w, r.w)) >= 3
+          WHERE NOT (contains(i.title, 'tion') AND NOT contains(r.title, 'tion'))),
+    v AS (SELECT i.item, r.title, r.rep_at AS seen, r.w FROM items i JOIN tok x ON x.page_id = i.item + 1 JOIN rep2 r ON r.title = x.title AND NOT r.down WHERE i.item % 20 = 1),
+    a AS (SELECT i.item, i.title, i.seen, i.w, m.title AS kw_title, m.rep AS kw_rep, v.title AS v_title, v.w AS v_w, coalesce(date_diff('microsecond', m.rep_at, TIMESTAMP '2026-01-10') / 3.6e9 < 18, false) AS kw,
+                 date_diff('microsecond', v.seen, TIMESTAMP '2026-01-10') / 3.6e9 AS age FROM items i LEFT JOIN m ON i.item = m.item AND m.k = 1 LEFT JOIN v ON i.item = v.item),
+    share AS (SELECT a.item, count(*) FILTER (x.page_id % 3 = 0) / count(*) AS share FROM a JOIN tok x ON len(list_intersect(a.w, x.w)) >= 3 OR len(list_intersect(a.v_w, x.w)) >= 3 WHERE NOT kw AND v_title IS NOT NULL GROUP BY a.item),
+    acted AS (SELECT a.*, CASE WHEN kw THEN 'suppress' WHEN v_title IS NULL THEN 'pass' WHEN age < 24 THEN 'suppress' WHEN coalesce(share, 1) >= 0.5 THEN 'remind' ELSE 'hold' END AS action,
+                     CASE WHEN kw THEN kw_title ELSE v_title END AS matched FROM a LEFT JOIN share USING (item)),
+    out AS (SELECT *, row_number() OVER (ORDER BY seen, item) AS k FROM acted WHERE action IN ('pass', 'remind')),
+    star(k, item, seeds, seed) AS (
+        SELECT k, item, [{'id': item, 'w': w}], item FROM out WHERE k = 1
+        UNION ALL
+        SELECT n.k, n.item, CASE WHEN hit IS NULL THEN seeds || [{'id': n.item, 'w': n.w}] ELSE seeds END, coalesce(hit, n.item)
+        FROM (SELECT s.seeds, o.k, o.item, o.w, list_filter(seeds, lambda s: len(list_intersect(s.w, o.w)) >= 3)[1].id AS hit FROM star s JOIN out o ON o.k = s.k + 1) n),
+    f AS (SELECT a.item, a.action, a.matched, a.kw, a.kw_rep, s.seed, h.title AS head, max(CASE WHEN a.action = 'remind' THEN 1 END) OVER (PARTITION BY s.seed) AS passed_on FROM acted a LEFT JOIN star s USING (item) LEFT JOIN items h ON h.item = s.seed)
+    SELECT item, CASE WHEN seed <> item THEN 'merge' WHEN seed IS NOT NULL AND passed_on = 1 THEN 'remind' ELSE action END AS action,
+           CASE WHEN seed <> item THEN head ELSE matched END AS matched, CASE WHEN seed <> item THEN head WHEN kw THEN kw_rep ELSE matched END AS rep FROM f
+"""
+
+
+@register("repeat_alerts", ALERTS_SQL)
+def repeat_alerts(spark, sf):
+    """New alerts against three days of reports: history, chains, verdicts, shares and stars; every tenth page is an alert
+    (that is the role it plays), all others are reports."""
+    k = F.col("page_id")
+    title, h1 = (F.regexp_extract("html", f"(?s)<{t}>(.*?)</{t}>", 1) for t in ("title", "h1"))
+    at = F.timestamp_seconds(F.unix_timestamp(F.lit("2026-01-10 00:00:00")) - (k % 80) * 3600)
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.concat(title, F.lit(" "), h1)), F.lit("[a-zà-ÿ]{2,}"), F.lit(0)))
+    tok = table(spark, sf, "pages").select("page_id", title.alias("title"), at.alias("at"), words.alias("tokens")).filter("title != ''")
+    items = tok.filter(k % 10 == 1).select(k.alias("item"), "title", "at", "tokens")
+    parents = tok.select((k + 2).alias("page_id"), F.col("title").alias("parent"))
+    links = tok.filter((k % 10).isin(4, 6)).join(parents, "page_id").filter((F.col("title") != F.col("parent")) & (F.col("title") > F.col("parent")))
+    links = links.groupBy(F.col("title").alias("child")).agg(F.min_by("parent", "page_id").alias("parent"), F.min_by(k % 20 == 4, "page_id").alias("judged"))
+    told = items.filter("item % 20 = 1").join(tok.select((k - 1).alias("item"), F.col("title").alias("matched")), "item").select("item", "matched")
+    window = tok.select("title", "tokens", (k % 3 == 0).alias("kept"))
+    return cl.repeat_alerts(items, tok.filter(k % 10 != 1), links, window, told, F.lit("2026-01-10").cast("timestamp"), ["tion"])

@@ -53,18 +53,18 @@ def version_noop_removal(spark, sf):
 
 
 @register("article_diff", r"""
-    WITH a AS (SELECT o_orderkey k, o_orderpriority t FROM orders WHERE o_orderkey % 3 <> 0),
-         b AS (SELECT o_orderkey k, CASE WHEN o_orderkey % 11 = 0 THEN 'Deleted ' WHEN o_orderkey % 7 = 0 THEN o_orderpriority || o_orderstatus ELSE replace(o_orderpriority, ' ', '  ') END t FROM orders WHERE o_orderkey % 5 <> 0)
-    SELECT k AS o_orderkey, change, old_text, new_text FROM (
-        SELECT coalesce(a.k, b.k) k, a.t old_text, b.t new_text,
-               CASE WHEN a.t IS NULL AND lower(trim(b.t)) <> 'deleted' THEN 'added' WHEN a.t IS NOT NULL AND (b.t IS NULL OR lower(trim(b.t)) = 'deleted') THEN 'deleted'
-                    WHEN regexp_replace(a.t, '\s+', '', 'g') <> regexp_replace(b.t, '\s+', '', 'g') THEN 'modified' END change
-        FROM a FULL JOIN b ON a.k = b.k) WHERE change IS NOT NULL""")
+    WITH a AS (SELECT o_orderkey k, CASE WHEN o_orderkey % 13 = 0 THEN '제3조 삭제' ELSE o_orderpriority END t FROM orders WHERE o_orderkey % 3 <> 0),
+         b AS (SELECT o_orderkey k, CASE WHEN o_orderkey % 11 = 0 OR o_orderkey % 26 = 0 THEN ' 제3조의2(목적) 삭제 <2024>' WHEN o_orderkey % 7 = 0 THEN o_orderpriority || o_orderstatus ELSE replace(o_orderpriority, ' ', '  ') END t FROM orders WHERE o_orderkey % 5 <> 0),
+         f AS (SELECT coalesce(a.k, b.k) k, a.t o, b.t n, regexp_matches(trim(a.t), '^제\s*[0-9]+조(의[0-9]+)?(\([^)]*\))?\s*삭제') od, regexp_matches(trim(b.t), '^제\s*[0-9]+조(의[0-9]+)?(\([^)]*\))?\s*삭제') nd FROM a FULL JOIN b ON a.k = b.k)
+    SELECT k AS o_orderkey, change, coalesce(o, '') AS old_text, coalesce(n, '') AS new_text FROM (
+        SELECT *, CASE WHEN n IS NULL THEN 'deleted' WHEN o IS NULL THEN CASE WHEN nd THEN 'deleted' ELSE 'added' END WHEN nd AND NOT od THEN 'deleted'
+                       WHEN regexp_replace(o, '\s+', '', 'g') <> regexp_replace(n, '\s+', '', 'g') THEN 'modified' END change FROM f) WHERE change IS NOT NULL""")
 def article_diff(spark, sf):
     orders = table(spark, sf, "orders")
     k, p = F.col("o_orderkey"), F.col("o_orderpriority")
-    old = orders.filter(k % 3 != 0).select("o_orderkey", p.alias("t"))
-    new = orders.filter(k % 5 != 0).select("o_orderkey", F.when(k % 11 == 0, "Deleted ").when(k % 7 == 0, F.concat(p, "o_orderstatus")).otherwise(F.replace(p, F.lit(" "), F.lit("  "))).alias("t"))
+    old = orders.filter(k % 3 != 0).select("o_orderkey", F.when(k % 13 == 0, "제3조 삭제").otherwise(p).alias("t"))
+    gone = (k % 11 == 0) | (k % 26 == 0)
+    new = orders.filter(k % 5 != 0).select("o_orderkey", F.when(gone, " 제3조의2(목적) 삭제 <2024>").when(k % 7 == 0, F.concat(p, "o_orderstatus")).otherwise(F.replace(p, F.lit(" "), F.lit("  "))).alias("t"))
     return tb.keyed_diff(old, new, ["o_orderkey"], "t")
 
 
@@ -162,13 +162,15 @@ def rule_first_match(spark, sf):
 
 
 @register("team_override", RULE_SQL + """
-    SELECT doc_id, (CASE doc_id % 4 WHEN 0 THEN 0 WHEN 1 THEN own WHEN 2 THEN common ELSE 1 END)::INT AS eff,
-           (CASE doc_id % 4 WHEN 0 THEN least(0, common) WHEN 1 THEN own WHEN 2 THEN common ELSE 1 END)::INT AS alert FROM lv""")
+    SELECT doc_id, eff::INT AS eff, (CASE WHEN doc_id % 6 IN (0, 4) THEN least(eff, common) ELSE eff END)::INT AS alert FROM (
+        SELECT doc_id, common, CASE doc_id % 6 WHEN 0 THEN 0 WHEN 1 THEN CASE WHEN rule_id = 'r2' OR rule_id = 'r1' THEN own ELSE common END WHEN 3 THEN 1 ELSE common END AS eff FROM lv)""")
 def team_override(spark, sf):
-    k = F.col("doc_id") % 4
-    source = F.when(k == 0, "human").when(k == 1, "rule").when(k == 3, "ai")
-    stored = F.when(k == 0, "reference").when(k == 3, "normal")
-    out = ruled(spark, sf).withColumn("eff", ru.effective(source, stored, F.col("own"), F.col("common")))
+    """Six kinds of rows: people, rules (r3 is another team's), none, a model, and people and models with unknown levels."""
+    k = F.col("doc_id") % 6
+    source = F.when(k.isin(0, 4), "human").when(k == 1, "rule").when(k.isin(3, 5), "ai")
+    stored = F.when(k == 0, "reference").when(k == 3, "normal").when(k.isin(4, 5), "high")
+    now = ru.recomputed(F.when(F.col("rule_id") == "r3", 9).otherwise(1), F.lit(1), F.col("rule_id").isNotNull(), F.col("rule_mode"), F.col("rule_level"), F.col("common"))
+    out = ruled(spark, sf).withColumn("eff", ru.effective(source, stored, now, F.col("common")))
     return out.select("doc_id", F.col("eff"), ru.alert_rank(source, F.col("eff"), F.col("common")).alias("alert"))
 
 
@@ -191,18 +193,29 @@ def sentence_rules(spark, sf):
     return ru.sentence_decision(rows, "item")
 
 
-@register("rule_faults", "SELECT * FROM (VALUES ('r5', 'no any_words')) t(id, fault)")
+@register("rule_faults", """
+    WITH r AS (SELECT 'q' || (p_partkey % 900) AS id, CASE p_partkey % 4 WHEN 0 THEN 'sat' WHEN 1 THEN 'min' ELSE 'set' END AS mode, CASE WHEN p_size > 48 THEN 'high' ELSE 'normal' END AS level, CASE WHEN p_size % 9 = 0 THEN []::VARCHAR[] ELSE [p_type] END AS any_words, CASE WHEN p_size % 7 = 0 THEN [[]::VARCHAR[]] ELSE [[p_brand]] END AS and_any FROM part)
+    SELECT id, fault FROM (SELECT id, unnest([CASE WHEN len(any_words) = 0 THEN 'no any_words' END, CASE WHEN mode NOT IN ('min', 'set') THEN 'mode' END, CASE WHEN level = 'high' THEN 'level' END, CASE WHEN len(and_any[1]) = 0 THEN 'empty group' END]) AS fault FROM r) WHERE fault IS NOT NULL
+    UNION ALL SELECT id, 'duplicate id' FROM r GROUP BY id HAVING count(*) > 1""")
 def rule_faults(spark, sf):
-    return ru.faults(spark.createDataFrame(RULES, RULE_SCHEMA))
+    p = table(spark, sf, "part")
+    none = F.array().cast("array<string>")
+    rules = p.select(
+        F.concat(F.lit("q"), F.col("p_partkey") % 900).alias("id"), F.when(F.col("p_partkey") % 4 == 0, "sat").when(F.col("p_partkey") % 4 == 1, "min").otherwise("set").alias("mode"),
+        F.when(F.col("p_size") > 48, "high").otherwise("normal").alias("level"), F.when(F.col("p_size") % 9 == 0, none).otherwise(F.array("p_type")).alias("any_words"),
+        F.when(F.col("p_size") % 7 == 0, F.array(none)).otherwise(F.array(F.array("p_brand"))).alias("and_any"))
+    return ru.faults(rules)
 
 
 @register("vote_combination", """
-    WITH v AS (SELECT o_custkey, list_sort(list(CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE (o_orderkey % 3)::INT END) FILTER (o_orderkey % 5 <> 0)) AS s FROM orders GROUP BY 1)
-    SELECT o_custkey, CASE len(s) WHEN 1 THEN s[1] WHEN 2 THEN CASE WHEN s[1] = s[2] THEN s[1] END WHEN 3 THEN s[2] ELSE
+    WITH v AS (SELECT o_custkey, list_sort(list((o_orderkey % 3)::INT) FILTER (o_orderkey % 5 <> 0)) AS s, count(*) AS n FROM orders GROUP BY 1)
+    SELECT o_custkey, CASE WHEN n = 1 THEN s[1] WHEN coalesce(len(s), 0) < 2 THEN NULL WHEN len(s) = 2 THEN CASE WHEN s[1] = s[2] THEN s[1] END WHEN len(s) = 3 THEN s[2] ELSE
         (SELECT x FROM (SELECT unnest(s) x) GROUP BY x ORDER BY count(*) DESC, x LIMIT 1) END AS vote FROM v""")
 def vote_combination(spark, sf):
-    v = F.when(F.col("o_orderkey") % 5 != 0, (F.col("o_orderkey") % 3).cast("int"))
-    return table(spark, sf, "orders").groupBy("o_custkey").agg(F.collect_list(v).alias("s")).select("o_custkey", ru.combined_votes(F.col("s")).alias("vote"))
+    """Votes with nulls in place: collect_list would leave them out."""
+    v = F.struct(F.when(F.col("o_orderkey") % 5 != 0, (F.col("o_orderkey") % 3).cast("int")).alias("v"))
+    votes = F.transform("s", lambda x: x["v"])
+    return table(spark, sf, "orders").groupBy("o_custkey").agg(F.collect_list(v).alias("s")).select("o_custkey", ru.combined_votes(votes).alias("vote"))
 
 
 @register("numeric_key_sort", """

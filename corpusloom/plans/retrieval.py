@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusloom.functions import chunks as ch
 from corpusloom.functions import text as tx
 from corpusloom.functions import udfs
 from corpusloom.operators import graph as gr
 from corpusloom.operators import search as se
 from corpusloom.plans.registry import register
-from corpusloom.session import table
+from corpusloom.session import checkpointed, table
 
 KEYWORDS = ["that", "tion", "und", "les", "para"]
 HITS_SQL = """
@@ -24,31 +25,53 @@ def keyword_hit_matrix(spark, sf):
     return se.hit_matrix(table(spark, sf, "documents"), "doc_id", "text", KEYWORDS)
 
 
+CHUNKS_SQL = r"""
+    WITH ch AS (SELECT doc_id AS id, source || CASE WHEN doc_id % 9 = 0 THEN '.pdf' WHEN doc_id % 4 = 1 THEN ' act' ELSE '' END AS doc_name, source = 'wiki' AS dom, lang AS doc_category,
+        CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 7 = 1 THEN '부칙' WHEN doc_id % 7 = 2 THEN '별표 ' || doc_id ELSE (doc_id % 90) || '조(' || string_split(text, chr(10))[1] || ')' END AS article_no,
+        CASE WHEN doc_id % 13 = 0 THEN NULL ELSE doc_id % 11 <> 0 END AS is_approved, CASE doc_id % 5 WHEN 0 THEN 'pending' WHEN 1 THEN 'superseded' ELSE 'current' END AS status, text AS content FROM documents),
+    cur AS (SELECT * FROM ch WHERE is_approved AND status = 'current'),
+    kw(ord, k) AS (VALUES (1, 'that'), (2, 'tion'), (3, 'und'), (4, 'les'), (5, 'para')),
+    m AS (SELECT id, any_value(dom) AS dom, any_value(article_no) AS article_no, list(ord) FILTER (contains(lower(content), k)) AS c, list(ord) FILTER (contains(lower(coalesce(article_no, '')), k)) AS t FROM cur, kw GROUP BY id)
+"""
+
+
+def chunks(spark, sf):
+    """The documents as chunks of a knowledge base: name, article, approval and version made from id and first line."""
+    k, first = F.col("doc_id"), F.get(F.split("text", "\n"), F.lit(0))
+    return table(spark, sf, "documents").select(
+        k.alias("id"), F.concat("source", F.when(k % 9 == 0, ".pdf").when(k % 4 == 1, " act").otherwise("")).alias("doc_name"), (F.col("source") == "wiki").alias("dom"), F.col("lang").alias("doc_category"),
+        F.when(k % 7 == 0, None).when(k % 7 == 1, "부칙").when(k % 7 == 2, F.concat(F.lit("별표 "), k)).otherwise(F.concat((k % 90).cast("string"), F.lit("조("), first, F.lit(")"))).alias("article_no"),
+        F.when(k % 13 != 0, k % 11 != 0).alias("is_approved"), F.when(k % 5 == 0, "pending").when(k % 5 == 1, "superseded").otherwise("current").alias("status"), F.col("text").alias("content"))
+
+
 def _greedy_sql(n=5, per=4):
-    parts = [HITS_SQL + ", c AS (SELECT doc_id, count(*) AS m FROM hits GROUP BY 1), h AS (SELECT hits.*, m FROM hits JOIN c USING (doc_id))"]
+    parts = [CHUNKS_SQL + ", h AS (SELECT id, unnest(c) AS ord, len(c) AS m, coalesce(t, []) AS t, coalesce(regexp_matches(article_no, '^[0-9]+조'), false) AS art, dom FROM m)"]
     for i in range(1, n + 1):
-        before = " UNION ALL ".join(f"SELECT doc_id FROM p{j}" for j in range(1, i))
-        parts.append(f", p{i} AS (SELECT doc_id, ord FROM h WHERE ord = {i} {f'AND doc_id NOT IN ({before})' if before else ''} ORDER BY m DESC, n_chars, doc_id LIMIT {per})")
+        before = " UNION ALL ".join(f"SELECT id FROM p{j}" for j in range(1, i))
+        parts.append(f", p{i} AS (SELECT id, ord FROM h WHERE ord = {i} {f'AND id NOT IN ({before})' if before else ''} ORDER BY m DESC, list_contains(t, {i}) DESC, art DESC, dom DESC, id LIMIT {per})")
     return "".join(parts) + " ".join(f"{'UNION ALL' if i > 1 else ''} SELECT * FROM p{i}" for i in range(1, n + 1))
 
 
 @register("keyword_greedy_pick", _greedy_sql())
 def keyword_greedy_pick(spark, sf):
-    docs = table(spark, sf, "documents")
-    hits = se.hit_matrix(docs, "doc_id", "text", KEYWORDS)
-    many = hits.groupBy("doc_id").agg(F.count(F.lit(1)).alias("m"))
-    rows = hits.join(many, "doc_id").join(docs.select("doc_id", "n_chars"), "doc_id").cache()
-    return se.greedy_pick(rows, "doc_id", [F.desc("m"), F.asc("n_chars")], len(KEYWORDS), 4)
-
-
-@register("article_dual_quota", """
-    WITH kw(ord, k) AS (VALUES (1, 'that'), (2, 'tion'), (3, 'und'), (4, 'les'), (5, 'para')),
-    h AS (SELECT ord, CASE WHEN contains(lower(t), k) THEN 'title' WHEN contains(lower(text), k) THEN 'content' END AS hit_col, doc_id FROM (SELECT *, text[:60] AS t FROM documents), kw),
-    r AS (SELECT *, row_number() OVER (PARTITION BY ord, hit_col ORDER BY doc_id) AS place FROM h WHERE hit_col IS NOT NULL)
-    SELECT ord, hit_col, doc_id, place::INT AS place FROM r WHERE (hit_col = 'title' AND place <= 40) OR (hit_col = 'content' AND place <= 10)""")
+    """Approved, current chunks; most keywords first, then the keyword in the title, articles, the domain, the id."""
+    rows = se.current_only(chunks(spark, sf))
+    in_title = [tx.keyword_hit(F.coalesce("article_no", F.lit("")), F.lit(k)) for k in KEYWORDS]
+    rows = rows.select("id", "content", "dom", F.coalesce(F.col("article_no").rlike(r"^\d+조"), F.lit(False)).alias("art"), F.array(*in_title).alias("t"))
+    met = F.array_compact(F.array(*[F.when(tx.keyword_hit(F.col("content"), F.lit(k)), F.lit(i)) for i, k in enumerate(KEYWORDS, 1)]))
+    hits = rows.select("id", "dom", "art", "t", met.alias("c")).select("id", "dom", "art", F.size("c").alias("m"), "t", F.explode("c").alias("ord")).withColumn("thit", F.get("t", F.col("ord") - 1)).drop("t")
+    return se.greedy_pick(checkpointed(hits), "id", [F.desc("m"), F.desc("thit"), F.desc("art"), F.desc("dom")], len(KEYWORDS), 4)
+
+
+@register("article_dual_quota", CHUNKS_SQL + r"""
+    , a AS (SELECT id, any_value(dom) AS dom, coalesce(list(ord) FILTER (contains(lower(content), k)), []) AS c, coalesce(list(ord) FILTER (contains(lower(article_no), k)), []) AS t FROM cur, kw
+            WHERE article_no IS NOT NULL AND NOT regexp_matches(doc_name, '(?i)\.(pdf|md|docx|hwp)$') GROUP BY id),
+    r AS (SELECT unnest(t) AS ord, 'title' AS hit_col, id, len(t) AS own, len(c) AS other, dom FROM a UNION ALL SELECT unnest(c), 'content', id, len(c), len(t), dom FROM a),
+    p AS (SELECT *, row_number() OVER (PARTITION BY ord, hit_col ORDER BY own DESC, other DESC, dom DESC, id) AS place FROM r)
+    SELECT ord, hit_col, id, place::INT AS place FROM p WHERE place <= CASE hit_col WHEN 'title' THEN 40 ELSE 10 END""")
 def article_dual_quota(spark, sf):
-    docs = table(spark, sf, "documents").withColumn("t", F.substring("text", 1, 60))
-    return se.dual_quota(docs, "doc_id", "t", "text", KEYWORDS, 40, 10)
+    rows = se.current_only(chunks(spark, sf)).filter(F.col("article_no").isNotNull() & ~F.col("doc_name").rlike(r"(?i)\.(pdf|md|docx|hwp)$"))
+    return se.dual_quota(rows, "id", "article_no", "content", KEYWORDS, 40, 10, F.col("dom"))
 
 
 @register("any_keyword_score", HITS_SQL + """
@@ -57,14 +80,30 @@ def any_keyword_score(spark, sf):
     return se.any_keyword_score(table(spark, sf, "documents"), "doc_id", "text", KEYWORDS, 50)
 
 
-@register("chunk_fixed_overlap", """
-    SELECT doc_id, i - 1 AS chunk, md5(text[(i - 1) * 700 + 1:(i - 1) * 700 + 800]) AS digest FROM documents, unnest(range(1, greatest(1, ceil((length(text) - 100) / 700.0))::BIGINT + 1)) u(i)
-    WHERE length(text[(i - 1) * 700 + 1:(i - 1) * 700 + 800]) > 50""")
+@register("chunk_fixed_overlap", r"""
+    WITH b AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents WHERE regexp_matches(text, '\S')),
+    p AS (SELECT doc_id, i, CASE WHEN length(t) <= 800 THEN t ELSE t[i + 1:i + 800] END AS piece FROM b, unnest(CASE WHEN length(t) <= 800 THEN [0] ELSE range(0, length(t), 700) END) u(i)),
+    k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS chunk FROM p WHERE length(regexp_replace(piece, '^\s+|\s+$', '', 'g')) > 50)
+    SELECT doc_id, chunk, md5(piece) AS digest FROM k""")
 def chunk_fixed_overlap(spark, sf):
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil((F.length("text") - 100) / 700)).cast("int"))
-    rows = table(spark, sf, "documents").filter("text is not null").select("doc_id", "text", F.explode(starts).alias("i"))
-    piece = F.substr(F.col("text"), (F.col("i") - 1) * 700 + 1, F.lit(800))
-    return rows.filter(F.length(piece) > 50).select("doc_id", (F.col("i") - 1).cast("long").alias("chunk"), F.md5(piece).alias("digest"))
+    """The article chunker on texts without article heads: pieces of 800 characters, 700 apart, to the end of the text."""
+    pieces = table(spark, sf, "documents").select("doc_id", F.posexplode(ch.article_chunks(F.col("text"))).alias("chunk", "c"))
+    return pieces.select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.md5("c.content").alias("digest"))
+
+
+@register("article_chunks", r"""
+    WITH s AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '\S')) AS ls FROM documents),
+    b AS (SELECT doc_id, i, regexp_replace('제' || i || '조(' || ls[i] || ')', '^\s+|\s+$', '', 'g') AS t, regexp_extract('제' || i || '조(' || ls[i] || ')', '^제(\d+조(?:의\d+)?\([^)]*\))', 1) AS no FROM s, unnest(range(1, len(ls) + 1)) u(i) WHERE len(ls) >= 5),
+    p AS (SELECT doc_id, i, j, no, CASE WHEN length(t) <= 800 THEN t ELSE t[j + 1:j + 800] END AS piece FROM b, unnest(CASE WHEN length(t) <= 800 THEN [0] ELSE range(0, length(t), 700) END) u(j)),
+    k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1 AS chunk FROM p WHERE length(regexp_replace(piece, '^\s+|\s+$', '', 'g')) > 50)
+    SELECT doc_id, chunk, nullif(no, '') AS article_no, md5(piece) AS digest FROM k""")
+def article_chunks(spark, sf):
+    """Texts whose lines are made articles: at least five of them, each with its number."""
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"\S"))
+    body = F.array_join(F.transform(lines, lambda x, i: F.concat(F.lit("제"), (i + 1).cast("string"), F.lit("조("), x, F.lit(")"))), "\n")
+    docs = table(spark, sf, "documents").filter(F.size(lines) >= 5).select("doc_id", body.alias("body"))
+    pieces = docs.select("doc_id", F.posexplode(ch.article_chunks(F.col("body"))).alias("chunk", "c"))
+    return pieces.select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.col("c.article_no").alias("article_no"), F.md5("c.content").alias("digest"))
 
 
 @register("section_split", r"""
@@ -82,7 +121,7 @@ def title_tokens(spark, sf):
 
 
 PAIRS_SQL = r"""
-    WITH t AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]{6,}'), lambda w: w NOT IN ('the', 'and'))) AS w FROM benchmark),
+    WITH t AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]{2,}'), lambda w: w NOT IN ('the', 'and', 'of', 'to', 'a', 'in', 'is', 'that', 'de', 'la', 'le', 'der', 'die', 'und', 'el', 'los'))) AS w FROM benchmark),
     x AS (SELECT item_id, unnest(w) AS w FROM t)
 """
 
@@ -104,11 +143,14 @@ def bigram_jaccard(spark, sf):
 
 @register("ngram_containment", r"""
     WITH s AS (SELECT item_id, regexp_replace(lower(text), '[\s·ㆍ]+', '', 'g') t FROM benchmark), d AS (SELECT doc_id, regexp_replace(lower(text), '[\s·ㆍ]+', '', 'g') t FROM documents),
-    p AS (SELECT DISTINCT item_id, t[i:i + 39] g FROM s, unnest(range(1, length(t) - 38, 7)) u(i)), h AS (SELECT DISTINCT doc_id, t[i:i + 39] g FROM d, unnest(range(1, length(t) - 38)) u(i)),
-    n AS (SELECT item_id, count(*) probes FROM p GROUP BY 1), m AS (SELECT doc_id, item_id, count(*) hits FROM h JOIN p USING (g) GROUP BY ALL)
-    SELECT doc_id AS target, item_id AS source, hits, probes, round(hits / probes, 6) AS ratio FROM m JOIN n USING (item_id) WHERE round(hits / probes, 6) >= 0.15""")
+    sp AS (SELECT DISTINCT item_id, t[i:i + 5] g FROM s, unnest(range(1, length(t) - 4, 7)) u(i)), sg AS (SELECT DISTINCT item_id, t[i:i + 5] g FROM s, unnest(range(1, length(t) - 4)) u(i)),
+    dp AS (SELECT DISTINCT doc_id, t[i:i + 5] g FROM d, unnest(range(1, length(t) - 4, 7)) u(i)), dg AS (SELECT DISTINCT doc_id, t[i:i + 5] g FROM d, unnest(range(1, length(t) - 4)) u(i)),
+    sn AS (SELECT item_id, count(*) n FROM sp GROUP BY 1), dn AS (SELECT doc_id, count(*) n FROM dp GROUP BY 1),
+    f AS (SELECT doc_id, item_id, count(*) h FROM dg JOIN sp USING (g) GROUP BY ALL), r AS (SELECT doc_id, item_id, round(h / n, 6) AS ratio FROM f JOIN sn USING (item_id) WHERE round(h / n, 6) >= 0.15),
+    b AS (SELECT r.doc_id, r.item_id, ratio, count(*) h FROM r JOIN dp ON dp.doc_id = r.doc_id JOIN sg ON sg.item_id = r.item_id AND sg.g = dp.g GROUP BY ALL)
+    SELECT b.doc_id AS target, item_id AS source, ratio, round(h / n, 6) AS back_ratio FROM b JOIN dn ON b.doc_id = dn.doc_id WHERE round(h / n, 6) >= 0.15""")
 def ngram_containment(spark, sf):
-    return se.containment(table(spark, sf, "benchmark"), "item_id", table(spark, sf, "documents"), "doc_id", "text", n=40)
+    return se.containment(table(spark, sf, "benchmark"), "item_id", table(spark, sf, "documents"), "doc_id", "text")
 
 
 @register("verbatim_windows", r"""
@@ -148,7 +190,7 @@ def citation_edges(spark, sf):
 
 
 @register("edge_precedence", """
-    WITH e AS (SELECT l_suppkey % 20 AS s, l_partkey % 20 AS t, CASE l_linenumber WHEN 1 THEN 'delegation' WHEN 2 THEN 'three_tier' WHEN 3 THEN 'family' ELSE 'citation' END AS kind, count(*) AS n FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY ALL),
+    WITH e AS (SELECT l_suppkey % 20 AS s, l_partkey % 20 AS t, CASE l_linenumber WHEN 1 THEN 'delegation' WHEN 2 THEN 'three_tier' WHEN 3 THEN 'family' ELSE 'citation' END AS kind, count(*) AS n FROM lineitem GROUP BY ALL),
     w AS (SELECT *, CASE kind WHEN 'delegation' THEN 5 WHEN 'three_tier' THEN 4 WHEN 'family' THEN 3 ELSE 0 END AS o, CASE kind WHEN 'delegation' THEN 5 WHEN 'three_tier' THEN 4 WHEN 'family' THEN 3 ELSE least(n, 60) END AS edge_weight FROM e)
     SELECT s, t, kind, edge_weight FROM (SELECT *, row_number() OVER (PARTITION BY s, t ORDER BY o DESC, edge_weight DESC, kind) r FROM w) WHERE r = 1""")
 def edge_precedence(spark, sf):
@@ -218,14 +260,13 @@ def trigram_search(spark, sf):
     return scored.filter("sim > 0.12").orderBy(F.desc("sim"), "conv_id", "turn").limit(8)
 
 
-def _vector(spark, sf, vec_id=7):
-    """The query vector: one row, kept as a one-row table."""
-    return table(spark, sf, "embeddings").filter(F.col("vec_id") == vec_id).select(F.col("embedding").alias("q"))
+def _query(spark, sf, vec_id=7) -> list[float]:
+    """The vector that a search asks for: one row."""
+    return list(table(spark, sf, "embeddings").filter(F.col("vec_id") == vec_id).select("embedding").first()[0])
 
 
 def _scored(spark, sf):
-    rows = table(spark, sf, "embeddings").join(F.broadcast(_vector(spark, sf)))  # one row
-    return se.vector_scores(rows, "vec_id", "embedding", F.col("q")).withColumn("similarity", F.round("similarity", 6))
+    return se.vector_scores(table(spark, sf, "embeddings"), "vec_id", "embedding", _query(spark, sf)).withColumn("similarity", F.round("similarity", 6))
 
 
 COS = "round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))), 6)"
@@ -258,31 +299,51 @@ def vector_two_stage_rerank(spark, sf):
 
 
 @register("similar_pairs_join", f"""
-    SELECT q.vec_id AS a, e.vec_id AS b, {COS} AS similarity FROM embeddings q JOIN embeddings e ON q.label = e.label AND q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0 AND {COS} >= 0.8""")
+    SELECT q.vec_id AS a, e.vec_id AS b, {COS} AS similarity FROM embeddings q JOIN embeddings e ON q.label = e.label AND q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0 AND {COS} >= 0.35""")
 def similar_pairs_join(spark, sf):
     rows = table(spark, sf, "embeddings")
     asked = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("a"), F.col("embedding").alias("q"), "label")
     pairs = asked.join(rows, "label").filter("a != vec_id")
-    return se.vector_scores(pairs, "vec_id", "embedding", F.col("q")).select("a", F.col("vec_id").alias("b"), F.round("similarity", 6).alias("similarity")).filter("similarity >= 0.8")
-
-
-@register("rrf_fusion", HITS_SQL + f"""
-    , c AS (SELECT doc_id, count(*)::DOUBLE AS score FROM hits GROUP BY 1), k AS (SELECT * FROM c ORDER BY score DESC, doc_id LIMIT 200),
-    v AS (SELECT e.vec_id AS doc_id, {COS} AS score FROM embeddings e, embeddings q WHERE q.vec_id = 7 ORDER BY score DESC, doc_id LIMIT 200),
-    n AS (SELECT doc_id, n_chars::DOUBLE AS score FROM documents ORDER BY n_chars DESC, doc_id LIMIT 200),
-    l AS (SELECT 'keyword' AS list, * FROM k UNION ALL SELECT 'vector', * FROM v UNION ALL SELECT 'length', * FROM n),
-    r AS (SELECT l.*, source, row_number() OVER (PARTITION BY list ORDER BY score DESC, l.doc_id) r FROM l JOIN documents d ON d.doc_id = l.doc_id),
-    f AS (SELECT doc_id, source, round(sum(1.0 / (60 + r)), 9)::DOUBLE AS fused FROM r GROUP BY ALL), g AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY fused DESC, doc_id) g FROM f), t AS (SELECT * FROM g WHERE g <= 3 ORDER BY fused DESC, doc_id LIMIT 15)
-    SELECT doc_id, source, fused, row_number() OVER (ORDER BY fused DESC, doc_id)::INT AS place FROM t""")
+    return se.vector_scores(pairs, "vec_id", "embedding", F.col("q")).select("a", F.col("vec_id").alias("b"), F.round("similarity", 6).alias("similarity")).filter("similarity >= 0.35")
+
+
+@register("chunk_search", CHUNKS_SQL + f"""
+    , s AS (SELECT c.id, c.doc_name, {COS.replace('e.embedding', 'v.embedding')} AS similarity FROM cur c JOIN embeddings v ON v.vec_id = c.id, embeddings q WHERE q.vec_id = 7)
+    SELECT id, doc_name, similarity FROM s WHERE similarity > 0.05 ORDER BY similarity DESC, id LIMIT 8""")
+def chunk_search(spark, sf):
+    """Vector search over approved, current chunks (vec_id stands for the chunk's id)."""
+    seen = se.current_only(chunks(spark, sf)).select(F.col("id").alias("vec_id"), "doc_name")
+    best = se.top_similar(_scored(spark, sf).join(seen, "vec_id"), "vec_id", 8, 0.05)
+    return best.select(F.col("vec_id").alias("id"), "doc_name", "similarity")
+
+
+@register("rrf_fusion", CHUNKS_SQL + f"""
+    , w(k, w, tw) AS (VALUES ('that', 2, 4), ('tion', 2, 4), ('und', 1, 4), ('les', 1, 0), ('para', 1, 2)),
+    ks AS (SELECT id, sum(CASE WHEN contains(lower(content), k) THEN w ELSE 0 END + CASE WHEN contains(lower(doc_name), k) THEN w ELSE 0 END + CASE WHEN contains(lower(coalesce(article_no, '')), k) THEN tw ELSE 0 END)::DOUBLE AS score FROM cur, w GROUP BY id),
+    v AS (SELECT c.id, {COS.replace('e.embedding', 'v.embedding')} AS score FROM cur c JOIN embeddings v ON v.vec_id = c.id, embeddings q WHERE q.vec_id = 7),
+    l AS (SELECT 'keyword' AS list, * FROM (SELECT * FROM ks WHERE score > 0 ORDER BY score DESC, id LIMIT 200) UNION ALL SELECT 'vector', * FROM (SELECT * FROM v WHERE score > 0 ORDER BY score DESC, id LIMIT 200)
+          UNION ALL SELECT 'length', * FROM (SELECT id, length(content)::DOUBLE AS score FROM cur ORDER BY score DESC, id LIMIT 200)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY list ORDER BY score DESC, id) r FROM l),
+    f AS (SELECT r.id, doc_name, doc_category, round(sum(1.0::DOUBLE / (60 + r)) + any_value(CASE WHEN regexp_matches(article_no, '^[0-9]+조') THEN 0.5 / 61 WHEN regexp_matches(article_no, '^(부칙|서식|별지)') THEN -0.5 / 61 ELSE 0 END::DOUBLE
+          - CASE WHEN regexp_matches(doc_name, '(?i)\\.(pdf|md|docx|hwp)$') THEN 0.5 / 61 ELSE 0 END::DOUBLE), 9)::DOUBLE AS fused FROM r JOIN cur USING (id) GROUP BY ALL),
+    g AS (SELECT *, row_number() OVER (PARTITION BY doc_name ORDER BY fused DESC, id) g, min(doc_category) OVER (PARTITION BY doc_name) AS cat FROM f),
+    t AS (SELECT * FROM g WHERE g <= CASE WHEN contains(doc_name, 'news') THEN 8 ELSE 3 END ORDER BY fused DESC, id LIMIT 15)
+    SELECT id, doc_name, fused, row_number() OVER (ORDER BY fused DESC, id)::INT AS place FROM t""")
 def rrf_fusion(spark, sf):
-    """Hybrid retrieval: keyword hits, vector similarity (vec_id stands for doc_id) and length, fused by rank."""
-    docs = table(spark, sf, "documents")
-    hits = se.hit_matrix(docs, "doc_id", "text", KEYWORDS).groupBy("doc_id").agg(F.count(F.lit(1)).cast("double").alias("score"))
-    keyword = hits.orderBy(F.desc("score"), "doc_id").limit(200)
-    vector = se.top_similar(_scored(spark, sf), "vec_id", 200).select(F.col("vec_id").alias("doc_id"), F.col("similarity").alias("score"))
-    length = docs.select("doc_id", F.col("n_chars").cast("double").alias("score")).orderBy(F.desc("score"), "doc_id").limit(200)
-    lists = keyword.withColumn("list", F.lit("keyword")).unionByName(vector.withColumn("list", F.lit("vector"))).unionByName(length.withColumn("list", F.lit("length")))
-    return se.fuse(docs.select("doc_id", "source").join(F.broadcast(lists), "doc_id"), "doc_id", "source", 3, 15)  # 600 rows
+    """Hybrid retrieval over approved, current chunks: keyword scores, vector similarity (vec_id stands for the chunk's
+    id) and length, fused by rank, with bonuses by kind, at most three chunks of a document (eight of the news)."""
+    seen = se.current_only(chunks(spark, sf))
+    columns = {c: c for c in ("content", "doc_name", "article_no")}
+    score = se.keyword_score(columns, KEYWORDS, ["that", "tion"], ["und"], ["les"]).cast("double")
+    narrow = seen.select("id", "doc_name", "article_no", score.alias("keyword"), F.length("content").cast("double").alias("length"))
+    similar = _scored(spark, sf).select(F.col("vec_id").alias("id"), F.col("similarity").alias("vector"))
+    rows = checkpointed(narrow.join(similar, "id", "left"))
+    lists = None
+    for name in ("keyword", "vector", "length"):
+        best = rows.filter(F.col(name) > 0).orderBy(F.desc(name), "id").limit(200).select("id", "doc_name", "article_no", F.col(name).alias("score"), F.lit(name).alias("list"))
+        lists = best if lists is None else lists.unionByName(best)
+    cap = F.when(F.contains("doc_name", F.lit("news")), 8).otherwise(3)
+    return se.fuse(lists, "id", "doc_name", cap, 15, bonus=se.kind_bonus(F.col("article_no"), F.col("doc_name")))
 
 
 @register("linear_fusion", HITS_SQL + f"""
@@ -294,21 +355,51 @@ def linear_fusion(spark, sf):
     return se.linear_fusion(semantic, trigram, "doc_id", 5)
 
 
-@register("news_rank_idf", """
-    WITH kw(w, k) AS (VALUES (0, 'thor'), (1, 'tion'), (2, 'ung'), (3, 'ment')), d AS (SELECT doc_id, text[:60] AS t, text FROM documents),
-    h AS (SELECT doc_id, w, CASE WHEN contains(lower(t), k) THEN 3.0 ELSE 1.0 END AS weight FROM d, kw WHERE contains(lower(t), k) OR contains(lower(text), k)),
-    i AS (SELECT w, least(greatest(log10(((SELECT count(*) FROM d) + 1) / (count(*) + 1)) * 2, 0.5), 2.5) AS idf FROM h GROUP BY w),
-    s AS (SELECT doc_id, round(sum(weight::DOUBLE * idf), 6) AS score, count(*) AS n_words, max(weight) AS best FROM h JOIN i USING (w) GROUP BY doc_id)
-    SELECT doc_id, score, n_words FROM s WHERE best = 3 AND n_words >= 2 ORDER BY score DESC, doc_id LIMIT 30""")
+NEWS_WORDS = ["thor", "tion", "und", "ment"]
+
+
+@register("news_rank_idf", r"""
+    WITH RECURSIVE kw(w, k) AS (VALUES (0, 'thor'), (1, 'tion'), (2, 'und'), (3, 'ment')),
+    n AS (SELECT doc_id, string_split(text, chr(10))[1] AS title, text, lang || (doc_id % 50) AS event FROM documents),
+    pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY title ORDER BY doc_id) r FROM n WHERE title <> '' AND text <> '') WHERE r = 1),
+    hit(doc_id, w, t, c) AS (SELECT doc_id, w, regexp_matches(title, '(?i)(^|[^A-Za-z0-9])' || k || '([^A-Za-z0-9]|$)'), regexp_matches(text, '(?i)(^|[^A-Za-z0-9])' || k || '([^A-Za-z0-9]|$)') FROM pool, kw),
+    cnt AS (SELECT w, count(*) FILTER (t OR c) AS n, count(*) FILTER (t) AS tn, (SELECT count(*) FROM pool) AS p FROM hit GROUP BY w),
+    idf AS (SELECT *, least(2.5, greatest(0.5, log10((p + 1) / (n + 1)) * 2)) AS idf, w = (SELECT w FROM cnt ORDER BY n, w LIMIT 1) AS rarest FROM cnt),
+    s AS (SELECT doc_id, round(sum(idf * (3 * t::INT + c::INT)), 6) AS score, sum(t::INT) AS th, sum((t OR c)::INT) AS h, bool_or(t AND rarest) AS rare_title, bool_or((t OR c) AND tn < 10) AS rare FROM hit JOIN idf USING (w) GROUP BY doc_id),
+    good AS (SELECT s.doc_id, score, event, list_distinct(list_transform(range(1, greatest(1, length(q))), lambda i: q[i:i + 1])) AS g FROM s JOIN pool USING (doc_id), LATERAL (SELECT regexp_replace(title, '[^\p{L}\p{N}]', '', 'g') AS q)
+             WHERE th >= 1 AND h >= 2 AND (rare_title OR th >= 2 OR rare OR h >= 3)),
+    pick(place, doc_id, score, taken) AS (
+        SELECT 0, NULL::BIGINT, NULL::DOUBLE, []::STRUCT(doc_id BIGINT, score DOUBLE, event VARCHAR, g VARCHAR[])[]
+        UNION ALL
+        SELECT place + 1, b.doc_id, b.score, taken || [b] FROM (SELECT p.place, p.taken, (
+            SELECT {'doc_id': x.doc_id, 'score': x.score, 'event': x.event, 'g': x.g} FROM good x
+            WHERE len(list_filter(p.taken, lambda y: y.doc_id = x.doc_id OR y.event = x.event OR len(list_intersect(y.g, x.g)) / greatest(1, len(list_distinct(y.g || x.g))) >= 0.35)) = 0 ORDER BY x.score DESC, x.doc_id LIMIT 1) AS b FROM pick p WHERE place < 3) WHERE b IS NOT NULL)
+    SELECT doc_id, score, place FROM pick WHERE place > 0""")
 def news_rank_idf(spark, sf):
-    docs = table(spark, sf, "documents").withColumn("t", F.substring("text", 1, 60))
-    return se.idf_rank(docs, "doc_id", "t", "text", ["thor", "tion", "ung", "ment"], 30)
-
-
-@register("newline_chunks")
+    """The first line of a document is its title."""
+    news = table(spark, sf, "documents").withColumns({"title": F.get(F.split("text", "\n"), F.lit(0)), "event": F.concat("lang", F.col("doc_id") % 50), "at": F.lit(None).cast("timestamp")})
+    return se.news_rank(news, "doc_id", "title", "text", "event", "at", NEWS_WORDS)
+
+
+@register("newline_chunks", r"""
+    WITH RECURSIVE d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE text <> ''),
+    cut(doc_id, a, b) AS (
+        SELECT doc_id, 0, CASE WHEN n <= 700 THEN n WHEN contains(text[491:700], chr(10)) THEN 701 - strpos(reverse(text[491:700]), chr(10)) ELSE 700 END FROM d
+        UNION ALL
+        SELECT c.doc_id, b, CASE WHEN b + 700 >= n THEN n WHEN contains(text[b + 491:b + 700], chr(10)) THEN b + 701 - strpos(reverse(text[b + 491:b + 700]), chr(10)) ELSE b + 700 END FROM cut c JOIN d ON c.doc_id = d.doc_id WHERE b < n),
+    p AS (SELECT c.doc_id, a, text[a + 1:b] AS content FROM cut c JOIN d ON c.doc_id = d.doc_id)
+    SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1)::INT AS chunk, md5(content) AS digest FROM p WHERE regexp_matches(content, '\S')""")
 def newline_chunks(spark, sf):
-    """Lossless newline-aware chunks (sequential, so an Arrow function)."""
-    from corpusloom.session import ship_package
-
-    ship_package(spark)
-    return table(spark, sf, "documents").select("doc_id", F.posexplode(udfs.newline_chunks(F.col("text"))).alias("chunk", "content"))
+    pieces = table(spark, sf, "documents").select("doc_id", F.posexplode(ch.line_chunks(F.col("text"))).alias("chunk", "content"))
+    return pieces.select("doc_id", "chunk", F.md5("content").alias("digest"))
+
+
+@register("chunk_merge", r"""
+    WITH p AS (SELECT doc_id, text[1:250] AS a, text[200:449] AS b FROM documents WHERE length(text) >= 450),
+    n AS (SELECT *, list_max(list_filter(range(20, 251), lambda n: right(a, n) = left(b, n))) AS n FROM p)
+    SELECT doc_id, md5(CASE WHEN n IS NULL THEN a || chr(10) || b ELSE a || b[n + 1:] END) AS digest FROM n""")
+def chunk_merge(spark, sf):
+    """Two pieces of a text that overlap by 51 characters, or by more where the text repeats itself."""
+    docs = table(spark, sf, "documents").filter(F.length("text") >= 450)
+    pieces = F.array(F.substring("text", 1, 250), F.substring("text", 200, 250))
+    return docs.select("doc_id", F.md5(ch.joined_chunks(pieces)).alias("digest"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions import chunks as ch
 from corpusloom.functions import text as tx
 
 #: Fixed value: the date notation of feeds, after the day's name.
@@ -67,11 +68,8 @@ def notes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def header_chunks(docs: DataFrame, keys: list[str], title: str, body: str, size: int = 1000, overlap: int = 100, least: int = 30) -> DataFrame:
-    """Chunks at markdown headers, the title before each; long ones are cut with an overlap, short ones dropped."""
-    sections = docs.select(*keys, title, F.explode(F.split(body, r"(?m)(?=^#{1,3}\s)")).alias("s")).filter(F.length(F.trim("s")) >= least)
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("s") - overlap), F.lit(size - overlap))
-    cut = F.explode(F.transform(starts, lambda i: F.substr(F.col("s"), i, F.lit(size))))
-    return sections.select(*keys, title, cut.alias("c")).select(*keys, F.concat_ws("\n", title, "c").alias("chunk"))
+    """keys, chunk: the pieces of chunks.header_chunks(), a row each."""
+    return docs.select(*keys, F.explode(ch.header_chunks(F.col(body), F.col(title), size, overlap, least)).alias("chunk"))
 
 
 def complete(body, kind_end: str | None = None):

@@ -46,11 +46,44 @@ def test_first_rule_wins_even_without_effect(spark):
     assert rows(out, "id", "rule_id", "own") == [(1, "low", 2), (2, "high", 2)]
 
 
-def test_override_layers(spark):
-    df = spark.createDataFrame([("human", "normal"), ("rule", None), (None, None), ("ai", "reference")], "source string, stored string")
-    eff = ru.effective(F.col("source"), F.col("stored"), F.lit(1), F.lit("urgent"))
-    got = df.select(eff.alias("e"), ru.alert_rank(F.col("source"), eff, F.lit("reference")).alias("a")).collect()
-    assert [tuple(r) for r in got] == [(1, 0), (1, 1), (2, 2), (0, 0)]
+LEVEL = "source string, stored string, rule_team int, enabled boolean, mode string, level string, common string"
+
+
+@pytest.mark.parametrize(("row", "eff", "alert"), [
+    ((None, None, None, None, None, None, "normal"), 1, 1),  # no row: common
+    (("human", "reference", None, None, None, None, "urgent"), 0, 0),  # people lower, also the alert
+    (("human", "urgent", None, None, None, None, "normal"), 2, 1),  # people raise: shown, not alerted
+    (("human", "high", None, None, None, None, "urgent"), 2, 2),  # an unknown level counts as none
+    (("ai", "high", None, None, None, None, "normal"), 1, 1),
+    (("ai", "urgent", None, None, None, None, "reference"), 2, 2),
+    (("rule", "normal", 1, True, "set", "reference", "urgent"), 0, 0),  # the rule of today, not what was stored
+    (("rule", "normal", 1, True, "min", "urgent", "normal"), 2, 2),
+    (("rule", "normal", 1, True, "min", "normal", "urgent"), 2, 2),  # a floor below common
+    (("rule", "urgent", 1, False, "min", "urgent", "reference"), 0, 0),  # off
+    (("rule", "urgent", 2, True, "set", "urgent", "normal"), 1, 1),  # another team's
+    (("rule", "urgent", None, None, None, None, "normal"), 1, 1),  # gone
+    (("rule", "urgent", 1, True, "set", "high", "normal"), 1, 1),  # malformed
+    (("rule", "urgent", 1, True, "put", "urgent", "normal"), 1, 1),
+])
+def test_override_layers(spark, row, eff, alert):
+    df = spark.createDataFrame([row], LEVEL)
+    now = ru.recomputed(F.col("rule_team"), F.lit(1), F.col("enabled"), F.col("mode"), F.col("level"), F.col("common"))
+    shown = ru.effective(F.col("source"), F.col("stored"), now, F.col("common"))
+    assert tuple(df.select(shown, ru.alert_rank(F.col("source"), shown, F.col("common"))).first()) == (eff, alert)
+
+
+def test_division_levels(spark):
+    """The teams' highest, in the order of the division; common is not among them; without teams it is common."""
+    items = spark.createDataFrame([(1, "normal"), (2, "urgent"), (3, "urgent")], "item int, common string")
+    members = spark.createDataFrame([(30, 0), (10, 1), (20, 2)], "team int, place int")
+    ranks = spark.createDataFrame([(1, 10, 2), (2, 10, 0), (3, 10, 0), (3, 20, 1), (3, 30, 1)], "item int, team int, r int")
+    assert rows(ru.division_levels(items, "item", "common", members, "team", "place", ranks, "r"), "item", "top", "teams") == [(1, 2, [10]), (2, 2, [30, 20]), (3, 1, [30, 20])]
+    assert rows(ru.division_levels(items, "item", "common", members.limit(0), "team", "place", ranks, "r"), "item", "top", "teams") == [(1, 1, []), (2, 2, []), (3, 2, [])]
+
+
+def test_rule_text(spark):
+    df = spark.createDataFrame([("T", "seen", "sum"), ("T", "  \u3000", "sum"), ("T", "\ufeff\x85\x1c", "sum"), ("T", None, None), (None, "e\u0301", "x")], "t string, s string, m string")
+    assert [r[0] for r in df.select(ru.rule_text(F.col("t"), F.col("s"), F.col("m"))).collect()] == ["T seen", "T sum", "T sum", "T ", " é"]
 
 
 def test_version_pick(spark):
@@ -59,9 +92,54 @@ def test_version_pick(spark):
 
 
 def test_diff(spark):
-    old = spark.createDataFrame([("1", "a b"), ("2", "x"), ("3", "gone"), ("4", "same text")], "k string, t string")
-    new = spark.createDataFrame([("1", "a  b "), ("2", "Deleted"), ("4", "other text"), ("5", "fresh")], "k string, t string")
-    assert rows(tb.keyed_diff(old, new, ["k"], "t"), "k", "change") == [("2", "deleted"), ("3", "deleted"), ("4", "modified"), ("5", "added")]
+    gone = "제2조(정의) 삭제 <2026. 1. 1.>"
+    old = spark.createDataFrame([("1", "a b"), ("2", "x"), ("3", "gone"), ("4", "same text"), ("6", gone), ("7", "제7조 삭제")], "k string, t string")
+    new = spark.createDataFrame([("1", "a  b "), ("2", " " + gone), ("4", "other text"), ("5", "fresh"), ("6", gone + " "), ("7", "제7조(재개) 다시"), ("8", "제8조의2 삭제")], "k string, t string")
+    assert rows(tb.keyed_diff(old, new, ["k"], "t"), "k", "change", "old_text") == [("2", "deleted", "x"), ("3", "deleted", "gone"), ("4", "modified", "same text"), ("5", "added", ""), ("7", "modified", "제7조 삭제"), ("8", "deleted", "")]
+
+
+def test_version_pick_of_day_text(spark):
+    df = spark.createDataFrame([("a", 1, "20200101"), ("a", 2, "20260101"), ("a", 3, "20270101"), ("b", 4, "20280101"), ("b", 5, "20270601")], "law string, id int, d string")
+    assert rows(tb.in_force(df, ["law"], "d", F.lit("20260301"), "id"), "law", "id") == [("a", 2), ("b", 5)]
+
+
+def test_denied_calls_are_taken_back(spark):
+    """One an hour, three a day: tries that are denied do not use up the day."""
+    calls = [("u", i, datetime(2026, 1, 5, h, m)) for i, (h, m) in enumerate([(0, 0), (0, 1), (0, 2), (0, 3), (1, 0), (2, 0), (3, 0), (15, 30)])]
+    calls += [("free", 20 + i, datetime(2026, 1, 5, 0, i)) for i in range(5)]
+    df = spark.createDataFrame([(*c, c[0] == "free") for c in calls], "u string, id int, at timestamp, free boolean")
+    got = {r["id"]: (r["hour_n"], r["day_n"], r["denied"]) for r in ev.quota(df, "u", "at", "id", 1, 3, "free").collect()}
+    assert [got[i] for i in range(8)] == [(1, 1, False), (2, 2, True), (2, 2, True), (2, 2, True), (1, 2, False), (1, 3, False), (1, 4, True), (1, 1, False)]  # 15:30 is the next day in Seoul
+    assert [got[20 + i][1:] for i in range(5)] == [(i + 1, False) for i in range(5)]
+
+
+def test_quota_equals_a_fold_call_by_call(spark):
+    import random
+
+    rng = random.Random(3)
+    calls = [(rng.randrange(4), i, datetime(2026, 1, 5, rng.randrange(24), rng.randrange(60))) for i in range(400)]
+    got = {r["id"]: (r["hour_n"], r["day_n"], r["denied"]) for r in ev.quota(spark.createDataFrame(calls, "u int, id int, at timestamp"), "u", "at", "id", 2, 9).collect()}
+    used: dict = {}
+    for u, i, at in sorted(calls, key=lambda c: (c[2], c[1])):
+        hour, day = (u, at.replace(minute=0)), (u, (at.toordinal() * 24 + at.hour + 9) // 24)
+        h, d = used.get(hour, 0) + 1, used.get(day, 0) + 1
+        assert got[i] == (h, d, h > 2 or d > 9)
+        if not got[i][2]:
+            used[hour], used[day] = h, d
+
+
+def test_member_and_team_limits(spark):
+    at = lambda m: datetime(2026, 1, 5, 1, m)
+    calls = [("a", "t", 0, False), ("a", "t", 1, False), ("a", "t", 2, False), ("b", "t", 3, False), ("b", "t", 4, False), ("a", "t", 5, False), ("vip", "t", 6, True), ("c", None, 7, False)]
+    df = spark.createDataFrame([(u, t, m, at(m), 2, 3, f, False) for u, t, m, f in calls], "u string, team string, id int, at timestamp, member int, sum int, free boolean, team_free boolean")
+    got = ev.member_quota(df, "u", "team", "at", "id", "member", "sum", "free", "team_free")
+    assert [r["reason"] for r in got.orderBy("id").collect()] == [None, None, "member_limit", None, "team_limit", "member_limit", "team_limit", None]
+
+
+def test_a_key_is_quiet_after_a_kept_row(spark):
+    hours = [("k", h) for h in (0, 15, 30, 49, 50, 51, 72)] + [("l", 3)]
+    df = spark.createDataFrame([(k, i, datetime(2026, 1, 1 + h // 24, h % 24)) for i, (k, h) in enumerate(hours)], "k string, id int, at timestamp")
+    assert [r["id"] for r in ev.first_within(df, ["k"], "at", "id", 20 * 3600).orderBy("id").collect()] == [0, 2, 5, 6, 7]
 
 
 def test_watermark_moves_over_undelivered_rows(spark):
@@ -88,24 +166,46 @@ def test_chains_and_cycles_end(spark):
     links = [(i, i + 1, i == 40) for i in range(100)] + [(201, 202, False), (202, 203, False), (203, 201, True)]
     got = {r["c"]: (r["rep"], r["judged"]) for r in cl.representatives(spark.createDataFrame(links, "c int, p int, j boolean"), "c", "p", "j").collect()}
     assert all(got[i] == (100, i <= 40) for i in range(100))
-    assert {got[i][0] for i in (201, 202, 203)} == {201}
+    assert {i: got[i] for i in (201, 202, 203)} == {i: (i, True) for i in (201, 202, 203)}  # a walk round a cycle ends where it began
+
+
+def test_tails_enter_cycles_where_they_meet_them(spark):
+    links = [(1, 2, False), (2, 3, False), (3, 4, False), (4, 2, True), (10, 11, True), (11, 3, False), (20, 20, False), (21, 20, False), (30, 31, False)] + [(100 + i, 101 + i, False) for i in range(700)]
+    got = {r["c"]: (r["rep"], r["judged"]) for r in cl.representatives(spark.createDataFrame(links, "c int, p int, j boolean"), "c", "p", "j").collect()}
+
+    def walk(c):
+        step, judged, seen = {a: (b, j) for a, b, j in links}, False, set()
+        while c in step and c not in seen:
+            seen.add(c)
+            judged |= step[c][1]
+            c = step[c][0]
+        return c, judged
+
+    assert got == {c: walk(c) for c, _, _ in links}
 
 
 def test_suppression_ladder(spark):
-    cases = [(17.0, True, None, 0.0, "suppress"), (18.0, True, None, 0.0, "pass"), (23.0, False, True, 0.0, "suppress"), (24.0, False, True, 0.5, "remind"), (24.0, False, True, 0.4, "hold"), (None, False, True, 0.9, "remind"), (None, True, None, 0.9, "pass")]
+    cases = [(17.0, True, None, 0.0, "suppress"), (18.0, True, None, 0.0, "pass"), (23.0, False, True, 0.0, "suppress"), (24.0, False, True, 0.5, "remind"), (24.0, False, True, 0.4, "hold"), (None, False, True, 0.9, "remind"), (None, True, None, 0.9, "pass"), (30.0, False, True, None, "remind"), (20.0, True, False, 0.9, "pass"), (30.0, None, True, 0.1, "hold")]
     df = spark.createDataFrame(cases, "age double, kw boolean, same boolean, share double, want string")
     assert all(r["action"] == r["want"] for r in cl.suppression(df, "age", "kw", "same", "share").collect())
 
 
 def test_votes(spark):
-    df = spark.createDataFrame([([1],), ([1, 2],), ([2, 2],), ([0, 1, 2],), ([0, 0, 2, 2],), ([],), ([None, 1],)], "v array<int>")
-    assert [r[0] for r in df.select(ru.combined_votes(F.col("v"))).collect()] == [1, None, 2, 1, 0, None, 1]
+    cases = [([1], 1), ([None], None), ([], None), ([1, 2], None), ([2, 2], 2), ([2, None], None), ([2, None, None], None), ([0, 1, 2], 1), ([0, 0, 2], 0), ([None, 1, 1], 1), ([None, 1, 2], None), ([0, 0, 2, 2], 0), ([2, 2, 2, 0, 1], 2)]
+    df = spark.createDataFrame([(v,) for v, _ in cases], "v array<int>")
+    assert [r[0] for r in df.select(ru.combined_votes(F.col("v"))).collect()] == [want for _, want in cases]
 
 
 def test_events_group_by_label_title_and_tags(spark):
-    items = [(1, "license fee rise", ["fee", "rise"], ["a"]), (2, "license fee rise plan", ["other"], ["a"]), (3, "", ["fee", "rise", "today"], []), (4, "license fee rise", ["fee"], ["b"])]
-    df = spark.createDataFrame([("d", *i) for i in items], "day string, id int, event string, words array<string>, tags array<string>")
-    assert rows(cl.event_groups(df, ["day"], "id", "id", "event", "words", "tags"), "id", "head_id") == [(1, 1), (2, 1), (3, 1), (4, 4)]
+    items = [
+        (1, 9, "License-fee RISE", ["fee", "rise"], ["a"]), (2, 8, "license fee rise, plan", ["other"], ["a"]),  # labels agree but for case and signs
+        (3, 7, "", ["fee", "rise", "today"], []), (4, 6, "license fee rise", ["fee"], ["b"]),  # by title; other tags
+        (5, 5, "quite another", ["fee", "rise"], ["a"]), (6, 4, None, ["fee", "fee"], None),  # labels decide where both have one; words that the opener has count once each
+    ]
+    df = spark.createDataFrame([("d", *i) for i in items], "day string, id int, published int, event string, words array<string>, tags array<string>")
+    assert rows(cl.event_groups(df, ["day"], "id", "id", "event", "words", "tags"), "id", "head_id") == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 5), (6, 6)]
+    assert rows(cl.event_groups(df, ["day"], "id", "id", "event", "words", "tags", "published"), "id", "head_id") == [(1, 3), (2, 3), (3, 3), (4, 4), (5, 5), (6, 6)]
+    assert cl.overlap_coefficient(cl.label_pairs("aaaa"), cl.label_pairs("AA a")) == 1.0 and cl.overlap_coefficient(cl.label_pairs("a"), cl.label_pairs("ab")) == 0.0
 
 
 def test_field_shares(spark):
@@ -116,16 +216,10 @@ def test_field_shares(spark):
 
 def test_text_functions(spark):
     df = spark.createDataFrame([("제48조의3 (x)", "Act on Things(law)(No. 12)(20260101)", "One. Two! Three", "2026.1.5 posted", "é")], "ref string, name string, s string, d string, u string")
-    r = df.select(tx.article_key(F.col("ref")).alias("k"), tx.document_name(F.col("name")).alias("n"), tx.clipped(F.col("s"), 10).alias("c"), tx.any_date(F.col("d")).cast("string").alias("d"), udfs.nfc(F.col("u")).alias("u"), udfs.longest_common(F.col("s"), F.lit("xx Two! y")).alias("l"), tx.guarded_hit(F.col("s"), "Two", after="x").alias("g")).first()
+    r = df.select(tx.article_key(F.col("ref")).alias("k"), tx.document_name(F.col("name")).alias("n"), tx.clipped(F.col("s"), 10).alias("c"), tx.any_date(F.col("d")).cast("string").alias("d"), udfs.nfc(F.col("u")).alias("u"), tx.longest_common(F.col("s"), F.lit("xx Two! y")).alias("l"), tx.guarded_hit(F.col("s"), "Two", after="x").alias("g")).first()
     assert (r["k"], tuple(r["n"]), r["c"], r["d"], r["u"], r["l"], r["g"]) == ("48-3", ("Act on Things", "law", "No. 12", "20260101"), "One. Two!", "2026-01-05", "é", 6, True)
 
 
-def test_chunks_are_lossless(spark):
-    text = ("line of some length\n" * 90) + "x" * 1500
-    assert "".join(udfs.newline_chunks_of(text, 700)) == text and max(map(len, udfs.newline_chunks_of(text, 700))) <= 700
-    assert udfs.merged_of(["abcdefghij" * 10, "abcdefghij" * 3 + "END", "other"], 400, 20) == "abcdefghij" * 10 + "END\nother"
-
-
 def test_word_similarity():
     assert trigrams_of("cat") == ["  c", " ca", "cat", "at "]
     assert word_similarity_of("cat", "a black cat sat") == 1.0
@@ -162,7 +256,7 @@ def test_sources(spark, tmp_path):
     note = feeds.notes(spark, str(tmp_path / "n.md"))
     assert note.first()["meta"] == {"title": "My note", "kind": "act"}
     chunks = feeds.header_chunks(note.withColumn("title", F.col("meta")["title"]), ["path"], "title", "body").collect()
-    assert len(chunks) == 3 and all(c["chunk"].startswith("My note\n") for c in chunks)
+    assert [len(c["chunk"]) for c in chunks] == [len("[My note] ") + n for n in (47, 1000, 608)]
     pages = spark.createDataFrame([(1, '<title>x</title><meta property="og:title" content="Y"><article><p>Body <a href="/l">l</a></p></article><li><a>i1</a><i>2026-01-01</i></li>')], "id int, html string")
     a = feeds.page_articles(pages, "id", "html").first()
     assert (a["title"], a["body"], a["links"]) == ("Y", "Body l", ["/l"])
