@@ -15,10 +15,9 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import for_python, written
+from corpusloom.llm.common import for_python, lookup, written
 from corpusloom.llm.components import connected
 
 WORDS = 5
@@ -166,22 +165,26 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def _across(shared: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) between nodes of different components in one bucket; at least a spanning set of them.
 
-    Buckets with the same nodes are compared once. Nodes are placed by component, so blocks of one component need not
-    meet one another, nor be compared within.
+    Buckets with the same nodes are compared once. A component with at least BLOCK nodes in a bucket has blocks of its
+    own, which its nodes are dealt into by hash; smaller components are dealt into blocks whole. Blocks of one component
+    need not meet one another, nor be compared within. Nothing is sorted or numbered by bucket.
     """
     held = shared.select("bucket", "node").join(roots.withColumnRenamed("node", "r2"), F.col("node") == F.col("r2"), "left")
     held = written(held.select("bucket", "node", F.coalesce("root", "node").alias("root")), "held")
     mixed = held.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"), F.count(F.lit(1)).alias("m"))
     mixed = mixed.filter("lo != hi").groupBy("x", "y", "m").agg(F.min("bucket").alias("b2"))
-    mixed = written(mixed.select("b2"), "mixed")
-    place = F.row_number().over(W.partitionBy("bucket").orderBy("root", "node"))
-    ranked = held.join(mixed, F.col("bucket") == F.col("b2"), "left_semi").withColumn("block", F.floor((place - 1) / BLOCK).cast("int"))
-    ranked = written(ranked, "ranked")
-    blocks = ranked.groupBy("bucket", "block").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    mixed = written(mixed.select("b2", "m"), "mixed")
+    held = written(lookup(held, mixed, {"bucket": "b2"}, "m").select("bucket", "node", "root", "m"), "unsettled")
+    sizes = written(held.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c")).withColumnsRenamed({"bucket": "b3", "root": "r3"}), "unsettled-sizes")
+    sized = lookup(held, sizes, {"bucket": "b3", "root": "r3"}, "c")
+    own = F.xxhash64(F.lit(1), "root", F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / BLOCK)))
+    packed = F.xxhash64(F.lit(2), F.pmod(F.xxhash64("root"), F.ceil(F.col("m") / BLOCK)))
+    dealt = written(sized.select("bucket", "node", "root", F.when(F.col("c") >= BLOCK, own).otherwise(packed).alias("block")), "dealt")
+    blocks = dealt.groupBy("bucket", "block").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
     left = blocks.select(F.col("bucket").alias("b1"), F.col("block").alias("i"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"))
     tiles = left.join(blocks, (F.col("b1") == F.col("bucket")) & (F.col("i") <= F.col("block")) & ((F.col("lo") != F.col("lo1")) | (F.col("lo") != F.col("hi")) | (F.col("lo1") != F.col("hi1"))))
     tiles = tiles.select("b1", "i", F.col("block").alias("j"), F.explode(F.array_distinct(F.array("i", "block"))).alias("b"))
-    rows = ranked.join(tiles, (F.col("bucket") == F.col("b1")) & (F.col("block") == F.col("b")))
+    rows = dealt.join(tiles, (F.col("bucket") == F.col("b1")) & (F.col("block") == F.col("b")))
     rows = rows.select("bucket", "i", "j", "node", "root").join(texts, "node").select("bucket", "i", "j", "root", "node", "packed")
     rows = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
@@ -257,7 +260,7 @@ def _grouped(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     for_python(spark)
     signed = written(_signed(docs, text_col, id_col), "signed")
     full = signed.filter(F.col("node").isNotNull())
-    nodes = written(full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands", ignorenulls=True).alias("bands")), "nodes")
+    nodes = written(full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"), F.first("bands", ignorenulls=True).alias("bands")), "nodes")
     texts = full.filter(F.col("packed").isNotNull()).select("node", "packed")
     banded = nodes.select("node", "n", F.explode("bands").alias("bucket"))
     stars = banded.groupBy("bucket").agg(F.min("node").alias("centre"), F.min_by("n", "node").alias("cn"), F.count(F.lit(1)).alias("m"))
@@ -270,13 +273,14 @@ def _grouped(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     more = _across(shared.filter("m > 2"), roots, texts)
     if not more.isEmpty():
         roots = _merged(roots, more)
-    led = nodes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    led = nodes.select("node", "doc_id", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     led = written(led, "led")
-    heads = written(led.groupBy("root").agg(F.min("doc_id").alias("component_id")), "heads")
-    groups = written(led.join(heads, "root").select("node", "component_id"), "groups")
-    out = signed.select("doc_id", "text_key", "n_shingles", "node").join(groups.withColumnRenamed("node", "g"), F.col("node") == F.col("g"), "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "text_key", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    heads = written(led.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("members")).withColumnRenamed("root", "head"), "heads")
+    groups = written(lookup(led, heads, {"root": "head"}, "members").select(F.col("node").alias("g"), "component_id", "copies"), "groups")
+    out = signed.select("doc_id", "text_key", "n_shingles", "node")
+    grouped = lookup(out.filter("node is not null"), groups, {"node": "g"}, "copies").select("doc_id", "text_key", "n_shingles", "component_id")
+    out = grouped.unionByName(out.filter("node is null").select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id")))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def _wanted(texts: DataFrame, shared: DataFrame) -> DataFrame:
@@ -286,10 +290,10 @@ def _wanted(texts: DataFrame, shared: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """docs with one document of each group; repeated rows (same id and text) are one document. All columns stay."""
+    """docs with one document of each group; repeated rows (same id and text) are one document, of which one row stays.
+    All columns stay, whatever their names."""
     kept = _grouped(docs, text_col, id_col).filter("kept").select(F.col("doc_id").alias("__kept_id"), F.col("text_key").alias("__kept_text")).distinct()
     kept = written(kept, "kept")
     rows = docs.withColumn("__text_key", _text_key(text_col))
     left = rows.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("__kept_id")) & (F.col("__text_key") == F.col("__kept_text")), "left_semi")
-    again = left.withColumn("__copy", F.row_number().over(W.partitionBy(F.col(f"`{id_col}`"), F.col("__text_key")).orderBy(F.lit(1))))
-    return again.filter("__copy = 1").drop("__copy", "__text_key")
+    return left.dropDuplicates([id_col, "__text_key"]).drop("__text_key")

@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import written
+from corpusloom.llm.common import let, written
 
 #: Fractional copies that one block of the reduction tree rounds in a row.
 BLOCK = 128
+#: Copies of one row that one array numbers.
+RUN = 10_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -39,11 +41,6 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, mos
     return level.select("source", F.col("size").alias("source_size"), "n", target.cast("double").alias("target"))
 
 
-def _let(value: Column, body) -> Column:
-    """Evaluates value once and hands it to body."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _round_block(items: Column, seed: int) -> Column:
     """Folds the items (h, doc_id, size, copy, p) of one block, in order of h.
 
@@ -71,7 +68,7 @@ def _round_block(items: Column, seed: int) -> Column:
 
         def trade(t: Column) -> Column:
             words = F.when(t["u"] * (t["give"] + t["take"]) < t["take"], -t["give"]).otherwise(t["take"])  # what a gains
-            return _let(F.struct(_snap(a["p"] + words / a["size"]).alias("pa"), _snap(b["p"] - words / b["size"]).alias("pb")), settle)
+            return let(F.struct(_snap(a["p"] + words / a["size"]).alias("pa"), _snap(b["p"] - words / b["size"]).alias("pb")), settle)
 
         def settle(q: Column) -> Column:
             a_done, b_done = q["pa"].isin(0.0, 1.0), q["pb"].isin(0.0, 1.0)
@@ -82,7 +79,7 @@ def _round_block(items: Column, seed: int) -> Column:
             cur = F.when(~a_done, with_p(a, q["pa"])).when(~b_done, with_p(b, q["pb"]))
             return state(cur, F.concat(s["out"], gone))
 
-        return _let(F.struct(give.alias("give"), take.alias("take"), draw.alias("u")), trade)
+        return let(F.struct(give.alias("give"), take.alias("take"), draw.alias("u")), trade)
 
     return F.aggregate(items, state(F.lit(None), F.array()), lambda s, b: F.when(s["cur"].isNull(), state(b, s["out"])).otherwise(pair(s, b)))
 
@@ -101,7 +98,7 @@ def mix_sizes(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share: flo
     largest document.
 
     Returns source, doc_id, size, copies (int), source_size, target; one row for each row of sizes. Rows alike in all
-    three columns are counted first and numbered, so a hot key is no hot group. A null source is a source, null ids are
+    three columns are counted first and numbered, RUN at a time, so a hot key is no hot group. A null source is a source, null ids are
     kept, rows of size 0 get the whole part only. The hash is seeded: reruns agree. Empty tables stay empty.
     """
     counted = written(sizes.groupBy("source", "doc_id", "size").agg(F.count(F.lit(1)).alias("m")), "mix-rows")
@@ -111,7 +108,8 @@ def mix_sizes(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share: flo
     due = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     per = per.withColumn("due", due).withColumn("base", F.floor(_snap_up(F.col("due")))).withColumn("p", F.greatest(F.lit(0.0), F.col("due") - F.col("base")))
     per = per.select(F.col("source").alias("s2"), "source_size", "n", "target", F.col("base").cast("int").alias("base"), _snap(F.col("p")).alias("p"))
-    rows = counted.select("source", "doc_id", "size", F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))).alias("copy"))
+    runs = counted.select("source", "doc_id", "size", "m", F.explode(F.sequence(F.lit(0), F.floor((F.col("m") - 1) / RUN))).alias("run"))
+    rows = runs.select("source", "doc_id", "size", F.explode(F.sequence(F.col("run") * RUN + 1, F.least("m", (F.col("run") + 1) * RUN))).cast("int").alias("copy"))
     rows = rows.join(per, F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
     free = (F.col("size") > 0) & (F.col("p") > 0)
     h = F.xxhash64(F.lit(seed), "source", "doc_id", "size", "copy")
@@ -146,7 +144,8 @@ def word_count(text: Column) -> Column:
 
 
 def mix_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 42) -> DataFrame:
-    """mix_sizes over documents whose size is their number of words. Extra columns are ignored; texts do not move."""
+    """mix_sizes over documents whose size is their number of words. Null texts have no words; very long texts are counted
+    whole, by one task; extra columns are ignored; texts do not move."""
     sizes = docs.select(F.col(f"`{source_col}`").alias("source"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), word_count(F.col(f"`{text_col}`")).alias("size"))
     return mix_sizes(sizes, weights, share, most, seed)
 

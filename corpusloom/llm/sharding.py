@@ -25,11 +25,19 @@ def interleave(rows: DataFrame, strata: str, keys: list[str], shards: int, seed:
     a hash bucket of about ROWS_PER_BUCKET rows plus the count of the buckets before it, and likewise for the global
     order. rows should be narrow: it is read several times and shuffled twice.
 
-    A null stratum is a stratum. Rows alike in all keys are interchangeable, so their order does not matter; ties of the
-    hash are broken by keys. Reruns agree. Empty tables stay empty. An existing shard or slot column is replaced.
+    A null stratum is a stratum. Rows alike in all columns are counted first and numbered, and the number goes into the
+    hash, so that they spread like any others. Rows alike in all keys alone are interchangeable; ties of the hash are
+    broken by keys. Reruns agree. Empty tables stay empty. An existing shard or slot column is replaced.
+
+    The counts before are running sums over one row for each ROWS_PER_BUCKET rows.
     """
     given = [c for c in rows.columns if c not in ("shard", "slot")]
-    work = rows.select(*[F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(given)], F.col(f"`{strata}`").alias("s"), F.xxhash64(F.lit(seed), *[F.col(f"`{k}`") for k in keys]).alias("h"))
+    alike = rows.select(*[F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(given)]).groupBy(*[f"in_{i}" for i in range(len(given))]).agg(F.count(F.lit(1)).alias("m"))
+    alike = alike.withColumn("run", F.explode(F.sequence(F.lit(0), F.floor((F.col("m") - 1) / ROWS_PER_BUCKET))))
+    alike = alike.withColumn("copy", F.explode(F.sequence(F.col("run") * ROWS_PER_BUCKET + 1, F.least("m", (F.col("run") + 1) * ROWS_PER_BUCKET)))).drop("m", "run")
+    work = written(alike, "interleave-rows")
+    at = {c: F.col(f"in_{i}") for i, c in enumerate(given)}
+    work = work.withColumns({"s": at[strata], "h": F.xxhash64(F.lit(seed), *[at[k] for k in keys], F.col("copy"))})
     tie = [F.col(f"in_{given.index(k)}").asc_nulls_last() for k in keys]
     per = work.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
     total = work.count()
@@ -57,9 +65,9 @@ def interleave(rows: DataFrame, strata: str, keys: list[str], shards: int, seed:
 def shard_documents(docs: DataFrame, shards: int = 16, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", seed: int = 42) -> DataFrame:
     """One row per document: id, source, size (UTF-8 bytes plus 1; null text: 1), text_crc32 (null: of no bytes), shard, slot.
 
-    Only these narrow columns move; texts are read once, where they lie. Null ids and sources, equal texts and repeated
+    Only these narrow columns move; texts are read once, where they lie, very long ones whole. Null ids and sources, equal texts and repeated
     rows are placed like any others; extra columns are ignored.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     narrow = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    return interleave(written(narrow, "shard-rows"), "source", ["doc_id", "text_crc32", "size"], shards, seed)
+    return interleave(narrow, "source", ["doc_id", "text_crc32", "size"], shards, seed)

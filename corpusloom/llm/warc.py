@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import for_python, fresh_path, written
+from corpusloom.llm.common import for_python, fresh_path, lookup, written
 
 #: An empty gzip member. The text sink must end every row with a separator; this one is itself legal in a .warc.gz.
 EMPTY_MEMBER = zlib.compressobj(9, zlib.DEFLATED, 31).flush()
@@ -77,6 +77,11 @@ def _headers(lines: list[bytes]) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, v in (line.decode().split(":", 1) for line in lines if b":" in line)}
 
 
+def _agrees(digest: str | None, data: bytes) -> bool:
+    """Whether a header's digest is that of data; one that is missing or of another kind than SHA-1 proves nothing."""
+    return digest is None or not digest.startswith("sha1:") or digest.removeprefix("sha1:") == base64.b32encode(hashlib.sha1(data).digest()).decode()
+
+
 def records(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], dict[str, str], bytes]]:
     """WARC header, HTTP header and payload of each record; frames by Content-Length and verifies the digests."""
     for data in members(stream):
@@ -87,15 +92,18 @@ def records(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], dict[st
         if not lines[0].startswith(b"WARC/"):
             raise ValueError("not a WARC record")
         warc = _headers(lines[1:])
+        name = warc.get("warc-record-id", "a record without an id")
+        if not warc.get("content-length", "").isdigit():
+            raise ValueError(f"{name}: no Content-Length")
         length = int(warc["content-length"])
         block = rest[:length]
         if len(block) != length or rest[length:] != b"\r\n\r\n":
-            raise ValueError(f"{warc['warc-record-id']}: the block is not {length} bytes long")
-        if warc["warc-block-digest"] != f"sha1:{base64.b32encode(hashlib.sha1(block).digest()).decode()}":
-            raise ValueError(f"{warc['warc-record-id']}: the block does not match its digest")
-        http, _, payload = block.partition(b"\r\n\r\n")
-        if warc["warc-type"] == "response" and warc["warc-payload-digest"] != f"sha1:{base64.b32encode(hashlib.sha1(payload).digest()).decode()}":
-            raise ValueError(f"{warc['warc-record-id']}: the payload does not match its digest")
+            raise ValueError(f"{name}: the block is not {length} bytes long")
+        if not _agrees(warc.get("warc-block-digest"), block):
+            raise ValueError(f"{name}: the block does not match its digest")
+        http, _, payload = block.partition(b"\r\n\r\n") if "application/http" in warc.get("content-type", "") else (b"", b"", block)
+        if warc.get("warc-type") != "revisit" and not _agrees(warc.get("warc-payload-digest"), payload):
+            raise ValueError(f"{name}: the payload does not match its digest")
         yield warc, _headers(http.split(b"\r\n")[1:]), payload
 
 
@@ -104,7 +112,8 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
 
     Of pages with equal payloads of at least min_revisit bytes, the one with the largest id is a response, the others
     revisit it. Only digests are grouped: the largest id of each repeated digest is found by a partial aggregate and
-    joined back, so neither a hot payload nor its pages meet in one task.
+    looked up from the pages. Pages of payloads that over a thousandth of the repeats share stay where they are; those of
+    other repeated payloads meet by digest if the table of these is large.
 
     A null html is an empty payload. Null urls and ids leave their header out; a null id counts as the smallest, and
     rows that share the largest id are all responses. Extra columns are ignored. An empty table writes no record.
@@ -113,8 +122,8 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     payload = F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), payload.alias("payload"), F.sha1(payload).alias("digest"))
     known = rows.filter(F.octet_length("payload") >= min_revisit).groupBy("digest").agg(F.max("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
-    known = written(known.filter((F.col("n") > 1) & F.col("first_id").isNotNull()).select(F.col("digest").alias("digest2"), "first_id"), "warc-known")
-    rows = rows.join(known, F.col("digest") == F.col("digest2"), "left").drop("digest2")
+    known = written(known.filter((F.col("n") > 1) & F.col("first_id").isNotNull()).select(F.col("digest").alias("digest2"), "first_id", "n"), "warc-known")
+    rows = lookup(rows, known, {"digest": "digest2"}, "n", "left").drop("digest2", "n")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -139,7 +148,8 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
 
     Each archive is read from its start to its end: members are inflated one by one, framed by Content-Length and
     verified; a record that fails is an error. A revisit has no payload of its own (null): its length and digest are
-    those its headers give, which must be those of the response it refers to.
+    those its headers give, which must be those of the response it refers to. Records that another writer made need no
+    page id (null), digests (the payload's is then computed) or HTTP block (the block is the payload), but a length.
     """
     fields = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long"
 
@@ -154,11 +164,13 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
             for content in batch.column(0):
                 rows, size = [], 0
                 for warc, http, payload in records(io.BytesIO(content.as_buffer())):
-                    kind = warc["warc-type"]
-                    ids = [int(warc[k]) if k in warc and warc[k] != "None" else None for k in ("x-page-id", "x-refers-to-page-id")]
-                    digest = base64.b32decode(warc["warc-payload-digest"].removeprefix("sha1:")).hex()
-                    row = (ids[0], warc.get("warc-target-uri"), kind, int(http["content-length"]), digest, ids[1])
-                    rows.append((*row, payload if kind == "response" else None) if with_payload else row)
+                    kind = warc.get("warc-type")
+                    ids = [int(warc[k]) if warc.get(k, "").removeprefix("-").isdigit() else None for k in ("x-page-id", "x-refers-to-page-id")]
+                    told = warc.get("warc-payload-digest", "")
+                    digest = base64.b32decode(told.removeprefix("sha1:")).hex() if told.startswith("sha1:") else hashlib.sha1(payload).hexdigest()
+                    length = int(http["content-length"]) if kind == "revisit" and http.get("content-length", "").isdigit() else len(payload)
+                    row = (ids[0], warc.get("warc-target-uri"), kind, length, digest, ids[1])
+                    rows.append((*row, payload if kind != "revisit" else None) if with_payload else row)
                     size += len(payload) * with_payload + 200
                     if size > 4_000_000:
                         yield batch_of(rows)
