@@ -109,7 +109,8 @@ def mix_sizes(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share: flo
     per = per.withColumn("due", due).withColumn("base", F.floor(_snap_up(F.col("due")))).withColumn("p", F.greatest(F.lit(0.0), F.col("due") - F.col("base")))
     per = per.select(F.col("source").alias("s2"), "source_size", "n", "target", F.col("base").cast("int").alias("base"), _snap(F.col("p")).alias("p"))
     runs = counted.select("source", "doc_id", "size", "m", F.explode(F.sequence(F.lit(0), F.floor((F.col("m") - 1) / RUN))).alias("run"))
-    rows = runs.select("source", "doc_id", "size", F.explode(F.sequence(F.col("run") * RUN + 1, F.least("m", (F.col("run") + 1) * RUN))).cast("int").alias("copy"))
+    rows = runs.select("source", "doc_id", "size", F.explode(F.sequence(F.col("run") * RUN + 1, F.least("m", (F.col("run") + 1) * RUN))).alias("copy"))
+    rows = rows.withColumn("copy", F.col("copy").cast("int"))
     rows = rows.join(per, F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
     free = (F.col("size") > 0) & (F.col("p") > 0)
     h = F.xxhash64(F.lit(seed), "source", "doc_id", "size", "copy")
