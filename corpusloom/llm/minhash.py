@@ -27,7 +27,7 @@ ENOUGH, OF = 75, 100
 BANDS, ROWS = 24, 3
 BINS = BANDS * ROWS
 #: Members that one copy of a star's centre is compared with, about.
-STAR = 200
+STAR = 64
 #: Nodes in a block of a bucket that its star leaves unsettled; a tile compares two blocks.
 BLOCK = 256
 
@@ -176,9 +176,11 @@ def _across(shared: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
     mixed = written(mixed.select("b2", "m"), "mixed")
     held = written(lookup(held, mixed, {"bucket": "b2"}, "m").select("bucket", "node", "root", "m"), "unsettled")
     sizes = written(held.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c")).withColumnsRenamed({"bucket": "b3", "root": "r3"}), "unsettled-sizes")
-    sized = lookup(held, sizes, {"bucket": "b3", "root": "r3"}, "c")
+    small = sizes.groupBy(F.col("b3").alias("b4")).agg(F.sum(F.when(F.col("c") < BLOCK, F.col("c")).otherwise(0)).alias("small"), F.count(F.lit(1)).alias("roots"))
+    sizes = lookup(sizes, written(small, "unsettled-small"), {"b3": "b4"}, "roots").select("b3", "r3", "c", "small")
+    sized = lookup(held, written(sizes, "unsettled-sized"), {"bucket": "b3", "root": "r3"}, "c")
     own = F.xxhash64(F.lit(1), "root", F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / BLOCK)))
-    packed = F.xxhash64(F.lit(2), F.pmod(F.xxhash64("root"), F.ceil(F.col("m") / BLOCK)))
+    packed = F.xxhash64(F.lit(2), F.pmod(F.xxhash64("root"), F.greatest(F.ceil(F.col("small") / BLOCK), F.lit(1))))
     dealt = written(sized.select("bucket", "node", "root", F.when(F.col("c") >= BLOCK, own).otherwise(packed).alias("block")), "dealt")
     blocks = dealt.groupBy("bucket", "block").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
     left = blocks.select(F.col("bucket").alias("b1"), F.col("block").alias("i"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"))
