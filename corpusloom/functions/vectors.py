@@ -22,19 +22,10 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def cosine_to(a: Column, query: list[float]) -> Column:
-    """Cosine with one given vector: sums over single components, which code generation unrolls. Null if either vector is
-    null, has no length or the other has another number of components."""
+    """Cosine with one given vector, whose length is taken once. Null if either vector is null, has no length or the other
+    has another number of components."""
     length = math.sqrt(math.fsum(float(x) * float(x) for x in query))
     if not length:
         return F.lit(None).cast("double")
-    parts = [F.get(a, F.lit(i)).cast("double") for i in range(len(query))]
-    both = _sum([p * F.lit(float(x)) for p, x in zip(parts, query, strict=True)])
-    own = F.sqrt(_sum([p * p for p in parts]))
-    return F.when(F.size(a) == len(query), both / F.nullif(own * F.lit(length), F.lit(0.0)))
-
-
-def _sum(terms: list[Column]) -> Column:
-    """Halves at a time, so that the expression is not deep."""
-    while len(terms) > 1:
-        terms = [a + b for a, b in zip(terms[::2], terms[1::2], strict=False)] + terms[len(terms) & ~1 :]
-    return terms[0]
+    given = F.array(*[F.lit(float(x)) for x in query])
+    return F.when(F.size(a) == len(query), dot(a, given) / F.nullif(norm(a) * F.lit(length), F.lit(0.0)))

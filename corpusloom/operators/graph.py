@@ -69,3 +69,26 @@ def snapshot(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     n = nodes.agg(F.array_sort(F.collect_list(F.struct(*nodes.columns))).alias("nodes"))
     e = edges.agg(F.array_sort(F.collect_list(F.struct(*edges.columns))).alias("edges"))
     return n.join(e).select(F.to_json(F.struct("nodes", "edges")).alias("graph"))  # one row each
+
+
+def family_edges(names: DataFrame, name: str) -> DataFrame:
+    """parent, child: a decree belongs to the act of its name, a rule to the decree of its name if there is one, else to
+    the act. names has a row for each document."""
+    own = names.select(F.trim(F.col(name)).alias("child")).distinct()
+    act = F.trim(F.regexp_replace("child", r"\s*시행(령|규칙)$", ""))
+    wants = F.when(F.col("child").endswith("시행령"), F.array(act)).when(F.col("child").endswith("시행규칙"), F.array(F.trim(F.regexp_replace("child", r"\s*시행규칙$", " 시행령")), act))
+    asked = own.select("child", F.posexplode(wants).alias("place", "parent"))
+    met = asked.join(own.select(F.col("child").alias("parent")), "parent")
+    return met.groupBy("child").agg(F.min_by("parent", "place").alias("parent")).select("parent", "child")
+
+
+def self_references(docs: DataFrame, name: str, text: str, act_word: str = r"(?<![가-힣])법 제\s*\d+조", decree_word: str = r"(?<![가-힣])영 제\s*\d+조") -> DataFrame:
+    """source, target, n: how often a decree or rule speaks of the act, and a rule of the decree, of its own family."""
+    child = F.trim(F.col(name))
+    act = F.trim(F.regexp_replace(child, r"\s*시행(령|규칙)$", ""))
+    decree = F.trim(F.regexp_replace(child, r"\s*시행규칙$", " 시행령"))
+    refs = F.array(
+        F.when(child.rlike("시행(령|규칙)$") & (act != ""), F.struct(act.alias("target"), F.regexp_count(F.col(text), F.lit(act_word)).alias("n"))),
+        F.when(child.rlike("시행규칙$"), F.struct(decree.alias("target"), F.regexp_count(F.col(text), F.lit(decree_word)).alias("n"))))
+    rows = docs.select(child.alias("source"), F.explode(F.array_compact(refs)).alias("r"))
+    return rows.groupBy("source", F.col("r.target").alias("target")).agg(F.sum("r.n").alias("n")).filter("n > 0")

@@ -240,3 +240,39 @@ def verbatim_share(answer: Column, source: Column, window: int = 18, step: int =
     starts = F.when(F.length(a) > window, F.sequence(F.lit(1), F.length(a) - window + 1, F.lit(step))).otherwise(F.array(F.lit(1)))
     hits = F.size(F.filter(starts, lambda i: F.contains(s, F.substr(a, i, F.lit(window)))))
     return F.when(F.length(a) >= 12, F.round(hits / F.size(starts), 6))
+
+
+def article_rank(hits: DataFrame, doc_name: str, article_no: str, act: str, topics: list[str], domain: Column, tier: Column, k: int = 5) -> DataFrame:
+    """doc_name, article_no, score, place: the k best articles, one row each.
+
+    The score is twice the weight of the act that hit the title, plus the longest stretch of a topic that the document's
+    name or the title has (four characters at least; topics of up to three characters count as a whole), plus 1 in the
+    domain. Then the higher tier of law, the name and the article decide.
+    """
+    hay = F.concat(F.col(doc_name), F.lit(" "), F.coalesce(F.col(article_no), F.lit("")))
+    best = [F.when(F.contains(hay, F.lit(t)), len(t)).otherwise(0) if len(t) <= 3 else tx.longest_common(F.lit(t), hay) for t in topics]
+    longest = F.greatest(F.lit(0), F.lit(0), *[F.when(b >= 4, b).otherwise(0) if len(t) > 3 else b for t, b in zip(topics, best, strict=True)])
+    rows = hits.select(doc_name, F.coalesce(F.col(article_no), F.lit("")).alias(article_no), (2 * F.col(act) + longest + domain.cast("int")).cast("int").alias("score"), tier.alias("_tier"))
+    order = [F.desc("score"), F.desc("_tier"), F.asc(doc_name), F.asc(article_no)]
+    one = first_per(rows, [doc_name, article_no], *order).orderBy(*order).limit(k)
+    return one.withColumn("place", F.row_number().over(W.orderBy(*order))).select(doc_name, article_no, "score", "place")  # k rows
+
+
+def expanded(questions: DataFrame, question_id: str, text: str, synonyms: dict[str, list[str]]) -> DataFrame:
+    """question_id, words (what the synonyms add, each word once, in the order of the table) and expanded (the question
+    with these words behind it). The table is a dictionary that people keep; it goes into the plan."""
+    added = F.flatten(F.array(*[F.when(F.contains(F.col(text), F.lit(k)), F.array(*map(F.lit, ws))).otherwise(F.array().cast("array<string>")) for k, ws in synonyms.items()]))
+    words = F.array_distinct(added)
+    return questions.select(question_id, words.alias("words"), F.when(F.size(words) > 0, F.concat_ws(" ", F.col(text), F.array_join(words, " "))).otherwise(F.col(text)).alias("expanded"))
+
+
+def inverted_index(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """term, doc_id, tf: how often each lower-case word of a text stands in it; the table that term searches read."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return docs.select(doc_id, F.explode(words).alias("term")).groupBy("term", doc_id).agg(F.count(F.lit(1)).alias("tf"))
+
+
+def term_search(index: DataFrame, doc_id: str, terms: list[str]) -> DataFrame:
+    """doc_id, tf: documents that have all terms, with the sum of their counts."""
+    asked = index.filter(F.col("term").isin([t.lower() for t in terms]))
+    return asked.groupBy(doc_id).agg(F.count(F.lit(1)).alias("_n"), F.sum("tf").alias("tf")).filter(F.col("_n") == len({t.lower() for t in terms})).select(doc_id, "tf")

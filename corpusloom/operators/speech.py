@@ -75,3 +75,15 @@ def agenda_labels(df: DataFrame, part: list[str], order: str, opened: Column, cl
     event = F.when(opened.isNotNull(), F.struct(F.lit(True).alias("on"), opened.alias("a"))).when(closed, F.struct(F.lit(False).alias("on"), F.lit(None).cast("string").alias("a")))
     w = W.partitionBy(*part).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     return df.withColumn("_e", F.last(event, ignorenulls=True).over(w)).withColumn("agenda", F.when(F.col("_e.on"), F.col("_e.a"))).drop("_e")
+
+
+def capped(df: DataFrame, part: list[str], order: str, text: str, keywords: list[str], most: int, always: Column | None = None) -> DataFrame:
+    """At most most rows of a part, the most relevant ones, in their own order: 100 for each keyword that the text has and
+    1 for each 200 characters up to 5, nothing without a keyword; rows that are always wanted come on top of the cap."""
+    own = F.lit(False) if always is None else F.coalesce(always, F.lit(False))
+    found = sum((F.contains(F.col(text), F.lit(k)).cast("int") for k in keywords), F.lit(0))
+    score = F.when(found > 0, found * 100 + F.least(F.floor(F.length(text) / 200), F.lit(5))).otherwise(0)
+    rows = df.withColumns({"_own": own, "_score": score})
+    room = F.greatest(F.lit(0), F.lit(most) - F.count_if("_own").over(W.partitionBy(*part)))
+    place = F.row_number().over(W.partitionBy(*part, "_own").orderBy(F.desc("_score"), F.asc(order)))
+    return rows.withColumns({"_room": room, "_place": place}).filter(F.col("_own") | (F.col("_place") <= F.col("_room"))).drop("_own", "_score", "_room", "_place").orderBy(*part, order)

@@ -140,3 +140,95 @@ def resolve_names(names: DataFrame, name: str, registry: DataFrame, renamed: Dat
     out = out.join(exact, F.col("_q") == F.col("_k"), "left").join(moved, F.col("_q") == F.col("_o"), "left").join(near, F.col("_ql") == F.col("_l"), "left")
     how = F.when(F.col("_exact").isNotNull(), "exact").when(F.col("_moved").isNotNull(), "renamed").when(F.col("_near").isNotNull(), "loose")
     return out.withColumn("resolved", F.coalesce("_exact", "_moved", "_near")).withColumn("how", how).drop("_q", "_ql", "_k", "_exact", "_o", "_moved", "_l", "_near")
+
+
+#: Fixed value: the head of an article in a table of old and new texts.
+PARALLEL_HEAD = r"^제\s*[0-9]+조(?:의[0-9]+)?"
+
+
+def parallel_changes(lines: DataFrame, doc: str, order: str, old: str, new: str) -> DataFrame:
+    """doc, key, change, old_text, new_text: a table of old and new lines, side by side, as changes of articles.
+
+    An article starts where either side has its head; lines before the first are dropped. Without a head on the old side
+    it was added, without one on the new side, or with the mark of deletion there, deleted; else modified.
+    """
+    head = lambda c: F.col(c).rlike(PARALLEL_HEAD)
+    rows = lines.select(F.col(doc).alias("d"), F.col(order).alias("at"), *[F.trim(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"</?P>", "")).alias(n) for c, n in ((old, "o"), (new, "n"))])
+    w = W.partitionBy("d").orderBy("at")
+    rows = rows.withColumn("g", F.sum((head("o") | head("n")).cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0))).filter("g > 0")
+    groups = rows.groupBy("d", "g").agg(F.array_sort(F.collect_list(F.struct("at", "o", "n"))).alias("ls"))
+    text = lambda side: F.array_join(F.filter(F.col(f"ls.{side}"), lambda x: x != ""), "\n")
+    groups = groups.select(F.col("d").alias(doc), F.col("ls")[0]["o"].alias("o"), F.col("ls")[0]["n"].alias("n"), text("o").alias("old_text"), text("n").alias("new_text"))
+    had, has, empty = head("o"), head("n"), F.lit("")
+    gone = F.trim(F.regexp_replace("new_text", r"\s+", " ")).rlike(DELETED)
+    change = F.when(~had & has, "added").when(had & ~has, "deleted").when(gone, "deleted").otherwise("modified")
+    key = F.regexp_replace(F.regexp_extract(F.when(has, F.col("n")).otherwise(F.col("o")), r"^제?\s*([0-9]+조(?:의[0-9]+)?)", 1), r"\s", "")
+    out = groups.select(doc, key.alias("key"), change.alias("change"), F.when(change == "added", empty).otherwise(F.col("old_text")).alias("old_text"), F.when(had & ~has, empty).otherwise(F.col("new_text")).alias("new_text"))
+    return out.filter("key != ''")
+
+
+def drift(summaries: DataFrame, watched: DataFrame, renamed: DataFrame, today: str) -> DataFrame:
+    """path, title, own_no, own_enf, now_no, now_enf, now_doc, renamed_to: summaries that are behind the version that is watched.
+
+    summaries: path, title, agency, number, enforced; watched: doc_name of the form name(agency)(number)(yyyymmdd); renamed:
+    old, new. Names are compared without white space, dots, notes on future versions and numbers behind them; a name that
+    nobody watches is looked up among the renamed. Summaries of versions to come are left out, as are names that only
+    another agency has. Numbers are compared without leading zeros.
+    """
+    digits = lambda c: F.substring(F.regexp_replace(F.coalesce(c, F.lit("")), r"\D", ""), 1, 8)
+    bare = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s*\[시행예정[^\]]*\]\s*$", ""), r"\s*\([^()]*호\)\s*$", ""), r"[\sㆍ·‧•]", "")
+    number = lambda c: F.array_join(F.transform(F.filter(F.split(F.regexp_replace(F.coalesce(c, F.lit("")), r"[^0-9\-]", ""), "-"), lambda p: p != ""), lambda p: F.coalesce(F.nullif(F.regexp_replace(p, "^0+", ""), F.lit("")), F.lit("0"))), "-")
+    tidy = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"\s", "")
+    form = r"^(.+?)\(([^()]+)\)\((제[^()]*호)\)\((\d{8})\)\s*$"
+    part = lambda i: F.regexp_extract("doc_name", form, i)
+    docs = watched.filter(F.col("doc_name").rlike(form)).select("doc_name", bare(part(1)).alias("w"), tidy(part(2)).alias("a"), part(3).alias("no"), part(4).alias("enf"))
+    rows = summaries.withColumns({"_n": bare(F.col("title")), "_a": tidy(F.col("agency")), "_e": digits(F.col("enforced"))}).filter((F.col("number") != "") & (F.col("_e") != "") & (F.col("_e") <= today))
+    known = docs.select(F.col("w").alias("_k")).distinct()
+    moved = renamed.select(bare(F.col("old")).alias("_o"), F.col("new").alias("_to")).dropDuplicates(["_o"])
+    rows = rows.join(known, F.col("_n") == F.col("_k"), "left").join(moved, F.col("_n") == F.col("_o"), "left")
+    rows = rows.withColumn("_to", F.when(F.col("_k").isNull(), F.col("_to"))).withColumn("_name", F.coalesce("_k", bare(F.col("_to"))))
+    met = rows.join(docs, (F.col("_name") == F.col("w")) & ((F.col("_a") == "") | (F.col("_a") == F.col("a"))))
+    best = met.groupBy("path", "title", "number", "_e", "_to").agg(F.max(F.struct("enf", "no", "doc_name")).alias("b"))
+    behind = (F.col("b.enf") != F.col("_e")) | (number(F.col("b.no")) != number(F.col("number")))
+    return best.filter(behind).select("path", F.regexp_replace("title", r"\s*\[시행예정[^\]]*\]\s*$", "").alias("title"), F.col("number").alias("own_no"), F.col("_e").alias("own_enf"), F.col("b.no").alias("now_no"), F.col("b.enf").alias("now_enf"), F.col("b.doc_name").alias("now_doc"), F.col("_to").alias("renamed_to"))
+
+
+def watch(stored: DataFrame, fresh: DataFrame, sources: DataFrame) -> DataFrame:
+    """key, source, hash, what: the next state of watched items, and what happened to each: new, changed, same, kept or gone.
+
+    stored, fresh: key, source, hash; sources: source, ok (whether this run could read it). Items of a source that failed
+    keep their state. Items that are gone are in the result, so that they can be told; the next state leaves them out.
+    """
+    old = stored.select("key", F.col("source").alias("_s"), F.col("hash").alias("_h"))
+    both = old.join(fresh.select("key", "source", "hash"), "key", "full_outer")
+    both = both.join(sources.select(F.col("source").alias("_src"), "ok"), F.col("_s") == F.col("_src"), "left")
+    ok = F.coalesce("ok", F.lit(False))
+    what = F.when(F.col("_s").isNull(), "new").when(F.col("source").isNotNull(), F.when(F.col("hash").eqNullSafe(F.col("_h")), "same").otherwise("changed")).when(ok, "gone").otherwise("kept")
+    return both.select("key", F.coalesce("source", "_s").alias("source"), F.when(F.col("source").isNotNull(), F.col("hash")).otherwise(F.col("_h")).alias("hash"), what.alias("what"))
+
+
+def swapped(spark, df: DataFrame, path: str, keys: list[str]) -> DataFrame:
+    """Replaces the table at path by df and returns the new one, or fails and leaves the old one in place.
+
+    df is written beside path, read back and compared by row count and by a digest of its keys; only then the old table
+    makes way by renames. A run that dies in between leaves either table whole under one of the two names.
+    """
+    import uuid
+
+    fresh, old = f"{path}.{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
+    df.write.parquet(fresh)
+    proof = lambda x: tuple(x.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*keys)), F.count_distinct(*keys)).first())
+    if proof(spark.read.schema(df.schema).parquet(fresh)) != proof(df):
+        raise RuntimeError(f"the copy at {fresh} is not what was to be written")
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    files = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    had = files.exists(hadoop(path))
+    if had:
+        files.rename(hadoop(path), hadoop(old))
+    if not files.rename(hadoop(fresh), hadoop(path)):
+        if had:
+            files.rename(hadoop(old), hadoop(path))
+        raise RuntimeError(f"{path} could not be replaced")
+    if had:
+        files.delete(hadoop(old), True)
+    return spark.read.schema(df.schema).parquet(path)
