@@ -88,21 +88,21 @@ def line_cuts(text: Column, size: int = 700) -> Column:
 
     def step(s: Column, length: Column) -> Column:
         place = s["at"] + length  # of the newline behind this line
-        return _let(closed(s, place), lambda c: state(c["start"], F.when(place >= c["start"] + near, place + 1).otherwise(c["best"]), place + 1, c["cuts"]))
+        return let(closed(s, place), lambda c: state(c["start"], F.when(place >= c["start"] + near, place + 1).otherwise(c["best"]), place + 1, c["cuts"]))
 
     lines = F.slice(lengths, 1, F.greatest(F.size(lengths) - 1, F.lit(0)))  # each of them ends in a newline
     folded = F.aggregate(lines, state(F.lit(0), F.lit(0), F.lit(0), F.array()), step)
-    return _let(folded, lambda s: closed(s, F.length(text) - 1)["cuts"])
+    return let(folded, lambda s: closed(s, F.length(text) - 1)["cuts"])
 
 
 def line_chunks(text: Column, size: int = 700) -> Column:
     """Pieces of at most size characters that do not overlap, cut behind a newline in a piece's last 30% if there is one.
     Pieces of white space alone are dropped; the others joined give the text back."""
-    pieces = _let(line_cuts(text, size), lambda cuts: F.transform(F.arrays_zip(F.concat(F.array(F.lit(0)), cuts).alias("a"), F.concat(cuts, F.array(F.length(text))).alias("b")), lambda p: F.substr(text, p["a"] + 1, p["b"] - p["a"])))
+    pieces = let(line_cuts(text, size), lambda cuts: F.transform(F.arrays_zip(F.concat(F.array(F.lit(0)), cuts).alias("a"), F.concat(cuts, F.array(F.length(text))).alias("b")), lambda p: F.substr(text, p["a"] + 1, p["b"] - p["a"])))
     return F.filter(pieces, lambda p: _stripped(p) != "")
 
 
-def _let(value: Column, body) -> Column:
+def let(value: Column, body) -> Column:
     """Evaluates value once and hands it to body."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
@@ -115,6 +115,6 @@ def joined_chunks(parts: Column, most: int = 400, least: int = 20) -> Column:
     def glued(out: Column, part: Column) -> Column:
         room = F.least(F.length(out), F.length(part), F.lit(most))
         lengths = F.when(room >= least, F.sequence(F.lit(least), F.greatest(room, F.lit(least)))).otherwise(none)
-        return _let(F.coalesce(F.array_max(F.filter(lengths, lambda n: F.endswith(out, F.left(part, n)))), F.lit(0)), lambda n: F.when(out == "", part).when(n > 0, F.concat(out, F.substr(part, n + 1, F.length(part)))).otherwise(F.concat(out, F.lit("\n"), part)))
+        return let(F.coalesce(F.array_max(F.filter(lengths, lambda n: F.endswith(out, F.left(part, n)))), F.lit(0)), lambda n: F.when(out == "", part).when(n > 0, F.concat(out, F.substr(part, n + 1, F.length(part)))).otherwise(F.concat(out, F.lit("\n"), part)))
 
     return F.aggregate(F.transform(parts, lambda p: F.coalesce(p, F.lit(""))), F.lit(""), glued)

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusloom.functions.chunks import let
+
 #: Scores of games, corner names, and hosts of sports and entertainment pages.
 SPORTS = r"\b[36]G\b\s*\d*\s*(연속|무패|무실점|타점|타수|안타|홈런|골|승|패|세이브|QS|경기|보살)|\[\s*LTE\b[^\]]*\]|^LTE\)"
 SPORTS_HOSTS = ("sports.naver.com", "entertain.naver.com")
@@ -137,17 +139,12 @@ def speaker_name(name: Column, titles: tuple[str, ...]) -> Column:
     count, and anything else is unknown (null)."""
     raw = F.trim(F.regexp_replace(F.coalesce(name, F.lit("")), r"\s+", " "))
     n = F.trim(F.regexp_replace(raw, r"\s*[\(（][^)）]*[\)）]", ""))
+    before = lambda n: F.filter(F.array(*map(F.lit, titles)), lambda t: F.startswith(n, F.concat(t, F.lit(" "))))
+    without = lambda n, t: F.trim(F.substr(n, F.lit(1), F.length(n) - F.length(t)))
+    behind = lambda n: F.filter(F.array(*map(F.lit, titles)), lambda t: F.endswith(n, F.concat(F.lit(" "), t)) | (F.endswith(n, t) & F.length(without(n, t)).between(2, 4)))
     for _ in range(2):
-        before = F.lit(None).cast("string")
-        for t in reversed(titles):
-            before = F.when(F.startswith(n, F.lit(t + " ")), F.trim(F.substr(n, F.lit(len(t) + 2), F.length(n)))).otherwise(before)
-        n = F.coalesce(before, n)
+        n = let(n, lambda n: let(before(n), lambda ts: F.when(F.size(ts) > 0, F.trim(F.substr(n, F.length(ts[0]) + 2, F.length(n)))).otherwise(n)))
     for _ in range(2):
-        behind = F.lit(None).cast("string")
-        for t in reversed(titles):
-            apart = F.endswith(n, F.lit(" " + t))
-            left = F.trim(F.substr(n, F.lit(1), F.length(n) - len(t)))
-            behind = F.when(apart | (F.endswith(n, F.lit(t)) & F.length(left).between(2, 4)), left).otherwise(behind)
-        n = F.coalesce(behind, n)
+        n = let(n, lambda n: let(behind(n), lambda ts: F.when(F.size(ts) > 0, without(n, ts[0])).otherwise(n)))
     head = F.regexp_replace(raw, r"[◯○\s]+", "")
-    return F.when(F.length(n).between(2, 5), n).when(F.length(head).between(2, 6) & head.rlike("^[가-힣]+$"), head)
+    return let(n, lambda n: F.when(F.length(n).between(2, 5), n).when(F.length(head).between(2, 6) & head.rlike("^[가-힣]+$"), head))
