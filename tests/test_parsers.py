@@ -52,7 +52,7 @@ def test_speech_blocks(spark):
 
 @pytest.mark.parametrize(("claim", "text", "n", "hits"), [
     ("무선국은 개설허가를 받아야 한다 제19조제1항", "무선국의 개설허가 절차", 4, 2),  # stems of the first two words; the reference is no word
-    ("60일 이내에 신고", "60 일에 신고한다", 3, 1),  # digits alone do not stem
+    ("60일 이내에 신고", "60 개를 신고한다", 3, 1),  # two characters are no stem
     ("abc def", "xx ABC", 2, 0),
     ("가는 나는", "가는 나는", 0, 0),  # two characters that end in a particle
     ("[붙임] **굵은글씨** 말", "굵은 글씨", 1, 1),
