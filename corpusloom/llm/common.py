@@ -66,7 +66,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(spark, name)
     with shuffle_files_end_with_the_job(spark):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing reads any more: neither a result nor a table still to be written."""
+    for table in tables:
+        if path := getattr(table, "_written_to", None):
+            remove(table.sparkSession, path)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -78,13 +87,17 @@ def lookup(rows: DataFrame, table: DataFrame, on: dict[str, str], weight: str, h
     """rows.join(table) on unique keys of table, without hot keys meeting in one task; how: inner, left or left_semi.
 
     weight says how many rows a key has. Keys with over one in HOT of all weight are at most HOT; their rows of table
-    are broadcast, and the rows that have such a key stay where they are. The rest is joined by shuffle. rows is read
-    twice, so it should be a table that is cheap to read again. Columns of table other than the keys come along
+    are broadcast, and the rows that have such a key stay where they are; a table of at most HOT rows is broadcast whole.
+    The rest is joined by shuffle. rows is read twice, so it should be a table that is cheap to read again. Columns of table other than the keys come along
     (left_semi: none).
     """
-    total = table.agg(F.sum(weight)).first()[0] or 0
-    heavy = F.col(weight) * HOT > total
+    total, most, many = table.agg(F.sum(weight), F.max(weight), F.count(F.lit(1))).first()
     match = reduce(lambda a, b: a & b, (F.col(a) == F.col(b) for a, b in on.items()))
+    if many <= HOT:
+        return rows.join(F.broadcast(table), match, how)
+    if most * HOT <= total:
+        return rows.join(table, match, how)
+    heavy = F.col(weight) * HOT > total
     hot, cold = table.filter(heavy), table.filter(~heavy)
     near = rows.join(F.broadcast(hot), match, "left_semi" if how == "left_semi" else "inner")
     rest = rows.join(F.broadcast(hot.select(*on.values())), match, "left_anti").join(cold, match, how)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import for_python, lookup, written
+from corpusloom.llm.common import discard, for_python, lookup, written
 from corpusloom.llm.components import connected
 
 COSINE = 0.93
@@ -278,9 +278,11 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     roots = connected(found.filter(F.col("other").isNotNull()).select(F.col("node").alias("a"), F.col("other").alias("b")))
     counts = found.filter(F.col("links").isNotNull()).groupBy("node").agg(F.sum("links").alias("links"))
     led = nodes.select("node", "vec_id", "copies").join(counts, "node", "left").join(roots, "node", "left")
-    led = written(led.select("node", "vec_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("root")), "vector-led")
-    heads = written(led.groupBy("root").agg(F.min("vec_id").alias("component_id")), "vector-heads")
-    groups = written(led.join(heads, "root").select(F.col("node").alias("g"), "n_links", "component_id"), "vector-groups")
-    out = rows.select("vec_id", "node").join(groups, F.col("node") == F.col("g"), "left")
-    component = F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
+    led = written(led.select("node", "vec_id", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("root")), "vector-led")
+    heads = written(led.groupBy("root").agg(F.min("vec_id").alias("component_id"), F.count(F.lit(1)).alias("members")).withColumnRenamed("root", "head"), "vector-heads")
+    groups = lookup(led, heads, {"root": "head"}, "members").select(F.col("node").alias("g"), "copies", "n_links", "component_id")
+    groups = written(groups, "vector-groups")
+    discard(nodes, sizes, places, cells, found, led, heads)
+    linked = lookup(rows.filter("node is not null").select("vec_id", "node"), groups, {"node": "g"}, "copies").select("vec_id", "n_links", "component_id")
+    out = linked.unionByName(rows.filter("node is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

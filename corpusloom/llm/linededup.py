@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import let, lookup, written
+from corpusloom.llm.common import discard, let, lookup, written
 
 #: Tokens with a digit or an at sign are variable fields from the start.
 FIELD = r"(?<![^ ])[^ ]*[0-9@][^ ]*"
@@ -110,7 +110,9 @@ def template_lines(docs: DataFrame, text_col: str = "text", depth: int = 3, min_
     groups = pairs.select("template", F.coalesce("label", "text_key").alias("label")).distinct().groupBy("template").agg(F.count(F.lit(1)).alias("m"))
     groups = written(groups.filter(F.col("m") >= enough(F.col("template"))).withColumnRenamed("template", "template4"), "line-recurring")
     drop = lookup(held, groups, {"template": "template4"}, "m", "left_semi").groupBy("text_key").agg(F.array_sort(F.collect_list("i")).alias("drop"))
-    return written(drop.join(leaves.select("text_key", "copies"), "text_key"), "line-drop")
+    drop = written(drop.join(leaves.select("text_key", "copies"), "text_key"), "line-drop")
+    discard(leaves, busy, wanted, per_text, distinct, often, shape, gone, held, groups)
+    return drop
 
 
 def _labels(per_text: DataFrame, near: float) -> DataFrame:

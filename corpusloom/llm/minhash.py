@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import for_python, lookup, written
+from corpusloom.llm.common import discard, for_python, lookup, written
 from corpusloom.llm.components import connected
 
 WORDS = 5
@@ -276,10 +276,12 @@ def _grouped(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     more = _across(shared.filter("m > 2"), roots, texts)
     if not more.isEmpty():
         roots = _merged(roots, more)
+    discard(stars, shared, pairs, texts, links, more)
     led = nodes.select("node", "doc_id", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     led = written(led, "led")
     heads = written(led.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("members")).withColumnRenamed("root", "head"), "heads")
     groups = written(lookup(led, heads, {"root": "head"}, "members").select(F.col("node").alias("g"), "component_id", "copies"), "groups")
+    discard(nodes, led, heads)
     out = signed.select("doc_id", "text_key", "n_shingles", "node")
     grouped = lookup(out.filter("node is not null"), groups, {"node": "g"}, "copies").select("doc_id", "text_key", "n_shingles", "component_id")
     out = grouped.unionByName(out.filter("node is null").select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id")))
