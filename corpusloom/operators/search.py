@@ -276,3 +276,25 @@ def term_search(index: DataFrame, doc_id: str, terms: list[str]) -> DataFrame:
     """doc_id, tf: documents that have all terms, with the sum of their counts."""
     asked = index.filter(F.col("term").isin([t.lower() for t in terms]))
     return asked.groupBy(doc_id).agg(F.count(F.lit(1)).alias("_n"), F.sum("tf").alias("tf")).filter(F.col("_n") == len({t.lower() for t in terms})).select(doc_id, "tf")
+
+
+def within_budget(items: DataFrame, question: str, section: str, place: str, chars: Column, other_chars: Column, cap: int, drop_order: list[str]) -> DataFrame:
+    """The items of a question's context that fit: while the other text and the items together exceed cap, one item goes,
+    from the first section of drop_order that has one left, from its end. Items of sections not named there stay.
+
+    An item goes exactly if what is left before it, in the order of dropping, is still too much: a running sum, no loop.
+    """
+    rank = F.coalesce(*[F.when(F.col(section) == s, F.lit(i)) for i, s in enumerate(drop_order)])
+    rows = items.withColumns({"_c": chars, "_rank": rank})
+    all_chars = F.sum("_c").over(W.partitionBy(question))
+    gone = W.partitionBy(question).orderBy(F.col("_rank").asc_nulls_last(), F.col(place).desc()).rowsBetween(W.unboundedPreceding, -1)
+    over = other_chars + all_chars - F.coalesce(F.sum("_c").over(gone), F.lit(0)) > cap
+    return rows.withColumn("_over", over).filter(F.col("_rank").isNull() | ~F.col("_over")).drop("_c", "_rank", "_over")
+
+
+def until_short_page(pages: DataFrame, feed: str, page: str, rows: str, size: int) -> DataFrame:
+    """The pages of a feed that a reader asks for: up to the first one that is not full, or that is missing."""
+    w = W.partitionBy(feed).orderBy(page)
+    out = pages.withColumn("_stop", F.coalesce(F.max((F.col(rows) < size).cast("int")).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    out = out.withColumn("_gap", F.col(page) - F.row_number().over(w) != F.min(page).over(W.partitionBy(feed)) - 1)
+    return out.filter((F.col("_stop") == 0) & ~F.col("_gap")).drop("_stop", "_gap")

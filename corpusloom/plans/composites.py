@@ -360,3 +360,37 @@ def lowered_pool(spark, sf):
     feedback = e.select(k.alias("id"), F.col("ts").alias("at"), F.when(F.col("event_type") == "error", "normal").otherwise("urgent").alias("was"), F.when(F.col("event_type") == "click", "normal").when(F.col("event_type") == "view", "reference").otherwise("urgent").alias("now"))
     items = e.select(k.alias("id")).distinct().select("id", F.when(F.col("id") % 3 == 0, "urgent").otherwise("normal").alias("level"), (F.col("id") % 7 == 0).alias("lowered_by_like"), (F.col("id") % 11 == 0).alias("restored"), F.when(F.col("id") % 13 == 0, True).alias("omnibus"))
     return ru.lowered_pool(feedback, items, F.lit("2024-01-20").cast("timestamp"))
+
+
+@register("context_budget", """
+    WITH i AS (SELECT o_custkey AS q, o_orderkey AS id, o_orderpriority AS sec, (o_orderkey % 900)::BIGINT AS c FROM orders),
+    o AS (SELECT *, CASE sec WHEN '5-LOW' THEN 0 WHEN '4-NOT SPECI' THEN 1 WHEN '3-MEDIUM' THEN 2 WHEN '2-HIGH' THEN 3 END AS r, sum(c) OVER (PARTITION BY q) AS total FROM i),
+    g AS (SELECT *, coalesce(sum(c) OVER (PARTITION BY q ORDER BY r NULLS LAST, id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone FROM o)
+    SELECT q, id FROM g WHERE r IS NULL OR 1000 + total - gone <= 3500""")
+def context_budget(spark, sf):
+    """A customer's orders as the items of one context; the highest priority is never dropped."""
+    items = table(spark, sf, "orders").select(F.col("o_custkey").alias("q"), F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("sec"))
+    return se.within_budget(items, "q", "sec", "id", (F.col("id") % 900).cast("long"), F.lit(1000), 3500, ["5-LOW", "4-NOT SPECI", "3-MEDIUM", "2-HIGH"]).select("q", "id")
+
+
+@register("paged_feed", """
+    WITH p AS (SELECT o_custkey AS feed, (o_orderkey % 12)::INT AS page, count(*) AS n FROM orders GROUP BY ALL), f AS (SELECT feed, min(page) AS first FROM p GROUP BY 1),
+    r AS (SELECT p.*, page - row_number() OVER (PARTITION BY p.feed ORDER BY page) = first - 1 AS unbroken, coalesce(max((n < 2)::INT) OVER (PARTITION BY p.feed ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stopped FROM p JOIN f ON p.feed = f.feed)
+    SELECT feed, page, n FROM r WHERE unbroken AND stopped = 0""")
+def paged_feed(spark, sf):
+    pages = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("feed"), (F.col("o_orderkey") % 12).cast("int").alias("page")).agg(F.count(F.lit(1)).alias("n"))
+    return se.until_short_page(pages, "feed", "page", "n", 2)
+
+
+@register("lost_characters", """
+    SELECT p_partkey, '「' || p_name || '」 of ' || p_brand || ' · size ' || p_size || CASE WHEN p_partkey % 5 = 0 THEN ' why?' ELSE '' END AS text, (3)::INT AS fixed FROM part""")
+def lost_characters(spark, sf):
+    """Brackets and dots lost in one form of a text and found in the other; true question marks stay."""
+    from corpusloom.functions import udfs
+    from corpusloom.session import ship_package
+
+    ship_package(spark)
+    whole = F.concat(F.lit("「"), "p_name", F.lit("」 of "), "p_brand", F.lit(" · size "), "p_size", F.when(F.col("p_partkey") % 5 == 0, " why?").otherwise(""))
+    rows = table(spark, sf, "part").select("p_partkey", whole.alias("whole"))
+    rows = rows.withColumn("r", udfs.repaired(F.translate("whole", "「」·", "???"), F.concat(F.lit("page 1\n"), "whole", F.lit("\nend"))))
+    return rows.select("p_partkey", "r.text", "r.fixed")

@@ -10,7 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark(tmp_path_factory):
     from corpusloom.session import build_session
 
-    session = build_session("local[8]", 8, "corpusloom-tests")
+    session = build_session("local[8]", 4, "corpusloom-tests")
     session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
     yield session
     session.stop()
