@@ -38,16 +38,16 @@ def test_definitions(spark):
 
 
 @pytest.mark.parametrize(("label", "name"), [
-    ("최민희 위원장", "최민희"), ("위원장 최민희", "최민희"), ("홍길동(어느당)", "홍길동"), ("김철수의원", "김철수"), ("장관 유상임", "유상임"),
-    ("위원장", "위원장"), ("과학기술정보통신부장관", None), ("해럴드로저스", "해럴드로저스"), ("의석을 정돈하여 주시기 바랍니다", None), ("", None), (None, None),
+    ("이가람 위원장", "이가람"), ("위원장 이가람", "이가람"), ("홍길동(어느당)", "홍길동"), ("김철수의원", "김철수"), ("장관 박나래", "박나래"),
+    ("위원장", "위원장"), ("과학기술정보통신부장관", None), ("마이클브라운", "마이클브라운"), ("의석을 정돈하여 주시기 바랍니다", None), ("", None), (None, None),
 ])
 def test_speaker_name(spark, label, name):
     assert one(spark, pr.speaker_name(F.col("s"), ("위원장", "장관", "위원", "의원", "간사")), s=label) == name
 
 
 def test_speech_blocks(spark):
-    text = "회의록\n머리말\n◯위원장 최민희 \n의석을\n\n\n정돈하여\n◯김철수 위원\n예.\n◯\n이름 없음\n◯박영희 위원\n"
-    assert [tuple(b) for b in one(spark, pr.speech_blocks(F.col("t")), t=text)] == [("위원장 최민희", "의석을\n정돈하여"), ("김철수 위원", "예.")]
+    text = "회의록\n머리말\n◯위원장 이가람 \n의석을\n\n\n정돈하여\n◯김철수 위원\n예.\n◯\n이름 없음\n◯박영희 위원\n"
+    assert [tuple(b) for b in one(spark, pr.speech_blocks(F.col("t")), t=text)] == [("위원장 이가람", "의석을\n정돈하여"), ("김철수 위원", "예.")]
 
 
 @pytest.mark.parametrize(("claim", "text", "n", "hits"), [
@@ -116,11 +116,11 @@ def test_family_and_self_references(spark):
 
 def test_news_rank_wants_evidence(spark):
     rows = [
-        (1, "SKT 주파수 경매", "SKT 주파수 경매 본문", "e1"), (2, "SKT 주파수 경매 속보", "SKT 주파수", "e2"), (3, "주파수 재할당", "경매 없이", "e1"), (4, "야구 소식", "SKT 주파수 경매", ""),
-        (5, "현장주파수장 이야기", "아무 말", ""), (6, "다른 SKTX 이야기", "경매", ""), (7, "SKT 주파수 경매", "같은 제목", ""), (8, "주파수 정책", "", ""),
+        (1, "ABC 주파수 경매", "ABC 주파수 경매 본문", "e1"), (2, "ABC 주파수 경매 속보", "ABC 주파수", "e2"), (3, "주파수 재할당", "경매 없이", "e1"), (4, "야구 소식", "ABC 주파수 경매", ""),
+        (5, "현장주파수장 이야기", "아무 말", ""), (6, "다른 ABCX 이야기", "경매", ""), (7, "ABC 주파수 경매", "같은 제목", ""), (8, "주파수 정책", "", ""),
     ]
     df = spark.createDataFrame(rows, "id int, title string, body string, event string").withColumn("at", F.lit(None).cast("timestamp"))
-    got = [(r["id"], r["place"]) for r in se.news_rank(df, "id", "title", "body", "event", "at", ["SKT", "주파수", "경매"]).orderBy("place").collect()]
+    got = [(r["id"], r["place"]) for r in se.news_rank(df, "id", "title", "body", "event", "at", ["ABC", "주파수", "경매"]).orderBy("place").collect()]
     assert got[0] == (1, 1) and {i for i, _ in got} & {2, 4, 6, 7, 8} == set()  # 2 has a like title, 4 no title hit, 6 no whole word, 7 a known title, 8 no body
     assert se.news_rank(df, "id", "title", "body", "event", "at", ["주파수"], common=2).count() == 0
 
