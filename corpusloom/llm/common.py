@@ -78,6 +78,12 @@ def discard(*tables: DataFrame) -> None:
             remove(table.sparkSession, path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as it takes to be none of df's columns."""
+    taken = {c.lower() for c in df.columns}
+    return [next(n for n in (name + "_" * k for k in range(len(taken) + 1)) if n.lower() not in taken) for name in names]
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluates value once and hands it to body."""
     return F.element_at(F.transform(F.array(value), body), 1)

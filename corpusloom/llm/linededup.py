@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import discard, let, lookup, written
+from corpusloom.llm.common import discard, let, lookup, unused, written
 
 #: Tokens with a digit or an at sign are variable fields from the start.
 FIELD = r"(?<![^ ])[^ ]*[0-9@][^ ]*"
@@ -138,15 +138,16 @@ def drop_recurring_lines(docs: DataFrame, text_col: str = "text", **options) ->
 
     Rows of texts that very many rows share stay where they are (their lists are broadcast); the others move once.
     """
-    drop = template_lines(docs, text_col, **options).withColumnsRenamed({"text_key": "__line_of", "drop": "__line_drop", "copies": "__line_copies"})
+    key, of, gone, copies = unused(docs, "__line_key", "__line_of", "__line_drop", "__line_copies")
+    drop = template_lines(docs, text_col, **options).withColumnsRenamed({"text_key": of, "drop": gone, "copies": copies})
     text = F.col(f"`{text_col}`").cast("string")
-    joined = lookup(docs.withColumn("__line_key", text_key(text)), drop, {"__line_key": "__line_of"}, "__line_copies", "left")
+    joined = lookup(docs.withColumn(key, text_key(text)), drop, {key: of}, copies, "left")
     lines = F.split(text, "\n")
-    left = let(lines, lambda ls: F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), "__line_drop"), lambda i: F.get(ls, i)))
+    left = let(lines, lambda ls: F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), gone), lambda i: F.get(ls, i)))
     out = {
         "n_lines": F.when(text.isNull(), 0).otherwise(F.size(lines)),
-        "n_dropped": F.when(F.col("__line_drop").isNull(), 0).otherwise(F.size("__line_drop")),
-        text_col: F.when(F.col("__line_drop").isNull(), text).otherwise(F.array_join(left, "\n")),
+        "n_dropped": F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)),
+        text_col: F.when(F.col(gone).isNull(), text).otherwise(F.array_join(left, "\n")),
     }
-    return joined.withColumns(out).drop("__line_key", "__line_of", "__line_drop", "__line_copies")
+    return joined.withColumns(out).drop(key, of, gone, copies)
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import discard, for_python, lookup, written
+from corpusloom.llm.common import discard, for_python, lookup, unused, written
 from corpusloom.llm.components import connected
 
 WORDS = 5
@@ -297,9 +297,10 @@ def _wanted(texts: DataFrame, shared: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """docs with one document of each group; repeated rows (same id and text) are one document, of which one row stays.
     All columns stay, whatever their names."""
-    kept = _grouped(docs, text_col, id_col).filter("kept").select(F.col("doc_id").alias("__kept_id"), F.col("text_key").alias("__kept_text")).distinct()
+    own_id, own_text, key, copy = unused(docs, "__kept_id", "__kept_text", "__text_key", "__copy")
+    kept = _grouped(docs, text_col, id_col).filter("kept").select(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_text)).distinct()
     kept = written(kept, "kept")
-    rows = docs.withColumn("__text_key", _text_key(text_col))
-    left = rows.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("__kept_id")) & (F.col("__text_key") == F.col("__kept_text")), "left_semi")
-    again = left.withColumn("__copy", F.row_number().over(W.partitionBy(F.col(f"`{id_col}`"), F.col("__text_key")).orderBy(F.lit(1))))
-    return again.filter("__copy = 1").drop("__copy", "__text_key")
+    rows = docs.withColumn(key, _text_key(text_col))
+    left = rows.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col(own_id)) & (F.col(key) == F.col(own_text)), "left_semi")
+    again = left.withColumn(copy, F.row_number().over(W.partitionBy(F.col(f"`{id_col}`"), F.col(key)).orderBy(F.lit(1))))
+    return again.filter(F.col(copy) == 1).drop(copy, key)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import let, written
+from corpusloom.llm.common import let, unused, written
 
 #: Fractional copies that one block of the reduction tree rounds in a row.
 BLOCK = 128
@@ -158,13 +158,14 @@ def apply_mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", s
     copies; which of them get the higher one follows from their texts' hash. Texts move once. Extra columns stay,
     null ids and sources and empty texts are rows like others (a row without words gets its whole part only).
     """
+    key, due_key, low, high, total, many, place, again = unused(docs, *(f"__mix_{n}" for n in ("key", "due", "low", "high", "sum", "rows", "place", "again")))
     decided = mix_documents(docs, text_col, id_col, source_col, **options)
-    key = F.md5(F.to_json(F.struct(F.col("source"), F.col("doc_id"), F.col("size"))).cast("binary"))
-    due = decided.withColumn("__mix_key", key).groupBy("__mix_key").agg(F.min("copies").alias("__mix_low"), F.max("copies").alias("__mix_high"), F.sum("copies").alias("__mix_sum"), F.count(F.lit(1)).alias("__mix_rows"))
+    digest = F.md5(F.to_json(F.struct(F.col("source"), F.col("doc_id"), F.col("size"))).cast("binary"))
+    due = decided.withColumn(due_key, digest).groupBy(due_key).agg(F.min("copies").alias(low), F.max("copies").alias(high), F.sum("copies").alias(total), F.count(F.lit(1)).alias(many))
     due = written(due, "mix-due")
     own = F.md5(F.to_json(F.struct(F.col(f"`{source_col}`").alias("source"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), word_count(F.col(f"`{text_col}`")).alias("size"))).cast("binary"))
-    rows = docs.withColumn("__mix_key", own).join(due, "__mix_key")
-    rows = rows.withColumn("__mix_place", F.row_number().over(W.partitionBy("__mix_key").orderBy(F.xxhash64(F.col(f"`{text_col}`")))))
-    copies = F.when(F.col("__mix_place") <= F.col("__mix_sum") - F.col("__mix_low") * F.col("__mix_rows"), F.col("__mix_high")).otherwise(F.col("__mix_low"))
-    rows = rows.withColumn("__mix_again", F.explode(F.array_repeat(F.lit(1), copies.cast("int"))))
+    rows = docs.withColumn(key, own).join(due, F.col(key) == F.col(due_key))
+    rows = rows.withColumn(place, F.row_number().over(W.partitionBy(key).orderBy(F.xxhash64(F.col(f"`{text_col}`")))))
+    copies = F.when(F.col(place) <= F.col(total) - F.col(low) * F.col(many), F.col(high)).otherwise(F.col(low))
+    rows = rows.withColumn(again, F.explode(F.array_repeat(F.lit(1), copies.cast("int"))))
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.bpe import Coder, Vocabulary
-from corpusloom.llm.common import for_python
+from corpusloom.llm.common import for_python, unused
 
 _CODERS: dict[tuple, Coder] = {}
 
@@ -110,8 +110,9 @@ def round_trip_bpe(docs: DataFrame, tokenizer_path: str, pattern: str, text_col:
             decoded = pa.array((coder.decode(ids[a:b]) for a, b in zip(ends, ends[1:], strict=False)), pa.binary(), size=len(texts))
             yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)), decoded], ["ids", "decoded"])
 
-    both = docs.withColumn("__coded", coded(F.col(f"`{text_col}`")))
-    return both.withColumns({ids_col: F.col("__coded.ids"), decoded_col: F.col("__coded.decoded")}).drop("__coded")
+    (name,) = unused(docs, "__coded")
+    both = docs.withColumn(name, coded(F.col(f"`{text_col}`")))
+    return both.withColumns({ids_col: F.col(f"{name}.ids"), decoded_col: F.col(f"{name}.decoded")}).drop(name)
 
 
 def decode_bpe(docs: DataFrame, tokenizer_path: str, pattern: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
