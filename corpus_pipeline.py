@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import linededup, minhash, mixing, quality, tokens
-from corpusloom.llm.common import written
+from corpusloom.llm.common import unused, written
 
 #: Rows scored below this are rejected.
 LEAST_QUALITY = 0.3
@@ -20,14 +20,16 @@ LEAST_QUALITY = 0.3
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality classifier: documents scored below LEAST_QUALITY go. It learns from the labels of rows not held out."""
     model = quality.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = quality.score_quality(docs, model, out_col="__score")
-    return scored.filter(F.col("__score") >= LEAST_QUALITY).select(docs.columns)
+    (score,) = unused(docs, "__score")
+    return quality.score_quality(docs, model, out_col=score).filter(F.col(score) >= LEAST_QUALITY).select(docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Line dedup: lines whose template recurs across documents go; n_chars follows the text that is left."""
-    clean = linededup.drop_recurring_lines(docs)
-    return clean.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    own = {c: unused(docs, f"__own_{c}")[0] for c in ("n_lines", "n_dropped") if c in docs.columns}
+    clean = linededup.drop_recurring_lines(docs.withColumnsRenamed(own))
+    clean = clean.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return clean.drop("n_lines", "n_dropped").withColumnsRenamed({held: c for c, held in own.items()}).select(docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
