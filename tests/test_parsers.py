@@ -134,11 +134,12 @@ def test_word_hits_by_alphabet(spark):
 def test_lost_characters(spark):
     from corpusloom.functions.udfs import repaired_text
 
-    other = "제1조 「전파법」 제3조ㆍ제4조에\n따른 주파수 – 대역\n정말인가? 그렇다"
-    assert repaired_text("제1조 ?전파법? 제3조?제4조에 따른", other) == ("제1조 「전파법」 제3조ㆍ제4조에 따른", 3)
+    other = "제1조 「전파법」 제3조·제4조에\n따른 주파수 – 대역\n정말인가? 그렇다"
+    assert repaired_text("제1조 ?전파법? 제3조?제4조에 따른", other) == ("제1조 「전파법」 제3조·제4조에 따른", 3)
     assert repaired_text("주파수 ? 대역", other) == ("주파수 – 대역", 1)
     assert repaired_text("정말인가? 그렇다", other) == ("정말인가? 그렇다", 0)  # it is one there, too
-    assert repaired_text("가나?다라", "가나x다라") == ("가나?다라", 0)  # letters are not taken
+    assert repaired_text("가나?다라", "가나x다라") == ("가나?다라", 0)  # letters are not taken, nor is the one that looks like a dot
+    assert repaired_text("가나?다라", "가나\u318d다라") == ("가나?다라", 0)
     assert repaired_text("가나?다라", "가나·다라 가나-다라") == ("가나?다라", 0)  # two candidates
     assert repaired_text("a?b", "a·b") == ("a?b", 0)  # too little around it
     assert repaired_text("", "x") == ("", 0) and repaired_text("가나?다라", "") == ("가나?다라", 0)
