@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import embeddings, linededup, media, minhash, mixing, quality, sharding, tokens, warc
+from corpusloom.llm import embeddings, linededup, media, minhash, mixing, quality, sharding, spelling, tokens, warc
 from corpusloom.llm.common import table
 
 QUERIES: dict = {}
@@ -154,3 +154,8 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     coded = tokens.round_trip_bpe(docs, path, pattern)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), tokens.ids_digest(F.col("ids")).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
