@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import embeddings, linededup, media, minhash, mixing, quality, sharding, spelling, tokens, warc
+from corpusloom.llm import embeddings, lexical, linededup, media, minhash, mixing, quality, sharding, spelling, tokens, warc
 from corpusloom.llm.common import table
 
 QUERIES: dict = {}
@@ -86,6 +86,23 @@ ORACLE["op8_warc_round_trip"] = """
                  CASE WHEN strlen(coalesce(html, '')) >= 1000 THEN max(page_id) OVER (PARTITION BY coalesce(html, '')) END AS first_id
           FROM pages)
 """
+ORACLE["op11_ranked_search"] = r"""
+    WITH term AS (
+        SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+        FROM documents),
+    tf AS (SELECT doc_id, t, count(*) AS tf FROM term GROUP BY ALL),
+    len AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY ALL),
+    total AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM len),
+    weight AS (SELECT t, floor(1000.0::DOUBLE * ln((2.0::DOUBLE * docs + 2) / (2.0::DOUBLE * df + 1)))::BIGINT AS w FROM (SELECT t, count(*) AS df FROM tf GROUP BY t), total),
+    asked AS (
+        SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+        FROM benchmark),
+    hit AS (
+        SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // terms))))::BIGINT AS score
+        FROM asked JOIN tf USING (t) JOIN weight USING (t) JOIN len USING (doc_id), total GROUP BY item_id, doc_id)
+    SELECT item_id, rank::INT AS rank, doc_id, score
+    FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM hit WHERE score > 0) WHERE rank <= 50
+"""
 
 
 def query(fn):
@@ -159,3 +176,8 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@query
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
