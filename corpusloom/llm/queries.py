@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import embeddings, lexical, linededup, media, minhash, mixing, quality, sharding, spelling, tokens, warc
+from corpusloom.llm import embeddings, lexical, licenses, linededup, media, minhash, mixing, quality, sharding, spelling, tokens, warc
 from corpusloom.llm.common import table
 
 QUERIES: dict = {}
@@ -103,6 +103,7 @@ ORACLE["op11_ranked_search"] = r"""
     SELECT item_id, rank::INT AS rank, doc_id, score
     FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM hit WHERE score > 0) WHERE rank <= 50
 """
+ORACLE["op13_license_scan"] = licenses.template_sql()
 
 
 def query(fn):
@@ -181,3 +182,8 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
