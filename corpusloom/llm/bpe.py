@@ -30,6 +30,13 @@ _SHIFT = 20
 _NONE = 1 << 30
 _SPACE_AFTER_SPACE = re.compile(r"\s ")
 
+#: Fixed value: the pattern (in two spellings) of which no match crosses a place before a space that follows a non-space,
+#: nor looks back over it. Texts may be cut there for these only; by any other pattern they are matched whole.
+CUTTABLE = (
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
+    r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
+)
+
 
 def byte_alphabet() -> dict[str, int]:
     """The printable stand-ins of the 256 bytes in JSON vocabularies: printable bytes stand for themselves, the others
@@ -180,8 +187,8 @@ class Vocabulary:
 
 
 def pieces(text: str) -> list[str]:
-    """Cuts text before each space that follows a non-space: no match of a pretokenizer pattern of this family crosses
-    such a place, nor looks back over it, so the pieces can be matched one by one."""
+    """Cuts text before each space that follows a non-space: no match of a pattern of CUTTABLE crosses such a place, nor
+    looks back over it, so the pieces can be matched one by one."""
     if "\0" in text:
         parts = [p if i == 0 else " " + p for i, p in enumerate(text.split(" "))]
     else:
@@ -202,7 +209,7 @@ class Coder:
 
     def __init__(self, vocabulary: Vocabulary, pattern: str, whole: dict[bytes, int] | None = None):
         """whole: the words that have an id without merging (all tokens of a rank file; proven strings otherwise)."""
-        self.vocabulary, self.pattern = vocabulary, regex.compile(pattern)
+        self.vocabulary, self.pattern, self.cuttable = vocabulary, regex.compile(pattern), pattern in CUTTABLE
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.whole = {word: np.array([i], dtype="<i4").tobytes() for word, i in (whole or {}).items()}
@@ -210,7 +217,7 @@ class Coder:
     def _learn(self, new: list[str]) -> None:
         """The ids of pieces not seen before: their distinct words are replayed together, in blocks of bounded size."""
         findall = self.pattern.findall
-        split = [[p] if p[1:].isalpha() and (p[0] == " " or p[0].isalpha()) else findall(p) for p in new]
+        split = [[p] if not self.cuttable or p[1:].isalpha() and (p[0] == " " or p[0].isalpha()) else findall(p) for p in new]
         words = list(set(chain.from_iterable(split)))
         ids: dict[str, bytes] = {}
         whole = self.whole.get
@@ -233,10 +240,13 @@ class Coder:
         for p, w in zip(new, split, strict=True):
             known_pieces[p] = get(w[0]) if len(w) == 1 else b"".join(map(get, w))
 
+    def _matches(self, text: str) -> list[str]:
+        return [m.group() for m in self.pattern.finditer(text) if m.group()]
+
     def encode_slice(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHE_PIECES:  # pieces still in use move on to the new generation
             self.known, self.older = {}, self.known
-        cut = list(map(pieces, texts))
+        cut = list(map(pieces if self.cuttable else self._matches, texts))
         new = set(chain.from_iterable(cut)).difference(self.known)
         kept = new.intersection(self.older)
         self.known.update(zip(kept, map(self.older.__getitem__, kept), strict=True))

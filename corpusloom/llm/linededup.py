@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,8 +12,9 @@ from corpusloom.llm.common import discard, let, lookup, unused, written
 #: Tokens with a digit or an at sign are variable fields from the start.
 FIELD = r"(?<![^ ])[^ ]*[0-9@][^ ]*"
 WILD = "<*>"
-#: Texts are near copies if this share of their characters stands in leaves that many texts reach.
+#: Texts may be near copies if this share of their characters stands in stretches of lines that recur, of so many tokens.
 NEAR = 0.75
+STRETCH = 8
 #: A line of fewer tokens than asked for counts nevertheless if it has this many characters (text without blanks).
 LONG_TOKEN = 20
 
@@ -46,8 +49,11 @@ def template_lines(docs: DataFrame, text_col: str = "text", depth: int = 3, min_
     and long_docs for lines of at least long_tokens tokens, which do not agree by chance.
 
     Everything is counted over distinct texts, so whole copies of one document do not make its lines recur. Nor do near
-    copies: texts of which lines in busy leaves make up the share near or more are labelled by the least text that has
-    one of their three longest such lines' leaves, and texts with equal labels count once.
+    copies: texts of which recurring stretches make up the share near or more are labelled by the least such text that
+    agrees with them, and texts with equal labels count once. A stretch is STRETCH tokens of a line (the last one up to
+    twice that), fields masked; it recurs if enough texts have it word by word, which at this length is no chance,
+    however large the corpus. To agree is to have in common three of the four longest of them (two, if there are two or
+    three; the only one, if there is one).
 
     Texts do not meet by line or template: counts are partial aggregates, and keys that hold over a thousandth of the
     pairs are looked up in a broadcast table of at most a thousand rows. Lists of line numbers go back by text.
@@ -106,7 +112,7 @@ def template_lines(docs: DataFrame, text_col: str = "text", depth: int = 3, min_
     held = lookup(found.select("text_key", "i", "leaf", "h"), gone, {"leaf": "leaf4", "h": "h4"}, "n", "inner")
     held = written(held.select("text_key", "i", "template"), "line-held")
     # 5. Near copies as one text: what their label stands for.
-    pairs = held.select("text_key", "template").distinct().join(_labels(per_text, near), F.col("text_key") == F.col("label_key"), "left")
+    pairs = held.select("text_key", "template").distinct().join(_labels(per_text, near, enough), F.col("text_key") == F.col("label_key"), "left")
     groups = pairs.select("template", F.coalesce("label", "text_key").alias("label")).distinct().groupBy("template").agg(F.count(F.lit(1)).alias("m"))
     groups = written(groups.filter(F.col("m") >= enough(F.col("template"))).withColumnRenamed("template", "template4"), "line-recurring")
     drop = lookup(held, groups, {"template": "template4"}, "m", "left_semi").groupBy("text_key").agg(F.array_sort(F.collect_list("i")).alias("drop"))
@@ -115,14 +121,31 @@ def template_lines(docs: DataFrame, text_col: str = "text", depth: int = 3, min_
     return drop
 
 
-def _labels(per_text: DataFrame, near: float) -> DataFrame:
-    """label_key, label of the near copies: the least text among those that share a leaf of its three longest lines."""
-    covered = F.aggregate("lines", F.lit(0).cast("long"), lambda s, p: s + p["chars"])
-    longest = F.slice(F.sort_array(F.transform("lines", lambda p: F.struct((-p["chars"]).alias("c"), p["i"].alias("i"), p["leaf"].alias("leaf")))), 1, 3)
-    copies = per_text.filter(covered >= near * F.col("size")).select("text_key", F.explode(F.array_distinct(F.transform(longest, lambda p: p["leaf"]))).alias("leaf"))
-    copies = written(copies, "line-copies")
-    least = written(copies.groupBy("leaf").agg(F.min("text_key").alias("low"), F.count(F.lit(1)).alias("n")).withColumnRenamed("leaf", "leaf5"), "line-least")
-    out = lookup(copies, least, {"leaf": "leaf5"}, "n", "inner").groupBy("text_key").agg(F.min("low").alias("label"))
+def _stretches(line: Column) -> Column:
+    """A line in stretches of STRETCH tokens, what is left over in the last one."""
+    tokens = F.split(line, " ")
+    last = F.greatest(F.floor(F.size(tokens) / STRETCH).cast("int") - 1, F.lit(0))
+    return F.transform(F.sequence(F.lit(0), last), lambda k: F.array_join(F.slice(tokens, k * STRETCH + 1, F.when(k == last, 2 * STRETCH).otherwise(STRETCH)), " "))
+
+
+def _labels(per_text: DataFrame, near: float, enough: Callable[[Column], Column]) -> DataFrame:
+    """label_key, label of the near copies (see template_lines)."""
+    one = F.lit(1).cast("long")
+    parts = F.flatten(F.transform("lines", lambda p: F.transform(_stretches(p["line"]), lambda s: F.struct(s.alias("s"), _marked(F.xxhash64(s), p["leaf"].bitwiseAND(one) == 1).alias("h")))))
+    parts = written(per_text.select("text_key", "size", F.explode(parts).alias("p")).select("text_key", "size", "p.s", "p.h"), "line-stretches")
+    often = parts.select("text_key", "h").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    often = written(often.filter(F.col("n") >= enough(F.col("h"))).withColumnRenamed("h", "h5"), "line-often-stretches")
+    known = lookup(parts, often, {"h": "h5"}, "n", "left_semi")
+    order = F.array_sort(F.collect_set(F.struct((-F.length("s")).alias("c"), "s", "h")))
+    texts = known.groupBy("text_key").agg(F.first("size").alias("size"), F.sum(F.length("s") + 1).alias("covered"), F.slice(order, 1, 4).alias("long"))
+    some = lambda *at: F.sort_array(F.array(*(F.col("long")[k]["h"] for k in at)))
+    n = F.size("long")
+    agree = F.when(n == 1, F.array(some(0))).when(n == 2, F.array(some(0, 1))).when(n == 3, F.array(some(0, 1), some(0, 2), some(1, 2))).otherwise(F.array(some(0, 1, 2), some(0, 1, 3), some(0, 2, 3), some(1, 2, 3)))
+    copies = texts.filter(F.col("covered") >= near * F.col("size")).select("text_key", F.explode(F.array_distinct(agree)).alias("agree"))
+    copies = written(copies.select("text_key", F.xxhash64("agree").alias("agree")), "line-copies")
+    least = written(copies.groupBy("agree").agg(F.min("text_key").alias("low"), F.count(F.lit(1)).alias("n")).withColumnRenamed("agree", "agree6"), "line-least")
+    out = lookup(copies, least, {"agree": "agree6"}, "n", "inner").groupBy("text_key").agg(F.min("low").alias("label"))
+    discard(parts, often)
     return out.withColumnRenamed("text_key", "label_key")
 
 

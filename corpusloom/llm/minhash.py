@@ -15,7 +15,6 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import discard, for_python, lookup, unused, written
@@ -295,12 +294,20 @@ def _wanted(texts: DataFrame, shared: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """docs with one document of each group; repeated rows (same id and text) are one document, of which one row stays.
-    All columns stay, whatever their names."""
-    own_id, own_text, key, copy = unused(docs, "__kept_id", "__kept_text", "__text_key", "__copy")
-    kept = _grouped(docs, text_col, id_col).filter("kept").select(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_text)).distinct()
+    """docs with one document of each group. All columns stay, whatever their names.
+
+    Repeated rows (same id and text) are one document, of which one row stays: the one whose columns have the least hash,
+    so reruns agree (rows alike in every column are the same row). A null id is an id like others, which null and empty
+    texts (in a group each by themselves) share as one document each. Empty tables stay empty. Rows meet by id and text
+    only if they repeat, and then as partial minima, so no task gathers the copies of a hot row.
+    """
+    own, key, many = unused(docs, "__kept_key", "__text_key", "__kept_rows")
+    id_and_text = lambda i, digest: F.unhex(F.md5(F.concat(F.coalesce(i.cast("string"), F.lit("null")).cast("binary"), F.lit(":").cast("binary"), digest)))
+    kept = _grouped(docs, text_col, id_col).filter("kept").groupBy(id_and_text(F.col("doc_id"), F.col("text_key")).alias(own)).agg(F.count(F.lit(1)).alias(many))
     kept = written(kept, "kept")
-    rows = docs.withColumn(key, _text_key(text_col))
-    left = rows.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col(own_id)) & (F.col(key) == F.col(own_text)), "left_semi")
-    again = left.withColumn(copy, F.row_number().over(W.partitionBy(F.col(f"`{id_col}`"), F.col(key)).orderBy(F.lit(1))))
-    return again.filter(F.col(copy) == 1).drop(copy, key)
+    rows = docs.withColumn(key, id_and_text(F.col(f"`{id_col}`").cast("long"), _text_key(text_col)))
+    left = lookup(rows, kept, {key: own}, many)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    once = left.filter(F.col(many) == 1).select(*columns)
+    again = left.filter(F.col(many) > 1).groupBy(key).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias(own))
+    return once.unionByName(again.select(*(F.col(own)[c].alias(c) for c in docs.columns)))

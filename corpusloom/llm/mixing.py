@@ -155,8 +155,9 @@ def apply_mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", s
     """docs as the mix takes them: each row as often as it is due, 0 to 2 times by default; the columns stay.
 
     The decisions find their rows by (source, id, size). Rows alike in these are due one of two neighbouring numbers of
-    copies; which of them get the higher one follows from their texts' hash. Texts move once. Extra columns stay,
-    null ids and sources and empty texts are rows like others (a row without words gets its whole part only).
+    copies; where these differ, which rows get the higher one follows from their texts' hash, and only such rows meet in
+    a window. Texts move once, very long ones too. Extra columns stay, null ids and sources and empty texts are rows like
+    others (a row without words gets its whole part only). An empty table stays empty.
     """
     key, due_key, low, high, total, many, place, again = unused(docs, *(f"__mix_{n}" for n in ("key", "due", "low", "high", "sum", "rows", "place", "again")))
     decided = mix_documents(docs, text_col, id_col, source_col, **options)
@@ -164,8 +165,9 @@ def apply_mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", s
     due = decided.withColumn(due_key, digest).groupBy(due_key).agg(F.min("copies").alias(low), F.max("copies").alias(high), F.sum("copies").alias(total), F.count(F.lit(1)).alias(many))
     due = written(due, "mix-due")
     own = F.md5(F.to_json(F.struct(F.col(f"`{source_col}`").alias("source"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), word_count(F.col(f"`{text_col}`")).alias("size"))).cast("binary"))
-    rows = docs.withColumn(key, own).join(due, F.col(key) == F.col(due_key))
-    rows = rows.withColumn(place, F.row_number().over(W.partitionBy(key).orderBy(F.xxhash64(F.col(f"`{text_col}`")))))
-    copies = F.when(F.col(place) <= F.col(total) - F.col(low) * F.col(many), F.col(high)).otherwise(F.col(low))
-    rows = rows.withColumn(again, F.explode(F.array_repeat(F.lit(1), copies.cast("int"))))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows, columns = docs.withColumn(key, own), [F.col(f"`{c}`") for c in docs.columns]
+    repeated = lambda rows, copies: rows.withColumn(again, F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*columns)
+    alike = repeated(rows.join(due.filter((F.col(low) == F.col(high)) & (F.col(high) > 0)), F.col(key) == F.col(due_key)), F.col(high))
+    split = rows.join(due.filter(F.col(low) != F.col(high)), F.col(key) == F.col(due_key))
+    split = split.withColumn(place, F.row_number().over(W.partitionBy(key).orderBy(F.xxhash64(F.col(f"`{text_col}`")))))
+    return alike.unionByName(repeated(split, F.when(F.col(place) <= F.col(total) - F.col(low) * F.col(many), F.col(high)).otherwise(F.col(low))))

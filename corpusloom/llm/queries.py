@@ -63,11 +63,19 @@ ORACLE["op4_template_lines"] = r"""
     gone AS (SELECT leaf, line, template FROM tmpl WHERE (leaf, template) IN (
         SELECT (leaf, template) FROM tmpl GROUP BY leaf, template HAVING sum(n) >= CASE WHEN leaf.n >= 10 THEN 3 ELSE 10 END)),
     held AS (SELECT f.key, f.i, f.leaf, g.template FROM found f JOIN gone g ON f.leaf = g.leaf AND f.line = g.line),
+    part AS (
+        SELECT key, size, leaf.n >= 10 AS long, array_to_string(ws[8 * k + 1:CASE WHEN k = greatest(len(ws) // 8, 1) - 1 THEN len(ws) ELSE 8 * k + 8 END], ' ') AS s
+        FROM (SELECT *, string_split(line, ' ') AS ws FROM found), unnest(range(0, greatest(len(ws) // 8, 1))) AS u(k)),
+    repeat AS (SELECT s, long FROM part GROUP BY s, long HAVING count(DISTINCT key) >= CASE WHEN long THEN 3 ELSE 10 END),
+    longest AS (
+        SELECT key, any_value(size) AS size, sum(length(s) + 1) AS covered, list_sort(list(DISTINCT struct_pack(c := -length(s), s := s, long := long)))[:4] AS ts
+        FROM part JOIN repeat USING (s, long) GROUP BY key),
     copies AS (
-        SELECT key, leaf FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY chars DESC, i) AS place, sum(chars) OVER (PARTITION BY key) AS covered FROM found)
-        WHERE covered >= 0.75 * size AND place <= 3),
-    least AS (SELECT leaf, min(key) AS low FROM copies GROUP BY leaf),
-    label AS (SELECT key, min(low) AS label FROM copies JOIN least USING (leaf) GROUP BY key),
+        SELECT DISTINCT key, unnest(CASE len(ts) WHEN 1 THEN [ts] WHEN 2 THEN [ts] WHEN 3 THEN [[ts[1], ts[2]], [ts[1], ts[3]], [ts[2], ts[3]]]
+                                    ELSE [[ts[1], ts[2], ts[3]], [ts[1], ts[2], ts[4]], [ts[1], ts[3], ts[4]], [ts[2], ts[3], ts[4]]] END) AS agree
+        FROM longest WHERE covered >= 0.75 * size),
+    least AS (SELECT agree, min(key) AS low FROM copies GROUP BY agree),
+    label AS (SELECT key, min(low) AS label FROM copies JOIN least USING (agree) GROUP BY key),
     recurring AS (
         SELECT leaf, template FROM held LEFT JOIN label USING (key) GROUP BY leaf, template
         HAVING count(DISTINCT coalesce(label, key)) >= CASE WHEN leaf.n >= 10 THEN 3 ELSE 10 END),

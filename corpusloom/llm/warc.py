@@ -146,9 +146,11 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
 def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """The records under path: page_id, url, record_type, payload_bytes, payload_digest (hex), refers_to, and the payload.
 
-    Each archive is read from its start to its end: members are inflated one by one, framed by Content-Length and
-    verified; a record that fails is an error. A revisit has no payload of its own (null): its length and digest are
-    those its headers give, which must be those of the response it refers to. Records that another writer made need no
+    Every file under path is read, whatever its name (names that begin with a dot or an underscore are hidden, as for all
+    of Spark's readers), each from its start to its end: members are inflated one by one, framed by Content-Length and
+    verified; a record that fails is an error, as is a file that is no archive. A file is one row of one task, so it has
+    to stay below two gigabytes. A revisit has no payload of its own (null): its length and digest are those that its
+    headers give. Records that another writer made need no
     page id (null), digests (the payload's is then computed) or HTTP block (the block is the payload), but a length.
     """
     fields = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long"
@@ -178,7 +180,7 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
                 if rows:
                     yield batch_of(rows)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInArrow(unpacked, fields + (", payload binary" if with_payload else ""))
 
 

@@ -75,7 +75,7 @@ def test_foreign_archives(spark, tmp_path):
     info = gzip.compress(b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Type: application/warc-fields\r\nContent-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n")
     http = b"HTTP/1.1 200 OK\r\n\r\nbody"
     page = gzip.compress(b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: http://a\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: %d\r\n\r\n" % len(http) + http + b"\r\n\r\n")
-    (tmp_path / "part-0.warc.gz").write_bytes(info + page)
+    (tmp_path / "CC-MAIN-0.warc.gz").write_bytes(info + page)
     got = {r["record_type"]: r for r in warc.read_warc(spark, str(tmp_path)).collect()}
     assert (got["response"]["page_id"], got["response"]["url"], bytes(got["response"]["payload"])) == (None, "http://a", b"body")
     assert (got["warcinfo"]["payload_bytes"], got["warcinfo"]["payload_digest"]) == (len(block), hashlib.sha1(block).hexdigest())

@@ -101,3 +101,12 @@ def test_frames(spark, library):
     assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in counted.collect())[1:3] == [(1, 0), (2, 0)]
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert tokens.count_tokens(tokens.encode_bpe(empty, RANKS, P.PATTERN), JSON, P.PATTERN).count() == 0
+
+
+def test_other_patterns_are_matched_over_the_whole_text():
+    vocabulary = Vocabulary.from_ranks(b"".join(base64.b64encode(bytes([i])) + f" {i}\n".encode() for i in range(256)))
+    for pattern, text, want in ((r"\S+ \S+|\s|\S+", "the cat sat", ["the cat", " ", "sat"]), (r"(?<=a )b|.", "a b", ["a", " ", "b"])):
+        coder = Coder(vocabulary, pattern)
+        assert coder._matches(text) == want and not coder.cuttable
+        assert coder.encode([text]) == [np.frombuffer(text.encode(), dtype=np.uint8).astype("<i4").tobytes()]
+    assert Coder(vocabulary, public_tokenizers.PATTERN).cuttable
