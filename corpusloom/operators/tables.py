@@ -150,11 +150,12 @@ def parallel_changes(lines: DataFrame, doc: str, order: str, old: str, new: str)
     """doc, key, change, old_text, new_text: a table of old and new lines, side by side, as changes of articles.
 
     An article starts where either side has its head; lines before the first are dropped. Without a head on the old side
-    it was added, without one on the new side, or with the mark of deletion there, deleted; else modified.
+    it was added, without one on the new side, or with the mark of deletion there, deleted; else modified. Lines with equal
+    order are taken by their old and then their new text, so the result does not hang on the order of rows.
     """
     head = lambda c: F.col(c).rlike(PARALLEL_HEAD)
     rows = lines.select(F.col(doc).alias("d"), F.col(order).alias("at"), *[F.trim(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"</?P>", "")).alias(n) for c, n in ((old, "o"), (new, "n"))])
-    w = W.partitionBy("d").orderBy("at")
+    w = W.partitionBy("d").orderBy("at", "o", "n")
     rows = rows.withColumn("g", F.sum((head("o") | head("n")).cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0))).filter("g > 0")
     groups = rows.groupBy("d", "g").agg(F.array_sort(F.collect_list(F.struct("at", "o", "n"))).alias("ls"))
     text = lambda side: F.array_join(F.filter(F.col(f"ls.{side}"), lambda x: x != ""), "\n")

@@ -178,8 +178,8 @@ def distinct_terms(spark, sf):
 @register("parallel_table", r"""
     WITH l AS (SELECT l_orderkey AS doc, l_linenumber::BIGINT * 10000000000 + l_partkey * 10000 + l_suppkey AS n, CASE WHEN l_linenumber % 3 = 1 AND l_partkey % 4 <> 0 THEN '제' || l_linenumber || '조(x) ' || l_linestatus ELSE l_linestatus END AS o,
                CASE WHEN l_linenumber % 3 = 1 AND l_partkey % 5 = 0 THEN '<삭 제>' WHEN l_linenumber % 3 = 1 AND l_partkey % 7 = 0 THEN '제' || l_linenumber || '조(x) 삭제' WHEN l_linenumber % 3 = 1 THEN '제' || l_linenumber || '조(x) ' || l_returnflag ELSE l_returnflag END AS w FROM lineitem),
-    g AS (SELECT *, regexp_matches(o, '^제\s*[0-9]+조') AS oh, regexp_matches(w, '^제\s*[0-9]+조') AS nh, sum((regexp_matches(o, '^제\s*[0-9]+조') OR regexp_matches(w, '^제\s*[0-9]+조'))::INT) OVER (PARTITION BY doc ORDER BY n) AS g FROM l),
-    a AS (SELECT doc, g, arg_min(oh, n) AS oh, arg_min(nh, n) AS nh, arg_min(CASE WHEN nh THEN w ELSE o END, n) AS head, string_agg(o, chr(10) ORDER BY n) AS ot, string_agg(w, chr(10) ORDER BY n) AS nt FROM g WHERE g > 0 GROUP BY doc, g),
+    g AS (SELECT *, regexp_matches(o, '^제\s*[0-9]+조') AS oh, regexp_matches(w, '^제\s*[0-9]+조') AS nh, sum((regexp_matches(o, '^제\s*[0-9]+조') OR regexp_matches(w, '^제\s*[0-9]+조'))::INT) OVER (PARTITION BY doc ORDER BY n, o, w ROWS UNBOUNDED PRECEDING) AS g FROM l),
+    a AS (SELECT doc, g, first(oh ORDER BY n, o, w) AS oh, first(nh ORDER BY n, o, w) AS nh, first(CASE WHEN nh THEN w ELSE o END ORDER BY n, o, w) AS head, string_agg(o, chr(10) ORDER BY n, o, w) AS ot, string_agg(w, chr(10) ORDER BY n, o, w) AS nt FROM g WHERE g > 0 GROUP BY doc, g),
     c AS (SELECT *, CASE WHEN NOT oh AND nh THEN 'added' WHEN oh AND NOT nh THEN 'deleted' WHEN regexp_matches(nt, '^제\s*[0-9]+조(의[0-9]+)?(\([^)]*\))?\s*삭제') THEN 'deleted' ELSE 'modified' END AS change FROM a)
     SELECT doc, regexp_extract(head, '^제([0-9]+조)', 1) AS key, change, CASE change WHEN 'added' THEN '' ELSE ot END AS old_text, CASE WHEN oh AND NOT nh THEN '' ELSE nt END AS new_text FROM c""")
 def parallel_table(spark, sf):
