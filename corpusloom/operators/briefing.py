@@ -30,8 +30,8 @@ def carry_over(news: DataFrame, news_id: str, at: str, level: str, body: str, to
 def briefing_clusters(items: DataFrame, item: str, at: str, tokens: str, has_body: str, earlier: DataFrame, earlier_tokens: str, least: int = 3) -> DataFrame:
     """rep, related, covered: star clusters, newest first; the representative is the seed, or the first member with a
     body if the seed has none; covered says whether it shares enough tokens with an earlier title."""
-    rows = items.select(item, (-F.unix_micros(F.col(at).cast("timestamp"))).alias("_age"), F.col(tokens).alias("_tokens"), F.col(has_body).alias("_body"), F.lit(0).alias("_all"))
-    stars = star_clusters(rows.select("_all", "_age", item, "_tokens"), ["_all"], "_age", item, "_tokens", least).select(F.col(item).alias("_i"), "seed_id")
+    rows = items.select(item, (-F.unix_micros(F.col(at).cast("timestamp"))).alias("_age"), F.col(tokens).alias("_tokens"), F.col(has_body).alias("_body"))
+    stars = star_clusters(rows.select("_age", item, "_tokens"), [], "_age", item, "_tokens", least).select(F.col(item).alias("_i"), "seed_id")
     members = rows.join(stars, F.col(item) == F.col("_i"))
     order = F.struct(F.when(F.col("_body"), 0).otherwise(1), F.when(F.col(item) == F.col("seed_id"), 0).otherwise(1), F.col("_age"), F.col(item).alias("rep"))
     best = members.groupBy("seed_id").agg(F.min(order).alias("b"), F.bool_or("_body").alias("any_body"), F.count(F.lit(1)).alias("n"))

@@ -1,15 +1,16 @@
-"""Same-event clustering and the suppression of repeats. Clustering is sequential by definition: one group, one pass."""
+"""Same-event clustering and the suppression of repeats."""
 
 from __future__ import annotations
 
 from collections import Counter
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusloom.operators.search import shared_tokens
+from corpusloom.operators.search import shared_token_pairs, shared_tokens
 from corpusloom.operators.tables import first_per
 from corpusloom.session import checkpointed, ship_package
 
@@ -17,26 +18,35 @@ from corpusloom.session import checkpointed, ship_package
 def star_clusters(items: DataFrame, part: list[str], order: str, item_id: str, tokens: str, least: int = 3) -> DataFrame:
     """part, item_id, seed_id: in order, an item joins the first seed it shares at least least tokens with, or is a seed.
 
-    Items are compared with seeds only, so membership is not transitive. Parts (a day, a topic) bound a group.
-    """
-    ship_package(items.sparkSession)
-    kind = dict(items.dtypes)
-    schema = ", ".join(f"`{c}` {kind[c]}" for c in [*part, item_id]) + f", seed_id {kind[item_id]}"
+    Items are compared with seeds only, so membership is not transitive. Items of one part (a day, a topic; none: all)
+    are put in order of order (nulls last), then of item_id, which is unique in its part; rows that repeat an item share
+    its seed. Items of fewer than least tokens are seeds. least is at least 1.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(dict.fromkeys([order, item_id])), kind="stable")
-        seeds: list[tuple[object, set]] = []
-        owner = []
-        for own, words in zip(pdf[item_id], pdf[tokens], strict=True):
-            words = set(words) if words is not None else set()
-            seed = next((s for s, held in seeds if len(held & words) >= least), None)
-            if seed is None:
-                seeds.append((own, words))
-                seed = own
-            owner.append(seed)
-        return pdf[[*part, item_id]].assign(seed_id=owner)
-
-    return items.select(*dict.fromkeys([*part, order, item_id, tokens])).groupBy(*part).applyInPandas(run, schema)
+    The walk is sequential by definition, but its result is not: an item is a seed exactly if no earlier neighbour (an
+    item that it shares enough tokens with) is one. So pairs are found first, by shared_token_pairs(), and then decided in
+    rounds: an item without an undecided earlier neighbour is a seed, and its later neighbours are not. A round settles
+    the first item of every chain of neighbours at least; in an order that has nothing to do with who is near whom the
+    number of rounds grows with the logarithm of the items. No part is gathered in a task.
+    """
+    at = F.struct(F.col(order).isNull().alias("late"), F.col(order).alias("at"), F.col(item_id).alias("id"), *(F.col(c).alias(f"p{k}") for k, c in enumerate(part)))
+    own = F.struct(*(F.col(c).alias(f"p{k}") for k, c in enumerate(part)), F.col("_word").alias("w"))
+    words = items.select(at.alias("_n"), *part, F.explode(F.array_distinct(tokens)).alias("_word")).groupBy("_n").agg(F.collect_set(own).alias("_words"))
+    pairs = shared_token_pairs(words.filter(F.size("_words") >= least), "_n", "_words", least)
+    pairs = checkpointed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))  # a is the earlier one
+    open_, joined = pairs, []
+    while not open_.isEmpty():
+        first = open_.select("a").distinct().join(open_.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        gone = checkpointed(open_.join(first, "a", "left_semi").select("b").distinct())
+        joined.append(gone)
+        left = open_.join(gone, "b", "left_anti")
+        open_ = checkpointed(left.join(gone.select(F.col("b").alias("a")), "a", "left_anti"))
+    rows = items.select(*part, item_id, at.alias("_n"))
+    if not joined:
+        return rows.select(*part, item_id, F.col(item_id).alias("seed_id"))
+    members = reduce(DataFrame.unionByName, joined)
+    seeds = pairs.join(members.select(F.col("b").alias("a")), "a", "left_anti").join(members, "b", "left_semi")
+    seeds = seeds.groupBy("b").agg(F.min("a").alias("_seed"))
+    return rows.join(seeds, F.col("_n") == F.col("b"), "left").select(*part, item_id, F.coalesce("_seed.id", item_id).alias("seed_id"))
 
 
 def label_pairs(label: str | None) -> Counter:
@@ -189,8 +199,8 @@ def repeat_alerts(items: DataFrame, history: DataFrame, suppressed: DataFrame, w
     rows = rows.join(_kept_share(asked, window, least), "item", "left")
     rows = suppression(rows.withColumn("same", F.col("v_title").isNotNull()), "age", "kw", "same", "share")
     rows = checkpointed(rows.withColumn("matched", F.when(F.col("kw"), F.col("kw_title")).when(F.col("action") != "pass", F.col("v_title"))))
-    out = rows.filter(F.col("action").isin("pass", "remind")).withColumn("_all", F.lit(0))
-    stars = star_clusters(out, ["_all"], "at", "item", "tokens", least).select(F.col("item").alias("_i"), "seed_id")
+    out = rows.filter(F.col("action").isin("pass", "remind"))
+    stars = star_clusters(out, [], "at", "item", "tokens", least).select(F.col("item").alias("_i"), "seed_id")
     heads = items.select(F.col("item").alias("_h"), F.col("title").alias("_head"))
     rows = rows.join(stars, F.col("item") == F.col("_i"), "left").join(heads, F.col("seed_id") == F.col("_h"), "left")
     merged = F.col("seed_id").isNotNull() & (F.col("seed_id") != F.col("item"))

@@ -13,14 +13,11 @@ DIGEST = r"위클리|주간\s*브리핑|\[통신 브리핑\]|소식_|뉴스\s*
 
 
 def candidate_clusters(news: DataFrame, news_id: str, at: str, level: str, title: str, tokens: str, clock: Column, days: int = 7, least: int = 3, digest: str = DIGEST) -> DataFrame:
-    """news_id, seed_id: star clusters, newest first, of the last days' news of the upper two levels that are no digests.
-
-    One pass over one week of news: the stars are sequential by definition.
-    """
+    """news_id, seed_id: star clusters, newest first, of the last days' news of the upper two levels that are no digests."""
     fresh = F.col(at) >= clock - F.make_dt_interval(F.lit(days))
     rows = news.filter(fresh & F.col(level).isin("urgent", "normal") & ~F.coalesce(F.col(title), F.lit("")).rlike(digest))
-    rows = rows.select(news_id, (-F.unix_micros(F.col(at).cast("timestamp"))).alias("_age"), tokens, F.lit(0).alias("_all"))
-    return star_clusters(rows, ["_all"], "_age", news_id, tokens, least).select(news_id, "seed_id")
+    rows = rows.select(news_id, (-F.unix_micros(F.col(at).cast("timestamp"))).alias("_age"), tokens)
+    return star_clusters(rows, [], "_age", news_id, tokens, least).select(news_id, "seed_id")
 
 
 def best_by_state(clusters: DataFrame, cluster: str, vector: str, key: str, issues: DataFrame) -> DataFrame:

@@ -95,17 +95,17 @@ def _plan(spark, sf):
     tags = F.when(u % 4 == 0, none).when(u % 4 == 1, F.array(F.lit("click"))).otherwise(F.array(F.lit("view"), F.lit("error")))
     mark = F.when(u % 3 != 0, F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-29 00:00:00")) + u * 60))
     subscribers = events.select("user_id").distinct().select(u.alias("subscriber"), mark.alias("watermark"), tags.alias("tags"))
-    return ev.delivery_plan(queue, subscribers, F.lit("2024-01-30 18:00:00").cast("timestamp"), 15), subscribers
+    return queue, subscribers, F.lit("2024-01-30 18:00:00").cast("timestamp"), 15
 
 
 @register("subscriber_plan", PLAN_SQL + "SELECT subscriber, item, deliver FROM p")
 def subscriber_plan(spark, sf):
-    return _plan(spark, sf)[0].select("subscriber", "item", "deliver")
+    return ev.delivery_plan(*_plan(spark, sf)).select("subscriber", "item", "deliver")
 
 
 @register("watermark_advance", PLAN_SQL + "SELECT s.subscriber, coalesce(max(created_at), any_value(watermark)) AS watermark, count(*) FILTER (deliver) AS delivered FROM s LEFT JOIN p ON s.subscriber = p.subscriber GROUP BY s.subscriber")
 def watermark_advance(spark, sf):
-    return ev.advanced(*_plan(spark, sf))
+    return ev.watermarks(*_plan(spark, sf))
 
 
 @register("hold_recheck", """

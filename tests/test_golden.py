@@ -1,7 +1,8 @@
 """Hand-made cases for behaviour that SQL does not express well."""
 
 import json
-from datetime import datetime
+import random
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -291,3 +292,43 @@ def test_entry_runs(spark):
 
     assert entry.entry(spark).count() == 15
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_star_clusters_equal_the_sequential_walk(spark):
+    """Random items in three parts, with ties, null orders, null and short token lists and repeated rows."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(25)]
+    items = [(i % 3, rng.choice([None, *range(40)]), i, rng.choice([None, [], *[rng.sample(words, rng.randrange(1, 9)) for _ in range(6)]])) for i in range(240)]
+    items += items[:20]
+    df = spark.createDataFrame(items, "p int, at int, id int, t array<string>")
+    for part, least in ((["p"], 3), ([], 2)):
+        want, seeds = {}, {}
+        for p, at, i, t in sorted(items, key=lambda r: (r[1] is None, r[1] or 0, r[2])):
+            held = seeds.setdefault(p if part else None, [])
+            own = set(t or [])
+            want.setdefault(i, next((s for s, w in held if len(w & own) >= least), i))
+            if want[i] == i:
+                held.append((i, own))
+        got = cl.star_clusters(df, part, "at", "id", "t", least).collect()
+        assert len(got) == len(items) and {r["id"]: r["seed_id"] for r in got} == want
+
+
+def test_watermarks_without_a_plan(spark):
+    """Counts by set of tags equal those of the plan, at ties, edges, null and empty tags and watermarks."""
+    rng = random.Random(12)
+    clock = datetime(2024, 1, 30, 18, 0)
+    times = [clock - timedelta(minutes=m) for m in [*range(0, 40), 59, 60, 61, 1079, 1080, 1081, 4319, 4320, 4321, 5000]]
+    tags = lambda: rng.choice([None, [], ["a"], ["b"], ["a", "b"], ["b", "a"], ["c", None]])
+    queue = spark.createDataFrame([(i, rng.choice(times), tags()) for i in range(400)] + [(999, None, ["a"])], "item int, created_at timestamp, tags array<string>")
+    people = spark.createDataFrame([(i, rng.choice([None, *times, clock + timedelta(days=1)]), tags()) for i in range(80)], "subscriber int, watermark timestamp, tags array<string>")
+    for normal in (False, True):
+        args = (queue, people, F.lit(clock).cast("timestamp"), 15, 72, normal)
+        want = {tuple(r) for r in ev.advanced(ev.delivery_plan(*args), people).collect()}
+        assert {tuple(r) for r in ev.watermarks(*args).collect()} == want and len(want) == 80
+    assert {tuple(r) for r in ev.watermarks(queue.limit(0), people, *args[2:]).collect()} == {(r["subscriber"], r["watermark"], 0) for r in people.collect()}
+
+
+def test_quiet_times_leave_out_rows_without_an_instant(spark):
+    rows = [("k", None, 0), ("k", datetime(2024, 1, 1), 1), (None, datetime(2024, 1, 1), 2), ("k", datetime(2024, 1, 1, 0, 0, 5), 3)]
+    df = spark.createDataFrame(rows, "k string, at timestamp, i int")
+    assert sorted(r["i"] for r in ev.first_within(df, ["k"], "at", "i", 10).collect()) == [1, 2]
