@@ -25,7 +25,7 @@ def _line(raw: Column) -> Column:
 
 
 def _tokens_in(line: Column) -> Column:
-    return F.length(line) - F.length(F.translate(line, " ", "")) + 1
+    return F.size(F.split(line, " "))
 
 
 def _marked(h: Column, flag: Column) -> Column:
@@ -61,17 +61,17 @@ def template_lines(docs: DataFrame, text_col: str = "text", depth: int = 3, min_
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     given = docs.select(text_key(text).alias("text_key"), text.alias("text"))
     raws = F.split(F.col("text"), "\n")
-    is_long = lambda line: _tokens_in(line) >= long_tokens
     enough = lambda tagged: F.when(tagged.bitwiseAND(F.lit(1).cast("long")) == 1, long_docs).otherwise(min_docs)
 
-    def leaf(line: Column) -> Column:
+    def leaf(line: Column, n: Column) -> Column:
         lead = F.regexp_replace(F.substring_index(line, " ", depth), FIELD, WILD)
-        return _marked(F.xxhash64(_tokens_in(line), lead), is_long(line))
+        return _marked(F.xxhash64(n, lead), n >= long_tokens)
 
     # 1. One narrow row for each distinct text: the leaf of every line that counts.
     lines = F.transform(raws, lambda r, i: F.struct(i.cast("int").alias("i"), _line(r).alias("line")))
-    lines = F.filter(lines, lambda s: (s["line"] != "") & ((_tokens_in(s["line"]) >= min_tokens) | (F.length(s["line"]) >= LONG_TOKEN)))
-    leaves = given.select("text_key", F.transform(lines, lambda s: F.struct(s["i"].alias("i"), leaf(s["line"]).alias("leaf"))).alias("at"))
+    lines = F.transform(lines, lambda s: F.struct(s["i"].alias("i"), s["line"].alias("line"), _tokens_in(s["line"]).alias("n")))
+    lines = F.filter(lines, lambda s: (s["line"] != "") & ((s["n"] >= min_tokens) | (F.length(s["line"]) >= LONG_TOKEN)))
+    leaves = given.select("text_key", F.transform(lines, lambda s: F.struct(s["i"].alias("i"), leaf(s["line"], s["n"]).alias("leaf"))).alias("at"))
     leaves = written(leaves.groupBy("text_key").agg(F.first("at").alias("at"), F.count(F.lit(1)).alias("copies")), "line-leaves")
     # 2. Leaves that enough texts reach, and the lines in them.
     busy = leaves.select(F.explode(F.array_distinct(F.col("at.leaf"))).alias("leaf")).groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
