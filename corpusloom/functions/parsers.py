@@ -60,14 +60,26 @@ def compared(text: Column) -> Column:
     return F.regexp_replace(plain, "[\\s·ㆍ‧•'\"“”‘’「」『』()（）\\[\\],.:;、。…\\-—–|]", "")
 
 
-def claim_relevance(claim: Column, text: Column, stops: tuple[str, ...] = ()) -> Column:
+# Words that stand in every statute and prove nothing; how a name of an act ends.
+STATUTE_WORDS = (
+    "경우 또는 이하 이상 이내 이전 따라 따른 바에 정하는 정한 대통령령 대통령령으로 과학기술정보통신부장관 과학기술정보통신부장관에게 과학기술정보통신부장관은 장관 규정 조항 내용 사항 "
+    "하여야 한다 있다 없다 때에는 밖에 해당 관련 다음 각호 어느 하나에 해당하는 위하여 대하여 관하여 필요한 경우에는 가능 여부 기준 방법 절차 대한 의한 관한 있는 없는 하는 되는 하고 하며 "
+    "받아야 받은 하거나 포함 제외 이를 그에 이에 대해 통해 위해 등을 등의 등에 경우로 경우에 때 및 등 수 것 그 이 로서 로써"
+).split()
+NAME_END = "(?:법률|법|시행령|시행규칙|규칙|고시|규정|기준|세칙|지침|약관)"
+#: A name right before a reference: in quotes, or the word (with a word for its decree) that ends like one.
+CITED_NAME = rf"(?:「[^」]*」|(?:[가-힣A-Za-z0-9·ㆍ]*{NAME_END}\s+)?[가-힣A-Za-z0-9·ㆍ]*{NAME_END})\s*(?:\([^)]*\))?(?=\s*(?:제\s?\d+\s?조|별표|별지))"
+
+
+def claim_relevance(claim: Column, text: Column, stops: tuple[str, ...] = tuple(STATUTE_WORDS)) -> Column:
     """struct(n, hits, score): of a claim's distinct words, those that the text has.
 
-    References to articles, paragraphs and items, digits alone, stops and single characters are no words; nor are two
-    characters of which the last is a particle. A word is hit as it stands or without its last one or two characters, if
-    they are Hangul and three are left.
+    References to articles, paragraphs and items, the names of acts right before them, digits alone, stops and single
+    characters are no words; nor are two characters of which the last is a particle. A word is hit as it stands or
+    without its last one or two characters, if they are Hangul and three are left.
     """
     bare = F.regexp_replace(F.regexp_replace(claim, r"\[[^\]]*\]", " "), r"\*\*", " ")
+    bare = F.regexp_replace(bare, CITED_NAME, " ")
     bare = F.regexp_replace(bare, r"제\s?\d+\s?조(?:\s?의\s?\d+)?(?:\s?\([^)]*\))?|제\s?\d+\s?[항호](?:\s?의\s?\d+)?|[①-⑳]", " ")
     words = F.array_distinct(F.split(bare, r"[^가-힣A-Za-z0-9]+"))
     stop = F.array(*map(F.lit, stops)).cast("array<string>")

@@ -64,14 +64,14 @@ def dual_quota(chunks: DataFrame, chunk_id: str, title: str, body: str, keywords
     return ranked[0].unionByName(ranked[1])
 
 
-def keyword_score(chunk: dict[str, str], keywords: list[str], asked: list[str], synonyms: list[str], stops: list[str]) -> Column:
+def keyword_score(chunk: dict[str, str], keywords: list[str], asked: list[str], synonyms: list[str], stops: list[str], most: int | None = None) -> Column:
     """How well a chunk (columns content, doc_name, article_no) answers keywords, in any case: those that were asked
     weigh 2, others 1, in the content and in the document's name; in the article's title twice that, or 4 for synonyms,
-    and nothing for stops."""
+    and nothing for stops. All keywords count; with most, the first so many."""
     has = lambda column, k: F.contains(F.lower(F.coalesce(F.col(chunk[column]), F.lit(""))), F.lit(k.lower())).cast("int")
     known = {x.lower() for x in synonyms}
     score = F.lit(0)
-    for k in keywords[:10]:
+    for k in keywords if most is None else keywords[:most]:
         w = 2 if k in asked else 1
         score = score + w * has("content", k) + w * has("doc_name", k)
         if k not in stops:

@@ -271,14 +271,13 @@ def noise_titles(spark, sf):
 
 @register("claim_relevance", r"""
     WITH t AS (SELECT conv_id, max(text) FILTER (turn = 0) a, max(text) FILTER (turn = 1) s FROM conversations GROUP BY 1),
-    w AS (SELECT conv_id, list_filter(list_distinct(regexp_split_to_array(a, '[^가-힣A-Za-z0-9]+')), lambda w: length(w) >= 2 AND NOT regexp_matches(w, '^[0-9]+$')) AS w, regexp_replace(s, '[\s·ㆍ‧•''"“”‘’「」『』()（）\[\],.:;、。…\-—–|]', '', 'g') AS s FROM t WHERE a IS NOT NULL AND s IS NOT NULL AND NOT contains(a || s, '[') AND NOT contains(a || s, '**')),
+    w AS (SELECT conv_id, list_filter(list_distinct(regexp_split_to_array(regexp_replace(regexp_replace(a, '\[[^\]]*\]', ' ', 'g'), '\*\*', ' ', 'g'), '[^가-힣A-Za-z0-9]+')), lambda w: length(w) >= 2 AND NOT regexp_matches(w, '^[0-9]+$')) AS w, regexp_replace(regexp_replace(regexp_replace(s, '\*\*', '', 'g'), '\[[^\]]*\]', '', 'g'), '[\s·ㆍ‧•''"“”‘’「」『』()（）\[\],.:;、。…\-—–|]', '', 'g') AS s FROM t WHERE a IS NOT NULL AND s IS NOT NULL),
     h AS (SELECT conv_id, len(w)::INT AS n, len(list_filter(w, lambda x: contains(s, x)))::INT AS hits FROM w)
     SELECT conv_id, n, hits, CASE WHEN n > 0 THEN round(hits / n, 6) ELSE 0 END AS score, hits >= 2 AND (CASE WHEN n > 0 THEN round(hits / n, 6) ELSE 0 END) >= 0.2 AS evidence FROM h""")
 def claim_relevance(spark, sf):
     """The first turn as a claim, the second as its source."""
     turn = lambda n: F.max(F.when(F.col("turn") == n, F.col("text")))
     rows = table(spark, sf, "conversations").groupBy("conv_id").agg(turn(0).alias("a"), turn(1).alias("s")).filter("a is not null and s is not null")
-    rows = rows.filter(~F.contains(F.concat("a", "s"), F.lit("[")) & ~F.contains(F.concat("a", "s"), F.lit("**")))
     rows = rows.select("conv_id", pr.claim_relevance(F.col("a"), F.col("s")).alias("r"))
     return rows.select("conv_id", "r.n", "r.hits", "r.score", pr.is_evidence(F.col("r")).alias("evidence"))
 

@@ -161,6 +161,23 @@ def rule_first_match(spark, sf):
     return ruled(spark, sf).select("doc_id", "rule_id", "own")
 
 
+@register("rule_table_match", r"""
+    WITH w AS (SELECT item_id, list_distinct(regexp_extract_all(text, '[^\s.,]+')) AS w FROM benchmark),
+    r AS (SELECT item_id, list_filter(w, lambda x: length(x) >= 8) AS any_words, list_filter(w, lambda x: length(x) = 3) AS three, list_filter(w, lambda x: length(x) = 7) AS none FROM w),
+    m AS (SELECT doc_id, min(item_id) AS rule FROM documents, r WHERE len(list_filter(any_words, lambda x: contains(text, x))) > 0 AND len(list_filter(three, lambda x: contains(text, x))) > 0 AND len(list_filter(none, lambda x: contains(text, x))) = 0 GROUP BY 1)
+    SELECT doc_id, rule::VARCHAR AS rule_id, CASE WHEN rule IS NOT NULL THEN CASE WHEN rule % 2 = 0 THEN 'set' ELSE 'min' END END AS rule_mode FROM documents LEFT JOIN m USING (doc_id)""")
+def rule_table_match(spark, sf):
+    """A rule for each benchmark item, of its own words, by the automaton and in blocks of a few."""
+    words = F.array_distinct(F.regexp_extract_all("text", F.lit(r"[^\s.,]+"), F.lit(0)))
+    of = lambda test: F.filter("w", lambda x: test(F.length(x)))
+    k = F.col("item_id")
+    rules = table(spark, sf, "benchmark").select(k, words.alias("w")).select(
+        F.lit(True).alias("enabled"), k.alias("position"), k.cast("string").alias("id"), F.when(k % 2 == 0, "set").otherwise("min").alias("mode"), F.lit("urgent").alias("level"),
+        of(lambda n: n >= 8).alias("any_words"), F.array(of(lambda n: n == 3)).alias("and_any"), of(lambda n: n == 7).alias("none_words"))
+    out = ru.first_rule(table(spark, sf, "documents").select("doc_id", "text"), "text", "doc_id", rules, inline=0, block=16)
+    return out.select("doc_id", "rule_id", "rule_mode")
+
+
 @register("team_override", RULE_SQL + """
     SELECT doc_id, eff::INT AS eff, (CASE WHEN doc_id % 6 IN (0, 4) THEN least(eff, common) ELSE eff END)::INT AS alert FROM (
         SELECT doc_id, common, CASE doc_id % 6 WHEN 0 THEN 0 WHEN 1 THEN CASE WHEN rule_id = 'r2' OR rule_id = 'r1' THEN own ELSE common END WHEN 3 THEN 1 ELSE common END AS eff FROM lv)""")

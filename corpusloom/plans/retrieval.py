@@ -93,15 +93,17 @@ def chunk_fixed_overlap(spark, sf):
 
 @register("article_chunks", r"""
     WITH s AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '\S')) AS ls FROM documents),
-    b AS (SELECT doc_id, i, regexp_replace('제' || i || '조(' || ls[i] || ')', '^\s+|\s+$', '', 'g') AS t, regexp_extract('제' || i || '조(' || ls[i] || ')', '^제(\d+조(?:의\d+)?\([^)]*\))', 1) AS no FROM s, unnest(range(1, len(ls) + 1)) u(i) WHERE len(ls) >= 5),
-    p AS (SELECT doc_id, i, j, no, CASE WHEN length(t) <= 800 THEN t ELSE t[j + 1:j + 800] END AS piece FROM b, unnest(CASE WHEN length(t) <= 800 THEN [0] ELSE range(0, length(t), 700) END) u(j)),
+    h AS (SELECT doc_id, len(ls) AS n, list_transform(ls, lambda l, i: '제' || i || '조(' || l || ')') AS hs FROM s),
+    b AS (SELECT doc_id, i, regexp_replace(CASE WHEN n >= 5 THEN hs[i] ELSE array_to_string(hs, chr(10)) END, '^\s+|\s+$', '', 'g') AS t FROM h, unnest(range(1, CASE WHEN n >= 5 THEN n WHEN n > 0 THEN 1 ELSE 0 END + 1)) u(i)),
+    c AS (SELECT *, regexp_extract(t, '^제(\d+조(?:의\d+)?\([^)]*\))', 1) AS no FROM b),
+    p AS (SELECT doc_id, i, j, no, CASE WHEN length(t) <= 800 THEN t ELSE t[j + 1:j + 800] END AS piece FROM c, unnest(CASE WHEN length(t) <= 800 THEN [0] ELSE range(0, length(t), 700) END) u(j)),
     k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1 AS chunk FROM p WHERE length(regexp_replace(piece, '^\s+|\s+$', '', 'g')) > 50)
     SELECT doc_id, chunk, nullif(no, '') AS article_no, md5(piece) AS digest FROM k""")
 def article_chunks(spark, sf):
-    """Texts whose lines are made articles: at least five of them, each with its number."""
+    """Texts whose lines are made articles, each with its number; texts of fewer than five are cut by size alone."""
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"\S"))
     body = F.array_join(F.transform(lines, lambda x, i: F.concat(F.lit("제"), (i + 1).cast("string"), F.lit("조("), x, F.lit(")"))), "\n")
-    docs = table(spark, sf, "documents").filter(F.size(lines) >= 5).select("doc_id", body.alias("body"))
+    docs = table(spark, sf, "documents").select("doc_id", body.alias("body"))
     pieces = docs.select("doc_id", F.posexplode(ch.article_chunks(F.col("body"))).alias("chunk", "c"))
     return pieces.select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.col("c.article_no").alias("article_no"), F.md5("c.content").alias("digest"))
 
@@ -395,11 +397,13 @@ def newline_chunks(spark, sf):
 
 
 @register("chunk_merge", r"""
-    WITH p AS (SELECT doc_id, text[1:250] AS a, text[200:449] AS b FROM documents WHERE length(text) >= 450),
-    n AS (SELECT *, list_max(list_filter(range(20, 251), lambda n: right(a, n) = left(b, n))) AS n FROM p)
-    SELECT doc_id, md5(CASE WHEN n IS NULL THEN a || chr(10) || b ELSE a || b[n + 1:] END) AS digest FROM n""")
+    WITH RECURSIVE p AS (SELECT doc_id, text, length(text) AS n, greatest((length(text) - 51 + 198) // 199, 1) AS m FROM documents WHERE text IS NOT NULL),
+    g AS (SELECT doc_id, text, m, 1 AS k, text[1:250] AS out FROM p UNION ALL
+          SELECT doc_id, text, m, k + 1, CASE WHEN o IS NULL THEN out || chr(10) || b ELSE out || b[o + 1:] END FROM (
+              SELECT *, list_max(list_filter(range(20, 1 + least(length(b), length(out), 400)), lambda x: right(out, x) = left(b, x))) AS o FROM (SELECT *, text[199 * k + 1:199 * k + 250] AS b FROM g WHERE k < m)))
+    SELECT doc_id, md5(out) AS digest FROM g WHERE k = m""")
 def chunk_merge(spark, sf):
-    """Two pieces of a text that overlap by 51 characters, or by more where the text repeats itself."""
-    docs = table(spark, sf, "documents").filter(F.length("text") >= 450)
-    pieces = F.array(F.substring("text", 1, 250), F.substring("text", 200, 250))
-    return docs.select("doc_id", F.md5(ch.joined_chunks(pieces)).alias("digest"))
+    """Whole texts in pieces of 250 characters that overlap by 51, or by more where the text repeats itself."""
+    n = F.greatest(F.floor((F.length("text") - 51 + 198) / 199), F.lit(1))
+    pieces = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda k: F.substr(F.col("text"), (k * 199 + 1).cast("int"), F.lit(250)))
+    return table(spark, sf, "documents").filter("text is not null").select("doc_id", F.md5(ch.joined_chunks(pieces)).alias("digest"))

@@ -332,3 +332,32 @@ def test_quiet_times_leave_out_rows_without_an_instant(spark):
     rows = [("k", None, 0), ("k", datetime(2024, 1, 1), 1), (None, datetime(2024, 1, 1), 2), ("k", datetime(2024, 1, 1, 0, 0, 5), 3)]
     df = spark.createDataFrame(rows, "k string, at timestamp, i int")
     assert sorted(r["i"] for r in ev.first_within(df, ["k"], "at", "i", 10).collect()) == [1, 2]
+
+
+@pytest.mark.parametrize("inline,block", [(64, 20_000), (0, 7), (0, 20_000)])
+def test_rules_by_automaton_equal_a_walk(spark, inline, block):
+    """Conditions in the plan, blocks of a few rules, one block: the same first rules, on null and empty texts and words too."""
+    rng = random.Random(4)
+    words = ["a", "ab", "bca", "가나", "나다", "zz", "b c", "x"]
+    some = lambda n: rng.choice([None, [], *[rng.sample(words, k) for k in range(1, n)]])
+    rules = [(rng.random() < 0.9, rng.randrange(20), f"r{i:02}", rng.choice(["set", "min"]), "urgent", some(3), rng.choice([None, [], [["a"], ["zz", "x"]], [["가나"]]]), some(2)) for i in range(40)]
+    rules.append((True, 50, "last", "set", "normal", [""], None, ["zz"]))
+    table = spark.createDataFrame(rules, "enabled boolean, position int, id string, mode string, level string, any_words array<string>, and_any array<array<string>>, none_words array<string>")
+    texts = [None, "", *["".join(rng.choices(["a", "b", "c", " ", "가", "나", "다", "z", "x"], k=rng.randrange(1, 12))) for _ in range(200)]]
+    got = ru.first_rule(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), "text", "id", table, inline, block)
+    assert got.columns == ["id", "text", "rule_id", "rule_mode", "rule_level"]
+
+    def first(t):
+        for on, _, i, mode, level, some_of, groups, none in sorted(rules, key=lambda r: (r[1], r[2])):
+            if t is not None and on and any(w in t for w in some_of or []) and all(any(w in t for w in g) for g in groups or []) and not any(w in t for w in none or []):
+                return i, mode, level
+        return None, None, None
+
+    assert {r["id"]: (r["rule_id"], r["rule_mode"], r["rule_level"]) for r in got.collect()} == {i: first(t) for i, t in enumerate(texts)}
+
+
+def test_all_keywords_count(spark):
+    words = [f"word{i:02}" for i in range(12)]
+    chunk = spark.createDataFrame([(" ".join(words), "", "")], "content string, doc_name string, article_no string")
+    score = lambda *most: chunk.select(se.keyword_score({c: c for c in chunk.columns}, words, [], [], [], *most)).first()[0]
+    assert (score(), score(10)) == (12, 10)
