@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+
+from corpusloom.operators.rules import tag_match
+from corpusloom.session import ship_package
+
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def event_stream(spark: SparkSession, path: str, files_a_trigger: int = 1) -> DataFrame:
@@ -31,6 +41,83 @@ def session_counts(events: DataFrame, user: str, gap: str, late: str = "72 hours
     return out.select(user, F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "n")
 
 
+def _sent(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame({name: pd.Series([r[k] for r in rows], dtype=object) for k, name in enumerate(("subscriber", "item", "us"))})
+
+
+class _Subscriber(StatefulProcessor):
+    """What is remembered of a subscriber: how far rows were evaluated, and the rows that are held until they are ripe."""
+
+    def __init__(self, hold_minutes: int):
+        self.hold_ms = hold_minutes * 60_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.mark = handle.getValueState("mark", "us long")
+        self.held = handle.getListState("held", "item long, us long, deliver boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        mark = self.mark.get()[0] if self.mark.exists() else None
+        due = set()
+        for part in rows:
+            for item, us, floor, deliver in part[["item", "us", "floor_us", "deliver"]].itertuples(index=False):
+                if mark is None:
+                    mark = int(floor)
+                    self.mark.update((mark,))
+                if us > mark:
+                    self.held.appendValue((int(item), int(us), bool(deliver)))
+                    due.add(-(-int(us) // 1000) + self.hold_ms)
+        for at in due:
+            self.handle.registerTimer(at)
+        yield _sent([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        ripe_us = (expiredTimerInfo.getExpiryTimeInMs() - self.hold_ms) * 1000
+        held = sorted(tuple(r) for r in self.held.get())
+        ripe = [r for r in held if r[1] <= ripe_us]
+        rest = [r for r in held if r[1] > ripe_us]
+        if ripe:
+            self.mark.update((max(self.mark.get()[0], *(us for _, us, _ in ripe)),))
+            if rest:
+                self.held.put(rest)
+            else:
+                self.held.clear()
+        yield _sent([(key[0], item, us) for item, us, deliver in ripe if deliver])
+
+    def close(self) -> None:
+        pass
+
+
+def deliveries(queue: DataFrame, subscriptions: DataFrame, hold_minutes: int, late: str = "72 hours") -> DataFrame:
+    """subscriber, item, created_at: each queue row once to every subscriber of its audience whom it suits, as soon as it
+    is old enough for the hold.
+
+    queue (a stream): item (long), created_at, audience, tags; subscriptions (a table): subscriber, audience, tags, since
+    (where the first delivery starts). Rows meet subscribers by audience. A subscriber's state is a value, the newest row
+    evaluated (delivered or not), and a list, the rows that are held; a timer on event time at the end of each row's hold
+    evaluates them. Rows not newer than the value come too late and are left out. After a restart the query goes on from
+    its checkpoint, so a row is neither lost nor sent twice.
+    """
+    ship_package(queue.sparkSession)
+    people = subscriptions.select("subscriber", F.col("audience").alias("_a"), F.col("tags").alias("_wanted"), F.unix_micros(F.col("since").cast("timestamp")).alias("floor_us"))
+    rows = queue.withWatermark("created_at", late).join(people, F.col("audience") == F.col("_a"))
+    rows = rows.select("subscriber", "item", "created_at", F.unix_micros("created_at").alias("us"), "floor_us", tag_match(F.col("tags"), F.col("_wanted")).alias("deliver"))
+    kind = subscriptions.schema["subscriber"].dataType.simpleString()
+    sent = rows.groupBy("subscriber").transformWithStateInPandas(statefulProcessor=_Subscriber(hold_minutes), outputStructType=f"subscriber {kind}, item long, us long", outputMode="Append", timeMode="EventTime")
+    return sent.select("subscriber", "item", F.timestamp_micros("us").alias("created_at"))
+
+
+@contextlib.contextmanager
+def keyed_state(spark: SparkSession):
+    """The state store that deliveries() needs, for queries that are started inside."""
+    before = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, _ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.set(_PROVIDER, before)
+
+
 def run_once(df: DataFrame, out: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Takes all there is, in bounded micro-batches, and stops; a restart goes on from the checkpoint."""
     query = df.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()

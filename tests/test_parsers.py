@@ -52,7 +52,7 @@ def test_speech_blocks(spark):
 
 @pytest.mark.parametrize(("claim", "text", "n", "hits"), [
     ("무선국은 개설허가를 받아야 한다 제19조제1항", "무선국의 개설허가 절차", 2, 2),  # stems of the first two words; the reference and words of every statute are no words
-    ("전기통신사업법 제50조에 적합한 신고를, 「전파법 시행령」 제3조", "신고 적합한 전기통신사업법 전파법", 2, 2),  # names of acts right before a reference are no words
+    ("전기통신사업법 제50조에 적합한 신고를, 「전파법 시행령」 제3조", "신고를 적합한 전기통신사업법 전파법", 2, 2),  # names of acts right before a reference are no words
     ("60일 이내에 신고", "60 개를 신고한다", 3, 1),  # two characters are no stem
     ("abc def", "xx ABC", 2, 0),
     ("가는 나는", "가는 나는", 0, 0),  # two characters that end in a particle
