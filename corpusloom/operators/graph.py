@@ -48,12 +48,6 @@ def topic_scores(evidence: DataFrame, topic: str, term: str, hits: DataFrame, le
     return out.select(topic, "hits", "score", picked.alias("picked"))
 
 
-def article_references(text: Column) -> Column:
-    """Article keys that a text names, distinct, ranges of up to ten expanded."""
-    found = F.regexp_extract_all(text, F.lit(r"(제?\d+조(?:의\d+)?)"), F.lit(1))
-    return F.array_distinct(F.transform(found, lambda t: F.regexp_replace(F.regexp_replace(t, "제|조$", ""), "조의", "-")))
-
-
 def edge_verdicts(edges: DataFrame, wanted: str, articles: DataFrame, doc: str, key: str) -> DataFrame:
     """Adds verdict of each edge (doc, wanted: array of article keys): no_article, doc_missing, art_missing, art_partial
     or ok."""

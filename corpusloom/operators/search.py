@@ -266,18 +266,6 @@ def expanded(questions: DataFrame, question_id: str, text: str, synonyms: dict[s
     return questions.select(question_id, words.alias("words"), F.when(F.size(words) > 0, F.concat_ws(" ", F.col(text), F.array_join(words, " "))).otherwise(F.col(text)).alias("expanded"))
 
 
-def inverted_index(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """term, doc_id, tf: how often each lower-case word of a text stands in it; the table that term searches read."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    return docs.select(doc_id, F.explode(words).alias("term")).groupBy("term", doc_id).agg(F.count(F.lit(1)).alias("tf"))
-
-
-def term_search(index: DataFrame, doc_id: str, terms: list[str]) -> DataFrame:
-    """doc_id, tf: documents that have all terms, with the sum of their counts."""
-    asked = index.filter(F.col("term").isin([t.lower() for t in terms]))
-    return asked.groupBy(doc_id).agg(F.count(F.lit(1)).alias("_n"), F.sum("tf").alias("tf")).filter(F.col("_n") == len({t.lower() for t in terms})).select(doc_id, "tf")
-
-
 def within_budget(items: DataFrame, question: str, section: str, place: str, chars: Column, other_chars: Column, cap: int, drop_order: list[str]) -> DataFrame:
     """The items of a question's context that fit: while the other text and the items together exceed cap, one item goes,
     from the first section of drop_order that has one left, from its end. Items of sections not named there stay.

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corpusloom.functions import parsers as pr
 from corpusloom.operators import briefing as br
 from corpusloom.operators import events as ev
 from corpusloom.operators import graph as gr
+from corpusloom.operators import index as ix
 from corpusloom.operators import issues as iss
 from corpusloom.operators import rules as ru
 from corpusloom.operators import search as se
@@ -15,7 +18,7 @@ from corpusloom.operators import speech as sp
 from corpusloom.operators import tables as tb
 from corpusloom.plans.registry import register
 from corpusloom.plans.retrieval import CHUNKS_SQL, chunks
-from corpusloom.session import table
+from corpusloom.session import checkpoint_dir, table
 
 CLOCK = "2026-01-10 00:00:00"
 
@@ -329,7 +332,23 @@ def query_expansion(spark, sf):
     WITH i AS (SELECT doc_id, t AS term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS t FROM documents) GROUP BY ALL)
     SELECT doc_id, sum(tf)::BIGINT AS tf FROM i WHERE term IN ('the', 'tion', 'of') GROUP BY doc_id HAVING count(*) = 3""")
 def term_search(spark, sf):
-    return se.term_search(se.inverted_index(table(spark, sf, "documents"), "doc_id", "text"), "doc_id", ["The", "tion", "of"])
+    """The index is written once; the search reads the folders of its three terms."""
+    return ix.all_terms(spark, _indexed(spark, sf), ["the", "tion", "of"]).withColumnRenamed("id", "doc_id")
+
+
+@register("phrase_search", r"""
+    WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents), p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w)
+    SELECT doc_id, count(*)::INT AS n, (min(i) - 1)::INT AS first_place FROM p WHERE w[i] = 'of' AND w[i + 1] = 'the' GROUP BY doc_id""")
+def phrase_search(spark, sf):
+    """Two words in a row, by the positions of the stored index."""
+    found = ix.phrase(spark, _indexed(spark, sf), ["of", "the"])
+    return found.select(F.col("id").alias("doc_id"), F.size("places").alias("n"), F.array_min("places").alias("first_place"))
+
+
+def _indexed(spark, sf):
+    path = f"{checkpoint_dir(spark)}/terms-{uuid.uuid4().hex}"
+    ix.write_index(table(spark, sf, "documents"), "doc_id", ix.words_of(F.col("text")), path)
+    return path
 
 
 @register("family_edges", """
