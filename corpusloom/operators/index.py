@@ -3,6 +3,7 @@ the files of its terms only."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions.trigrams import trigrams_of
+from corpusloom.functions.udfs import trigrams, word_similarity
 from corpusloom.session import ship_package
 
 #: Postings in a block at most.
@@ -128,3 +131,40 @@ def phrase(spark: SparkSession, path: str, words: list[str], buckets: int = 64)
 
 def _back(k: int):
     return lambda p: p - k
+
+
+def write_trigrams(docs: DataFrame, doc_id: str, text: str, path: str, buckets: int = 64, parts: int = 1) -> None:
+    """The index of texts by trigram, for trigram_candidates()."""
+    ship_package(docs.sparkSession)
+    write_index(docs, doc_id, trigrams(F.col(text)), path, buckets, parts)
+
+
+def trigram_candidates(spark: SparkSession, path: str, query: str, least: int, buckets: int = 64) -> DataFrame:
+    """id, shared: texts that have at least least of the query's distinct trigrams, counted over their postings."""
+    wanted = list(dict.fromkeys(trigrams_of(query)))
+    if not wanted:
+        return spark.createDataFrame([], "id long, shared long")
+    met = postings(spark, path, wanted, buckets, positions=False)
+    return met.groupBy("id").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= least)
+
+
+def alike_texts(docs: DataFrame, doc_id: str, text: str, path: str, query: str, above: float, buckets: int = 64) -> DataFrame:
+    """doc_id, sim: texts of which the word similarity to the query is above a threshold (0 or more), as by a full scan.
+
+    A text above it has over above times the query's distinct trigrams, so only texts with so many (T-occurrence, counted
+    over the postings) are read and compared. In long texts all trigrams occur somewhere: the count prunes titles and
+    names, and what it leaves is compared whole.
+    """
+    size = len(set(trigrams_of(query)))
+    few = trigram_candidates(docs.sparkSession, path, query, int(above * size) + 1, buckets)
+    rows = docs.join(few.select(F.col("id").alias("_id")), F.col(doc_id) == F.col("_id"), "left_semi")
+    return rows.select(doc_id, word_similarity(query, F.col(text), above).alias("sim")).filter(F.col("sim") > above)
+
+
+def jaccard_texts(docs: DataFrame, doc_id: str, text: str, path: str, query: str, least: float, buckets: int = 64) -> DataFrame:
+    """doc_id, shared, sim: texts of which the sets of trigrams share at least the given part of their union."""
+    size = len(set(trigrams_of(query)))
+    few = trigram_candidates(docs.sparkSession, path, query, max(1, math.ceil(least * size - 1e-9)), buckets)
+    rows = docs.select(doc_id, text).join(few, F.col(doc_id) == F.col("id"))
+    own = F.size(trigrams(F.col(text)))
+    return rows.select(doc_id, "shared", (F.col("shared") / (own + size - F.col("shared"))).alias("sim")).filter(F.col("sim") >= least)

@@ -345,6 +345,19 @@ def phrase_search(spark, sf):
     return found.select(F.col("id").alias("doc_id"), F.size("places").alias("n"), F.array_min("places").alias("first_place"))
 
 
+@register("trigram_names", r"""
+    WITH g AS (SELECT p_partkey, list_distinct(flatten(list_transform(regexp_extract_all(lower(p_name), '\w+'), lambda w: [('  ' || w || ' ')[i:i + 2] FOR i IN range(1, length(w) + 2)]))) AS g FROM part),
+    q AS (SELECT g AS q FROM g WHERE p_partkey = 7), s AS (SELECT p_partkey, len(list_intersect(g, q)) AS shared, len(g) + len(q) - len(list_intersect(g, q)) AS whole FROM g, q)
+    SELECT p_partkey, shared::BIGINT AS shared, round(shared / whole, 6) AS sim FROM s WHERE shared / whole >= 0.6""")
+def trigram_names(spark, sf):
+    """Names alike to that of part 7, by the trigram index: only those with enough shared trigrams are compared."""
+    parts = table(spark, sf, "part").select("p_partkey", "p_name")
+    path = f"{checkpoint_dir(spark)}/trigrams-{uuid.uuid4().hex}"
+    ix.write_trigrams(parts, "p_partkey", "p_name", path)
+    (asked,) = parts.filter("p_partkey = 7").select("p_name").first()
+    return ix.jaccard_texts(parts, "p_partkey", "p_name", path, asked, 0.6).withColumn("sim", F.round("sim", 6))
+
+
 def _indexed(spark, sf):
     path = f"{checkpoint_dir(spark)}/terms-{uuid.uuid4().hex}"
     ix.write_index(table(spark, sf, "documents"), "doc_id", ix.words_of(F.col("text")), path)

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.functions.trigrams import trigrams_of, word_similarity_of
 from corpusloom.operators import index as ix
 
 
@@ -53,3 +54,18 @@ def test_a_search_reads_its_folders_only(spark, tmp_path):
 def test_packed_integers():
     for values in ([], [0], [255, 0], [256], [70_000, 1], [2**40]):
         assert ix._unpacked(ix._packed(np.array(values, dtype=np.int64))).tolist() == values
+
+
+def test_trigram_counts_settle_what_is_compared(spark, tmp_path):
+    """Equal to the full scan, and under a twentieth of the texts are compared."""
+    rng = random.Random(5)
+    syllables = ["ka", "lo", "mi", "ne", "ru", "sta", "vo", "qui"]
+    texts = [(i, " ".join("".join(rng.choices(syllables, k=rng.randrange(2, 4))) for _ in range(rng.randrange(1, 4)))) for i in range(600)] + [(700, None), (701, ""), (702, "Stavomi Quinelo")]
+    docs = spark.createDataFrame(texts, "id long, text string")
+    ix.write_trigrams(docs, "id", "text", str(tmp_path / "t"))
+    asked, above = "stavomi quinelo", 0.6
+    got = {r["id"]: r["sim"] for r in ix.alike_texts(docs, "id", "text", str(tmp_path / "t"), asked, above).collect()}
+    assert got == {i: s for i, t in texts if t and (s := word_similarity_of(asked, t, above)) > above} and got[702] == 1.0
+    few = ix.trigram_candidates(spark, str(tmp_path / "t"), asked, int(above * len(set(trigrams_of(asked)))) + 1).count()
+    assert 0 < few < len(texts) / 20
+    assert ix.alike_texts(docs, "id", "text", str(tmp_path / "t"), "", above).count() == 0
