@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions import chunks as ch
 from corpusloom.functions import text as tx
 from corpusloom.functions import udfs
+from corpusloom.operators import cells as ce
 from corpusloom.operators import graph as gr
 from corpusloom.operators import search as se
 from corpusloom.plans.registry import register
-from corpusloom.session import checkpointed, table
+from corpusloom.session import checkpoint_dir, checkpointed, table
 
 KEYWORDS = ["that", "tion", "und", "les", "para"]
 HITS_SQL = """
@@ -280,6 +283,15 @@ def vector_topk_exact(spark, sf):
     return se.top_similar(_scored(spark, sf), "vec_id", 8).select("vec_id", "similarity")
 
 
+@register("vector_topk_cells", SCORED_SQL + " SELECT vec_id, similarity FROM s ORDER BY similarity DESC, vec_id LIMIT 8")
+def vector_topk_cells(spark, sf):
+    """The exact form over cells: rounds of cells, until no cell that is left can hold a better vector."""
+    path = f"{checkpoint_dir(spark)}/cells-{uuid.uuid4().hex}"
+    ce.write_cells(table(spark, sf, "embeddings"), "vec_id", "embedding", path, 16)
+    found = ce.nearest(spark, path, _query(spark, sf), 8)
+    return found.select(F.col("id").alias("vec_id"), F.round("similarity", 6).alias("similarity"))
+
+
 @register("vector_topk_threshold", SCORED_SQL + " SELECT vec_id, similarity FROM s WHERE similarity > 0.05 ORDER BY similarity DESC, vec_id LIMIT 20")
 def vector_topk_threshold(spark, sf):
     return se.top_similar(_scored(spark, sf), "vec_id", 20, 0.05).select("vec_id", "similarity")
