@@ -12,6 +12,7 @@ from corpusloom.operators import events as ev
 from corpusloom.operators import graph as gr
 from corpusloom.operators import index as ix
 from corpusloom.operators import issues as iss
+from corpusloom.operators import questions as qs
 from corpusloom.operators import rules as ru
 from corpusloom.operators import search as se
 from corpusloom.operators import speech as sp
@@ -345,6 +346,26 @@ def phrase_search(spark, sf):
     return found.select(F.col("id").alias("doc_id"), F.size("places").alias("n"), F.array_min("places").alias("first_place"))
 
 
+@register("question_parts", """
+    WITH c AS (SELECT c_custkey AS id, c_custkey % 5 AS v, c_custkey % 9 AS k FROM customer)
+    SELECT id, CASE v WHEN 0 THEN CASE WHEN k > 4 THEN '김성수' ELSE '박영선' END END AS speaker, CASE v WHEN 2 THEN 2016 + k END AS year, CASE v WHEN 1 THEN 2026 - k WHEN 4 THEN 2016 + k END AS year_from, CASE v WHEN 1 THEN 2026 WHEN 4 THEN 2017 + k END AS year_to,
+           CASE WHEN v = 3 AND 16 + k BETWEEN 20 AND 22 THEN 16 + k END AS term, CASE WHEN v = 3 AND 16 + k NOT BETWEEN 20 AND 22 THEN 16 + k END AS other_term,
+           CASE v WHEN 2 THEN '국정감사' WHEN 4 THEN '상임위' ELSE '' END AS kinds, CASE v WHEN 0 THEN '주파수 정책' WHEN 1 THEN '통신비' WHEN 2 THEN '번호이동' WHEN 3 THEN '5G 품질' ELSE '위성' END AS query FROM c""")
+def question_parts(spark, sf):
+    """A question for each customer, in five forms."""
+    k, v = F.col("c_custkey") % 9, F.col("c_custkey") % 5
+    ask = (
+        F.when(v == 0, F.concat(F.when(k > 4, "김성수").otherwise("박영선"), F.lit(" 의원이 발언한 주파수 정책을 찾아줘")))
+        .when(v == 1, F.concat(F.lit("최근 "), k + 1, F.lit("년간 통신비 논의")))
+        .when(v == 2, F.concat(2016 + k, F.lit("년 국감 번호이동 내용")))
+        .when(v == 3, F.concat(F.lit("제"), 16 + k, F.lit("대 국회에서 5G 품질 관련")))
+        .otherwise(F.concat(2016 + k, F.lit("~"), 2017 + k, F.lit("년 상임위에서 위성 발언")))
+    )
+    rows = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), ask.alias("q"))
+    out = qs.parsed_questions(rows, "q", 2016, 2026)
+    return out.select("id", "speaker", "year", "year_from", "year_to", "term", "other_term", F.array_join("kinds", ",").alias("kinds"), "query")
+
+
 @register("trigram_names", r"""
     WITH g AS (SELECT p_partkey, list_distinct(flatten(list_transform(regexp_extract_all(lower(p_name), '\w+'), lambda w: [('  ' || w || ' ')[i:i + 2] FOR i IN range(1, length(w) + 2)]))) AS g FROM part),
     q AS (SELECT g AS q FROM g WHERE p_partkey = 7), s AS (SELECT p_partkey, len(list_intersect(g, q)) AS shared, len(g) + len(q) - len(list_intersect(g, q)) AS whole FROM g, q)
