@@ -7,6 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corpusloom.functions.chunks import let
+from corpusloom.functions.udfs import nfkc
 
 #: Scores of games, corner names, and hosts of sports and entertainment pages.
 SPORTS = r"\b[36]G\b\s*\d*\s*(연속|무패|무실점|타점|타수|안타|홈런|골|승|패|세이브|QS|경기|보살)|\[\s*LTE\b[^\]]*\]|^LTE\)"
@@ -105,21 +106,46 @@ QUOTED = r"^[\"“](.{1,120}?)[\"”]\s*(?:\(([^()]{1,60})\))?\s*(?:이?란|이?
 COLON = r"^([^:\n\"“]{1,60}?)\s*:\s*"
 
 
+#: The signs of paragraphs, which say where numbering starts anew.
+PARAGRAPHS = "①②③④⑤⑥⑦⑧⑨⑩⑪⑫⑬⑭⑮⑯⑰⑱⑲⑳"
+
+
+def _definition_items(body: Column) -> Column:
+    """array of struct(no, text) of an article of definitions: its items, cleaned, deleted and empty ones left out. In a
+    paragraph without numbered items, what follows its first quoted term; a number that repeats gets -2, -3 and so on."""
+    text = F.regexp_replace(F.regexp_replace(body, r"\n\s*-\s*\d+\s*-\s*\n", "\n"), r"^\s*제\s*\d+조(?:의\d+)?\s*\([^)]*\)\s*", "")
+    sections = F.filter(F.split(text, f"(?=[{PARAGRAPHS}])"), lambda s: F.trim(s) != "")
+
+    def items(section: Column) -> Column:
+        sign = F.regexp_extract(section, f"^([{PARAGRAPHS}])", 1)
+        own = F.regexp_replace(section, f"^[{PARAGRAPHS}]", "")
+        parts = F.filter(F.split(F.regexp_replace(own, ITEM, "\u0001$1\u0002"), "\u0001"), lambda p: F.contains(p, F.lit("\u0002")))
+        numbered = F.transform(parts, lambda p: F.struct(F.split_part(p, F.lit("\u0002"), F.lit(1)).alias("no"), F.split_part(p, F.lit("\u0002"), F.lit(2)).alias("raw")))
+        place = F.regexp_instr(own, F.lit(QUOTED[1:]))
+        name = F.when(sign != "", F.concat(F.instr(F.lit(PARAGRAPHS), sign).cast("string"), F.lit("항"))).otherwise("본문")
+        lone = F.array(F.struct(name.alias("no"), F.substr(own, place).alias("raw")))
+        return F.when(F.size(parts) > 0, numbered).when(place > 0, lone).otherwise(F.array().cast("array<struct<no:string,raw:string>>"))
+
+    def clean(x: Column) -> Column:
+        bare = F.regexp_replace(F.trim(F.regexp_replace(x["raw"], r"</?[a-zA-Z][^<>]*>", "")), r"\s*<(?:개정|신설|전문개정|삭제)[^>]*>\s*$", "")
+        bare = F.trim(F.regexp_replace(F.regexp_replace(bare, r"\n(?!\s*[가-힣][.)]\s)", " "), r"[ \t]+", " "))
+        return F.struct(x["no"].alias("no"), bare.alias("text"))
+
+    return F.filter(F.transform(F.flatten(F.transform(sections, items)), clean), lambda x: (x["text"] != "") & ~F.startswith(x["text"], F.lit("삭제")))
+
+
+def _defines(x: Column) -> Column:
+    return x["text"].rlike(QUOTED) | x["text"].rlike(COLON)
+
+
 def definitions(body: Column) -> Column:
     """array of struct(item_no, term, alias, definition) of an article of definitions.
 
-    Items start at their number; deleted ones are left out. A term stands in quotes before its marker, or before a colon;
-    an alias stands in brackets behind or inside it, unless it is an abbreviation for what follows.
+    Items start at their number, which starts anew in each paragraph: a number that was there before gets -2, -3 and so
+    on. A paragraph without items that has a term in quotes is one definition, named by its paragraph. Deleted items are
+    left out; what does not define anything is listed by undefined(). A term stands in quotes before its marker, or before
+    a colon; an alias stands in brackets behind or inside it, unless it is an abbreviation for what follows.
     """
-    text = F.regexp_replace(F.regexp_replace(body, r"\n\s*-\s*\d+\s*-\s*\n", "\n"), r"^\s*제\s*\d+조(?:의\d+)?\s*\([^)]*\)\s*", "")
-    marked = F.regexp_replace(text, ITEM, "\u0001$1\u0002")
-    parts = F.filter(F.split(marked, "\u0001"), lambda p: F.contains(p, F.lit("\u0002")))
-
-    def item(p: Column) -> Column:
-        raw = F.split_part(p, F.lit("\u0002"), F.lit(2))
-        clean = F.regexp_replace(F.trim(F.regexp_replace(raw, r"</?[a-zA-Z][^<>]*>", "")), r"\s*<(?:개정|신설|전문개정|삭제)[^>]*>\s*$", "")
-        clean = F.trim(F.regexp_replace(F.regexp_replace(clean, r"\n(?!\s*[가-힣][.)]\s)", " "), r"[ \t]+", " "))
-        return F.struct(F.split_part(p, F.lit("\u0002"), F.lit(1)).alias("no"), clean.alias("text"))
 
     def named(x: Column) -> Column:
         t = x["text"]
@@ -134,8 +160,22 @@ def definitions(body: Column) -> Column:
         head = F.trim(F.regexp_extract(bare, inner, 1))
         return F.struct(x["no"].alias("item_no"), F.when(inside.isNotNull() & (head != ""), head).otherwise(bare).alias("term"), F.coalesce(behind, F.when(~F.startswith(inside, F.lit("이하")), inside)).alias("alias"), t.alias("definition"))
 
-    items = F.filter(F.transform(parts, item), lambda x: (x["text"] != "") & ~F.startswith(x["text"], F.lit("삭제")) & (x["text"].rlike(QUOTED) | x["text"].rlike(COLON)))
-    return F.filter(F.transform(items, named), lambda d: d["term"] != "")
+    found = F.filter(F.transform(F.filter(_definition_items(body), _defines), named), lambda d: d["term"] != "")
+
+    def numbered(ds: Column) -> Column:
+        def apart(d: Column, i: Column) -> Column:
+            before = F.size(F.filter(F.slice(ds, 1, i), lambda x: x["item_no"] == d["item_no"]))
+            no = F.when(before > 0, F.concat(d["item_no"], F.lit("-"), (before + 1).cast("string"))).otherwise(d["item_no"])
+            return F.struct(no.alias("item_no"), d["term"].alias("term"), d["alias"].alias("alias"), d["definition"].alias("definition"))
+
+        return F.transform(ds, apart)
+
+    return let(found, numbered)
+
+
+def undefined(body: Column, most: int = 80) -> Column:
+    """array of struct(item_no, head) of the items that define nothing, with their first most characters."""
+    return F.transform(F.filter(_definition_items(body), lambda x: ~_defines(x)), lambda x: F.struct(x["no"].alias("item_no"), F.substr(x["text"], F.lit(1), F.lit(most)).alias("head")))
 
 
 def speech_blocks(text: Column, mark: str = "◯") -> Column:
@@ -145,11 +185,19 @@ def speech_blocks(text: Column, mark: str = "◯") -> Column:
     return F.filter(cut, lambda b: (b["label"] != "") & (b["text"] != ""))
 
 
+#: Offices that may stand right behind a name.
+OFFICES = "위원장 부위원장 소위원장 위원 의원 간사 장관 차관 청장 처장 원장 소장 본부장 단장 실장 국장 이사장 사장 대표".split()
+
+
 def speaker_name(name: Column, titles: tuple[str, ...]) -> Column:
     """The name in a speaker's label: without brackets, and without up to two titles before and two behind it, which may
-    be joined to it if two to four characters are left. Names have two to five characters; else up to six of Hangul alone
-    count, and anything else is unknown (null)."""
-    raw = F.trim(F.regexp_replace(F.coalesce(name, F.lit("")), r"\s+", " "))
+    be joined to it if two to four characters are left. Names have two to five characters; else a name of two to four
+    letters of Hangul with an office behind it at the head counts (where a speech has run into its label), else up to six
+    of Hangul alone, and anything else is unknown (null). Compatibility forms of characters count as the characters."""
+    return let(F.trim(F.regexp_replace(nfkc(F.coalesce(name, F.lit(""))), r"\s+", " ")), lambda raw: _name_in(raw, titles))
+
+
+def _name_in(raw: Column, titles: tuple[str, ...]) -> Column:
     n = F.trim(F.regexp_replace(raw, r"\s*[\(（][^)）]*[\)）]", ""))
     before = lambda n: F.filter(F.array(*map(F.lit, titles)), lambda t: F.startswith(n, F.concat(t, F.lit(" "))))
     without = lambda n, t: F.trim(F.substr(n, F.lit(1), F.length(n) - F.length(t)))
@@ -159,4 +207,5 @@ def speaker_name(name: Column, titles: tuple[str, ...]) -> Column:
     for _ in range(2):
         n = let(n, lambda n: let(behind(n), lambda ts: F.when(F.size(ts) > 0, without(n, ts[0])).otherwise(n)))
     head = F.regexp_replace(raw, r"[◯○\s]+", "")
-    return let(n, lambda n: F.when(F.length(n).between(2, 5), n).when(F.length(head).between(2, 6) & head.rlike("^[가-힣]+$"), head))
+    officer = F.regexp_extract(raw, rf"^[◯○\s]*([가-힣]{{2,4}})\s*(?:{'|'.join(OFFICES)})", 1)
+    return let(n, lambda n: F.when(F.length(n).between(2, 5), n).when(officer != "", officer).when(F.length(head).between(2, 6) & head.rlike("^[가-힣]+$"), head))

@@ -74,10 +74,11 @@ def promotion(df: DataFrame, keys: list[str], effective: str, serial: str, today
 
 
 def drop_noops(df: DataFrame, keys: list[str], order: list[Column], text: Column) -> DataFrame:
-    """Versions whose text, white space aside, differs from the one before."""
+    """Versions whose text, white space aside, differs from the one before; versions that say that they were deleted (see
+    DELETED) are left out, but are what the next one is compared with."""
     w = W.partitionBy(*keys).orderBy(*order)
     bare = F.regexp_replace(text, r"\s+", "")
-    return df.withColumn("_bare", bare).withColumn("_was", F.lag("_bare").over(w)).filter(~F.col("_bare").eqNullSafe(F.col("_was"))).drop("_bare", "_was")
+    return df.withColumn("_bare", bare).withColumn("_was", F.lag("_bare").over(w)).filter(~F.col("_bare").eqNullSafe(F.col("_was")) & ~F.coalesce(text.rlike(DELETED), F.lit(False))).drop("_bare", "_was")
 
 
 #: Fixed value: how a text says that its article was deleted.
@@ -211,14 +212,14 @@ def watch(stored: DataFrame, fresh: DataFrame, sources: DataFrame) -> DataFrame:
 def swapped(spark, df: DataFrame, path: str, keys: list[str]) -> DataFrame:
     """Replaces the table at path by df and returns the new one, or fails and leaves the old one in place.
 
-    df is written beside path, read back and compared by row count and by a digest of its keys; only then the old table
-    makes way by renames. A run that dies in between leaves either table whole under one of the two names.
+    df is written beside path, read back and compared by row count, by a digest of all columns and by distinct keys; only
+    then the old table makes way by renames. A run that dies in between leaves either table whole under one of the two names.
     """
     import uuid
 
     fresh, old = f"{path}.{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
     df.write.parquet(fresh)
-    proof = lambda x: tuple(x.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*keys)), F.count_distinct(*keys)).first())
+    proof = lambda x: tuple(x.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*x.columns).cast("decimal(38,0)")), F.count_distinct(*keys)).first())
     if proof(spark.read.schema(df.schema).parquet(fresh)) != proof(df):
         raise RuntimeError(f"the copy at {fresh} is not what was to be written")
     hadoop = spark._jvm.org.apache.hadoop.fs.Path

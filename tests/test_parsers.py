@@ -37,7 +37,23 @@ def test_definitions(spark):
     assert "\n  가. 첫째" in got[2][3].replace("\n 가.", "\n  가.") and got[1][3].endswith("말한다.")
 
 
+def test_definitions_by_paragraph(spark):
+    body = '''제3조(정의) ① 이 고시의 뜻은 다음과 같다.
+1. "갑"이란 가를 말한다.
+2. 그 밖의 것 : 나
+3. "이름 없는 것
+② 앞의 것과 달리 쓰는 "을"(乙)이란 다를 말한다.
+③ 다음과 같다.
+1. "병"은 라를 말한다.
+1. "정"은 마를 말한다.'''
+    got = [tuple(d)[:3] for d in one(spark, pr.definitions(F.col("b")), b=body)]
+    assert got == [("1", "갑", None), ("2", "그 밖의 것", None), ("2항", "을", "乙"), ("1-2", "병", None), ("1-3", "정", None)]
+    assert [tuple(x) for x in one(spark, pr.undefined(F.col("b")), b=body)] == [("3", '"이름 없는 것')]
+    assert [tuple(d)[:2] for d in one(spark, pr.definitions(F.col("b")), b='제2조(정의) 이 고시에서 "무"라 함은 바를 말한다.')] == [("본문", "무")]
+
+
 @pytest.mark.parametrize(("label", "name"), [
+    ("\uf90a成泰 위원", "\u91d1成泰"), ("◯김철수 위원 예, 그 자료를 다시 보내 주시기 바랍니다", "김철수"), ("김\u3000철수 위원장 질의하겠습니다", None),
     ("이가람 위원장", "이가람"), ("위원장 이가람", "이가람"), ("홍길동(어느당)", "홍길동"), ("김철수의원", "김철수"), ("장관 박나래", "박나래"),
     ("위원장", "위원장"), ("과학기술정보통신부장관", None), ("마이클브라운", "마이클브라운"), ("의석을 정돈하여 주시기 바랍니다", None), ("", None), (None, None),
 ])
