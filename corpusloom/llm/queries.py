@@ -111,6 +111,36 @@ ORACLE["op11_ranked_search"] = r"""
     SELECT item_id, rank::INT AS rank, doc_id, score
     FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM hit WHERE score > 0) WHERE rank <= 50
 """
+ORACLE["op12_spelling_variants"] = r"""
+    WITH RECURSIVE runs AS (
+        SELECT doc_id, run, count(*) AS k
+        FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents) GROUP BY ALL),
+    step AS (
+        SELECT list(list_reduce(range(8), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t FROM range(256) r(i)),
+    summed AS (
+        SELECT run, k, xor(list_reduce(
+                   flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195::BIGINT, unicode(c) - 64] END)),
+                   lambda h, b: xor(h >> 8, t[xor(h & 255, b) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS h
+        FROM runs, step),
+    word AS (
+        SELECT w AS word, sum(k)::BIGINT AS n
+        FROM (SELECT k, CASE WHEN h % 97 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS w FROM summed)
+        WHERE length(w) >= 5 GROUP BY w HAVING sum(k) >= 3),
+    cut AS (SELECT DISTINCT word, n, word[:i] || word[i + 2:] AS c FROM word, unnest(range(0, length(word))) AS u(i)),
+    pair AS (
+        SELECT a.word, b.word AS other, b.n AS m FROM cut a JOIN word b ON a.c = b.word
+        UNION SELECT b.word, a.word, a.n FROM cut a JOIN word b ON a.c = b.word
+        UNION SELECT a.word, b.word, b.n FROM cut a JOIN cut b ON a.c = b.c AND a.word <> b.word AND length(a.word) = length(b.word)
+              WHERE len(list_filter(range(1, length(a.word) + 1), lambda i: a.word[i] <> b.word[i])) = 1),
+    near AS (SELECT word, count(*) AS n_near, max(m) AS m FROM pair GROUP BY word),
+    best AS (SELECT word, min(other) AS other FROM pair JOIN near USING (word, m) GROUP BY word),
+    form AS (
+        SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN m >= 2 * n THEN other END AS form, CASE WHEN m >= 2 * n THEN m END AS form_n
+        FROM word LEFT JOIN near USING (word) LEFT JOIN best USING (word)),
+    chain(word, head) AS (SELECT word, coalesce(form, word) FROM form UNION SELECT c.word, f.form FROM chain c JOIN form f ON f.word = c.head WHERE f.form IS NOT NULL)
+    SELECT f.word, f.form, r.head AS root, f.n, f.n_near, f.form_n
+    FROM form f JOIN chain r ON r.word = f.word JOIN form e ON e.word = r.head AND e.form IS NULL
+"""
 ORACLE["op13_license_scan"] = licenses.template_sql()
 
 
