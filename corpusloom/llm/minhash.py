@@ -308,6 +308,8 @@ def drop_near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str =
     rows = docs.withColumn(key, id_and_text(F.col(f"`{id_col}`").cast("long"), _text_key(text_col)))
     left = lookup(rows, kept, {key: own}, many)
     columns = [F.col(f"`{c}`") for c in docs.columns]
+    if kept.filter(F.col(many) > 1).isEmpty():  # no row repeats
+        return left.select(*columns)
     once = left.filter(F.col(many) == 1).select(*columns)
     again = left.filter(F.col(many) > 1).groupBy(key).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias(own))
     return once.unionByName(again.select(*(F.col(own)[c].alias(c) for c in docs.columns)))

@@ -168,6 +168,8 @@ def apply_mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", s
     rows, columns = docs.withColumn(key, own), [F.col(f"`{c}`") for c in docs.columns]
     repeated = lambda rows, copies: rows.withColumn(again, F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*columns)
     alike = repeated(rows.join(due.filter((F.col(low) == F.col(high)) & (F.col(high) > 0)), F.col(key) == F.col(due_key)), F.col(high))
+    if due.filter(F.col(low) != F.col(high)).isEmpty():
+        return alike
     split = rows.join(due.filter(F.col(low) != F.col(high)), F.col(key) == F.col(due_key))
     split = split.withColumn(place, F.row_number().over(W.partitionBy(key).orderBy(F.xxhash64(F.col(f"`{text_col}`")))))
     return alike.unionByName(repeated(split, F.when(F.col(place) <= F.col(total) - F.col(low) * F.col(many), F.col(high)).otherwise(F.col(low))))

@@ -109,4 +109,4 @@ def test_other_patterns_are_matched_over_the_whole_text():
         coder = Coder(vocabulary, pattern)
         assert coder._matches(text) == want and not coder.cuttable
         assert coder.encode([text]) == [np.frombuffer(text.encode(), dtype=np.uint8).astype("<i4").tobytes()]
-    assert Coder(vocabulary, public_tokenizers.PATTERN).cuttable
+    assert Coder(vocabulary, P.PATTERN).cuttable
