@@ -58,9 +58,11 @@ def regulation_keys(kind: Column, item: Column, origin: Column, bill: Column, la
 
 def same_regulation(items: DataFrame, item: str, keys: str, issues: DataFrame) -> DataFrame:
     """item, state, issue: the issue that already has the item, active ones first, then proposed, then rejected, then the
-    least id; items without one are left out. issues: issue, state, keys."""
+    least id; items without one are left out. issues: issue, state, keys. The best issue of a key is found before the join,
+    so an item meets one row a key, however many issues hold it."""
     place = F.when(F.col("state") == "active", 0).when(F.col("state") == "proposed", 1).when(F.col("state") == "rejected", 2)
-    held = issues.filter(place.isNotNull()).select("issue", "state", place.alias("p"), F.explode(F.array_distinct("keys")).alias("k"))
+    held = issues.filter(place.isNotNull()).select("issue", "state", place.alias("p"), F.explode("keys").alias("k"))
+    held = held.groupBy("k").agg(F.min(F.struct("p", "issue", "state")).alias("h"))
     met = items.select(item, F.explode(F.array_distinct(keys)).alias("k")).join(held, "k")
-    best = met.groupBy(item).agg(F.min(F.struct("p", "issue", "state")).alias("b"))
+    best = met.groupBy(item).agg(F.min("h").alias("b"))
     return best.select(item, F.col("b.state").alias("state"), F.col("b.issue").alias("issue"))

@@ -9,6 +9,7 @@ from corpusloom.functions import parsers as pr
 from corpusloom.operators import briefing as br
 from corpusloom.operators import events as ev
 from corpusloom.operators import graph as gr
+from corpusloom.operators import issues as iss
 from corpusloom.operators import search as se
 from corpusloom.operators import tables as tb
 
@@ -160,3 +161,32 @@ def test_lost_characters(spark):
     assert repaired_text("가나?다라", "가나·다라 가나-다라") == ("가나?다라", 0)  # two candidates
     assert repaired_text("a?b", "a·b") == ("a?b", 0)  # too little around it
     assert repaired_text("", "x") == ("", 0) and repaired_text("가나?다라", "") == ("가나?다라", 0)
+
+
+def join_rows(df):
+    """The rows that the largest join of a query has made."""
+    df.collect()
+    todo, most = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if "Join" in name:
+            most = max(most, node.metrics().apply("numOutputRows").value())
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif "QueryStage" in name:
+            todo.append(node.plan())
+        else:
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+    return most
+
+
+def test_a_key_that_many_issues_hold_is_met_once(spark):
+    state = F.element_at(F.array(*map(F.lit, ["merged", "rejected", "proposed", "active"])), (F.col("id") % 4 + 1).cast("int"))
+    held = spark.range(1_000).select((F.col("id") + 7).alias("issue"), state.alias("state"), F.array(F.lit("k"), F.concat(F.lit("own"), F.col("id"))).alias("keys"))
+    items = spark.range(1_000).select(F.col("id").alias("item"), F.array(F.when(F.col("id") < 990, "k").otherwise("none"), F.concat(F.lit("own"), F.col("id"))).alias("keys"))
+    out = iss.same_regulation(items, "item", "keys", held)
+    assert 0 < join_rows(out) < 2_000
+    got = {r["item"]: (r["state"], r["issue"]) for r in out.collect()}
+    late = {i: ({1: "rejected", 2: "proposed", 3: "active"}[i % 4], i + 7) for i in range(990, 1_000) if i % 4}
+    assert got == {i: ("active", 10) for i in range(990)} | late
