@@ -100,8 +100,9 @@ def is_evidence(relevance: Column, least: int = 2, score: float = 0.2) -> Column
     return (relevance["hits"] >= least) & (relevance["score"] >= score)
 
 
-#: The notation of definitions in statutes.
-ITEM = r"(?<!\d)(?<!\d\.)(\d{1,3}(?:의\d{1,2})?)\.\s*(?=[\"“]|삭제|[가-힣A-Za-z][^:\n\"“]{0,40}\s?:)"
+#: The notation of definitions in statutes. Numbers of four and more digits, which may be years in a sentence,
+#: count at the start of a line only.
+ITEM = r"(?<!\d)(?<!\d\.)(\d{1,3}(?:의\d{1,2})?|(?<=\n)\d{4,}(?:의\d{1,2})?)\.\s*(?=[\"“]|삭제|[가-힣A-Za-z][^:\n\"“]{0,40}\s?:)"
 QUOTED = r"^[\"“](.{1,120}?)[\"”]\s*(?:\(([^()]{1,60})\))?\s*(?:이?란|이?라\s*함은|이?라고\s*함은|은|는)(?![가-힣])"
 COLON = r"^([^:\n\"“]{1,60}?)\s*:\s*"
 
@@ -138,6 +139,11 @@ def _defines(x: Column) -> Column:
     return x["text"].rlike(QUOTED) | x["text"].rlike(COLON)
 
 
+def _renumbered(d: Column, before: Column) -> Column:
+    no = F.when(before > 0, F.concat(d["item_no"], F.lit("-"), (before + 1).cast("string"))).otherwise(d["item_no"])
+    return F.struct(no.alias("item_no"), d["term"].alias("term"), d["alias"].alias("alias"), d["definition"].alias("definition"))
+
+
 def definitions(body: Column) -> Column:
     """array of struct(item_no, term, alias, definition) of an article of definitions.
 
@@ -163,12 +169,15 @@ def definitions(body: Column) -> Column:
     found = F.filter(F.transform(F.filter(_definition_items(body), _defines), named), lambda d: d["term"] != "")
 
     def numbered(ds: Column) -> Column:
-        def apart(d: Column, i: Column) -> Column:
-            before = F.size(F.filter(F.slice(ds, 1, i), lambda x: x["item_no"] == d["item_no"]))
-            no = F.when(before > 0, F.concat(d["item_no"], F.lit("-"), (before + 1).cast("string"))).otherwise(d["item_no"])
-            return F.struct(no.alias("item_no"), d["term"].alias("term"), d["alias"].alias("alias"), d["definition"].alias("definition"))
-
-        return F.transform(ds, apart)
+        return F.when(F.size(F.array_distinct(ds["item_no"])) == F.size(ds), ds).otherwise(let(F.array_sort(F.transform(ds, lambda d, i: F.struct(d["item_no"].alias("no"), i.alias("i"), d.alias("d")))), apart))
+
+    def apart(rows: Column) -> Column:
+        """Rows in order of number, then place: a run of equal numbers starts where the row before has another one."""
+        last = F.size(rows)
+        starts = F.filter(F.sequence(F.lit(0), last - 1), lambda i: (i == 0) | (F.get(rows, i)["no"] != F.get(rows, i - 1)["no"]))
+        runs = let(starts, lambda ss: F.transform(ss, lambda s, r: F.slice(rows, s + 1, F.coalesce(F.get(ss, r + 1), last) - s)))
+        again = F.flatten(F.transform(runs, lambda run: F.transform(run, lambda x, k: F.struct(x["i"].alias("i"), _renumbered(x["d"], k).alias("d")))))
+        return F.transform(F.array_sort(again), lambda x: x["d"])
 
     return let(found, numbered)
 

@@ -163,6 +163,13 @@ def test_lost_characters(spark):
     assert repaired_text("", "x") == ("", 0) and repaired_text("가나?다라", "") == ("가나?다라", 0)
 
 
+def test_definitions_of_long_articles(spark):
+    """Numbers of four digits count at the start of a line; numbers that repeat are told apart."""
+    body = "제2조(정의) 뜻이다.\n" + "\n".join(f'{i}. "t{i}"란 2020. "x"라 함은 것이다.' for i in range(1, 3_001)) + '\n② 또\n' + "\n".join(f'{i}. "u{i}"란 것이다.' for i in (7, 7, 1_500, 9_000))
+    got = [tuple(d)[:2] for d in one(spark, pr.definitions(F.col("b")), b=body)]
+    assert got == [(str(i), f"t{i}") for i in range(1, 3_001)] + [("7-2", "u7"), ("7-3", "u7"), ("1500-2", "u1500"), ("9000", "u9000")]
+
+
 def join_rows(df):
     """The rows that the largest join of a query has made."""
     df.collect()
