@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusloom.functions.terms import TermFold
 from corpusloom.operators.clusters import star_clusters
 from corpusloom.operators.search import shared_tokens
+from corpusloom.session import ship_package
 
 
 def _age_hours(clock: Column, at: Column) -> Column:
@@ -92,16 +96,33 @@ def merged_blocks(queue: DataFrame, place: str, html: str) -> DataFrame:
 def distinct_terms(terms: DataFrame, part: list[str], order: str, term: str) -> DataFrame:
     """part, order, term: terms of a part (a day), in order, without variants. Terms whose keys (no white space, dots,
     dashes, underscores, brackets or case) are equal, or one inside the other, are variants; the longest of them stays, at
-    the place of the first that it meets. A day's terms are few: the fold runs over one array."""
-    key = lambda t: F.lower(F.regexp_replace(t, r"[\s·\-_()]", ""))
-    rows = terms.filter(key(F.coalesce(F.col(term), F.lit(""))) != "").groupBy(*part).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(term).alias("t"), key(F.col(term)).alias("k")))).alias("ts"))
-    kind = f"array<struct<o:{dict(terms.dtypes)[order]},t:string,k:string>>"
-
-    def step(kept: Column, new: Column) -> Column:
-        like = F.transform(kept, lambda x: F.contains(x["k"], new["k"]) | F.contains(new["k"], x["k"]))
-        at = F.array_position(like, F.lit(True))
-        swapped = F.transform(kept, lambda x, i: F.when((i == at - 1) & (F.length(new["t"]) > F.length(x["t"])), new).otherwise(x))
-        return F.when(at > 0, swapped).otherwise(F.concat(kept, F.array(new)))
-
-    folded = rows.select(*part, F.explode(F.aggregate("ts", F.array().cast(kind), step)).alias("x"))
-    return folded.select(*part, F.col("x.o").alias(order), F.col("x.t").alias(term))
+    the place of the first that it meets.
+
+    The fold is sequential by definition: a part is in one task. Its rows are sorted and read as a stream; only the terms
+    that stay are held (see TermFold)."""
+    ship_package(terms.sparkSession)
+    key = F.lower(F.regexp_replace(F.coalesce(F.col(term), F.lit("")), r"[\s·\-_()]", ""))
+    rows = terms.select(*part, order, term, key.alias("_k")).filter("_k != ''")
+    rows = rows.withColumn("_n", F.length(term))
+    rows = (rows.repartition(*[F.col(c) for c in part]) if part else rows.repartition(1)).sortWithinPartitions(*part, order, term)
+    names = [*part, order, term]
+    schema = rows.select(*names).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, fold, kinds = None, TermFold(), None
+        for batch in batches:
+            kinds = [batch.schema.field(c).type for c in names]
+            own = list(zip(*(batch.column(c).to_pylist() for c in part), strict=True)) if part else [()] * batch.num_rows
+            for at, (k, n) in enumerate(zip(batch.column("_k").to_pylist(), batch.column("_n").to_pylist(), strict=True)):
+                if own[at] != last:
+                    yield from stayed(fold, kinds)
+                    last, fold = own[at], TermFold()
+                fold.add(k, n, lambda: tuple(batch.column(c)[at].as_py() for c in names))  # noqa: B023
+        yield from stayed(fold, kinds)
+
+    def stayed(fold: TermFold, kinds: list) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(fold.kept), 10_000):
+            columns = zip(*(row for *_, row in fold.kept[at : at + 10_000]), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names)
+
+    return rows.mapInArrow(run, schema)

@@ -1,5 +1,8 @@
 """Worked cases for parsers, briefings, issues and the replacement of tables."""
 
+import random
+import re
+import time
 from datetime import datetime
 
 import pytest
@@ -104,6 +107,37 @@ def test_terms_and_their_variants(spark):
     assert sorted((r["day"], r["o"], r["t"]) for r in got) == [("d", 1, "Salt Typhoon"), ("d", 4, "AI 기본법"), ("d", 6, "설계전력"), ("d", 7, "계약전력"), ("e", 8, "AI")]
 
 
+def plain_fold(terms):
+    """The terms that stay, by comparing each with all that stay."""
+    kept = []
+    for o, t in terms:
+        k = re.sub(r"[\s·\-_()]", "", t).lower()
+        at = next((i for i, (_, x, y) in enumerate(kept) if k in y or y in k), None)
+        if k and at is None:
+            kept.append((o, t, k))
+        elif k and len(t) > len(kept[at][1]):
+            kept[at] = o, t, k
+    return [(o, t) for o, t, _ in kept]
+
+
+def test_terms_that_meet_and_move(spark):
+    """Short words of few letters, with much punctuation: places get other keys, and keys stand at several places."""
+    pick = random.Random(5)
+    days = {d: [(o, "".join(pick.choice("abcde -_(é") for _ in range(pick.randint(1, 9)))) for o in range(400)] for d in "defg"}
+    terms = [(d, o, t) for d, own in days.items() for o, t in own]
+    pick.shuffle(terms)
+    got = br.distinct_terms(spark.createDataFrame(terms, "day string, o int, t string"), ["day"], "o", "t").collect()
+    assert sorted((r["day"], r["o"], r["t"]) for r in got) == sorted((d, o, t) for d, own in days.items() for o, t in plain_fold(own))
+
+
+def test_many_distinct_terms(spark):
+    """60,000 terms of a day that all stay; folding them by comparing all takes 1.8 billion comparisons."""
+    terms = spark.range(60_000).select(F.lit("d").alias("day"), "id", F.substr(F.md5(F.col("id").cast("string")), F.lit(1), F.lit(16)).alias("t"))
+    began = time.monotonic()
+    assert br.distinct_terms(terms, ["day"], "id", "t").count() == 60_000
+    assert time.monotonic() - began < 90
+
+
 def test_tables_are_swapped_whole(spark, tmp_path):
     path = str(tmp_path / "t")
     first = tb.swapped(spark, spark.range(5), path, ["id"])
