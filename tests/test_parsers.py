@@ -231,3 +231,13 @@ def test_a_key_that_many_issues_hold_is_met_once(spark):
     got = {r["item"]: (r["state"], r["issue"]) for r in out.collect()}
     late = {i: ({1: "rejected", 2: "proposed", 3: "active"}[i % 4], i + 7) for i in range(990, 1_000) if i % 4}
     assert got == {i: ("active", 10) for i in range(990)} | late
+
+
+def test_a_plan_joins_packs(spark):
+    """50 subscribers by 2,000 rows of an hour: a row a pair, but packs are joined."""
+    at = lambda minutes: F.timestamp_seconds(F.lit(1_767_571_200) + minutes * 60)
+    queue = spark.range(2_000).select(F.col("id").alias("item"), at(F.col("id") % 50).alias("created_at"), F.when(F.col("id") % 2 == 0, F.array(F.lit("a"))).alias("tags"))
+    people = spark.range(50).select(F.col("id").alias("subscriber"), at(F.col("id")).alias("watermark"), F.array(F.lit("b")).alias("tags"))
+    out = ev.delivery_plan(queue, people, at(F.lit(120)), 15).select("subscriber", "item", "deliver")
+    assert 0 < join_rows(out) <= 50 * 4
+    assert sorted(map(tuple, out.collect())) == [(s, i, i % 2 == 1) for s in range(50) for i in range(2_000) if i % 50 > s]
