@@ -13,6 +13,7 @@ from corpusloom.operators import briefing as br
 from corpusloom.operators import events as ev
 from corpusloom.operators import graph as gr
 from corpusloom.operators import issues as iss
+from corpusloom.operators import rules as ru
 from corpusloom.operators import search as se
 from corpusloom.operators import tables as tb
 
@@ -241,3 +242,12 @@ def test_a_plan_joins_packs(spark):
     out = ev.delivery_plan(queue, people, at(F.lit(120)), 15).select("subscriber", "item", "deliver")
     assert 0 < join_rows(out) <= 50 * 4
     assert sorted(map(tuple, out.collect())) == [(s, i, i % 2 == 1) for s in range(50) for i in range(2_000) if i % 50 > s]
+
+
+def test_blocks_of_rules_share_a_worker(spark):
+    rules = [(True, i, f"r{i}", "set", "urgent", [f"w{i} "], [], []) for i in range(40)]
+    rules = spark.createDataFrame(rules, "enabled boolean, position int, id string, mode string, level string, any_words array<string>, and_any array<array<string>>, none_words array<string>")
+    items = spark.createDataFrame([(i, f"x w{i + 20} w{i} ." if i % 2 else f"w{i} .") for i in range(60)] + [(60, None)], "id int, text string")
+    out = ru.first_rule(items, "text", "id", rules, inline=0, block=3)
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert {r["id"]: r["rule_id"] for r in out.collect()} == {i: f"r{i}" if i < 40 else None for i in range(60)} | {60: None}
