@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions import vectors as vx
 from corpusloom.operators.clusters import star_clusters
+from corpusloom.operators.pairs import cosine_pairs
 
 #: Fixed value: titles of digests, which name many subjects at once.
 DIGEST = r"위클리|주간\s*브리핑|\[통신 브리핑\]|소식_|뉴스\s*모음"
@@ -25,10 +25,10 @@ def best_by_state(clusters: DataFrame, cluster: str, vector: str, key: str, issu
 
     The issue with the same key (the least id), the most similar active issue, and the greatest similarity to proposed and
     rejected ones, apart from one another: a rejected issue never hides an active one. Similarities of nothing are 0.
-    issues (issue, state, key, vector): what people track, so it is the side that is broadcast if it is small.
+    issues: issue, state, key, vector. All clusters meet all issues, as products of matrices (see cosine_pairs).
     """
-    pairs = clusters.select(cluster, F.col(vector).alias("_v")).join(issues.filter(F.col("vector").isNotNull()).select("issue", "state", "vector"))  # clusters of a week by issues
-    scored = pairs.select(cluster, "issue", "state", vx.cosine(F.col("_v"), F.col("vector")).alias("s")).filter("s > 0")
+    states = clusters.select(cluster, F.col(vector).alias("_v"), F.explode(F.array(*map(F.lit, ("active", "proposed", "rejected")))).alias("state"))
+    scored = cosine_pairs(states, cluster, "_v", issues, "issue", "vector", ["state"]).withColumnRenamed("similarity", "s").filter("s > 0")
     best = scored.groupBy(cluster).agg(
         F.max(F.when(F.col("state") == "active", F.struct("s", (-F.col("issue")).alias("i")))).alias("_a"),
         F.max(F.when(F.col("state") == "proposed", F.col("s"))).alias("_p"), F.max(F.when(F.col("state") == "rejected", F.col("s"))).alias("_r"))

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import parsers as pr
 from corpusloom.functions import udfs
+from corpusloom.functions import vectors as vx
 from corpusloom.operators import briefing as br
 from corpusloom.operators import events as ev
 from corpusloom.operators import graph as gr
 from corpusloom.operators import issues as iss
+from corpusloom.operators import pairs
 from corpusloom.operators import rules as ru
 from corpusloom.operators import search as se
 from corpusloom.operators import tables as tb
@@ -268,3 +270,29 @@ def test_signs_are_found_as_by_a_pattern():
 def test_no_pattern_is_built_for_a_sign(monkeypatch):
     monkeypatch.setattr(udfs.re, "escape", lambda _: pytest.fail("a pattern for each lost sign"))
     assert udfs.repaired_text("?1234567? why?", "page 「1234567」 why? end") == ("「1234567」 why?", 2)
+
+
+def test_pairs_of_vectors_are_those_of_the_formula(spark):
+    """Three blocks a side, with vectors that are null, empty, zero, longer, equal, or not finite."""
+    pick = random.Random(8)
+    vectors = [[pick.gauss(0, 1) for _ in range(5)] for _ in range(60)]
+    odd = [None, [], [0.0] * 5, [1.0, None, 1.0, 1.0, 1.0], [1.0] * 6, [float("nan")] * 5, [float("inf"), 1.0, 1.0, 1.0, 1.0]]
+    rows = spark.createDataFrame([(i, None if i % 13 == 0 else f"k{i % 2}", ([*vectors, *odd, vectors[3], vectors[3]])[i % 69]) for i in range(150)], "id long, k string, v array<double>")
+    other = rows.select(F.col("id").alias("o"), F.col("k").alias("ok"), F.col("v").alias("w"))
+    plain = rows.join(other, F.col("k") == F.col("ok")).select("k", "id", "o", vx.cosine(F.col("v"), F.col("w")).alias("similarity")).filter("similarity is not null")
+    pairs.BLOCK, old = 25, pairs.BLOCK
+    try:
+        got = pairs.cosine_pairs(rows, "id", "v", rows.withColumnRenamed("id", "o"), "o", "v", ["k"], 0.7).collect()
+        best = pairs.cosine_pairs(rows, "id", "v", rows.withColumnRenamed("id", "o"), "o", "v", ["k"])
+        best = best.groupBy("k", "id").agg(F.max(F.struct("similarity", -F.col("o"))).alias("m")).collect()
+    finally:
+        pairs.BLOCK = old
+    assert sorted(map(repr, got)) == sorted(map(repr, plain.filter("similarity >= 0.7").collect())) and len(got) > 150
+    assert sorted(map(repr, best)) == sorted(map(repr, plain.groupBy("k", "id").agg(F.max(F.struct("similarity", -F.col("o"))).alias("m")).collect()))
+
+
+def test_best_issues_are_found_without_a_cross_join(spark):
+    issues = spark.createDataFrame([(1, "active", "a", [1.0, 0.0])], "issue long, state string, key string, vector array<double>")
+    out = iss.best_by_state(spark.createDataFrame([(7, [1.0, 1.0], "a")], "c long, v array<double>, k string"), "c", "v", "k", issues)
+    assert not re.search("CartesianProduct|NestedLoop", out._jdf.queryExecution().executedPlan().toString())
+    assert [(r["active_issue"], round(r["sim_active"], 6)) for r in out.collect()] == [(1, 0.707107)]
