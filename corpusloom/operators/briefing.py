@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.terms import TermFold
 from corpusloom.operators.clusters import star_clusters
-from corpusloom.operators.search import shared_tokens
-from corpusloom.session import ship_package
+from corpusloom.operators.shared import first_shared, words_in
+from corpusloom.session import checkpointed, ship_package
 
 
 def _age_hours(clock: Column, at: Column) -> Column:
@@ -40,9 +40,10 @@ def briefing_clusters(items: DataFrame, item: str, at: str, tokens: str, has_bod
     order = F.struct(F.when(F.col("_body"), 0).otherwise(1), F.when(F.col(item) == F.col("seed_id"), 0).otherwise(1), F.col("_age"), F.col(item).alias("rep"))
     best = members.groupBy("seed_id").agg(F.min(order).alias("b"), F.bool_or("_body").alias("any_body"), F.count(F.lit(1)).alias("n"))
     reps = best.select(F.when(F.col("any_body"), F.col("b.rep")).otherwise(F.col("seed_id")).alias("rep"), (F.col("n") - 1).alias("related"))
-    reps = reps.join(rows.select(F.col(item).alias("rep"), "_tokens"), "rep")
-    seen = shared_tokens(reps.select("rep", "_tokens"), "rep", "_tokens", earlier.select(F.monotonically_increasing_id().alias("_e"), F.col(earlier_tokens).alias("_et")), "_e", "_et", least).select("rep").distinct()
-    return reps.join(seen.withColumn("covered", F.lit(True)), "rep", "left").select("rep", "related", F.coalesce("covered", F.lit(False)).alias("covered"))
+    reps = checkpointed(reps.join(rows.select(F.col(item).alias("rep"), words_in("_tokens").alias("tokens")), "rep").withColumn("l", F.monotonically_increasing_id()))
+    known = earlier.select(F.array_sort(words_in(earlier_tokens)).alias("tokens")).filter(F.size("tokens") >= least).distinct()
+    seen = first_shared(reps.select("l", "tokens"), checkpointed(known.withColumn("r", F.monotonically_increasing_id())), least)
+    return reps.join(seen, "l", "left").select("rep", "related", F.col("r").isNotNull().alias("covered"))
 
 
 def bill_sections(bills: DataFrame, clock: Column, new_days: int = 7, remain_days: int = 9, skip: tuple[str, ...] = ("소관위 회부",)) -> DataFrame:

@@ -181,17 +181,6 @@ def news_rank(news: DataFrame, news_id: str, title: str, body: str, event: str,
     return news.sparkSession.createDataFrame(taken, f"{news_id} {dict(news.dtypes)[news_id]}, score double, place int")
 
 
-def shared_tokens(left: DataFrame, left_id: str, left_tokens: str, right: DataFrame, right_id: str, right_tokens: str, least: int) -> DataFrame:
-    """left_id, right_id, shared: pairs that share at least least tokens, by an equi-join on tokens.
-
-    Of the tokens of a pair only those that both have are looked at; a pair without least shared tokens is dropped after
-    the count. left and right are bounded by what they are (the alerts of a run, the reports of three days).
-    """
-    x = left.select(left_id, F.explode(F.array_distinct(left_tokens)).alias("_token"))
-    y = right.select(right_id, F.explode(F.array_distinct(right_tokens)).alias("_token"))
-    return x.join(y, "_token").groupBy(left_id, right_id).agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= least)
-
-
 def shared_token_pairs(items: DataFrame, item_id: str, tokens: str, least: int) -> DataFrame:
     """a, b, shared: pairs that share at least least tokens.
 
