@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import references as rf
-from corpusloom.session import ship_package
+from corpusloom.session import checkpointed, ship_package
 
 #: Names that a registry may have: the scanner holds them in each worker.
 MOST_NAMES = 500_000
@@ -93,6 +93,7 @@ def citation_status(refs: DataFrame, articles: DataFrame, act: str = "act", arti
     rows = articles.select(F.col(act).alias("_act"), F.col(article).alias("_no"), bare(F.col(title)).alias("_title"), paragraphs_in(F.col(text)).alias("_paras"), items_in(F.col(text)).alias("_items"))
     rows = rows.dropDuplicates(["_act", "_no"]) if articles.isStreaming else rows
     acts = articles.select(F.col(act).alias("_known")).distinct()
+    refs = refs if refs.isStreaming else checkpointed(refs)  # read three times below, scanned once
     open_ = F.col("act").isNull() & (F.size("candidates") == 0)
     several = F.size("candidates") > 0
 

@@ -74,3 +74,20 @@ def test_delegation_rows(spark):
     registry = spark.createDataFrame([("전파법",), ("전파법",), (None,)], "name string")
     rows = [tuple(r) for r in ct.delegation_edges(docs, "id", "text", registry, "name").collect()]
     assert rows == [(1, 0, "전파법", "2조", True, None), (1, 1, None, "과자", None, "no act")]
+
+
+def test_answers_are_scanned_once(spark):
+    """Named, open and ambiguous references are told apart from one scan."""
+    arts = spark.createDataFrame([("전파법", "1조", "목적", "x"), ("방송 통신 기본법", "1조", "목적", "x"), ("정보 통신 기본법", "2조", "정의", "x")], "act string, article string, title string, text string")
+    texts = ["「전파법」 제1조에 따르면", "통신 기본법 제2조는", "제2조는 그렇다", "기본법 제1조는"]
+    answers = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    refs = ct.cited(answers, "id", "text", arts, "act")
+    refs = refs.mapInArrow(counted, refs.schema)
+    assert len(ct.citation_status(refs, arts).collect()) == 4 and seen.value == 4
