@@ -17,6 +17,8 @@ from corpusloom.session import ship_package
 
 #: Postings in a block at most.
 BLOCK = 2_048
+#: Words whose places a worker puts together at a time.
+WORDS = 1_000_000
 FIELDS = "bucket int, term string, first_id long, n int, ids binary, counts binary, positions binary"
 
 
@@ -38,7 +40,8 @@ def _deltas(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def _packed(values: np.ndarray) -> bytes:
     """Integers of 0 and more at the width that the largest one needs, which the first byte tells."""
-    width = next(w for w in (1, 2, 4, 8) if w == 8 or not len(values) or int(values.max()) < 1 << 8 * w)
+    most = int(values.max()) if len(values) else 0
+    width = 1 if most < 1 << 8 else 2 if most < 1 << 16 else 4 if most < 1 << 32 else 8
     return bytes([width]) + values.astype(f"<u{width}").tobytes()
 
 
@@ -51,44 +54,137 @@ def write_index(docs: DataFrame, doc_id: str, terms: Column, path: str, buckets:
 
     A row is a block of up to BLOCK postings of one term: first_id, ids (gaps to the document before), counts, and
     positions (gaps within each document), all packed. Rows lie in folders by bucket of the term and are sorted by term,
-    so that a reader prunes folders, then row groups. Postings are sorted by a shuffle and packed as a stream; none is
-    gathered by term. parts deals the documents of each bucket to so many tasks, for terms that many of them have. A null
-    id or a null term is left out; ids may be negative, and repeat only if their rows are one document.
+    so that a reader prunes folders, then row groups. A document's places are put together where it is read, so a row for
+    each of its distinct terms is shuffled, once, and sorted; postings are packed as a stream, and none is gathered by
+    term. parts deals the documents of each bucket to so many tasks, for terms that many of them have. A null id or a null
+    term is left out; ids may be negative, and repeat only if their rows are one document.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.posexplode(terms).alias("at", "term")).filter("id is not null and term is not null")
-    rows = rows.groupBy("term", "id").agg(F.array_sort(F.collect_list("at")).alias("at"))
-    rows = rows.select(_bucket(F.col("term"), buckets).alias("bucket"), "term", "id", "at").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)))
-    rows = rows.repartition(buckets * parts, "bucket", "part").sortWithinPartitions("bucket", "term", "id").drop("part")
+    most = BLOCK
     names = [f.split()[0] for f in FIELDS.split(", ")]
-
-    def block_of(bucket: int, term: str, ids: list[int], at: list[list[int]]) -> list:
-        own, sizes = np.array(ids, dtype=np.int64), np.array([len(x) for x in at], dtype=np.int64)
-        flat = np.array([p for x in at for p in x], dtype=np.int64)
-        gaps = np.diff(own, prepend=own[0])
-        return [bucket, term, int(own[0]), len(ids), _packed(gaps), _packed(sizes), _packed(_deltas(flat, np.cumsum(sizes) - sizes))]
+    kinds = {"int": pa.int32(), "string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
+    schema = pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in FIELDS.split(", ")])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, ids, at = None, [], []
+        held, key = _Run(), None
         for batch in batches:
             blocks = []
-            for bucket, term, i, places in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                if ids and (own != (bucket, term) or len(ids) == BLOCK):
-                    blocks.append(block_of(*own, ids, at))
-                    ids, at = [], []
-                own = (bucket, term)
-                ids.append(i)
-                at.append(places)
+            for own, run in _runs(batch):
+                if own != key:
+                    blocks += [[*key, *b] for b in held.blocks(most, True)] if key else []
+                    held, key = _Run(), own
+                held.add(*run)
+                blocks += [[*key, *b] for b in held.blocks(most, False)]
             if blocks:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*blocks, strict=True)], names).cast(schema)
-        if ids:
-            yield pa.RecordBatch.from_arrays([pa.array([c]) for c in block_of(*own, ids, at)], names).cast(schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*blocks, strict=True), schema, strict=True)], names)
+        if blocks := [[*key, *b] for b in held.blocks(most, True)] if key else []:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*blocks, strict=True), schema, strict=True)], names)
 
-    kinds = {"int": pa.int32(), "string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
-    schema = pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in FIELDS.split(", ")])
     ship_package(docs.sparkSession)
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), terms.alias("terms")).filter("id is not null")
+    rows = rows.mapInArrow(_placed, "term string, id long, n int, at binary")
+    rows = rows.select(_bucket(F.col("term"), buckets).alias("bucket"), "term", "id", "n", "at").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)))
+    rows = rows.repartition(buckets * parts, "bucket", "part").sortWithinPartitions("term", "id").drop("part")
     rows.mapInArrow(pack, FIELDS).write.partitionBy("bucket").option("parquet.block.size", str(8 << 20)).parquet(path)
 
 
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """term, id, n, at: for each row and distinct term its number of places, and these as gaps (32 bits each)."""
+    for batch in batches:
+        lists = batch.column(1)
+        sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(sizes)
+        at = 0
+        while at < len(sizes):  # rows of about WORDS words at a time
+            before = ends[at] - sizes[at]
+            upto = max(at + 1, int(np.searchsorted(ends, before + WORDS, side="right")))
+            yield from _placed_rows(batch.column(0).slice(at, upto - at), lists.slice(at, upto - at), sizes[at:upto])
+            at = upto
+
+
+def _placed_rows(ids: pa.Array, lists: pa.Array, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    words = lists.flatten().dictionary_encode()
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    codes = words.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    known = codes >= 0
+    row, place, codes = row[known], place[known], codes[known]
+    if not len(codes):
+        return
+    order = np.argsort(row * len(words.dictionary) + codes, kind="stable")
+    row, place, codes = row[order], place[order], codes[order]
+    starts = np.flatnonzero(np.concatenate([[True], (np.diff(row) != 0) | (np.diff(codes) != 0)]))
+    counts = np.diff(np.append(starts, len(row)))
+    gaps = _deltas(place, starts).astype("<i4")
+    offsets = (4 * np.append(starts, len(row))).astype(np.int32)
+    packed = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(gaps)])
+    out = [words.dictionary.take(pa.array(codes[starts])), ids.take(pa.array(row[starts])), pa.array(counts.astype(np.int32)), packed]
+    yield pa.RecordBatch.from_arrays(out, ["term", "id", "n", "at"])
+
+
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """(bucket, term), (ids, counts, gaps) of the rows of a batch, term by term."""
+    if not batch.num_rows:
+        return
+    words = batch.column(1).dictionary_encode()
+    codes = words.indices.to_numpy(zero_copy_only=False)
+    ids, counts = batch.column(2).to_numpy(), batch.column(3).to_numpy().astype(np.int64)
+    gaps = np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype="<i4").astype(np.int64)
+    ends = np.cumsum(counts)
+    cuts = np.flatnonzero(np.diff(codes)) + 1
+    starts, stops = [0, *cuts.tolist()], [*cuts.tolist(), len(codes)]
+    buckets, terms = batch.column(0).take(pa.array(starts)).to_pylist(), words.dictionary.take(pa.array(codes[starts])).to_pylist()
+    for bucket, term, a, b in zip(buckets, terms, starts, stops, strict=True):
+        yield (bucket, term), (ids[a:b], counts[a:b], gaps[ends[a] - counts[a] : ends[b - 1]])
+
+
+class _Run:
+    """Postings of a term that are not yet in a block; rows of one document become one posting."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.n = 0
+
+    def add(self, ids: np.ndarray, counts: np.ndarray, gaps: np.ndarray) -> None:
+        self.parts.append((ids, counts, gaps))
+        self.n += len(ids)
+
+    def blocks(self, most: int, last: bool) -> list[list]:
+        """What fills blocks (last: all there is); the last document is held back, as its next row may follow."""
+        if self.n <= most and not last:
+            return []
+        if self.n == 1:  # most words stand in one document
+            ids, counts, gaps = self.parts[0]
+            self.parts, self.n = [], 0
+            n = int(counts[0])
+            return [[int(ids[0]), 1, b"\x01\x00", bytes([1, n]) if n < 256 else _packed(counts), bytes([1, int(gaps[0])]) if n == 1 and gaps[0] < 256 else _packed(gaps)]]
+        if not self.n:
+            return []
+        ids, counts, gaps = self.parts[0] if len(self.parts) == 1 else (np.concatenate(c) for c in zip(*self.parts, strict=True))
+        if len(ids) > 1 and (ids[1:] == ids[:-1]).any():
+            ids, counts, gaps = _joined(ids, counts, gaps)
+        ends, out, at = np.cumsum(counts), [], 0
+        while len(ids) - at > most or (last and at < len(ids)):
+            own = slice(at, at + most)
+            flat = gaps[ends[at] - counts[at] : ends[min(at + most, len(ids)) - 1]]
+            out.append([int(ids[at]), len(ids[own]), _packed(np.diff(ids[own], prepend=ids[at])), _packed(counts[own]), _packed(flat)])
+            at = min(at + most, len(ids))
+        self.parts = [(ids[at:], counts[at:], gaps[ends[at] - counts[at] :])] if at < len(ids) else []
+        self.n = len(ids) - at
+        return out
+
+
+def _joined(ids: np.ndarray, counts: np.ndarray, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Postings with equal neighbours joined, their places in order."""
+    starts = np.cumsum(counts) - counts
+    flat = np.cumsum(gaps)
+    places = flat - np.repeat(flat[starts] - gaps[starts], counts)
+    first = np.concatenate([[True], ids[1:] != ids[:-1]])
+    owner = np.repeat(np.cumsum(first) - 1, counts)
+    order = np.lexsort((places, owner))
+    sizes = np.bincount(owner)
+    return ids[first], sizes, _deltas(places[order], np.cumsum(sizes) - sizes)
+
+
 def postings(spark: SparkSession, path: str, terms: list[str], buckets: int = 64, positions: bool = True) -> DataFrame:
     """term, id, tf and (if asked for) positions of the documents that have one of some terms, read from an index."""
     asked = sorted(set(terms))

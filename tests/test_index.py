@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,3 +70,25 @@ def test_trigram_counts_settle_what_is_compared(spark, tmp_path):
     few = ix.trigram_candidates(spark, str(tmp_path / "t"), asked, int(above * len(set(trigrams_of(asked)))) + 1).count()
     assert 0 < few < len(texts) / 20
     assert ix.alike_texts(docs, "id", "text", str(tmp_path / "t"), "", above).count() == 0
+
+
+def test_a_row_for_each_distinct_term_is_shuffled(spark, tmp_path, monkeypatch):
+    """Places of a term are put together before the shuffle; rows of one document are one posting, across blocks and
+    slices of the words read at a time."""
+    monkeypatch.setattr(ix, "BLOCK", 2)
+    texts = [(i // 2, ["a", None, "a", "b"] * (i % 3)) for i in range(20)] + [(-5, ["a"] * 300)]
+    docs = spark.createDataFrame(texts, "id long, terms array<string>")
+    ix.write_index(docs, "id", F.col("terms"), str(tmp_path / "i"), 4)
+    want = defaultdict(list)
+    for i, terms in texts:
+        for k, t in enumerate(terms):
+            if t:
+                want[i, t].append(k)
+    got = ix.postings(spark, str(tmp_path / "i"), ["a", "b"], 4).collect()
+    assert len(got) == len(want) and {(r["id"], r["term"]): r["positions"] for r in got} == {k: sorted(v) for k, v in want.items()}
+    assert all(r["tf"] == len(r["positions"]) for r in got)
+    monkeypatch.setattr(ix, "WORDS", 3)
+    batch = pa.RecordBatch.from_pylist([{"id": i, "terms": t} for i, t in texts], pa.schema([("id", pa.int64()), ("terms", pa.list_(pa.string()))]))
+    placed = [r for b in ix._placed(iter([batch, batch.slice(3, 5)])) for r in b.to_pylist()]
+    again = [(i, t, [k for k, x in enumerate(terms) if x == t]) for i, terms in texts + texts[3:8] for t in dict.fromkeys(filter(None, terms))]
+    assert sorted((r["id"], r["term"], np.cumsum(np.frombuffer(r["at"], dtype="<i4")).tolist()) for r in placed) == sorted(again)
