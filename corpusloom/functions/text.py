@@ -22,8 +22,8 @@ def tokens(text: Column, least: int = 2) -> Column:
 
 def bigrams(text: Column) -> Column:
     """All character pairs of the squeezed text, in order."""
-    t = squeezed(text)
-    return F.when(F.length(t) >= 2, F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substr(t, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+    pairs = lambda t: F.when(F.length(t) >= 2, F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substr(t, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+    return F.get(F.transform(F.array(squeezed(text)), pairs), F.lit(0))  # the text is squeezed once, not for each pair
 
 
 def jaccard(a: Column, b: Column) -> Column:

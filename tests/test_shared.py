@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.functions.text import bigrams
 from corpusloom.operators import briefing as br
 from corpusloom.operators import clusters as cl
 from corpusloom.operators import shared as sh
@@ -71,3 +72,10 @@ def test_covered_briefings_make_no_pairs(spark, small, monkeypatch):
     got = br.briefing_clusters(items, "id", "at", "t", "body", earlier, "t").collect()
     assert sorted((r["rep"], r["related"], r["covered"]) for r in got) == [(0, 0, False), (1, 0, True), (2, 0, False), (3, 0, False)]
     assert made[0].count() == 1
+
+
+def test_bigrams_squeeze_the_text_once(spark):
+    """Not again for each pair: the text may be cut out of a whole page."""
+    df = spark.createDataFrame([(" a b c",), ("x",), ("",), (None,)], "t string").select(bigrams(F.regexp_extract("t", "(?s)(.*)", 1)).alias("g"))
+    assert [r["g"] for r in df.collect()] == [["ab", "bc"], [], [], []]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract") == 1
