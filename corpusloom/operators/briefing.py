@@ -83,8 +83,10 @@ def merged_blocks(queue: DataFrame, place: str, html: str) -> DataFrame:
     count = F.regexp_extract("_head", BLOCK_HEAD, 2)
     counted = ~F.col("_head").rlike(ITEM_START) & (count != "") & (F.size("_items") > 0) & F.forall("_items", lambda x: x.rlike(ITEM_START)) & (count.try_cast("int") == F.size("_items"))
     rows = rows.withColumn("_key", F.when(counted, F.concat(F.regexp_extract("_head", BLOCK_HEAD, 1), F.lit("\x00"), F.regexp_extract("_head", BLOCK_HEAD, 3))))
-    kept = rows.filter(F.col("_key").isNull()).select(place, F.col("_html").alias("text"))
-    long = rows.filter(F.col("_key").isNotNull()).select(place, "_key", F.posexplode("_items").alias("_n", "_item"))
+    # A filter on _key would be pushed below the projections, and all that it is made of worked out again in it many times.
+    long = rows.select(place, "_html", "_key", F.posexplode_outer(F.when(F.col("_key").isNotNull(), F.col("_items"))).alias("_n", "_item"))
+    kept = long.filter("_n is null").select(place, F.col("_html").alias("text"))
+    long = long.filter("_n is not null")
     own = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace("_item", ITEM_START, ""), "<[^>]+>", ""), r"\s+", " "))
     own = F.when(own != "", own).otherwise(F.concat(F.lit("\x00"), F.col(place).cast("string"), F.lit(":"), F.col("_n").cast("string")))
     first = long.withColumn("_own", own).groupBy("_key", "_own").agg(F.min(F.struct(place, "_n", "_item")).alias("f"))

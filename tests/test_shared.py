@@ -79,3 +79,12 @@ def test_bigrams_squeeze_the_text_once(spark):
     df = spark.createDataFrame([(" a b c",), ("x",), ("",), (None,)], "t string").select(bigrams(F.regexp_extract("t", "(?s)(.*)", 1)).alias("g"))
     assert [r["g"] for r in df.collect()] == [["ab", "bc"], [], [], []]
     assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract") == 1
+
+
+def test_blocks_are_taken_apart_once(spark):
+    """What a row's key is made of is not worked out again in filters."""
+    queue = spark.createDataFrame([(1, "news 2건\n\n1. <b>a</b>\n\n2. b"), (2, "news 1건\n1. a"), (3, "plain")], "place int, html string")
+    df = br.merged_blocks(queue, "place", "html")
+    assert {r["place"]: r["text"] for r in df.collect()} == {1: "news 2건\n\n1. <b>a</b>\n\n2. b", 3: "plain"}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Filter" in x and "regexp_extract" in x]
