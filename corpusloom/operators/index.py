@@ -5,9 +5,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +21,11 @@ from corpusloom.session import ship_package
 BLOCK = 2_048
 #: Words whose places a worker puts together at a time.
 WORDS = 1_000_000
-FIELDS = "bucket int, term string, first_id long, n int, ids binary, counts binary, positions binary"
+#: Ids of a cell.
+SPAN = 4_096
+POSTINGS = "term string, first_id long, n int, ids binary, counts binary, positions binary"
+NAMES = [f.split()[0] for f in POSTINGS.split(", ")]
+FIELDS = "bucket int, " + POSTINGS
 
 
 def words_of(text: Column) -> Column:
@@ -40,51 +46,71 @@ def _deltas(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def _packed(values: np.ndarray) -> bytes:
     """Integers of 0 and more at the width that the largest one needs, which the first byte tells."""
-    most = int(values.max()) if len(values) else 0
-    width = 1 if most < 1 << 8 else 2 if most < 1 << 16 else 4 if most < 1 << 32 else 8
-    return bytes([width]) + values.astype(f"<u{width}").tobytes()
+    return _packed_lists(values, np.array([len(values)]))[0].as_py()
+
+
+def _packed_lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Lists of the given sizes that stand one behind the other, each packed by itself."""
+    ends = np.cumsum(sizes)
+    most = np.zeros(len(sizes), dtype=np.int64)
+    full = sizes > 0
+    if len(values):
+        most[full] = np.maximum.reduceat(values, (ends - sizes)[full])
+    width = np.select([most < 1 << 8, most < 1 << 16, most < 1 << 32], [1, 2, 4], 8)
+    offsets = np.concatenate([[0], np.cumsum(1 + sizes * width)])
+    out = np.empty(offsets[-1], dtype=np.uint8)
+    out[offsets[:-1]] = width
+    for w in np.unique(width).tolist():
+        own, at = _bytes_at(sizes, ends - sizes, offsets[:-1] + 1, width == w, w)
+        out[at] = values[own].astype(f"<u{w}").view(np.uint8).reshape(-1, w)
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets.astype("<i8")), pa.py_buffer(out)]).cast(pa.binary())
+
+
+def _bytes_at(sizes: np.ndarray, starts: np.ndarray, places: np.ndarray, chosen: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the values of the chosen lists stand, and where their bytes do."""
+    n = sizes[chosen]
+    k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    at = np.repeat(places[chosen], n) + k * width
+    return np.repeat(starts[chosen], n) + k, at[:, None] + np.arange(width)
 
 
 def _unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(data, dtype=f"<u{data[0]}", offset=1).astype(np.int64)
 
 
+def _unpacked_lists(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """What _packed_lists was given."""
+    offsets = np.frombuffer(lists.buffers()[1], dtype="<i4", count=len(lists) + 1, offset=4 * lists.offset).astype(np.int64)
+    data = np.frombuffer(lists.buffers()[2], dtype=np.uint8)
+    width = data[offsets[:-1]].astype(np.int64)
+    sizes = (np.diff(offsets) - 1) // width
+    starts = np.cumsum(sizes) - sizes
+    values = np.empty(sizes.sum(), dtype=np.int64)
+    for w in np.unique(width).tolist():
+        own, at = _bytes_at(sizes, starts, offsets[:-1] + 1, width == w, w)
+        values[own] = np.ascontiguousarray(data[at]).view(f"<u{w}").ravel()
+    return values, sizes
+
+
 def write_index(docs: DataFrame, doc_id: str, terms: Column, path: str, buckets: int = 64, parts: int = 1) -> None:
     """Writes the postings of docs (doc_id: an integer) to path; terms: an array of the terms of a document, in order.
 
     A row is a block of up to BLOCK postings of one term: first_id, ids (gaps to the document before), counts, and
     positions (gaps within each document), all packed. Rows lie in folders by bucket of the term and are sorted by term,
-    so that a reader prunes folders, then row groups. A document's places are put together where it is read, so a row for
-    each of its distinct terms is shuffled, once, and sorted; postings are packed as a stream, and none is gathered by
-    term. parts deals the documents of each bucket to so many tasks, for terms that many of them have. A null id or a null
-    term is left out; ids may be negative, and repeat only if their rows are one document.
+    so that a reader prunes folders, then row groups. A term's postings are put together where its documents are read, as
+    far as their ids lie in one cell of SPAN ids: a row for each term of some documents is shuffled, once, and sorted by
+    term and cell. Blocks are then packed as a stream, many terms at a time; of one term, no more than a cell is held
+    beside the blocks. parts deals the documents of each bucket to so many tasks, for terms that many of them have. A null
+    id or a null term is left out; ids may be negative, and repeat only if their rows are one document.
     """
     most = BLOCK
-    names = [f.split()[0] for f in FIELDS.split(", ")]
-    kinds = {"int": pa.int32(), "string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
-    schema = pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in FIELDS.split(", ")])
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, key = _Run(), None
-        for batch in batches:
-            blocks = []
-            for own, run in _runs(batch):
-                if own != key:
-                    blocks += [[*key, *b] for b in held.blocks(most, True)] if key else []
-                    held, key = _Run(), own
-                held.add(*run)
-                blocks += [[*key, *b] for b in held.blocks(most, False)]
-            if blocks:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*blocks, strict=True), schema, strict=True)], names)
-        if blocks := [[*key, *b] for b in held.blocks(most, True)] if key else []:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*blocks, strict=True), schema, strict=True)], names)
-
     ship_package(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), terms.alias("terms")).filter("id is not null")
-    rows = rows.mapInArrow(_placed, "term string, id long, n int, at binary")
-    rows = rows.select(_bucket(F.col("term"), buckets).alias("bucket"), "term", "id", "n", "at").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)))
-    rows = rows.repartition(buckets * parts, "bucket", "part").sortWithinPartitions("term", "id").drop("part")
-    rows.mapInArrow(pack, FIELDS).write.partitionBy("bucket").option("parquet.block.size", str(8 << 20)).parquet(path)
+    rows = rows.mapInArrow(lambda batches: _gathered(_placed(batches)), f"{POSTINGS}, cell long")
+    rows = rows.withColumn("bucket", _bucket(F.col("term"), buckets)).withColumn("part", F.pmod(F.xxhash64("cell"), F.lit(parts)))
+    rows = rows.repartition(buckets * parts, "bucket", "part").sortWithinPartitions("term", "cell").drop("part", "bucket")
+    blocks = rows.mapInArrow(lambda batches: _blocks(batches, most), POSTINGS).withColumn("bucket", _bucket(F.col("term"), buckets))
+    blocks.write.partitionBy("bucket").option("parquet.block.size", str(8 << 20)).parquet(path)
 
 
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,68 +147,110 @@ def _placed_rows(ids: pa.Array, lists: pa.Array, sizes: np.ndarray) -> Iterator[
     yield pa.RecordBatch.from_arrays(out, ["term", "id", "n", "at"])
 
 
-def _runs(batch: pa.RecordBatch) -> Iterator[tuple]:
-    """(bucket, term), (ids, counts, gaps) of the rows of a batch, term by term."""
-    if not batch.num_rows:
+class _Postings(NamedTuple):
+    """Postings in order of term (a code of words) and id: one a term and document, with its number of places, and the
+    places of all as gaps."""
+
+    words: pa.Array
+    code: np.ndarray
+    ids: np.ndarray
+    counts: np.ndarray
+    gaps: np.ndarray
+
+    def sliced(self, a: int, b: int) -> _Postings:
+        ends = np.cumsum(self.counts)
+        return _Postings(self.words, self.code[a:b], self.ids[a:b], self.counts[a:b], self.gaps[ends[a] - self.counts[a] : ends[b - 1]] if a < b else self.gaps[:0])
+
+    def rows(self, starts: np.ndarray) -> list[pa.Array]:
+        """The columns of POSTINGS, a row for the postings from each start on; a row has one term."""
+        sizes = np.diff(np.append(starts, len(self.ids)))
+        places = np.add.reduceat(self.counts, starts)
+        gaps = _deltas(self.ids, starts)
+        gaps[starts] = 0
+        packed = [_packed_lists(*c) for c in ((gaps, sizes), (self.counts, sizes), (self.gaps, places))]
+        return [self.words.take(pa.array(self.code[starts])), pa.array(self.ids[starts]), pa.array(sizes.astype(np.int32)), *packed]
+
+
+def _ordered(words: pa.Array, code: np.ndarray, ids: np.ndarray, counts: np.ndarray, gaps: np.ndarray) -> _Postings:
+    """Postings in any order; those of one document, which rows or tasks have parts of, become one."""
+    same = code[1:] == code[:-1]
+    if not ((code[1:] > code[:-1]) | (same & (ids[1:] > ids[:-1]))).all():
+        order = np.lexsort((ids, code))
+        starts, sizes = (np.cumsum(counts) - counts)[order], counts[order]
+        gaps = gaps[np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(len(gaps))]
+        code, ids, counts = code[order], ids[order], sizes
+        first = np.concatenate([[True], (code[1:] != code[:-1]) | (ids[1:] != ids[:-1])])
+        if not first.all():
+            starts = np.cumsum(counts) - counts
+            places = np.cumsum(gaps)
+            places -= np.repeat(places[starts] - gaps[starts], counts)
+            owner = np.repeat(np.cumsum(first) - 1, counts)
+            places = places[np.lexsort((places, owner))]
+            code, ids, counts = code[first], ids[first], np.bincount(owner)
+            gaps = _deltas(places, np.cumsum(counts) - counts)
+    return _Postings(words, code, ids, counts, gaps)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of _placed, those of a batch with one term and ids in one cell of SPAN put together."""
+    for batch in batches:
+        words, packed = batch.column(0).dictionary_encode(), batch.column(3)
+        ends = 4 * np.cumsum(batch.column(2).to_numpy(), dtype=np.int64)
+        gaps = np.frombuffer(packed.buffers()[2], dtype="<i4", count=int(ends[-1]) // 4).astype(np.int64)  # _placed writes them from 0 on
+        met = _ordered(words.dictionary, words.indices.to_numpy().astype(np.int64), batch.column(1).to_numpy(), batch.column(2).to_numpy().astype(np.int64), gaps)
+        cell = met.ids // SPAN
+        starts = np.flatnonzero(np.concatenate([[True], (np.diff(met.code) != 0) | (np.diff(cell) != 0)]))
+        yield pa.RecordBatch.from_arrays([*met.rows(starts), pa.array(cell[starts])], [*NAMES, "cell"])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of up to most postings of one term, of rows of _gathered in order of term and cell. Of the last term, what
+    does not fill a block is held back, and so is its last cell, as more of it may follow."""
+    held: pa.RecordBatch | None = None
+    for batch in batches:
+        for rows in _pieces(batch):
+            if held is not None:
+                rows = pa.concat_batches([held, rows])
+            met = _read(rows)
+            last = int(np.searchsorted(met.code, met.code[-1]))
+            settled = last + int(np.searchsorted(met.ids[last:], rows.column(len(NAMES))[-1].as_py() * SPAN))
+            upto = last + (settled - last) // most * most
+            yield from _cut(met.sliced(0, upto), most)
+            rest = met.sliced(upto, len(met.ids))
+            cell = rest.ids // SPAN
+            starts = np.flatnonzero(np.concatenate([[True], np.diff(cell) != 0]))
+            held = pa.RecordBatch.from_arrays([*rest.rows(starts), pa.array(cell[starts])], schema=rows.schema)
+    if held is not None:
+        yield from _cut(_read(held), most)
+
+
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of about WORDS bytes of places at a time."""
+    ends = pc.cumulative_sum(pc.binary_length(batch.column(5)).cast(pa.int64())).to_numpy()
+    at = 0
+    while at < len(ends):
+        before = ends[at - 1] if at else 0
+        upto = max(at + 1, int(np.searchsorted(ends, before + WORDS, side="right")))
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
+def _read(rows: pa.RecordBatch) -> _Postings:
+    words = rows.column(0).dictionary_encode()
+    (gaps, sizes), (counts, _), (places, _) = (_unpacked_lists(rows.column(k)) for k in (3, 4, 5))
+    starts = np.cumsum(sizes) - sizes
+    ids = np.cumsum(gaps)
+    ids += np.repeat(rows.column(1).to_numpy() - ids[starts], sizes)
+    return _ordered(words.dictionary, np.repeat(words.indices.to_numpy().astype(np.int64), sizes), ids, counts, places)
+
+
+def _cut(met: _Postings, most: int) -> Iterator[pa.RecordBatch]:
+    if not len(met.ids):
         return
-    words = batch.column(1).dictionary_encode()
-    codes = words.indices.to_numpy(zero_copy_only=False)
-    ids, counts = batch.column(2).to_numpy(), batch.column(3).to_numpy().astype(np.int64)
-    gaps = np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype="<i4").astype(np.int64)
-    ends = np.cumsum(counts)
-    cuts = np.flatnonzero(np.diff(codes)) + 1
-    starts, stops = [0, *cuts.tolist()], [*cuts.tolist(), len(codes)]
-    buckets, terms = batch.column(0).take(pa.array(starts)).to_pylist(), words.dictionary.take(pa.array(codes[starts])).to_pylist()
-    for bucket, term, a, b in zip(buckets, terms, starts, stops, strict=True):
-        yield (bucket, term), (ids[a:b], counts[a:b], gaps[ends[a] - counts[a] : ends[b - 1]])
-
-
-class _Run:
-    """Postings of a term that are not yet in a block; rows of one document become one posting."""
-
-    def __init__(self):
-        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.n = 0
-
-    def add(self, ids: np.ndarray, counts: np.ndarray, gaps: np.ndarray) -> None:
-        self.parts.append((ids, counts, gaps))
-        self.n += len(ids)
-
-    def blocks(self, most: int, last: bool) -> list[list]:
-        """What fills blocks (last: all there is); the last document is held back, as its next row may follow."""
-        if self.n <= most and not last:
-            return []
-        if self.n == 1:  # most words stand in one document
-            ids, counts, gaps = self.parts[0]
-            self.parts, self.n = [], 0
-            n = int(counts[0])
-            return [[int(ids[0]), 1, b"\x01\x00", bytes([1, n]) if n < 256 else _packed(counts), bytes([1, int(gaps[0])]) if n == 1 and gaps[0] < 256 else _packed(gaps)]]
-        if not self.n:
-            return []
-        ids, counts, gaps = self.parts[0] if len(self.parts) == 1 else (np.concatenate(c) for c in zip(*self.parts, strict=True))
-        if len(ids) > 1 and (ids[1:] == ids[:-1]).any():
-            ids, counts, gaps = _joined(ids, counts, gaps)
-        ends, out, at = np.cumsum(counts), [], 0
-        while len(ids) - at > most or (last and at < len(ids)):
-            own = slice(at, at + most)
-            flat = gaps[ends[at] - counts[at] : ends[min(at + most, len(ids)) - 1]]
-            out.append([int(ids[at]), len(ids[own]), _packed(np.diff(ids[own], prepend=ids[at])), _packed(counts[own]), _packed(flat)])
-            at = min(at + most, len(ids))
-        self.parts = [(ids[at:], counts[at:], gaps[ends[at] - counts[at] :])] if at < len(ids) else []
-        self.n = len(ids) - at
-        return out
-
-
-def _joined(ids: np.ndarray, counts: np.ndarray, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Postings with equal neighbours joined, their places in order."""
-    starts = np.cumsum(counts) - counts
-    flat = np.cumsum(gaps)
-    places = flat - np.repeat(flat[starts] - gaps[starts], counts)
-    first = np.concatenate([[True], ids[1:] != ids[:-1]])
-    owner = np.repeat(np.cumsum(first) - 1, counts)
-    order = np.lexsort((places, owner))
-    sizes = np.bincount(owner)
-    return ids[first], sizes, _deltas(places[order], np.cumsum(sizes) - sizes)
+    first = np.flatnonzero(np.concatenate([[True], np.diff(met.code) != 0]))
+    sizes = np.diff(np.append(first, len(met.ids)))
+    place = np.arange(len(met.ids)) - np.repeat(first, sizes)
+    yield pa.RecordBatch.from_arrays(met.rows(np.flatnonzero(place % most == 0)), NAMES)
 
 
 def postings(spark: SparkSession, path: str, terms: list[str], buckets: int = 64, positions: bool = True) -> DataFrame:

@@ -92,3 +92,48 @@ def test_a_row_for_each_distinct_term_is_shuffled(spark, tmp_path, monkeypatch):
     placed = [r for b in ix._placed(iter([batch, batch.slice(3, 5)])) for r in b.to_pylist()]
     again = [(i, t, [k for k, x in enumerate(terms) if x == t]) for i, terms in texts + texts[3:8] for t in dict.fromkeys(filter(None, terms))]
     assert sorted((r["id"], r["term"], np.cumsum(np.frombuffer(r["at"], dtype="<i4")).tolist()) for r in placed) == sorted(again)
+
+
+@pytest.mark.parametrize("size,piece", [(10_000, 1_000_000), (7, 20), (1, 1)])
+def test_postings_of_many_documents_are_one_row_before_the_shuffle(size, piece, monkeypatch):
+    """A row for each term and cell of ids; blocks are those of plain Python, wherever batches and pieces of them end."""
+    monkeypatch.setattr(ix, "SPAN", 16)
+    rng = random.Random(size)
+    ids = [i * 2 - 40 for i in range(60)] + [5, 5, 2**40]
+    rng.shuffle(ids)
+    texts = [(i, rng.choices(["a", "b", "é", *(f"w{k}" for k in range(30))], [40, 20, 5, *[1] * 30], k=rng.randrange(0, 600 if n % 20 == 0 else 30))) for n, i in enumerate(ids)]
+    schema = pa.schema([("id", pa.int64()), ("terms", pa.list_(pa.string()))])
+    batches = [pa.RecordBatch.from_pylist([{"id": i, "terms": t} for i, t in texts[k : k + 21]], schema) for k in range(0, len(texts), 21)]
+    gathered = [b for batch in batches for b in ix._gathered(ix._placed(iter([batch])))]
+    rows = [r for b in gathered for r in b.to_pylist()]
+    assert [b.num_rows for b in gathered] == [len({(t, i // 16) for i, terms in texts[k : k + 21] for t in terms}) for k in range(0, len(texts), 21)]
+    assert len(rows) < 0.8 * sum(len(set(t)) for _, t in texts)
+    rng.shuffle(rows)
+    rows.sort(key=lambda r: (r["term"].encode(), r["cell"]))
+    monkeypatch.setattr(ix, "WORDS", piece)
+    cut = [pa.RecordBatch.from_pylist(rows[k : k + size], gathered[0].schema) for k in range(0, len(rows), size)]
+    got = [r for b in ix._blocks(iter([gathered[0].slice(0, 0), *cut]), 3) for r in b.to_pylist()]
+    want, whole = defaultdict(list), defaultdict(list)
+    for i, terms in texts:
+        whole[i].append(terms)
+    for i, lists in sorted(whole.items()):
+        for t in {t for terms in lists for t in terms}:
+            want[t].append((i, sorted(k for terms in lists for k, x in enumerate(terms) if x == t)))
+    blocks = [(t, found[k : k + 3]) for t, found in sorted(want.items(), key=lambda w: w[0].encode()) for k in range(0, len(found), 3)]
+    read = []
+    for r in got:
+        counts, gaps = ix._unpacked(r["counts"]).tolist(), iter(ix._unpacked(r["positions"]).tolist())
+        found = (r["first_id"] + np.cumsum(ix._unpacked(r["ids"]))).tolist()
+        read.append((r["term"], [(i, np.cumsum([next(gaps) for _ in range(n)]).tolist()) for i, n in zip(found, counts, strict=True)]))
+        assert r["n"] == len(found) and next(gaps, None) is None
+    assert read == blocks
+
+
+def test_packed_lists():
+    rng = np.random.default_rng(3)
+    lists = [rng.integers(0, top, size) for top, size in [(9, 3), (1 << 40, 2), (1 << 16, 5), (5, 0), (1 << 20, 4), (256, 1)]]
+    sizes = np.array([len(x) for x in lists])
+    packed = ix._packed_lists(np.concatenate(lists), sizes)
+    assert [ix._unpacked(p).tolist() for p in packed.to_pylist()] == [x.tolist() for x in lists]
+    values, found = ix._unpacked_lists(packed.slice(1, 4))
+    assert found.tolist() == sizes[1:5].tolist() and values.tolist() == np.concatenate(lists[1:5]).tolist()
