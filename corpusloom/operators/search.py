@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
 from corpusloom.functions import vectors as vx
-from corpusloom.functions.udfs import gram_sets
+from corpusloom.functions.udfs import gram_rows
 from corpusloom.operators.tables import first_per
 from corpusloom.session import checkpointed, ship_package
 
@@ -210,14 +210,14 @@ def containment(sources: DataFrame, source_id: str, targets: DataFrame, target_i
     """
     ship_package(targets.sparkSession)
     squeezed = tx.squeezed(F.lower(text))
-    own = sources.select(F.col(source_id).alias("source"), gram_sets(squeezed, n, stride).alias("g")).select("source", "g.probes", "g.grams")
+    own = gram_rows(sources.select(F.col(source_id).alias("source"), squeezed), n, probes=stride, grams=1)
     own = checkpointed(own.filter(F.size("probes") > 0))
     probes = own.select("source", F.size("probes").alias("n_probes"), F.explode("probes").alias("gram"))
     texts = targets.select(F.col(target_id).alias("target"), squeezed.alias("squeezed"))
-    held = texts.select("target", F.explode(gram_sets(F.col("squeezed"), n, stride)["grams"]).alias("gram"))
+    held = gram_rows(texts, n, grams=1).select("target", F.explode("grams").alias("gram"))
     forth = held.join(probes, "gram").groupBy("target", "source").agg(F.round(F.count(F.lit(1)) / F.first("n_probes"), 6).alias("ratio"))
     forth = checkpointed(forth.filter(F.col("ratio") >= least))
-    back = texts.join(forth.select("target").distinct(), "target", "left_semi").select("target", gram_sets(F.col("squeezed"), n, stride)["probes"].alias("back"))
+    back = gram_rows(texts.join(forth.select("target").distinct(), "target", "left_semi"), n, back=stride)
     pairs = forth.join(back, "target").join(own.select("source", "grams"), "source")
     ratio = F.round(F.size(F.array_intersect("back", "grams")) / F.size("back"), 6)
     return pairs.withColumn("back_ratio", ratio).filter(F.col("back_ratio") >= least).select("target", "source", "ratio", "back_ratio")
