@@ -247,6 +247,20 @@ def test_a_plan_joins_packs(spark):
     assert sorted(map(tuple, out.collect())) == [(s, i, i % 2 == 1) for s in range(50) for i in range(2_000) if i % 50 > s]
 
 
+def test_a_stored_plan_takes_little_for_a_pair(spark, tmp_path):
+    """96 subscribers by 24,000 rows of an hour: more rows than a page of a file holds lie between no two equal items."""
+    at = lambda seconds: F.timestamp_seconds(F.lit(1_767_571_200) + seconds)
+    queue = spark.range(24_000).select((F.col("id") * 1_000_003).alias("item"), at(F.col("id") % 3_000).alias("created_at"), F.when(F.col("id") % 2 == 0, F.array(F.lit("a"))).alias("tags"))
+    people = spark.range(96).select(F.col("id").alias("subscriber"), at(F.when(F.col("id") % 8 == 0, F.col("id") * 31).otherwise(-1)).alias("watermark"), F.array(F.lit("b")).alias("tags"))
+    ev.delivery_plan(queue, people, at(F.lit(7_200)), 15).select("subscriber", "item", "deliver").write.parquet(f"{tmp_path}/plan")
+    got = spark.read.parquet(f"{tmp_path}/plan")
+    wanted = {s: 24_000 if s % 8 else 8 * (2_999 - s * 31) for s in range(96)}
+    assert {r["subscriber"]: r["n"] for r in got.groupBy("subscriber").agg(F.count_distinct("item").alias("n")).collect()} == {s: n for s, n in wanted.items() if n > 0}
+    late = (F.col("item") / 1_000_003 % 3_000 > F.col("subscriber") * 31) | (F.col("subscriber") % 8 != 0)
+    assert got.count() == got.filter(late & (F.col("deliver") == (F.col("item") / 1_000_003 % 2 == 1))).count() == sum(n for n in wanted.values() if n > 0)
+    assert sum(f.stat().st_size for f in (tmp_path / "plan").glob("*.parquet")) < 0.7 * got.count()
+
+
 def test_blocks_of_rules_share_a_worker(spark):
     rules = [(True, i, f"r{i}", "set", "urgent", [f"w{i} "], [], []) for i in range(40)]
     rules = spark.createDataFrame(rules, "enabled boolean, position int, id string, mode string, level string, any_words array<string>, and_any array<array<string>>, none_words array<string>")
